@@ -92,3 +92,359 @@ for _prof in ("current", "v2", "v1"):
 def q_select_results(spark, sf_dir):
     res, st = store_tables(spark, sf_dir)
     return select_results(res, st, SITES, PARAMS)
+
+
+# ---------------------------------------------------------------------------
+# Retrieval variants (Q1, Q3-Q5, Q8, Q9)
+# ---------------------------------------------------------------------------
+
+from fieldlab.operators.select import RAW_COLUMNS, filter_dates, has_rows, with_station  # noqa: E402
+
+_RAW_SELECT = "SELECT * FROM raw"
+
+
+@register("q1_with_station", "WITH " + O.FIXTURE_CTE + ",\n" + O.raw_cte() + "\n" + _RAW_SELECT)
+def q_with_station(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return with_station(res.select(*RAW_COLUMNS), st)
+
+
+@register("q3_sites_one_param", "WITH " + O.FIXTURE_CTE + ",\n"
+          + O.raw_cte(f"r.SamplingPoint IN ({O.SITES_SQL}) AND r.WebParameter = 'Param NO'") + "\n" + _RAW_SELECT)
+def q_sites_one_param(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return select_results(res, st, SITES, "Param NO")
+
+
+@register("q4_one_site_params", "WITH " + O.FIXTURE_CTE + ",\n"
+          + O.raw_cte(f"r.SamplingPoint = 'ST00002' AND r.WebParameter IN ({O.PARAMS_SQL})") + "\n" + _RAW_SELECT)
+def q_one_site_params(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return select_results(res, st, "ST00002", PARAMS)
+
+
+@register("q5_one_site_one_param", "WITH " + O.FIXTURE_CTE + ",\n"
+          + O.raw_cte("r.SamplingPoint = 'ST00003' AND r.WebParameter = 'Param AF'") + "\n" + _RAW_SELECT)
+def q_one_site_one_param(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return select_results(res, st, "ST00003", "Param AF")
+
+
+@register("q8_has_rows", "WITH " + O.FIXTURE_CTE + ",\n" + O.raw_cte(O.selection_where())
+          + "\nSELECT count(*) > 0 AS has_rows FROM raw")
+def q_has_rows(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return has_rows(select_results(res, st, SITES, PARAMS))
+
+
+@register("q8_has_rows_empty", "WITH " + O.FIXTURE_CTE + ",\n"
+          + O.raw_cte("r.SamplingPoint = 'ST99999'") + "\nSELECT count(*) > 0 AS has_rows FROM raw")
+def q_has_rows_empty(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return has_rows(select_results(res, st, "ST99999"))
+
+
+_DATE_LO, _DATE_HI = "1996-01-01", "1997-12-31"
+
+
+@register("q9_filter_dates", O.with_clean() + f"""
+SELECT {_CLEAN_COLS} FROM clean WHERE DateSampled BETWEEN DATE '{_DATE_LO}' AND DATE '{_DATE_HI}'""")
+def q_filter_dates(spark, sf_dir):
+    return filter_dates(clean_all(spark, sf_dir), _DATE_LO, _DATE_HI)
+
+
+# ---------------------------------------------------------------------------
+# Directory and option lists
+# ---------------------------------------------------------------------------
+
+from fieldlab.operators import directory as D  # noqa: E402
+
+_DIR_SQL = ("dir AS (SELECT DISTINCT r.SamplingPoint, s.Description FROM "
+            "(SELECT DISTINCT SamplingPoint FROM r_t) r LEFT JOIN s_t s ON r.SamplingPoint = s.StationID)")
+_WITH_DIR = "WITH " + O.FIXTURE_CTE + ",\n" + _DIR_SQL
+
+
+def _values_sql(name: str, col: str, values) -> str:
+    rows = ", ".join(f"({i + 1}, '{v}')" for i, v in enumerate(values))
+    return f"{name}(pos, {col}) AS (VALUES {rows})"
+
+
+def directory_of(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return D.site_directory(res, st)
+
+
+@register("d1_site_directory", _WITH_DIR + "\nSELECT SamplingPoint, Description FROM dir")
+def q_site_directory(spark, sf_dir):
+    return directory_of(spark, sf_dir)
+
+
+@register("d2_available_params", "WITH " + O.FIXTURE_CTE + f"""
+SELECT DISTINCT WebParameter FROM r_t WHERE SamplingPoint IN ({O.SITES_SQL}) AND WebParameter IS NOT NULL""")
+def q_available_params(spark, sf_dir):
+    res, _ = store_tables(spark, sf_dir)
+    return D.available_params(res, SITES)
+
+
+@register("d3_available_params_one_site", "WITH " + O.FIXTURE_CTE + """
+SELECT DISTINCT WebParameter FROM r_t WHERE SamplingPoint = 'ST00002' AND WebParameter IS NOT NULL""")
+def q_available_params_one(spark, sf_dir):
+    res, _ = store_tables(spark, sf_dir)
+    return D.available_params(res, "ST00002")
+
+
+_CUR_PARAMS = ["Param RF", "Param ZZ", "Param AF", "Param NO", "Param AF"]
+
+
+@register("d4_valid_selection", "WITH " + O.FIXTURE_CTE + ",\n" + _values_sql("cur", "WebParameter", _CUR_PARAMS)
+          + f""",
+opts AS (SELECT DISTINCT WebParameter FROM r_t WHERE SamplingPoint IN ({O.SITES_SQL}))
+SELECT min(pos) AS pos, WebParameter FROM cur WHERE WebParameter IN (SELECT WebParameter FROM opts)
+GROUP BY WebParameter""")
+def q_valid_selection(spark, sf_dir):
+    res, _ = store_tables(spark, sf_dir)
+    return D.valid_selection(spark, _CUR_PARAMS, D.available_params(res, SITES), "WebParameter")
+
+
+_SEL_SITES = ["ST00013", "ST00001", "ST00002", "ST00011", "ST00003", "ST99999", "ST00001"]
+
+
+@register("d5_describe_sites", _WITH_DIR + ",\n" + _values_sql("sel", "SamplingPoint", _SEL_SITES) + """,
+firsts AS (SELECT sel.pos, sel.SamplingPoint, min(dir.Description) AS Description
+  FROM sel JOIN dir ON sel.SamplingPoint = dir.SamplingPoint GROUP BY sel.pos, sel.SamplingPoint)
+SELECT min(pos) AS pos, Description FROM firsts GROUP BY Description""")
+def q_describe_sites(spark, sf_dir):
+    return D.describe_sites(spark, directory_of(spark, sf_dir), _SEL_SITES)
+
+
+_SEL_DESCS = ["Reach 3", "Reach 17", "Reach 0", "Reach 99", "Reach 3"]
+
+
+@register("d6_sites_for", _WITH_DIR + ",\n" + _values_sql("sel", "Description", _SEL_DESCS) + """
+SELECT min(sel.pos) AS pos, dir.SamplingPoint FROM sel JOIN dir ON sel.Description = dir.Description
+GROUP BY dir.SamplingPoint""")
+def q_sites_for(spark, sf_dir):
+    return D.sites_for(spark, directory_of(spark, sf_dir), _SEL_DESCS)
+
+
+@register("d7_first_site", _WITH_DIR + ",\n" + _values_sql("sel", "Description", _SEL_DESCS) + """,
+firsts AS (SELECT sel.pos, min(dir.SamplingPoint) AS SamplingPoint FROM sel JOIN dir
+  ON sel.Description = dir.Description GROUP BY sel.pos, sel.Description)
+SELECT min(pos) AS pos, SamplingPoint FROM firsts GROUP BY SamplingPoint""")
+def q_first_site(spark, sf_dir):
+    return D.sites_for(spark, directory_of(spark, sf_dir), _SEL_DESCS, first=True)
+
+
+@register("d7_first_description", _WITH_DIR + """
+SELECT min(Description) AS Description FROM dir WHERE SamplingPoint = 'ST00002' HAVING count(*) > 0""")
+def q_first_description(spark, sf_dir):
+    return D.first_description(directory_of(spark, sf_dir), "ST00002")
+
+
+@register("d8_same_set", "WITH " + O.FIXTURE_CTE + """,
+a AS (SELECT DISTINCT SamplingPoint AS v FROM r_t WHERE WebParameter = 'Param AF'),
+b AS (SELECT DISTINCT SamplingPoint AS v FROM r_t WHERE WebParameter = 'Param NO')
+SELECT (SELECT count(*) FROM (SELECT v FROM a EXCEPT SELECT v FROM b))
+     + (SELECT count(*) FROM (SELECT v FROM b EXCEPT SELECT v FROM a)) = 0 AS same""")
+def q_same_set(spark, sf_dir):
+    res, _ = store_tables(spark, sf_dir)
+    return D.same_set(res.where(F.col("WebParameter") == "Param AF"),
+                      res.where(F.col("WebParameter") == "Param NO"), "SamplingPoint")
+
+
+@register("d8_same_set_selection", _WITH_DIR + ",\n" + _values_sql("sel", "SamplingPoint", _SEL_SITES) + """,
+a AS (SELECT DISTINCT SamplingPoint AS v FROM dir WHERE Description IN ('Reach 3', 'Reach 17')),
+b AS (SELECT DISTINCT SamplingPoint AS v FROM sel)
+SELECT (SELECT count(*) FROM (SELECT v FROM a EXCEPT SELECT v FROM b))
+     + (SELECT count(*) FROM (SELECT v FROM b EXCEPT SELECT v FROM a)) = 0 AS same""")
+def q_same_set_selection(spark, sf_dir):
+    d = directory_of(spark, sf_dir)
+    a = d.where(F.col("Description").isin("Reach 3", "Reach 17"))
+    from fieldlab.operators.joins import values_frame
+    return D.same_set(a, values_frame(spark, "SamplingPoint", _SEL_SITES), "SamplingPoint")
+
+
+@register("d9_search_sites", _WITH_DIR + """
+SELECT DISTINCT SamplingPoint FROM dir WHERE SamplingPoint IS NOT NULL
+  AND contains(lower(SamplingPoint), 'st0001') ORDER BY SamplingPoint LIMIT 10000""")
+def q_search_sites(spark, sf_dir):
+    return D.search_sites(directory_of(spark, sf_dir), "ST0001")
+
+
+@register("d9_search_params", "WITH " + O.FIXTURE_CTE + """
+SELECT DISTINCT WebParameter FROM r_t WHERE WebParameter IS NOT NULL
+  AND contains(lower(WebParameter), 'f') ORDER BY WebParameter LIMIT 1000""")
+def q_search_params(spark, sf_dir):
+    res, _ = store_tables(spark, sf_dir)
+    return D.search_params(res, "F")
+
+
+# ---------------------------------------------------------------------------
+# Coverage (A1-A5b)
+# ---------------------------------------------------------------------------
+
+from fieldlab.operators import coverage as CV  # noqa: E402
+from fieldlab.schema import MAX_PARAM_OPTIONS  # noqa: E402
+
+_WITH_SEL_CLEAN = O.with_clean(where=O.selection_where())
+
+
+def _req_sql() -> str:
+    s = ", ".join(f"({i + 1}, '{v}')" for i, v in enumerate(SITES))
+    p = ", ".join(f"({i + 1}, '{v}')" for i, v in enumerate(PARAMS))
+    return (f"ss(s_pos, Site) AS (VALUES {s}),\npp(p_pos, Parameter) AS (VALUES {p}),\n"
+            "req AS (SELECT Site, Parameter, s_pos, p_pos FROM ss, pp)")
+
+
+@register("a1_date_bounds", O.with_clean() + "\nSELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date FROM clean")
+def q_date_bounds(spark, sf_dir):
+    return CV.date_bounds(clean_all(spark, sf_dir))
+
+
+@register("a1_date_bounds_selected", _WITH_SEL_CLEAN
+          + "\nSELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date FROM clean")
+def q_date_bounds_selected(spark, sf_dir):
+    return CV.date_bounds(clean_selected(spark, sf_dir))
+
+
+def _offered_params_sql() -> str:
+    return (f"pp AS (SELECT row_number() OVER (ORDER BY WebParameter) AS p_pos, WebParameter AS Parameter "
+            f"FROM (SELECT DISTINCT WebParameter FROM r_t WHERE SamplingPoint IN ({O.SITES_SQL}) "
+            f"AND WebParameter IS NOT NULL))")
+
+
+@register("a2_requested_pairs", "WITH " + O.FIXTURE_CTE + ",\n"
+          + "ss(s_pos, Site) AS (VALUES " + ", ".join(f"({i + 1}, '{v}')" for i, v in enumerate(SITES)) + "),\n"
+          + _offered_params_sql() + "\nSELECT Site, Parameter, s_pos, p_pos FROM ss, pp")
+def q_requested_pairs(spark, sf_dir):
+    # The selected sites with every parameter offered for them (the option
+    # list is capped at 1,000 entries, so collecting it is bounded).
+    res, _ = store_tables(spark, sf_dir)
+    offered = D.available_params(res, SITES).limit(MAX_PARAM_OPTIONS)
+    params = [r["WebParameter"] for r in offered.collect()]
+    return CV.requested_pairs(spark, SITES, params)
+
+
+@register("a3_observed_pairs", O.with_clean()
+          + "\nSELECT DISTINCT SamplingPoint AS Site, WebParameter AS Parameter FROM clean")
+def q_observed_pairs(spark, sf_dir):
+    return CV.observed_pairs(clean_all(spark, sf_dir))
+
+
+@register("a4_missing_pairs", _WITH_SEL_CLEAN + ",\n" + _req_sql() + """
+SELECT * FROM req WHERE NOT EXISTS (SELECT 1 FROM clean c
+  WHERE c.SamplingPoint = req.Site AND c.WebParameter = req.Parameter)""")
+def q_missing_pairs(spark, sf_dir):
+    return CV.missing_pairs(clean_selected(spark, sf_dir), SITES, PARAMS)
+
+
+@register("a5_missing_sites", O.with_clean(where="r.WebParameter = 'Param AF'") + ",\n"
+          + _values_sql("w", "SamplingPoint", SITES) + """
+SELECT min(pos) AS pos, SamplingPoint FROM w WHERE SamplingPoint NOT IN
+  (SELECT SamplingPoint FROM clean WHERE SamplingPoint IS NOT NULL) GROUP BY SamplingPoint""")
+def q_missing_sites(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    df = clean(select_results(res, st, SITES, "Param AF"))
+    return CV.missing_values(df, "SamplingPoint", SITES)
+
+
+@register("a5_missing_params", O.with_clean(where="r.SamplingPoint = 'ST00001'") + ",\n"
+          + _values_sql("w", "WebParameter", PARAMS) + """
+SELECT min(pos) AS pos, WebParameter FROM w WHERE WebParameter NOT IN
+  (SELECT WebParameter FROM clean WHERE WebParameter IS NOT NULL) GROUP BY WebParameter""")
+def q_missing_params(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    df = clean(select_results(res, st, "ST00001", PARAMS))
+    return CV.missing_values(df, "WebParameter", PARAMS)
+
+
+def _msg_sql(where: str) -> str:
+    from fieldlab import schema as S
+    return (O.with_clean(where=where) + ",\n" + _req_sql() + """,
+miss AS (SELECT * FROM req WHERE NOT EXISTS (SELECT 1 FROM clean c
+  WHERE c.SamplingPoint = req.Site AND c.WebParameter = req.Parameter))""" + f"""
+SELECT CASE WHEN (SELECT count(*) FROM clean) = 0 THEN '{S.MSG_NO_DATA}'
+            WHEN (SELECT count(*) FROM miss) > 0 THEN concat('{S.MSG_GAPS}',
+                 (SELECT string_agg(concat(Site, ' (', Parameter, ')'), ', ' ORDER BY p_pos, s_pos) FROM miss), '.')
+       END AS message""")
+
+
+@register("a5b_missing_message", _msg_sql(O.selection_where()))
+def q_missing_message(spark, sf_dir):
+    return CV.missing_message(clean_selected(spark, sf_dir), SITES, PARAMS)
+
+
+@register("a5b_missing_message_no_data", _msg_sql(
+    f"r.SamplingPoint IN ({O.SITES_SQL}) AND r.WebParameter IN ({O.PARAMS_SQL}) AND r.SamplingPoint = 'ST99999'"))
+def q_missing_message_no_data(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    df = clean(select_results(res, st, ["ST99999"], PARAMS))
+    return CV.missing_message(df, SITES, PARAMS)
+
+
+# ---------------------------------------------------------------------------
+# Freshness
+# ---------------------------------------------------------------------------
+
+from fieldlab.operators import freshness as FR  # noqa: E402
+from fieldlab.functions.cleaning import to_sample_date  # noqa: E402
+
+AS_OF = "2001-11-10 06:00:00"
+STORE_CUT = "1999-06-30"
+
+
+def results_store(spark, sf_dir):
+    res, _ = store_tables(spark, sf_dir)
+    return res.withColumn("DateSampled", to_sample_date(F.col("DateSampled")))
+
+
+_STORE_SQL = "store AS (SELECT * REPLACE (try_cast(DateSampled AS DATE) AS DateSampled) FROM r_t)"
+_WITH_STORE = "WITH " + O.FIXTURE_CTE + ",\n" + _STORE_SQL
+_AGE_SQL = (f"(epoch_us(TIMESTAMP '{AS_OF}') - date_diff('day', DATE '1970-01-01', max(DateSampled))"
+            f" * 86400000000) / 86400000000.0")
+
+
+@register("f1_date_coverage", _WITH_STORE + "\nSELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date FROM store")
+def q_date_coverage(spark, sf_dir):
+    return FR.date_coverage(results_store(spark, sf_dir))
+
+
+@register("f2_staleness", _WITH_STORE + f"""
+SELECT max(DateSampled) AS max_date, {_AGE_SQL} AS age_days, round({_AGE_SQL}, 1) AS age_days_1 FROM store""")
+def q_staleness(spark, sf_dir):
+    return FR.staleness(results_store(spark, sf_dir), AS_OF)
+
+
+@register("f3_is_fresh", _WITH_STORE + f"""
+SELECT max(DateSampled) AS max_date, {_AGE_SQL} AS age_days, round({_AGE_SQL}, 1) AS age_days_1,
+  coalesce({_AGE_SQL} < 10, false) AS fresh FROM store""")
+def q_is_fresh(spark, sf_dir):
+    return FR.is_fresh(results_store(spark, sf_dir), AS_OF)
+
+
+@register("f5_new_row_count", _WITH_STORE + f""",
+old AS (SELECT * FROM store WHERE DateSampled <= DATE '{STORE_CUT}')
+SELECT count(*) AS n_new, count(*) > 0 AS has_new FROM store
+WHERE DateSampled > (SELECT max(DateSampled) FROM old)""")
+def q_new_row_count(spark, sf_dir):
+    full = results_store(spark, sf_dir)
+    # The store as it stood at the cut date; the source is the whole table.
+    old = full.where(F.col("DateSampled") <= F.lit(STORE_CUT).cast("date"))
+    return FR.new_row_count(full, old)
+
+
+@register("f6_coverage_message_cached", _WITH_STORE + """
+SELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date,
+  concat_ws(' ', 'Using cached database. Data available between', strftime(min(DateSampled), '%Y-%m-%d'),
+            'and', strftime(max(DateSampled), '%Y-%m-%d')) AS message FROM store""")
+def q_coverage_cached(spark, sf_dir):
+    return FR.coverage_message(results_store(spark, sf_dir), "cached")
+
+
+@register("f6_coverage_message_reloaded", _WITH_STORE + """
+SELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date,
+  concat_ws(' ', 'Using most recent version of the database:', '<br>Data available between ',
+            strftime(min(DateSampled), '%m-%d-%Y'), ' and ', strftime(max(DateSampled), '%m-%d-%Y')) AS message
+FROM store""")
+def q_coverage_reloaded(spark, sf_dir):
+    return FR.coverage_message(results_store(spark, sf_dir), "reloaded")
