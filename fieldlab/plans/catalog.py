@@ -308,7 +308,7 @@ def q_date_bounds_selected(spark, sf_dir):
 
 
 def _offered_params_sql() -> str:
-    return (f"pp AS (SELECT row_number() OVER (ORDER BY WebParameter) AS p_pos, WebParameter AS Parameter "
+    return (f"pp AS (SELECT CAST(row_number() OVER (ORDER BY WebParameter) AS INTEGER) AS p_pos, WebParameter AS Parameter "
             f"FROM (SELECT DISTINCT WebParameter FROM r_t WHERE SamplingPoint IN ({O.SITES_SQL}) "
             f"AND WebParameter IS NOT NULL))")
 
@@ -448,3 +448,29 @@ SELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date,
 FROM store""")
 def q_coverage_reloaded(spark, sf_dir):
     return FR.coverage_message(results_store(spark, sf_dir), "reloaded")
+
+
+# ---------------------------------------------------------------------------
+# Trend lines (L1-L3)
+# ---------------------------------------------------------------------------
+
+from fieldlab.operators import lines as L  # noqa: E402
+
+
+def _round_cols(df: DataFrame, cols, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+@register("l1_linear_line", O.linear_line_sql(band=False))
+def q_linear_line(spark, sf_dir):
+    return _round_cols(L.linear_line(clean_all(spark, sf_dir)), ["x", "yhat", "lo", "hi"])
+
+
+@register("l2_linear_band", O.linear_line_sql(band=True))
+def q_linear_band(spark, sf_dir):
+    return _round_cols(L.linear_line(clean_all(spark, sf_dir), band=True), ["x", "yhat", "lo", "hi"])
+
+
+@register("l3_loess_line", O.loess_line_sql())
+def q_loess_line(spark, sf_dir):
+    return _round_cols(L.loess_line(clean_all(spark, sf_dir)), ["x", "yhat"])

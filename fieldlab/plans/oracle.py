@@ -185,3 +185,64 @@ def cornish_fisher_sql(nu: str, level: float = 0.95) -> str:
     v = f"CAST({nu} AS DOUBLE)"
     return (f"({z!r} + {g1!r} / {v} + {g2!r} / ({v} * {v}) + {g3!r} / ({v} * {v} * {v})"
             f" + {g4!r} / ({v} * {v} * {v} * {v}))")
+
+
+# ---------------------------------------------------------------------------
+# Lines
+# ---------------------------------------------------------------------------
+
+def linear_line_sql(band: bool, points: int = S.LINE_POINTS, keys: str = "SiteParam",
+                    min_n: int = S.MIN_MODEL_N) -> str:
+    head = with_clean() + ",\n" + moments_cte(keys=(keys,), min_n=min_n) + ",\n" + quantile_values_sql()
+    grid = f"""g0 AS (SELECT {keys}, n_fit, xbar, ybar, sxx, syy, sxy,
+    CASE WHEN sxx > 0 THEN sxy / sxx END AS b1, xmin, xmax, unnest(range(0, {points})) AS i FROM mom),
+g1 AS (SELECT *, xmin + i * (xmax - xmin) / {float(points - 1)!r} AS x FROM g0),
+g2 AS (SELECT *, ybar + b1 * (x - xbar) AS yhat, n_fit - 2 AS df FROM g1),
+g3 AS (SELECT g2.*, CASE WHEN df > {tdist.QUANTILE_TABLE_MAX_DF} THEN {cornish_fisher_sql('df')}
+         ELSE qtab.qtq END AS tq FROM g2 LEFT JOIN qtab ON g2.df = qtab.qdf),
+g4 AS (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / df)
+         * sqrt(1.0 / n_fit + pow(x - xbar, 2) / sxx) AS se FROM g3)"""
+    if band:
+        sel = "round(yhat - tq * se, 6) AS lo, round(yhat + tq * se, 6) AS hi"
+    else:
+        sel = "CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi"
+    return (head + ",\n" + grid + f"""
+SELECT {keys}, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(yhat, 6) AS yhat, {sel} FROM g4""")
+
+
+def loess_cte(src: str = "clean", keys: str = "SiteParam", span: float = S.LOESS_SPAN,
+              points: int = S.LINE_POINTS, min_n: int = S.MIN_MODEL_N) -> str:
+    """LOESS sums and fit per (series, grid point) -> CTE ``lfit``."""
+    sums = ",\n    ".join(
+        [f"sum(w * c * pow(u, {k})) AS S{k}" for k in range(5)]
+        + [f"sum(w * sy * pow(u, {k})) AS T{k}" for k in range(3)]
+        + [f"sum(w * w * c * pow(u, {k})) AS V{k}" for k in range(5)]
+        + ["sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) AS n_pos", "first(h) AS h", "first(N) AS N"])
+    det = "(S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S3 * S2) + S2 * (S1 * S3 - S2 * S2))"
+    num = "(T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2))"
+    h = (f"min(CASE WHEN cum >= floor(N * {span!r}) THEN dist END) OVER (PARTITION BY {keys}, i)"
+         if span <= 1.0 else f"max(dist) OVER (PARTITION BY {keys}, i) * {span!r}")
+    return f"""lp0 AS (SELECT {keys}, {XDAYS} AS x, count(*) AS c, sum(FinalResult) AS sy,
+    sum(FinalResult * FinalResult) AS syy
+  FROM {src} WHERE FinalResult IS NOT NULL AND DateSampled IS NOT NULL GROUP BY {keys}, x),
+lp1 AS (SELECT *, CAST(sum(c) OVER (PARTITION BY {keys}) AS BIGINT) AS N,
+    min(x) OVER (PARTITION BY {keys}) AS xmin, max(x) OVER (PARTITION BY {keys}) AS xmax FROM lp0),
+lp2 AS (SELECT *, unnest(range(0, {points})) AS i FROM lp1 WHERE N >= {min_n}),
+lp3 AS (SELECT *, xmin + i * (xmax - xmin) / {float(points - 1)!r} AS g FROM lp2),
+lp4 AS (SELECT *, abs(x - g) AS dist FROM lp3),
+lp5 AS (SELECT *, sum(c) OVER (PARTITION BY {keys}, i ORDER BY dist) AS cum FROM lp4),
+lp6 AS (SELECT *, {h} AS h FROM lp5),
+lp7 AS (SELECT *,
+    CASE WHEN h > 0 THEN CASE WHEN dist / h < 1.0 THEN pow(1.0 - pow(dist / h, 3), 3) ELSE 0.0 END
+         ELSE CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END END AS w,
+    CASE WHEN h > 0 THEN (x - g) / h ELSE 0.0 END AS u FROM lp6),
+lsum AS (SELECT {keys}, i, g,
+    {sums}
+  FROM lp7 GROUP BY {keys}, i, g),
+lfit AS (SELECT *, {det} AS det,
+    CASE WHEN n_pos >= 3 AND abs({det}) > 1e-12 * pow(S0, 3) THEN {num} / {det} END AS yhat FROM lsum)"""
+
+
+def loess_line_sql(keys: str = "SiteParam") -> str:
+    return (with_clean() + ",\n" + loess_cte(keys=keys) + f"""
+SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat FROM lfit""")
