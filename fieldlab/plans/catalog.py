@@ -474,3 +474,232 @@ def q_linear_band(spark, sf_dir):
 @register("l3_loess_line", O.loess_line_sql())
 def q_loess_line(spark, sf_dir):
     return _round_cols(L.loess_line(clean_all(spark, sf_dir)), ["x", "yhat"])
+
+
+# ---------------------------------------------------------------------------
+# Statistics extras
+# ---------------------------------------------------------------------------
+
+from fieldlab import schema as S  # noqa: E402
+
+
+@register("a6b_min_group", O.with_clean() + f""",
+big AS (SELECT SamplingPoint, WebParameter FROM clean WHERE DL = 'Measured value'
+  GROUP BY SamplingPoint, WebParameter HAVING count(*) >= 8)
+SELECT {_CLEAN_COLS} FROM clean c WHERE DL = 'Measured value'
+  AND EXISTS (SELECT 1 FROM big WHERE big.SamplingPoint = c.SamplingPoint AND big.WebParameter = c.WebParameter)""")
+def q_min_group(spark, sf_dir):
+    return trend.min_group(trend.model_rows(clean_all(spark, sf_dir)))
+
+
+@register("a9_attach_stats", O.with_clean() + ",\n" + O.stats_cte() + f"""
+SELECT {_CLEAN_COLS}, N, round(R_squared, 9) AS R_squared, round(p_value, 9) AS p_value
+FROM clean c LEFT JOIN stats s ON c.SamplingPoint = s.Site AND c.WebParameter = s.Parameter""")
+def q_attach_stats(spark, sf_dir):
+    c = clean_all(spark, sf_dir)
+    out = trend.attach_stats(c, trend.linear_stats(c))
+    return out.withColumns({"R_squared": F.round("R_squared", 9), "p_value": F.round("p_value", 9)})
+
+
+@register("a7b_stats_status", O.with_clean() + ",\n" + O.stats_cte() + f"""
+SELECT count(*) AS n_groups, CASE WHEN count(*) = 0 THEN '{S.MSG_NO_GROUP}'
+  ELSE '{S.MSG_LINEAR_NOTE}' END AS status FROM stats""")
+def q_stats_status(spark, sf_dir):
+    return trend.stats_status(trend.linear_stats(clean_all(spark, sf_dir)))
+
+
+@register("a7b_stats_status_none", O.with_clean() + ",\n" + O.stats_cte().replace(
+    "HAVING count(*) >= 8", "HAVING count(*) >= 1000000") + f"""
+SELECT count(*) AS n_groups, CASE WHEN count(*) = 0 THEN '{S.MSG_NO_GROUP}'
+  ELSE '{S.MSG_LINEAR_NOTE}' END AS status FROM stats""")
+def q_stats_status_none(spark, sf_dir):
+    # A minimum group size no series reaches: the warning text.
+    return trend.stats_status(trend.linear_stats(clean_all(spark, sf_dir), min_n=1000000))
+
+
+@register("a7b_loess_status", O.with_clean() + ",\n" + O.stats_cte() + f"""
+SELECT count(*) AS n_groups, '{S.MSG_LOESS_NOTE}' AS status FROM stats""")
+def q_loess_status(spark, sf_dir):
+    return trend.stats_status(trend.linear_stats(clean_all(spark, sf_dir)), "loess")
+
+
+_FMT = "CASE WHEN {x} IS NULL THEN 'NA' ELSE printf('%.{d}f', {x}) END"
+
+
+@register("a8_trend_label", O.with_clean() + ",\n" + O.stats_cte() + """
+SELECT Site, Parameter, N, round(R_squared, 9) AS R_squared, round(p_value, 9) AS p_value,
+  concat('Trend line<br>Site: ', Site, '<br>Parameter: ', Parameter, '<br>N: ', CAST(N AS VARCHAR),
+         '<br>R²: ', """ + _FMT.format(x="R_squared", d=3) + """,
+         '<br>p-value: ', """ + _FMT.format(x="p_value", d=4) + """) AS tooltip FROM stats""")
+def q_trend_label(spark, sf_dir):
+    out = trend.trend_label(trend.linear_stats(clean_all(spark, sf_dir)))
+    return out.withColumns({"R_squared": F.round("R_squared", 9), "p_value": F.round("p_value", 9)})
+
+
+@register("a16_series_count", O.with_clean() + """
+SELECT SiteParam, SamplingPoint, WebParameter, count(*) AS N,
+  concat('LOESS trend<br>Site: ', SamplingPoint, '<br>Parameter: ', WebParameter, '<br>N: ',
+         CAST(count(*) AS VARCHAR)) AS tooltip
+FROM clean WHERE FinalResult IS NOT NULL GROUP BY SiteParam, SamplingPoint, WebParameter""")
+def q_series_count(spark, sf_dir):
+    return trend.loess_label(trend.series_count(clean_all(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Plot frames and display
+# ---------------------------------------------------------------------------
+
+from fieldlab.operators import frames as FM  # noqa: E402
+
+_NUMTXT = "coalesce(regexp_replace(CAST(FinalResult AS VARCHAR), '\\.0$', ''), 'NA')"
+_ISO = "coalesce(strftime(DateSampled, '%Y-%m-%d'), 'NA')"
+_ORDER_SQL = ", ".join(f"{c} NULLS FIRST" for c in FM.CLEAN_ORDER)
+
+
+def _facet_sql(where: str = "") -> str:
+    return (O.with_clean(where=where) + """
+SELECT count(DISTINCT SamplingPoint) AS n_sites, count(DISTINCT WebParameter) AS n_params,
+  CASE WHEN count(DISTINCT SamplingPoint) > 1 AND count(DISTINCT WebParameter) = 1 THEN 'Parameter'
+       ELSE 'Site' END AS facet FROM clean""")
+
+
+@register("a10_default_facet", _facet_sql())
+def q_default_facet(spark, sf_dir):
+    return FM.default_facet(clean_all(spark, sf_dir))
+
+
+@register("a10_default_facet_one_param", _facet_sql(f"r.SamplingPoint IN ({O.SITES_SQL}) AND r.WebParameter = 'Param AF'"))
+def q_default_facet_one_param(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return FM.default_facet(clean(select_results(res, st, SITES, "Param AF")))
+
+
+@register("a11_facet_columns", O.with_clean() + f"""
+SELECT {_CLEAN_COLS}, WebParameter AS facet, SamplingPoint AS colour FROM clean""")
+def q_facet_columns(spark, sf_dir):
+    return FM.facet_columns(clean_all(spark, sf_dir), "Parameter")
+
+
+@register("a11_colour_by_series", O.with_clean() + f"""
+SELECT {_CLEAN_COLS}, CAST(NULL AS VARCHAR) AS facet, SiteParam AS colour FROM clean""")
+def q_colour_by_series(spark, sf_dir):
+    return FM.facet_columns(clean_all(spark, sf_dir), None, "series")
+
+
+for _prof, _cond in (("current", "RelativeDepthComments <> 'surface'"),
+                     ("v2", "RelativeDepthComments <> 'N/A'"),
+                     ("v1", "RelativeDepthComments IS NOT NULL")):
+    def _mk_depth(profile):
+        def q(spark, sf_dir):
+            return FM.has_depth(clean_all(spark, sf_dir, profile), profile)
+        return q
+    register(f"a12_has_depth_{_prof}", O.with_clean(_prof)
+             + f"\nSELECT coalesce(bool_or({_cond}), false) AS use_size FROM clean")(_mk_depth(_prof))
+
+
+@register("a13_point_id", O.with_clean() + f"""
+SELECT {_CLEAN_COLS}, row_number() OVER (ORDER BY {_ORDER_SQL}) AS point_id FROM clean""")
+def q_point_id(spark, sf_dir):
+    return FM.point_id(clean_all(spark, sf_dir))
+
+
+@register("a14_value_range", O.with_clean() + """
+SELECT min(FinalResult) AS min_value, max(FinalResult) AS max_value,
+  min(FinalResult) - (max(FinalResult) - min(FinalResult)) * 0.15 AS lo,
+  max(FinalResult) + (max(FinalResult) - min(FinalResult)) * 0.15 AS hi FROM clean""")
+def q_value_range(spark, sf_dir):
+    return FM.value_range(clean_all(spark, sf_dir))
+
+
+_DISPLAY_SQL = """SELECT SamplingPoint AS "Site", WebParameter AS "Parameter",
+  strftime(DateSampled, '%Y-%m-%d') AS "Date", FinalResult AS "Result", DL AS "Detection Limit",
+  Qualifiers AS "Qualifiers", RelativeDepthComments AS "Relative Depth" FROM clean"""
+
+
+@register("t1_display_table", O.with_clean() + "\n" + _DISPLAY_SQL)
+def q_display_table(spark, sf_dir):
+    return FM.display_table(clean_all(spark, sf_dir))
+
+
+@register("t2_page", O.with_clean() + ",\ndisp AS (" + _DISPLAY_SQL + """)
+SELECT * FROM disp ORDER BY "Site" NULLS FIRST, "Parameter" NULLS FIRST, "Date" NULLS FIRST,
+  "Result" NULLS FIRST, "Detection Limit" NULLS FIRST, "Qualifiers" NULLS FIRST,
+  "Relative Depth" NULLS FIRST LIMIT 10 OFFSET 30""")
+def q_page(spark, sf_dir):
+    return FM.page(FM.display_table(clean_all(spark, sf_dir)), 3)
+
+
+@register("t2_page_v1", O.with_clean("v1") + ",\ndisp AS (" + _DISPLAY_SQL + """)
+SELECT * FROM disp ORDER BY "Site" NULLS FIRST, "Parameter" NULLS FIRST, "Date" NULLS FIRST,
+  "Result" NULLS FIRST, "Detection Limit" NULLS FIRST, "Qualifiers" NULLS FIRST,
+  "Relative Depth" NULLS FIRST LIMIT 15 OFFSET 0""")
+def q_page_v1(spark, sf_dir):
+    return FM.page(FM.display_table(clean_all(spark, sf_dir, "v1")), 0, S.PAGE_SIZE_V1)
+
+
+def _label_sql(profile: str) -> str:
+    nn = "coalesce({}, 'NA')"
+    site, param = nn.format("SamplingPoint"), nn.format("WebParameter")
+    q, z = nn.format("Qualifiers"), nn.format("RelativeDepthComments")
+    if profile == "current":
+        parts = ["'Site: '", site, "'<br>Parameter: '", param, "'<br>Date: '", _ISO, "'<br>Result: '",
+                 _NUMTXT, "'<br>Qualifier: '", q, "'<br>Depth: '", z]
+    elif profile == "v3_site":
+        parts = ["'Site: '", site, "'<br>Date: '", _ISO, "'<br>Result: '", _NUMTXT, "'<br>Qualifier: '",
+                 q, "'<br>Depth: '", z]
+    else:
+        d = _ISO if profile == "v2" else "coalesce(strftime(DateSampled, '%m-%d-%Y'), 'NA')"
+        parts = ["'Date: '", d, "' <br>Result: '", _NUMTXT, "' <br>Qualifiers: '", q,
+                 "' <br>Relative Depth: '", z]
+    return f"concat({', '.join(parts)})"
+
+
+for _prof, _clean_prof in (("current", "current"), ("v3_site", "current"), ("v2", "v2"), ("v1", "v1")):
+    def _mk_label(profile, cprof):
+        def q(spark, sf_dir):
+            return FM.point_label(clean_all(spark, sf_dir, cprof), profile)
+        return q
+    register(f"t3_point_label_{_prof}", O.with_clean(_clean_prof)
+             + f"\nSELECT {_CLEAN_COLS}, {_label_sql(_prof)} AS label FROM clean")(_mk_label(_prof, _clean_prof))
+
+
+def _case_sql(col: str, mapping: dict, cast: str) -> str:
+    whens = " ".join(f"WHEN {col} = '{k}' THEN {v!r}" for k, v in mapping.items())
+    return f"CAST(CASE {whens} END AS {cast})"
+
+
+@register("t4_shape_code", O.with_clean() + f"""
+SELECT {_CLEAN_COLS}, {_case_sql('legend_shape', S.SHAPES, 'INTEGER')} AS shape FROM clean""")
+def q_shape_code(spark, sf_dir):
+    return FM.shape_code(clean_all(spark, sf_dir))
+
+
+@register("t4_shape_code_v1", O.with_clean("v1") + f"""
+SELECT {_CLEAN_COLS}, {_case_sql('DL', S.SHAPES_V1, 'INTEGER')} AS shape FROM clean""")
+def q_shape_code_v1(spark, sf_dir):
+    return FM.shape_code(clean_all(spark, sf_dir, "v1"), "v1")
+
+
+for _prof, _map in (("current", S.DEPTH_SIZES), ("v2", S.DEPTH_SIZES_V2), ("v1", S.DEPTH_SIZES_V1)):
+    def _mk_size(profile):
+        def q(spark, sf_dir):
+            return FM.size_code(clean_all(spark, sf_dir, profile), profile)
+        return q
+    register(f"t5_size_code_{_prof}", O.with_clean(_prof) + f"""
+SELECT {_CLEAN_COLS}, {_case_sql('RelativeDepthComments', _map, 'DOUBLE')} AS size FROM clean""")(_mk_size(_prof))
+
+
+@register("t6_image_path", O.with_clean() + f"""
+SELECT {_CLEAN_COLS}, {_case_sql('legend_shape', S.IMAGES, 'VARCHAR')} AS point_image FROM clean""")
+def q_image_path(spark, sf_dir):
+    return FM.image_path(clean_all(spark, sf_dir))
+
+
+@register("t7_points_frame", O.with_clean() + f"""
+SELECT {_CLEAN_COLS}, SamplingPoint AS facet, WebParameter AS colour, SiteParam AS "group",
+  {_case_sql('legend_shape', S.SHAPES, 'INTEGER')} AS shape,
+  {_case_sql('RelativeDepthComments', S.DEPTH_SIZES, 'DOUBLE')} AS size,
+  {_label_sql('current')} AS label,
+  row_number() OVER (ORDER BY {_ORDER_SQL}) AS point_id FROM clean""")
+def q_points_frame(spark, sf_dir):
+    return FM.points_frame(clean_all(spark, sf_dir))
