@@ -703,3 +703,190 @@ SELECT {_CLEAN_COLS}, SamplingPoint AS facet, WebParameter AS colour, SiteParam
   row_number() OVER (ORDER BY {_ORDER_SQL}) AS point_id FROM clean""")
 def q_points_frame(spark, sf_dir):
     return FM.points_frame(clean_all(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Scalar cleaning functions (C1-C15, C18, C19) as input -> output mappings
+# over the whole results table, and key maintenance (K3-K5)
+# ---------------------------------------------------------------------------
+
+from fieldlab.functions import cleaning as CF  # noqa: E402
+from fieldlab.operators.clean import factor_code  # noqa: E402
+from fieldlab.operators.keys import align_columns, dates_as_text  # noqa: E402
+
+_WITH_FX = "WITH " + O.FIXTURE_CTE
+_STRIP_SQL = "regexp_replace(WebResult, '[^0-9.<>=]', '', 'g')"
+_NUM = O.NUM
+
+
+def _parse_sql(txt: str, half: bool) -> str:
+    body = f"regexp_replace({txt}, '^[<>]', '')"
+    val = f"CASE WHEN regexp_matches({body}, {_NUM}) THEN try_cast({body} AS DOUBLE) END"
+    return f"CASE WHEN starts_with({txt}, '<') THEN ({val}) / 2 ELSE ({val}) END" if half else val
+
+
+def _raw_results(spark, sf_dir):
+    return store_tables(spark, sf_dir)[0]
+
+
+@register("c1_to_sample_date", _WITH_FX + """
+SELECT DISTINCT DateSampled AS date_text,
+  coalesce(try_cast(DateSampled AS DATE), try_strptime(DateSampled, '%Y/%m/%d')::DATE) AS sample_date FROM r_t""")
+def q_to_sample_date(spark, sf_dir):
+    return _raw_results(spark, sf_dir).select(
+        F.col("DateSampled").alias("date_text"), CF.to_sample_date("DateSampled").alias("sample_date")).distinct()
+
+
+@register("c2_strip_result", _WITH_FX + f"\nSELECT DISTINCT WebResult, {_STRIP_SQL} AS stripped FROM r_t")
+def q_strip_result(spark, sf_dir):
+    return _raw_results(spark, sf_dir).select("WebResult", CF.strip_result("WebResult").alias("stripped")).distinct()
+
+
+@register("c3_dl_class", _WITH_FX + f"""
+SELECT DISTINCT WebResult, CASE WHEN starts_with({_STRIP_SQL}, '>') THEN '>DL'
+  WHEN starts_with({_STRIP_SQL}, '<') THEN '<DL' ELSE 'Measured value' END AS DL FROM r_t""")
+def q_dl_class(spark, sf_dir):
+    return _raw_results(spark, sf_dir).select(
+        "WebResult", CF.dl_class(CF.strip_result("WebResult")).alias("DL")).distinct()
+
+
+@register("c4_parse_result", _WITH_FX + f"\nSELECT DISTINCT WebResult, {_parse_sql(_STRIP_SQL, False)} AS value FROM r_t")
+def q_parse_result(spark, sf_dir):
+    return _raw_results(spark, sf_dir).select(
+        "WebResult", CF.parse_result(CF.strip_result("WebResult")).alias("value")).distinct()
+
+
+@register("c5_parse_result_half", _WITH_FX + f"\nSELECT DISTINCT WebResult, {_parse_sql(_STRIP_SQL, True)} AS value FROM r_t")
+def q_parse_result_half(spark, sf_dir):
+    return _raw_results(spark, sf_dir).select(
+        "WebResult", CF.parse_result(CF.strip_result("WebResult"), "half").alias("value")).distinct()
+
+
+_RAW_BODY = f"trim(regexp_replace(WebResult, '^[<>]', ''), {O.WS})"
+
+
+@register("c6_parse_result_raw", _WITH_FX + f"""
+SELECT DISTINCT WebResult, CASE WHEN starts_with(WebResult, '<')
+  THEN (CASE WHEN regexp_matches({_RAW_BODY}, {O.SNUM}) THEN try_cast({_RAW_BODY} AS DOUBLE) END) / 2
+  ELSE (CASE WHEN regexp_matches({_RAW_BODY}, {O.SNUM}) THEN try_cast({_RAW_BODY} AS DOUBLE) END) END AS value
+FROM r_t""")
+def q_parse_result_raw(spark, sf_dir):
+    return _raw_results(spark, sf_dir).select(
+        "WebResult", CF.parse_result_raw("WebResult").alias("value")).distinct()
+
+
+@register("c7_qualifier_or_none", _WITH_FX + """
+SELECT DISTINCT Qualifier,
+  CASE WHEN Qualifier IS NULL OR Qualifier = '' THEN 'None' ELSE Qualifier END AS Qualifiers,
+  CASE WHEN Qualifier = '' THEN 'None' ELSE Qualifier END AS Qualifiers_v1 FROM r_t""")
+def q_qualifier_or_none(spark, sf_dir):
+    return _raw_results(spark, sf_dir).select(
+        "Qualifier", CF.qualifier_or_none("Qualifier").alias("Qualifiers"),
+        CF.qualifier_or_none("Qualifier", keep_null=True).alias("Qualifiers_v1")).distinct()
+
+
+_DT = f"trim(RelativeDepthSample, {O.WS})"
+_DEPTH_SQL = {
+    "current": f"CASE WHEN {_DT} IS NULL OR {_DT} = '' THEN 'surface' ELSE lower({_DT}) END",
+    "v2": f"CASE WHEN {_DT} IS NULL OR {_DT} = '' THEN 'N/A' ELSE upper({_DT}) END",
+    "v1": f"CASE WHEN {_DT} IS NULL OR {_DT} = '' THEN NULL ELSE upper({_DT}) END",
+}
+
+for _id, _prof in (("c8", "current"), ("c9", "v2"), ("c10", "v1")):
+    def _mk_dl(profile):
+        def q(spark, sf_dir):
+            return _raw_results(spark, sf_dir).select(
+                "RelativeDepthSample", CF.depth_label("RelativeDepthSample", profile).alias("depth")).distinct()
+        return q
+    register(f"{_id}_depth_label_{_prof}", _WITH_FX + f"""
+SELECT DISTINCT RelativeDepthSample, {_DEPTH_SQL[_prof]} AS depth FROM r_t""")(_mk_dl(_prof))
+
+
+@register("c11_depth_category", _WITH_FX + f""",
+d AS (SELECT DISTINCT RelativeDepthSample, {_DEPTH_SQL['current']} AS label FROM r_t)
+SELECT RelativeDepthSample, CASE WHEN label IN ({O.LEVELS_SQL}) THEN label END AS depth,
+  CAST(CASE WHEN list_position([{O.LEVELS_SQL}], label) > 0 THEN list_position([{O.LEVELS_SQL}], label) END
+       AS INTEGER) AS depth_rank FROM d""")
+def q_depth_category(spark, sf_dir):
+    lab = CF.depth_label("RelativeDepthSample")
+    return _raw_results(spark, sf_dir).select(
+        "RelativeDepthSample", CF.depth_category(lab).alias("depth"), CF.depth_rank(lab).alias("depth_rank")).distinct()
+
+
+@register("c12_factor_code", O.with_clean() + """,
+ql AS (SELECT Qualifiers, CAST(dense_rank() OVER (ORDER BY Qualifiers) AS INTEGER) AS Qualifiers_code
+  FROM (SELECT DISTINCT Qualifiers FROM clean WHERE Qualifiers IS NOT NULL)),
+dl AS (SELECT DL, CAST(dense_rank() OVER (ORDER BY DL) AS INTEGER) AS DL_code
+  FROM (SELECT DISTINCT DL FROM clean WHERE DL IS NOT NULL)),
+coded AS (SELECT c.Qualifiers, ql.Qualifiers_code, c.DL, dl.DL_code FROM clean c
+  LEFT JOIN ql ON c.Qualifiers = ql.Qualifiers LEFT JOIN dl ON c.DL = dl.DL)
+SELECT Qualifiers, Qualifiers_code, DL, DL_code, count(*) AS n FROM coded
+GROUP BY Qualifiers, Qualifiers_code, DL, DL_code""")
+def q_factor_code(spark, sf_dir):
+    coded = factor_code(factor_code(clean_all(spark, sf_dir), "Qualifiers"), "DL")
+    return coded.groupBy("Qualifiers", "Qualifiers_code", "DL", "DL_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("c13_legend_class", O.with_clean() + """
+SELECT DISTINCT Qualifiers, DL, legend_shape FROM clean""")
+def q_legend_class(spark, sf_dir):
+    c = clean_all(spark, sf_dir)
+    return c.select("Qualifiers", "DL", CF.legend_class("Qualifiers", "DL").alias("legend_shape")).distinct()
+
+
+@register("c14_drop_unparsed", O.with_clean("v1") + """
+SELECT DL, count(*) AS n FROM clean WHERE FinalResult IS NOT NULL GROUP BY DL""")
+def q_drop_unparsed(spark, sf_dir):
+    from fieldlab.operators.clean import drop_unparsed
+    return drop_unparsed(clean_all(spark, sf_dir, "v1")).groupBy("DL").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("c15_series_key", O.with_clean() + "\nSELECT DISTINCT SamplingPoint, WebParameter, SiteParam FROM clean")
+def q_series_key(spark, sf_dir):
+    c = clean_all(spark, sf_dir)
+    return c.select("SamplingPoint", "WebParameter", CF.series_key().alias("SiteParam")).distinct()
+
+
+@register("c18_date_text", O.with_clean() + """
+SELECT DISTINCT DateSampled, strftime(DateSampled, '%Y-%m-%d') AS iso,
+  strftime(DateSampled, '%m-%d-%Y') AS mdy FROM clean""")
+def q_date_text(spark, sf_dir):
+    c = clean_all(spark, sf_dir)
+    return c.select("DateSampled", CF.date_text("DateSampled").alias("iso"),
+                    CF.date_text("DateSampled", "MM-dd-yyyy").alias("mdy")).distinct()
+
+
+@register("c19_fixed_decimals", O.with_clean() + ",\n" + O.stats_cte() + """
+SELECT Site, Parameter, """ + _FMT.format(x="R_squared", d=3) + """ AS r2_text, """
+          + _FMT.format(x="p_value", d=4) + """ AS p_text FROM stats""")
+def q_fixed_decimals(spark, sf_dir):
+    s = trend.linear_stats(clean_all(spark, sf_dir))
+    return s.select("Site", "Parameter", CF.fixed_decimals("R_squared", 3).alias("r2_text"),
+                    CF.fixed_decimals("p_value", 4).alias("p_text"))
+
+
+@register("k3_trim_keys", "WITH " + O.FIXTURE_CTE + """
+SELECT DISTINCT SamplingPoint AS raw_key, trim(SamplingPoint) AS SamplingPoint FROM results""")
+def q_trim_keys(spark, sf_dir):
+    res = fixtures.results(spark, sf_dir)
+    return trim_keys(res.select(F.col("SamplingPoint").alias("raw_key"), "SamplingPoint"),
+                     "SamplingPoint").distinct()
+
+
+@register("k4_align_columns", "WITH " + O.FIXTURE_CTE + """
+SELECT SamplingPoint, DateSampled, WebParameter, WebResult, Qualifier, RelativeDepthSample FROM r_t""")
+def q_align_columns(spark, sf_dir):
+    # A server-side extract names the key StationID; align it to the store's name.
+    server = _raw_results(spark, sf_dir).withColumnRenamed("SamplingPoint", "StationID")
+    return align_columns(server, S.SERVER_RENAMES).select(*fixtures_cols())
+
+
+def fixtures_cols():
+    return ["SamplingPoint", "DateSampled", "WebParameter", "WebResult", "Qualifier", "RelativeDepthSample"]
+
+
+@register("k5_date_text", O.with_clean() + """
+SELECT DISTINCT SamplingPoint, strftime(DateSampled, '%Y-%m-%d') AS DateSampled FROM clean""")
+def q_dates_as_text(spark, sf_dir):
+    c = clean_all(spark, sf_dir).select("SamplingPoint", "DateSampled")
+    return dates_as_text(c).distinct()
