@@ -15,9 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlab.sources.tables import read_parquet
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver table; fact tables are spread over all cores when the
+    file has fewer splits than cores (see ``sources.tables.balanced``)."""
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread=spread)
 
 
 def _site_code(key):
@@ -26,7 +30,7 @@ def _site_code(key):
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw results rows (untrimmed keys, text dates and text results)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread=True)
     ok = F.col("l_orderkey")
     qty = F.col("l_quantity").cast("int").cast("string")
     site = _site_code(F.col("l_suppkey"))
@@ -70,7 +74,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as results: site = user, parameter = event type,
     date = event time, result = value (as text)."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread=True)
     return event_rows(ev)
 
 

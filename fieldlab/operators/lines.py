@@ -80,9 +80,11 @@ def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.MIN_MODEL_N) -> Dat
 def _loess_sums(pts: DataFrame, keys, span: float, points: int) -> DataFrame:
     """Explode the grid onto the date points and reduce to the weighted
     moment sums of each (series, grid point)."""
-    g = pts.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    g = pts.select(*keys, "x", "c", "sy", "syy", "N", "xmin", "xmax",
+                   F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     g = g.withColumn("g", _grid_x(points))
-    g = g.withColumn("dist", F.abs(F.col("x") - F.col("g")))
+    g = g.select(*keys, "i", "g", "x", "c", "sy", "syy", "N",
+                 F.abs(F.col("x") - F.col("g")).alias("dist"))
     wk = Window.partitionBy(*keys, "i")
     wo = wk.orderBy("dist")
     q = F.floor(F.col("N") * span)
@@ -93,17 +95,18 @@ def _loess_sums(pts: DataFrame, keys, span: float, points: int) -> DataFrame:
         h = F.max("dist").over(wk) * span
     g = g.withColumn("h", h)
     r = F.col("dist") / F.col("h")
-    w = F.when(F.col("h") > 0, F.when(r < 1.0, F.pow(1.0 - F.pow(r, 3), 3)).otherwise(0.0)) \
+    t = 1.0 - r * r * r
+    w = F.when(F.col("h") > 0, F.when(r < 1.0, t * t * t).otherwise(0.0)) \
         .otherwise(F.when(F.col("dist") == 0, 1.0).otherwise(0.0))
     u = F.when(F.col("h") > 0, (F.col("x") - F.col("g")) / F.col("h")).otherwise(0.0)
-    g = g.withColumns({"w": w, "u": u})
-    wc = F.col("w") * F.col("c")
-    ww = F.col("w") * F.col("w") * F.col("c")
-    wy = F.col("w") * F.col("sy")
-    uu = F.col("u")
-    aggs = [F.sum(wc * uu ** k).alias(f"S{k}") for k in range(5)]
-    aggs += [F.sum(wy * uu ** k).alias(f"T{k}") for k in range(3)]
-    aggs += [F.sum(ww * uu ** k).alias(f"V{k}") for k in range(5)]
+    g = g.select(*keys, "i", "g", "c", "sy", "syy", "N", "h", w.alias("w"), u.alias("u"))
+    g = g.withColumns({"wc": F.col("w") * F.col("c"), "wy": F.col("w") * F.col("sy"),
+                       "ww": F.col("w") * F.col("w") * F.col("c"),
+                       "u2": F.col("u") * F.col("u")})
+    upow = [F.lit(1.0), F.col("u"), F.col("u2"), F.col("u2") * F.col("u"), F.col("u2") * F.col("u2")]
+    aggs = [F.sum(F.col("wc") * upow[k]).alias(f"S{k}") for k in range(5)]
+    aggs += [F.sum(F.col("wy") * upow[k]).alias(f"T{k}") for k in range(3)]
+    aggs += [F.sum(F.col("ww") * upow[k]).alias(f"V{k}") for k in range(5)]
     aggs += [F.sum(F.when(F.col("w") > 0, 1).otherwise(0)).alias("n_pos"),
              F.first("h").alias("h"), F.first("N").alias("N")]
     return g.groupBy(*keys, "i", "g").agg(*aggs)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from fieldlab import schema as S
 from fieldlab.functions.cleaning import days_since_epoch, fixed_decimals, na_text
 from fieldlab.functions.tdist import slope_p_value
-from fieldlab.operators.joins import bounded_broadcast
 
 SERIES = ["SamplingPoint", "WebParameter"]
 
@@ -119,13 +118,17 @@ def loess_label(counts: DataFrame, site: str = "SamplingPoint", param: str = "We
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, keys=SERIES) -> DataFrame:
-    """Left-join per-series statistics onto the rows.  ``stats`` has one row
-    per series; it is broadcast when within the bound, else shuffled."""
+    """Left-join per-series statistics onto the rows.
+
+    ``stats`` is an aggregation result (one row per series) that ends in a
+    shuffle, so AQE measures its real size and turns the join into a
+    broadcast join when it is small, or keeps a sort-merge join (with skew
+    splitting of hot series) when it is not.  No eager count is needed."""
     keys = list(keys)
     st = stats
     if "Site" in st.columns and "SamplingPoint" not in st.columns:
         st = st.withColumnsRenamed({"Site": "SamplingPoint", "Parameter": "WebParameter"})
-    return df.join(bounded_broadcast(st), keys, "left")
+    return df.join(st, keys, "left")
 
 
 def series_count(df: DataFrame) -> DataFrame:

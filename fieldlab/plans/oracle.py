@@ -213,10 +213,11 @@ SELECT {keys}, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(yhat, 6) AS yhat
 def loess_cte(src: str = "clean", keys: str = "SiteParam", span: float = S.LOESS_SPAN,
               points: int = S.LINE_POINTS, min_n: int = S.MIN_MODEL_N) -> str:
     """LOESS sums and fit per (series, grid point) -> CTE ``lfit``."""
+    upow = ["1.0", "u", "(u * u)", "(u * u) * u", "(u * u) * (u * u)"]
     sums = ",\n    ".join(
-        [f"sum(w * c * pow(u, {k})) AS S{k}" for k in range(5)]
-        + [f"sum(w * sy * pow(u, {k})) AS T{k}" for k in range(3)]
-        + [f"sum(w * w * c * pow(u, {k})) AS V{k}" for k in range(5)]
+        [f"sum((w * c) * {upow[k]}) AS S{k}" for k in range(5)]
+        + [f"sum((w * sy) * {upow[k]}) AS T{k}" for k in range(3)]
+        + [f"sum((w * w * c) * {upow[k]}) AS V{k}" for k in range(5)]
         + ["sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) AS n_pos", "first(h) AS h", "first(N) AS N"])
     det = "(S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S3 * S2) + S2 * (S1 * S3 - S2 * S2))"
     num = "(T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2))"
@@ -233,7 +234,8 @@ lp4 AS (SELECT *, abs(x - g) AS dist FROM lp3),
 lp5 AS (SELECT *, sum(c) OVER (PARTITION BY {keys}, i ORDER BY dist) AS cum FROM lp4),
 lp6 AS (SELECT *, {h} AS h FROM lp5),
 lp7 AS (SELECT *,
-    CASE WHEN h > 0 THEN CASE WHEN dist / h < 1.0 THEN pow(1.0 - pow(dist / h, 3), 3) ELSE 0.0 END
+    CASE WHEN h > 0 THEN CASE WHEN dist / h < 1.0 THEN (1.0 - (dist / h) * (dist / h) * (dist / h))
+           * (1.0 - (dist / h) * (dist / h) * (dist / h)) * (1.0 - (dist / h) * (dist / h) * (dist / h)) ELSE 0.0 END
          ELSE CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END END AS w,
     CASE WHEN h > 0 THEN (x - g) / h ELSE 0.0 END AS u FROM lp6),
 lsum AS (SELECT {keys}, i, g,
