@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,17 @@ def read_since(df: DataFrame, watermark, lookback_days: int = 0, col: str = "Dat
     return df.where(cond)
 
 
+def newest_partition(df: DataFrame, col: str = "sample_year") -> DataFrame:
+    """Restrict a year-partitioned store to its newest year, found from the
+    file listing (no scan), so "newest date" reads one partition."""
+    years = set()
+    for f in df.inputFiles():
+        m = re.search(rf"{col}=(\d+)", f)
+        if m:
+            years.add(int(m.group(1)))
+    return df.where(F.col(col) == max(years)) if years else df
+
+
 def load_store(spark: SparkSession, store: str, table: str = "results") -> DataFrame:
     """Read a table of the local store (Parquet folder ``store/table``)."""
     return read_parquet(spark, f"{store.rstrip('/')}/{table}")
