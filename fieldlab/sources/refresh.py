@@ -20,7 +20,7 @@ import datetime as _dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab import schema as S
@@ -84,17 +84,11 @@ def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame
             new = sinks.prepare_results(new)
             if lookback_days > 0 or dedup:
                 new = unseen_rows(spark.read.parquet(rpath), new, wm, lookback_days, dedup)
-            obs = Observation("increment")
-            new = new.observe(obs, F.count(F.lit(1)).alias("n"))
-            sinks.write_results(new, store, f"inc-{_tag(as_of)}")
-            n = obs.get["n"]
+            n = sinks.write_results(new, store, f"inc-{_tag(as_of)}")
             action = "appended" if n > 0 else "no_new_data"
         else:
-            full = sinks.prepare_results(results)
-            obs = Observation("full")
-            full = full.observe(obs, F.count(F.lit(1)).alias("n"))
-            sinks.write_results(full, store, "full")
-            n, action = obs.get["n"], "full_load"
+            n = sinks.write_results(sinks.prepare_results(results), store, "full")
+            action = "full_load"
         sinks.overwrite(sinks.prepare_stations(stations), sinks.stations_path(store))
     except Exception:
         if not have_store:

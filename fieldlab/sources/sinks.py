@@ -16,7 +16,7 @@ min/max statistics make site and parameter filters skip row groups.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,12 +60,17 @@ def _clustered(df: DataFrame, partitions: int | None) -> DataFrame:
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
-def write_results(df: DataFrame, store: str, tag: str, partitions: int | None = None) -> None:
+def write_results(df: DataFrame, store: str, tag: str, partitions: int | None = None) -> int:
     """Write prepared results as load ``tag`` (replacing that load's files
-    if it was written before)."""
+    if it was written before); returns the number of rows written, counted
+    during the write itself (no second pass).  The count sits above the
+    range exchange, so the boundary-sampling job does not add to it."""
     out = f"{results_path(store)}/ingest_batch={tag}"
-    (_clustered(df.drop("ingest_batch"), partitions).write.mode("overwrite")
-     .partitionBy("sample_year").parquet(out))
+    obs = Observation(f"write-{tag}")
+    clustered = _clustered(df.drop("ingest_batch"), partitions)
+    clustered.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite") \
+        .partitionBy("sample_year").parquet(out)
+    return int(obs.get["n"])
 
 
 def overwrite(df: DataFrame, path: str, partition_by=None) -> None:
