@@ -168,3 +168,24 @@ def with_t_quantile(df: DataFrame, df_col: str, out: str = "tq", level: float =
                                           cornish_fisher(F.col(df_col), level))
                               .otherwise(F.col("_qtq")))
             .drop("_qdf", "_qtq"))
+
+
+def with_t_quantile_real(df: DataFrame, df_col: str, out: str = "tq", level: float = 0.95) -> DataFrame:
+    """As ``with_t_quantile`` for non-integer degrees of freedom: linear
+    interpolation in 1/df between the neighbouring table entries (df >= 1),
+    Cornish-Fisher above the table."""
+    spark = df.sparkSession
+    tab = quantile_table(spark, level)
+    lo_t = F.broadcast(tab.select(F.col("df").alias("_lo_df"), F.col("tq").alias("_lo_tq")))
+    hi_t = F.broadcast(tab.select(F.col("df").alias("_hi_df"), F.col("tq").alias("_hi_tq")))
+    v = F.col(df_col).cast("double")
+    d = (df.withColumn("_lo", F.floor(v).cast("long")).withColumn("_hi", F.ceil(v).cast("long"))
+         .join(lo_t, F.col("_lo") == F.col("_lo_df"), "left")
+         .join(hi_t, F.col("_hi") == F.col("_hi_df"), "left"))
+    frac = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.0)).otherwise(
+        (1.0 / F.col("_lo") - 1.0 / v) / (1.0 / F.col("_lo") - 1.0 / F.col("_hi")))
+    interp = F.col("_lo_tq") + (F.col("_hi_tq") - F.col("_lo_tq")) * frac
+    res = (F.when(v.isNull() | (v < 1.0), F.lit(None).cast("double"))
+           .when(v > QUANTILE_TABLE_MAX_DF, cornish_fisher(v, level))
+           .otherwise(interp))
+    return d.withColumn(out, res).drop("_lo", "_hi", "_lo_df", "_lo_tq", "_hi_df", "_hi_tq")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fieldlab import schema as S
 from fieldlab.functions.cleaning import days_since_epoch
-from fieldlab.functions.tdist import with_t_quantile
+from fieldlab.functions.tdist import with_t_quantile, with_t_quantile_real
 from fieldlab.operators.trend import series_moments
 
 SERIES_KEY = ["SiteParam"]
@@ -126,11 +126,71 @@ def _loess_fit(sums: DataFrame) -> DataFrame:
 
 
 def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
-               points: int = S.LINE_POINTS, min_n: int = S.MIN_MODEL_N) -> DataFrame:
+               points: int = S.LINE_POINTS, min_n: int = S.MIN_MODEL_N, band: bool = False,
+               level: float = S.CONF_LEVEL) -> DataFrame:
     """LOESS (degree 2, tricube, span 0.8) per series on an even grid over
-    the series' date range: keys, i, x, yhat.  All parsed results are used,
-    detection-limit values included.  A grid point with fewer than three
-    distinct dates of positive weight has no fit (NULL)."""
+    the series' date range: keys, i, x, yhat (and se, lo, hi, df with
+    ``band``).  All parsed results are used, detection-limit values
+    included.  A grid point with fewer than three distinct dates of positive
+    weight has no fit (NULL)."""
     keys = _keys(by)
-    fit = _loess_fit(_loess_sums(date_points(df, keys, min_n), keys, span, points))
-    return fit.select(*keys, "i", F.col("g").alias("x"), "yhat")
+    pts = date_points(df, keys, min_n)
+    fit = _loess_fit(_loess_sums(pts, keys, span, points))
+    if not band:
+        return fit.select(*keys, "i", F.col("g").alias("x"), "yhat")
+    return _loess_band(pts, fit, keys, points, level)
+
+
+def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float) -> DataFrame:
+    """Confidence band of the LOESS line.
+
+    At each grid point: a = first column of M^-1, self-influence l00 =
+    (M^-1)_00 and squared kernel norm ||l(g)||^2 = a' V a (V: moments of
+    w^2).  At each data date the fit and both influences are interpolated
+    linearly between the two neighbouring grid points (vertex
+    interpolation), giving per series RSS, nu1 = tr(L), nu2 = tr(L'L) and
+    delta1 = N - 2 nu1 + nu2.  s^2 = RSS / delta1; the band is
+    yhat +/- t(level, delta1) * s * ||l(g)||.  Work per series is grid
+    points + distinct dates; no pairs of dates are formed."""
+    S0, S1, S2, S3, S4 = (F.col(f"S{k}") for k in range(5))
+    V0, V1, V2, V3, V4 = (F.col(f"V{k}") for k in range(5))
+    det = F.col("_det")
+    a0 = (S2 * S4 - S3 * S3) / det
+    a1 = -(S1 * S4 - S3 * S2) / det
+    a2 = (S1 * S3 - S2 * S2) / det
+    f = fit.withColumns({"a0": F.when(F.col("yhat").isNotNull(), a0),
+                         "a1": F.when(F.col("yhat").isNotNull(), a1),
+                         "a2": F.when(F.col("yhat").isNotNull(), a2)})
+    A0, A1, A2 = F.col("a0"), F.col("a1"), F.col("a2")
+    kn2 = (A0 * A0 * V0 + A1 * A1 * V2 + A2 * A2 * V4
+           + 2.0 * A0 * A1 * V1 + 2.0 * A0 * A2 * V2 + 2.0 * A1 * A2 * V3)
+    f = f.select(*keys, "i", "g", "yhat", F.col("a0").alias("l00"), kn2.alias("kn2"))
+    wn = Window.partitionBy(*keys).orderBy("i")
+    seg = f.select(*keys, "i", "g", "yhat", "l00", "kn2",
+                   F.lead("yhat").over(wn).alias("yhat_n"), F.lead("l00").over(wn).alias("l00_n"),
+                   F.lead("kn2").over(wn).alias("kn2_n"), F.lead("g").over(wn).alias("g_n")) \
+        .where(F.col("i") < points - 1)
+    step = (F.col("xmax") - F.col("xmin")) / float(points - 1)
+    k = F.when(step > 0, F.least(F.floor((F.col("x") - F.col("xmin")) / step),
+                                 F.lit(points - 2))).otherwise(F.lit(0)).cast("int")
+    p = pts.select(*keys, "x", "c", "sy", "syy", "N", k.alias("i"))
+    j = p.join(seg, [*keys, "i"], "inner")
+    t = F.when(F.col("g_n") > F.col("g"), (F.col("x") - F.col("g")) / (F.col("g_n") - F.col("g"))) \
+        .otherwise(F.lit(0.0))
+    lin = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * t
+    j = j.withColumns({"yd": lin("yhat", "yhat_n"), "ld": lin("l00", "l00_n"), "kd": lin("kn2", "kn2_n")})
+    per = j.groupBy(*keys).agg(
+        F.sum(F.col("syy") - 2.0 * F.col("yd") * F.col("sy") + F.col("c") * F.col("yd") * F.col("yd")).alias("rss"),
+        F.sum(F.col("c") * F.col("ld")).alias("nu1"),
+        F.sum(F.col("c") * F.col("kd")).alias("nu2"),
+        F.first("N").alias("N"))
+    per = per.withColumn("delta1", F.col("N") - 2.0 * F.col("nu1") + F.col("nu2"))
+    per = per.withColumn("s", F.when(F.col("delta1") > 0,
+                                     F.sqrt(F.greatest(F.col("rss"), F.lit(0.0)) / F.col("delta1"))))
+    per = with_t_quantile_real(per, "delta1", "tq", level)
+    out = f.join(per.select(*keys, "s", "tq", F.col("delta1").alias("df")), keys, "left")
+    se = F.col("s") * F.sqrt(F.greatest(F.col("kn2"), F.lit(0.0)))
+    out = out.withColumn("se", se)
+    return out.select(*keys, "i", F.col("g").alias("x"), "yhat", "se",
+                      (F.col("yhat") - F.col("tq") * F.col("se")).alias("lo"),
+                      (F.col("yhat") + F.col("tq") * F.col("se")).alias("hi"), "df")

@@ -890,3 +890,9 @@ SELECT DISTINCT SamplingPoint, strftime(DateSampled, '%Y-%m-%d') AS DateSampled
 def q_dates_as_text(spark, sf_dir):
     c = clean_all(spark, sf_dir).select("SamplingPoint", "DateSampled")
     return dates_as_text(c).distinct()
+
+
+@register("l4_loess_band", O.loess_band_sql())
+def q_loess_band(spark, sf_dir):
+    return _round_cols(L.loess_line(clean_all(spark, sf_dir), band=True),
+                       ["x", "yhat", "se", "lo", "hi", "df"])

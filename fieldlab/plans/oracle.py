@@ -248,3 +248,52 @@ lfit AS (SELECT *, {det} AS det,
 def loess_line_sql(keys: str = "SiteParam") -> str:
     return (with_clean() + ",\n" + loess_cte(keys=keys) + f"""
 SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat FROM lfit""")
+
+
+def t_real_sql(v: str, level: float = 0.95) -> str:
+    """t quantile at real degrees of freedom ``v`` (needs qtab as qlo/qhi joins)."""
+    frac = (f"CASE WHEN qhi.qdf = qlo.qdf THEN 0.0 ELSE (1.0 / qlo.qdf - 1.0 / {v}) "
+            f"/ (1.0 / qlo.qdf - 1.0 / qhi.qdf) END")
+    return (f"CASE WHEN {v} IS NULL OR {v} < 1.0 THEN NULL "
+            f"WHEN {v} > {tdist.QUANTILE_TABLE_MAX_DF} THEN {cornish_fisher_sql(v, level)} "
+            f"ELSE qlo.qtq + (qhi.qtq - qlo.qtq) * ({frac}) END")
+
+
+def loess_band_sql(keys: str = "SiteParam", points: int = S.LINE_POINTS) -> str:
+    a0 = "(S2 * S4 - S3 * S3) / det"
+    a1 = "(-(S1 * S4 - S3 * S2)) / det"
+    a2 = "(S1 * S3 - S2 * S2) / det"
+    kn2 = ("(a0 * a0 * V0 + a1 * a1 * V2 + a2 * a2 * V4 + 2.0 * a0 * a1 * V1 + 2.0 * a0 * a2 * V2"
+           " + 2.0 * a1 * a2 * V3)")
+    step = f"((xmax - xmin) / {float(points - 1)!r})"
+    lin = "({a} + ({b} - {a}) * t)"
+    return (with_clean() + ",\n" + loess_cte(keys=keys) + ",\n" + quantile_values_sql() + f""",
+fa AS (SELECT {keys}, i, g, yhat, V0, V1, V2, V3, V4,
+    CASE WHEN yhat IS NOT NULL THEN {a0} END AS a0,
+    CASE WHEN yhat IS NOT NULL THEN {a1} END AS a1,
+    CASE WHEN yhat IS NOT NULL THEN {a2} END AS a2 FROM lfit),
+fk AS (SELECT {keys}, i, g, yhat, a0 AS l00, {kn2} AS kn2 FROM fa),
+seg AS (SELECT * FROM (SELECT {keys}, i, g, yhat, l00, kn2,
+    lead(yhat) OVER (PARTITION BY {keys} ORDER BY i) AS yhat_n,
+    lead(l00) OVER (PARTITION BY {keys} ORDER BY i) AS l00_n,
+    lead(kn2) OVER (PARTITION BY {keys} ORDER BY i) AS kn2_n,
+    lead(g) OVER (PARTITION BY {keys} ORDER BY i) AS g_n FROM fk) WHERE i < {points - 1}),
+pk AS (SELECT {keys}, x, c, sy, syy, N,
+    CAST(CASE WHEN {step} > 0 THEN least(floor((x - xmin) / {step}), {points - 2}) ELSE 0 END AS INTEGER) AS i
+  FROM lp1 WHERE N >= {S.MIN_MODEL_N}),
+pj AS (SELECT pk.*, seg.g, seg.g_n, seg.yhat, seg.yhat_n, seg.l00, seg.l00_n, seg.kn2, seg.kn2_n,
+    CASE WHEN seg.g_n > seg.g THEN (pk.x - seg.g) / (seg.g_n - seg.g) ELSE 0.0 END AS t
+  FROM pk JOIN seg ON pk.{keys} = seg.{keys} AND pk.i = seg.i),
+pi AS (SELECT *, {lin.format(a='yhat', b='yhat_n')} AS yd, {lin.format(a='l00', b='l00_n')} AS ld,
+    {lin.format(a='kn2', b='kn2_n')} AS kd FROM pj),
+per AS (SELECT {keys}, sum(syy - 2.0 * yd * sy + c * yd * yd) AS rss, sum(c * ld) AS nu1,
+    sum(c * kd) AS nu2, first(N) AS N FROM pi GROUP BY {keys}),
+per2 AS (SELECT *, N - 2.0 * nu1 + nu2 AS delta1 FROM per),
+per3 AS (SELECT per2.*, CASE WHEN delta1 > 0 THEN sqrt(greatest(rss, 0.0) / delta1) END AS s,
+    {t_real_sql('delta1')} AS tq
+  FROM per2 LEFT JOIN qtab qlo ON qlo.qdf = CAST(floor(delta1) AS BIGINT)
+            LEFT JOIN qtab qhi ON qhi.qdf = CAST(ceil(delta1) AS BIGINT)),
+band AS (SELECT fk.{keys}, fk.i, fk.g, fk.yhat, per3.s * sqrt(greatest(fk.kn2, 0.0)) AS se, per3.tq,
+    per3.delta1 AS df FROM fk LEFT JOIN per3 ON fk.{keys} = per3.{keys})
+SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat, round(se, 6) AS se,
+  round(yhat - tq * se, 6) AS lo, round(yhat + tq * se, 6) AS hi, round(df, 6) AS df FROM band""")

@@ -109,3 +109,53 @@ def test_loess_reproduces_quadratic(spark):
     for r in out:
         d = r["x"] - epoch
         assert r["yhat"] == pytest.approx(0.001 * d * d - 0.3 * d + 4, abs=1e-6)
+
+
+def _loess_band_brute(x, y, span=0.8, points=80):
+    """Same definitions as the Spark band, by brute force in numpy; also
+    returns delta1 from the exact operator matrix at the data points."""
+    from fieldlab.functions.tdist import t_quantile
+    n = len(x)
+    q = int(np.floor(n * span))
+
+    def op_row(g):
+        d = np.abs(x - g)
+        h = np.sort(d)[q - 1]
+        w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0.0)
+        u = (x - g) / h
+        X = np.vstack([np.ones(n), u, u * u]).T
+        Minv = np.linalg.inv(X.T @ (w[:, None] * X))
+        return (Minv @ (X * w[:, None]).T)[0], Minv[0, 0]
+
+    grid = x.min() + np.arange(points) * (x.max() - x.min()) / (points - 1)
+    rows = [op_row(g) for g in grid]
+    yhat = np.array([r[0] @ y for r in rows])
+    kn2 = np.array([r[0] @ r[0] for r in rows])
+    l00 = np.array([r[1] for r in rows])
+    yd, ld, kd = (np.interp(x, grid, v) for v in (yhat, l00, kn2))
+    rss = np.sum((y - yd) ** 2)
+    delta1 = n - 2 * ld.sum() + kd.sum()
+    s = np.sqrt(rss / delta1)
+    lo_df = int(np.floor(delta1))
+    tl, th = t_quantile(0.95, lo_df), t_quantile(0.95, lo_df + 1)
+    tq = tl + (th - tl) * (1 / lo_df - 1 / delta1) / (1 / lo_df - 1 / (lo_df + 1))
+    Lfull = np.array([op_row(v)[0] for v in x])
+    exact_delta1 = np.trace((np.eye(n) - Lfull).T @ (np.eye(n) - Lfull))
+    return yhat, s * np.sqrt(kn2), tq, delta1, exact_delta1
+
+
+def test_loess_band_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    days = np.sort(rng.choice(1500, 45, replace=False)).astype(float)
+    vals = np.cos(days / 250.0) * 3 + rng.normal(0, 0.8, len(days))
+    rows = [("A", "P", int(d), float(v), "Measured value") for d, v in zip(days, vals)]
+    out = L.loess_line(_clean_frame(spark, rows), band=True).orderBy("i").collect()
+    epoch = (BASE - dt.date(1970, 1, 1)).days
+    yhat, se, tq, delta1, exact_delta1 = _loess_band_brute(days + epoch, vals)
+    assert np.allclose([r["yhat"] for r in out], yhat, atol=1e-8)
+    assert np.allclose([r["se"] for r in out], se, atol=1e-8)
+    assert np.allclose([r["hi"] - r["yhat"] for r in out], tq * se, atol=1e-7)
+    assert out[0]["df"] == pytest.approx(delta1, rel=1e-9)
+    # Interpolating the influences between grid points stays close to the
+    # exact residual degrees of freedom of the smoother.
+    assert abs(delta1 - exact_delta1) / exact_delta1 < 0.02
