@@ -30,7 +30,11 @@ def _site_code(key):
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw results rows (untrimmed keys, text dates and text results)."""
-    li = table(spark, sf_dir, "lineitem", spread=True)
+    return results_from(table(spark, sf_dir, "lineitem", spread=True))
+
+
+def results_from(li: DataFrame) -> DataFrame:
+    """The results adapter over a ``lineitem`` frame."""
     ok = F.col("l_orderkey")
     qty = F.col("l_quantity").cast("int").cast("string")
     site = _site_code(F.col("l_suppkey"))

@@ -896,3 +896,45 @@ def q_dates_as_text(spark, sf_dir):
 def q_loess_band(spark, sf_dir):
     return _round_cols(L.loess_line(clean_all(spark, sf_dir), band=True),
                        ["x", "yhat", "se", "lo", "hi", "df"])
+
+
+# ---------------------------------------------------------------------------
+# Sources (S1, S2, S4, S5)
+# ---------------------------------------------------------------------------
+
+from fieldlab.sources import tables as TB  # noqa: E402
+
+WATERMARK = "1999-06-30"
+
+
+@register("s1_read_table", "WITH " + O.FIXTURE_CTE + "\nSELECT * FROM r_t")
+def q_read_table(spark, sf_dir):
+    li = TB.read_table(spark, sf_dir, "lineitem.parquet")
+    return trim_keys(fixtures.results_from(li), "SamplingPoint")
+
+
+@register("s2_read_since", "WITH " + O.FIXTURE_CTE + f"\nSELECT * FROM r_t WHERE DateSampled > '{WATERMARK}'")
+def q_read_since(spark, sf_dir):
+    # The source keeps text dates: the bound is compared as ISO text.
+    return TB.read_since(_raw_results(spark, sf_dir), WATERMARK)
+
+
+@register("s2_read_since_lookback", "WITH " + O.FIXTURE_CTE + """
+SELECT * FROM r_t WHERE DateSampled >= strftime(DATE '1999-06-30' - INTERVAL 7 DAY, '%Y-%m-%d')""")
+def q_read_since_lookback(spark, sf_dir):
+    return TB.read_since(_raw_results(spark, sf_dir), WATERMARK, lookback_days=7)
+
+
+@register("s4_read_legacy_clean_v1", O.with_clean("v1") + f"\nSELECT {_CLEAN_COLS} FROM clean")
+def q_read_legacy(spark, sf_dir):
+    # A first-version extract names the result columns FinalResult,
+    # Qualifiers and RelativeDepthComments; it is cleaned with the v1 rules.
+    res, st = store_tables(spark, sf_dir)
+    legacy = select_results(res, st).withColumnsRenamed({v: k for k, v in S.LEGACY_RENAMES.items()})
+    return clean(legacy, "v1")
+
+
+@register("s5_source_updated", "SELECT max(ts) AS Updated FROM events")
+def q_source_updated(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events").select(F.col("ts").alias("Updated"))
+    return TB.source_updated(ev)
