@@ -66,6 +66,17 @@ def results_from(li: DataFrame) -> DataFrame:
     )
 
 
+def results_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skewed variant: every third line item belongs to one series
+    (ST00001 / Param AF), so that series holds a third of all rows."""
+    li = table(spark, sf_dir, "lineitem", spread=True)
+    hot = (F.col("l_orderkey") % 3) == 0
+    li = li.withColumns({"l_suppkey": F.when(hot, F.lit(1)).otherwise(F.col("l_suppkey")),
+                         "l_returnflag": F.when(hot, F.lit("A")).otherwise(F.col("l_returnflag")),
+                         "l_linestatus": F.when(hot, F.lit("F")).otherwise(F.col("l_linestatus"))})
+    return results_from(li)
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw station rows.  Suppliers whose key ends in 3 have no station, so
     the left join leaves their description NULL."""

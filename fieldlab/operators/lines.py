@@ -22,6 +22,7 @@ from fieldlab import schema as S
 from fieldlab.functions.cleaning import days_since_epoch
 from fieldlab.functions.tdist import with_t_quantile, with_t_quantile_real
 from fieldlab.operators.trend import series_moments
+from fieldlab.session import checkpoint_dir
 
 SERIES_KEY = ["SiteParam"]
 
@@ -135,9 +136,15 @@ def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
     weight has no fit (NULL)."""
     keys = _keys(by)
     pts = date_points(df, keys, min_n)
-    fit = _loess_fit(_loess_sums(pts, keys, span, points))
     if not band:
+        fit = _loess_fit(_loess_sums(pts, keys, span, points))
         return fit.select(*keys, "i", F.col("g").alias("x"), "yhat")
+    # The band reads the date points twice and the grid fits twice: both
+    # are cut from their lineage (reliable checkpoint in the shared
+    # checkpoint folder) so the source is scanned and the grid fitted once.
+    checkpoint_dir(df.sparkSession)
+    pts = pts.checkpoint(eager=True)
+    fit = _loess_fit(_loess_sums(pts, keys, span, points)).checkpoint(eager=True)
     return _loess_band(pts, fit, keys, points, level)
 
 

@@ -938,3 +938,42 @@ def q_read_legacy(spark, sf_dir):
 def q_source_updated(spark, sf_dir):
     ev = fixtures.table(spark, sf_dir, "events").select(F.col("ts").alias("Updated"))
     return TB.source_updated(ev)
+
+
+# ---------------------------------------------------------------------------
+# Skew: one series holds a third of all rows
+# ---------------------------------------------------------------------------
+
+def clean_hot(spark, sf_dir):
+    st = trim_keys(fixtures.stations(spark, sf_dir), "StationID")
+    res = trim_keys(fixtures.results_hot(spark, sf_dir), "SamplingPoint")
+    return clean(select_results(res, st))
+
+
+@register("a7_stats_table_hot", O.with_clean(hot=True) + ",\n" + O.stats_cte() + """
+SELECT Site, Parameter, N, round(R_squared, 4) AS R_squared, round(p_value, 4) AS p_value FROM stats""")
+def q_stats_table_hot(spark, sf_dir):
+    return trend.stats_table(trend.linear_stats(clean_hot(spark, sf_dir)))
+
+
+@register("a6b_min_group_hot", O.with_clean(hot=True) + f""",
+big AS (SELECT SamplingPoint, WebParameter FROM clean WHERE DL = 'Measured value'
+  GROUP BY SamplingPoint, WebParameter HAVING count(*) >= 8)
+SELECT {_CLEAN_COLS} FROM clean c WHERE DL = 'Measured value'
+  AND EXISTS (SELECT 1 FROM big WHERE big.SamplingPoint = c.SamplingPoint AND big.WebParameter = c.WebParameter)""")
+def q_min_group_hot(spark, sf_dir):
+    return trend.min_group(trend.model_rows(clean_hot(spark, sf_dir)))
+
+
+@register("a9_attach_stats_hot", O.with_clean(hot=True) + ",\n" + O.stats_cte() + f"""
+SELECT {_CLEAN_COLS}, N, round(R_squared, 9) AS R_squared, round(p_value, 9) AS p_value
+FROM clean c LEFT JOIN stats s ON c.SamplingPoint = s.Site AND c.WebParameter = s.Parameter""")
+def q_attach_stats_hot(spark, sf_dir):
+    c = clean_hot(spark, sf_dir)
+    out = trend.attach_stats(c, trend.linear_stats(c))
+    return out.withColumns({"R_squared": F.round("R_squared", 9), "p_value": F.round("p_value", 9)})
+
+
+@register("l3_loess_line_hot", O.loess_line_sql(hot=True))
+def q_loess_line_hot(spark, sf_dir):
+    return _round_cols(L.loess_line(clean_hot(spark, sf_dir)), ["x", "yhat"])

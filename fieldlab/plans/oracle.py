@@ -38,6 +38,15 @@ r_t AS (SELECT trim(SamplingPoint) AS SamplingPoint, DateSampled, WebParameter,
 s_t AS (SELECT trim(StationID) AS StationID, Description FROM stations)"""
 
 
+# Skewed variant: every third line item is moved to one series.
+FIXTURE_CTE_HOT = FIXTURE_CTE.replace(
+    "  FROM lineitem),",
+    "  FROM (SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_suppkey END AS l_suppkey,\n"
+    "        CASE WHEN l_orderkey % 3 = 0 THEN 'A' ELSE l_returnflag END AS l_returnflag,\n"
+    "        CASE WHEN l_orderkey % 3 = 0 THEN 'F' ELSE l_linestatus END AS l_linestatus) FROM lineitem)),", 1)
+assert FIXTURE_CTE_HOT != FIXTURE_CTE
+
+
 def sql_list(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 
@@ -100,8 +109,9 @@ def clean_cte(profile: str = "current", src: str = "raw", name: str = "clean") -
   FROM {name}_v{drop})"""
 
 
-def with_clean(profile: str = "current", where: str = "") -> str:
-    return "WITH " + FIXTURE_CTE + ",\n" + raw_cte(where) + ",\n" + clean_cte(profile)
+def with_clean(profile: str = "current", where: str = "", hot: bool = False) -> str:
+    fx = FIXTURE_CTE_HOT if hot else FIXTURE_CTE
+    return "WITH " + fx + ",\n" + raw_cte(where) + ",\n" + clean_cte(profile)
 
 
 def selection_where() -> str:
@@ -245,8 +255,8 @@ lfit AS (SELECT *, {det} AS det,
     CASE WHEN n_pos >= 3 AND abs({det}) > 1e-12 * pow(S0, 3) THEN {num} / {det} END AS yhat FROM lsum)"""
 
 
-def loess_line_sql(keys: str = "SiteParam") -> str:
-    return (with_clean() + ",\n" + loess_cte(keys=keys) + f"""
+def loess_line_sql(keys: str = "SiteParam", hot: bool = False) -> str:
+    return (with_clean(hot=hot) + ",\n" + loess_cte(keys=keys) + f"""
 SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat FROM lfit""")
 
 
