@@ -977,3 +977,52 @@ def q_attach_stats_hot(spark, sf_dir):
 @register("l3_loess_line_hot", O.loess_line_sql(hot=True))
 def q_loess_line_hot(spark, sf_dir):
     return _round_cols(L.loess_line(clean_hot(spark, sf_dir)), ["x", "yhat"])
+
+
+# ---------------------------------------------------------------------------
+# Streaming ingest (X1-X3): events arrive as files, one micro-batch each
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from fieldlab.session import checkpoint_dir  # noqa: E402
+from fieldlab.sources import sinks  # noqa: E402
+from fieldlab.streaming.ingest import stream_ingest  # noqa: E402
+
+_STORE_KEYS = ["SamplingPoint", "DateSampled", "WebParameter", "WebResult", "Qualifier",
+               "RelativeDepthSample", "sample_year"]
+_EVENTS_SQL = """ev AS (SELECT concat('U', lpad(CAST(user_id AS VARCHAR), 5, '0')) AS SamplingPoint,
+    try_cast(strftime(ts, '%Y-%m-%d') AS DATE) AS DateSampled, event_type AS WebParameter,
+    CAST(value AS VARCHAR) AS WebResult, CAST(NULL AS VARCHAR) AS Qualifier,
+    CAST(NULL AS VARCHAR) AS RelativeDepthSample FROM events)"""
+_EVENT_SELECT = "SamplingPoint, DateSampled, WebParameter, WebResult, Qualifier, RelativeDepthSample, " \
+                "CAST(year(DateSampled) AS INTEGER) AS sample_year"
+
+
+def _stream_run(spark, sf_dir, repeat_share: bool, dedup):
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    landing, store, ckpt = f"{base}/landing", f"{base}/store", f"{base}/checkpoint"
+    ev = fixtures.event_results(spark, sf_dir)
+    day = F.col("DateSampled")
+    chunks = [ev.where(day <= "2024-01-10"), ev.where((day > "2024-01-10") & (day <= "2024-01-20")),
+              ev.where(day > "2024-01-20")]
+    if repeat_share:
+        chunks.append(ev)          # everything delivered a second time
+    for k, c in enumerate(chunks):
+        c.write.mode("overwrite").parquet(f"{landing}/part{k}")
+    q = stream_ingest(spark, landing + "/*", store, ckpt, dedup=dedup, max_files_per_trigger=1,
+                      stations=lambda: fixtures.stations(spark, sf_dir))
+    q.awaitTermination()
+    return spark.read.parquet(sinks.results_path(store)).select(*_STORE_KEYS)
+
+
+@register("x1_stream_ingest", "WITH " + _EVENTS_SQL + f"\nSELECT {_EVENT_SELECT} FROM ev")
+def q_stream_ingest(spark, sf_dir):
+    # Three files arrive, each a micro-batch; the store then holds every row once.
+    return _stream_run(spark, sf_dir, repeat_share=False, dedup=None)
+
+
+@register("x2_stream_dedup", "WITH " + _EVENTS_SQL + f"\nSELECT DISTINCT {_EVENT_SELECT} FROM ev")
+def q_stream_dedup(spark, sf_dir):
+    # The same rows arrive twice; exact de-duplication against the store.
+    return _stream_run(spark, sf_dir, repeat_share=True, dedup="store")

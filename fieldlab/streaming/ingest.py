@@ -9,9 +9,16 @@ a failure replaces its own output: the checkpoint plus idempotent writes
 give exactly-once results.  Late rows (older dates) are kept, unlike the
 strict "newer than the stored maximum" rule of the batch refresh.
 
-Optional de-duplication treats the sample date as event time: a watermark
-of ``dedup_days`` bounds the state, and ``dropDuplicatesWithinWatermark``
-drops repeats of the same result row arriving within that delay.
+Optional de-duplication, two ways:
+
+* ``dedup="store"`` (exact): each micro-batch is de-duplicated and rows
+  already stored are dropped by a null-safe anti join against the store,
+  read only for the batch's date range (year partitions pruned, dates
+  pushed down).  No streaming state; late rows are never lost.
+* ``dedup_days=N`` (bounded state): the sample date is the event time, a
+  watermark of N days bounds the state and ``dropDuplicatesWithinWatermark``
+  drops repeats arriving within that delay.  Spark discards rows older than
+  the watermark, so use it only when lateness is bounded by N days.
 """
 
 from __future__ import annotations
@@ -53,10 +60,35 @@ def prepared(stream: DataFrame, dedup_days: int | None = None) -> DataFrame:
     return rows
 
 
+def drop_stored(batch: DataFrame, store: str, own_tag: str | None = None) -> DataFrame:
+    """Rows of a micro-batch that are not yet stored (and not repeated
+    within the batch).  Only stored rows in the batch's date range are read
+    (year folders pruned, dates pushed down); the batch's own folder
+    (``own_tag``, present when a failed batch is replayed) is ignored."""
+    spark = batch.sparkSession
+    keys = [c for c in DEDUP_KEYS if c in batch.columns]
+    batch = batch.dropDuplicates(keys)
+    rpath = sinks.results_path(store)
+    if not sinks.table_exists(spark, rpath):
+        return batch
+    b = batch.agg(F.min("DateSampled").alias("lo"), F.max("DateSampled").alias("hi")).first()
+    stored = spark.read.parquet(rpath)
+    if own_tag is not None:
+        stored = stored.where(F.col("ingest_batch") != own_tag)
+    in_range = F.col("DateSampled").isNull()
+    if b["lo"] is not None:
+        in_range = in_range | (F.col("sample_year").between(b["lo"].year, b["hi"].year)
+                               & F.col("DateSampled").between(F.lit(b["lo"]), F.lit(b["hi"])))
+    old = stored.where(in_range).select(*keys).dropDuplicates(keys).alias("o")
+    cond = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return batch.alias("n").join(old, cond, "left_anti")
+
+
 def stream_ingest(spark: SparkSession, landing: str, store: str, checkpoint: str,
                   stations: Callable[[], DataFrame] | None = None, dedup_days: int | None = None,
                   query_name: str = "results_ingest", available_now: bool = True,
-                  schema: T.StructType = S.RESULTS_SCHEMA, fmt: str = "parquet"):
+                  schema: T.StructType = S.RESULTS_SCHEMA, fmt: str = "parquet",
+                  dedup: str | None = None, max_files_per_trigger: int | None = None):
     """Start the ingest query.
 
     ``stations`` (optional) returns the current station table; it replaces
@@ -64,14 +96,24 @@ def stream_ingest(spark: SparkSession, landing: str, store: str, checkpoint: str
     ``available_now`` the query processes what has arrived and stops
     (scheduled runs); otherwise it keeps running.  Returns the
     StreamingQuery."""
-    rows = prepared(results_stream(spark, landing, schema, fmt), dedup_days)
+    rows = prepared(results_stream(spark, landing, schema, fmt, max_files_per_trigger), dedup_days)
+    if dedup not in (None, "store"):
+        raise ValueError("dedup must be None or 'store'")
+    tag = lambda epoch_id: f"stream-{query_name}-{epoch_id:08d}"
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        sinks.write_results(batch, store, f"stream-{query_name}-{epoch_id:08d}")
-        if stations is not None:
-            sinks.overwrite(sinks.prepare_stations(stations()), sinks.stations_path(store))
+        # The micro-batch (bounded by the trigger) is read several times.
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            if dedup == "store":
+                batch = drop_stored(batch, store, tag(epoch_id))
+            sinks.write_results(batch, store, tag(epoch_id))
+            if stations is not None:
+                sinks.overwrite(sinks.prepare_stations(stations()), sinks.stations_path(store))
+        finally:
+            batch.unpersist()
 
     writer = (rows.writeStream.queryName(query_name).foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))

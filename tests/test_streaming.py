@@ -58,3 +58,22 @@ def test_stream_dedup_within_watermark(spark, tmpdir_path):
     q.awaitTermination()
     stored = spark.read.parquet(sinks.results_path(store))
     assert stored.count() == ev.count()
+
+
+def test_stream_store_dedup_keeps_late_rows(spark, tmpdir_path):
+    landing = os.path.join(tmpdir_path, "landing")
+    store = os.path.join(tmpdir_path, "store")
+    ckpt = os.path.join(tmpdir_path, "ckpt")
+    ev = fixtures.event_results(spark, SF001).dropDuplicates(KEYS)
+    new = ev.where(F.col("DateSampled") > "2024-01-20")
+    old = ev.where(F.col("DateSampled") <= "2024-01-20")
+    os.makedirs(landing)
+    _land(new, landing, "a")                           # recent rows first
+    q = stream_ingest(spark, landing + "/*", store, ckpt, dedup="store")
+    q.awaitTermination()
+    _land(old, landing, "b")                           # then much older (late) rows
+    _land(new.limit(40), landing, "c")                 # and repeats of stored rows
+    q = stream_ingest(spark, landing + "/*", store, ckpt, dedup="store", max_files_per_trigger=1)
+    q.awaitTermination()
+    stored = spark.read.parquet(sinks.results_path(store))
+    assert _rows(stored) == _rows(sinks.prepare_results(ev))
