@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from fieldlab import schema as S
 
 
-def _ts(as_of) -> Column:
+def _epoch_micros(as_of) -> Column:
+    """``as_of`` as microseconds since the epoch.  Text and naive datetimes
+    are read as UTC, so the result does not depend on the session zone."""
     if isinstance(as_of, Column):
-        return as_of
-    if isinstance(as_of, _dt.datetime):
-        return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
-    return F.lit(str(as_of)).cast("timestamp")
+        return F.unix_micros(as_of)
+    ts = as_of if isinstance(as_of, _dt.datetime) else _dt.datetime.fromisoformat(str(as_of))
+    if ts.tzinfo is None:
+        ts = ts.replace(tzinfo=_dt.timezone.utc)
+    delta = ts - _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
+    return F.lit((delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds).cast("long")
 
 
 def date_coverage(df: DataFrame, col: str = "DateSampled") -> DataFrame:
@@ -27,7 +31,7 @@ def staleness(df: DataFrame, as_of, col: str = "DateSampled") -> DataFrame:
     """Age in days of the newest sample at ``as_of`` (the newest date is
     taken at midnight UTC), exact and rounded to one decimal."""
     newest = df.agg(F.max(col).alias("max_date"))
-    age = ((F.unix_micros(_ts(as_of)) - F.unix_date(F.col("max_date")).cast("long") * 86_400_000_000)
+    age = ((_epoch_micros(as_of) - F.unix_date(F.col("max_date")).cast("long") * 86_400_000_000)
            / 86_400_000_000.0)
     return newest.select("max_date", age.alias("age_days"), F.round(age, 1).alias("age_days_1"))
 
