@@ -15,6 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hashlib
+import os
+
+from fieldlab.operators.keys import trim_keys
+from fieldlab.session import checkpoint_dir
+from fieldlab.sources.sinks import table_exists
 from fieldlab.sources.tables import read_parquet
 
 
@@ -77,6 +83,35 @@ def results_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_from(li)
 
 
+# Bump when the adapter changes, so materialized stores are rebuilt.
+ADAPTER_VERSION = "1"
+_STORES: dict = {}
+
+
+def results_store(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
+    """The results table as the store holds it after ingest (keys trimmed),
+    materialized once per session as a multi-file Parquet table in the
+    session's checkpoint folder, like the application's local store.
+
+    Queries then scan it in parallel, and filters on the trimmed keys reach
+    the Parquet scan.  The folder name depends on the source file (path,
+    size, modification time), the variant and the adapter version."""
+    src = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    ident = src
+    if os.path.exists(src):
+        st = os.stat(src)
+        ident = f"{os.path.realpath(src)}|{st.st_size}|{st.st_mtime_ns}"
+    key = hashlib.sha1(f"{ident}|{hot}|{ADAPTER_VERSION}".encode()).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/store-{key}/results"
+    if (spark.sparkContext.applicationId, path) not in _STORES:
+        if not table_exists(spark, path):
+            raw = results_hot(spark, sf_dir) if hot else results(spark, sf_dir)
+            n = max(spark.sparkContext.defaultParallelism, 1)
+            trim_keys(raw, "SamplingPoint").repartition(n).write.mode("overwrite").parquet(path)
+        _STORES[(spark.sparkContext.applicationId, path)] = True
+    return read_parquet(spark, path)
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw station rows.  Suppliers whose key ends in 3 have no station, so
     the left join leaves their description NULL."""

@@ -39,8 +39,9 @@ def register(name: str, sql: str | None = None):
 # ---------------------------------------------------------------------------
 
 def store_tables(spark: SparkSession, sf_dir: str):
-    """Results and stations with trimmed keys (the store's state after ingest)."""
-    res = trim_keys(fixtures.results(spark, sf_dir), "SamplingPoint")
+    """Results and stations with trimmed keys (the store's state after
+    ingest; the results side is materialized once per session)."""
+    res = fixtures.results_store(spark, sf_dir)
     st = trim_keys(fixtures.stations(spark, sf_dir), "StationID")
     return res, st
 
@@ -946,7 +947,7 @@ def q_source_updated(spark, sf_dir):
 
 def clean_hot(spark, sf_dir):
     st = trim_keys(fixtures.stations(spark, sf_dir), "StationID")
-    res = trim_keys(fixtures.results_hot(spark, sf_dir), "SamplingPoint")
+    res = fixtures.results_store(spark, sf_dir, hot=True)
     return clean(select_results(res, st))
 
 

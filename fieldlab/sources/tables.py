@@ -17,11 +17,20 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan over all cores when it yields fewer splits than the
     session's parallelism (e.g. one large row group).  On a cluster reading
     many files the scan already has more splits than cores and nothing
-    changes; the check only plans the scan, it runs no job."""
+    changes; the check only plans the scan, it runs no job.
+
+    Rows are hash-partitioned on their position in the split
+    (``monotonically_increasing_id``): the same on a task retry (same file,
+    same split), no per-task sort as a round-robin repartition needs, and,
+    because Catalyst treats the key as non-deterministic, later filters and
+    projections stay above the exchange and run on all cores instead of in
+    the single scan task.  Column pruning still reaches the scan."""
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
     have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
+    if have >= want:
+        return df
+    return df.repartition(want, F.monotonically_increasing_id())
 
 
 def read_parquet(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
