@@ -72,6 +72,11 @@ def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.MIN_MODEL_N) -> Dat
             .select(*keys, days_since_epoch(F.col("DateSampled")).alias("x"), F.col("FinalResult").alias("y")))
     pts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy"),
                                        F.sum(F.col("y") * F.col("y")).alias("syy"))
+    # The grid multiplies these rows by the number of grid points after the
+    # exchange; an explicit partition count keeps AQE from coalescing the
+    # (small) shuffle into fewer tasks than the expanded work needs.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pts = pts.repartition(n, *keys)
     ws = Window.partitionBy(*keys)
     pts = pts.withColumns({"N": F.sum("c").over(ws), "xmin": F.min("x").over(ws),
                            "xmax": F.max("x").over(ws)})
@@ -144,7 +149,10 @@ def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
     # checkpoint folder) so the source is scanned and the grid fitted once.
     checkpoint_dir(df.sparkSession)
     pts = pts.checkpoint(eager=True)
-    fit = _loess_fit(_loess_sums(pts, keys, span, points)).checkpoint(eager=True)
+    # A checkpoint forgets the series partitioning: restore it on the date
+    # points (small) so the exploded grid is not shuffled.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fit = _loess_fit(_loess_sums(pts.repartition(n, *keys), keys, span, points)).checkpoint(eager=True)
     return _loess_band(pts, fit, keys, points, level)
 
 
