@@ -54,10 +54,19 @@ def prepare_stations(df: DataFrame) -> DataFrame:
     return trim_keys(df, "StationID")
 
 
+# Range keys of the store: year and site first (folder pruning and row-group
+# statistics), then date and result text so that one very large series is
+# still cut into many tasks.
+CLUSTER_KEYS = ("sample_year", "SamplingPoint", "WebParameter", "DateSampled", "WebResult")
+
+
 def _clustered(df: DataFrame, partitions: int | None) -> DataFrame:
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    keys = [c for c in ("sample_year", "SamplingPoint", "WebParameter") if c in df.columns]
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    """Range-partition and sort rows for writing.  Without an explicit
+    count the session's shuffle parallelism is used and AQE merges the
+    partitions of small loads."""
+    keys = [c for c in CLUSTER_KEYS if c in df.columns]
+    out = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return out.sortWithinPartitions(*keys)
 
 
 def write_results(df: DataFrame, store: str, tag: str, partitions: int | None = None) -> int:

@@ -113,3 +113,16 @@ def test_refresh_lookback_picks_late_rows(spark, tmpdir_path):
     r = refresh(spark, lambda: (early.unionByName(late_extra), fixtures.stations(spark, SF001)),
                 store, "2024-02-20 00:00:00", lookback_days=3)
     assert (r.action, r.rows_loaded) == ("appended", 5)
+
+
+def test_store_write_splits_hot_series(spark, tmpdir_path):
+    store = os.path.join(tmpdir_path, "store")
+    rows = sinks.prepare_results(fixtures.results_hot(spark, SF001))
+    total = rows.count()
+    sinks.write_results(rows, store, "full", partitions=8)
+    per_file = (spark.read.parquet(sinks.results_path(store))
+                .where((F.col("SamplingPoint") == "ST00001") & (F.col("WebParameter") == "Param AF"))
+                .groupBy(F.input_file_name()).count().collect())
+    hot = sum(r["count"] for r in per_file)
+    assert hot > total / 4
+    assert len(per_file) > 3 and max(r["count"] for r in per_file) < hot / 2

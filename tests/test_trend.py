@@ -159,3 +159,22 @@ def test_loess_band_matches_brute_force(spark):
     # Interpolating the influences between grid points stays close to the
     # exact residual degrees of freedom of the smoother.
     assert abs(delta1 - exact_delta1) / exact_delta1 < 0.02
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as hst  # noqa: E402
+
+
+@settings(max_examples=4, deadline=None)
+@given(hst.lists(hst.tuples(hst.sampled_from("ABCD"), hst.integers(0, 30)), max_size=60),
+       hst.integers(1, 9))
+def test_min_group_property(spark, rows, n):
+    data = [(s, "P", d, float(d), "Measured value") for s, d in rows]
+    if not data:
+        return
+    out = trend.min_group(_clean_frame(spark, data), n=n).collect()
+    counts = {}
+    for s, _ in rows:
+        counts[s] = counts.get(s, 0) + 1
+    assert len(out) == sum(c for c in counts.values() if c >= n)
+    assert all(counts[r["SamplingPoint"]] >= n for r in out)
