@@ -1027,3 +1027,29 @@ def q_stream_ingest(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     # The same rows arrive twice; exact de-duplication against the store.
     return _stream_run(spark, sf_dir, repeat_share=True, dedup="store")
+
+
+# ---------------------------------------------------------------------------
+# Older line rules: one parameter, grouped by site, all points, no minimum
+# beyond a fit (linear), LOESS by site
+# ---------------------------------------------------------------------------
+
+_ONE_PARAM = "Param NO"
+
+
+def _one_param_clean(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return clean(select_results(res, st, None, _ONE_PARAM))
+
+
+@register("l1_linear_line_by_site_all_points", O.linear_line_sql(
+    band=True, keys="SamplingPoint", min_n=3, measured_only=False, where=f"r.WebParameter = '{_ONE_PARAM}'"))
+def q_linear_line_by_site(spark, sf_dir):
+    out = L.linear_line(_one_param_clean(spark, sf_dir), by="SamplingPoint", band=True,
+                        min_n=3, measured_only=False)
+    return _round_cols(out, ["x", "yhat", "lo", "hi"])
+
+
+@register("l3_loess_line_by_site", O.loess_line_sql(keys="SamplingPoint", where=f"r.WebParameter = '{_ONE_PARAM}'"))
+def q_loess_line_by_site(spark, sf_dir):
+    return _round_cols(L.loess_line(_one_param_clean(spark, sf_dir), by="SamplingPoint"), ["x", "yhat"])

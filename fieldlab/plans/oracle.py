@@ -202,8 +202,9 @@ def cornish_fisher_sql(nu: str, level: float = 0.95) -> str:
 # ---------------------------------------------------------------------------
 
 def linear_line_sql(band: bool, points: int = S.LINE_POINTS, keys: str = "SiteParam",
-                    min_n: int = S.MIN_MODEL_N) -> str:
-    head = with_clean() + ",\n" + moments_cte(keys=(keys,), min_n=min_n) + ",\n" + quantile_values_sql()
+                    min_n: int = S.MIN_MODEL_N, measured_only: bool = True, where: str = "") -> str:
+    head = (with_clean(where=where) + ",\n" + moments_cte(keys=(keys,), min_n=min_n, measured_only=measured_only)
+            + ",\n" + quantile_values_sql())
     grid = f"""g0 AS (SELECT {keys}, n_fit, xbar, ybar, sxx, syy, sxy,
     CASE WHEN sxx > 0 THEN sxy / sxx END AS b1, xmin, xmax, unnest(range(0, {points})) AS i FROM mom),
 g1 AS (SELECT *, xmin + i * (xmax - xmin) / {float(points - 1)!r} AS x FROM g0),
@@ -255,8 +256,8 @@ lfit AS (SELECT *, {det} AS det,
     CASE WHEN n_pos >= 3 AND abs({det}) > 1e-12 * pow(S0, 3) THEN {num} / {det} END AS yhat FROM lsum)"""
 
 
-def loess_line_sql(keys: str = "SiteParam", hot: bool = False) -> str:
-    return (with_clean(hot=hot) + ",\n" + loess_cte(keys=keys) + f"""
+def loess_line_sql(keys: str = "SiteParam", hot: bool = False, where: str = "") -> str:
+    return (with_clean(hot=hot, where=where) + ",\n" + loess_cte(keys=keys) + f"""
 SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat FROM lfit""")
 
 
