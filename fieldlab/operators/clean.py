@@ -14,7 +14,7 @@ profile argument reproduces the three generations of the rules:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,9 +102,12 @@ _drop_unparsed = drop_unparsed
 
 def factor_code(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Attach the 1-based code of ``col`` among its sorted distinct values
-    (NULL is no level).  The level table is the column's domain, not the
-    data, so it is ranked once and joined back by a size-checked broadcast."""
+    (NULL is no level).  The distinct values are numbered in sorted order by
+    a range-partitioned sort with per-partition offsets (no single-task
+    window, whatever the column's cardinality) and joined back; the level
+    table is broadcast when its size check passes."""
+    from fieldlab.operators.frames import point_id
     out = out or f"{col}_code"
-    levels = (df.select(col).where(F.col(col).isNotNull()).distinct()
-              .withColumn(out, F.dense_rank().over(Window.orderBy(col)).cast("int")))
+    levels = point_id(df.select(col).where(F.col(col).isNotNull()).distinct(), order=[col], out=out)
+    levels = levels.withColumn(out, F.col(out).cast("int"))
     return df.join(bounded_broadcast(levels), col, "left")
