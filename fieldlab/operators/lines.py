@@ -63,10 +63,16 @@ def linear_line(df: DataFrame, by=SERIES_KEY, points: int = S.LINE_POINTS, band:
     return g.select(*keys, "i", "x", "yhat", "lo", "hi")
 
 
-def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.MIN_MODEL_N) -> DataFrame:
+def _partitions(df: DataFrame, partitions: int | None) -> int:
+    return int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.MIN_MODEL_N,
+                partitions: int | None = None) -> DataFrame:
     """Per (series, date): count, sum and sum of squares of the results,
     with the series' N, first and last date; series below ``min_n`` rows
-    dropped.  The output is hash-partitioned by the series keys."""
+    dropped.  The output is hash-partitioned by the series keys into
+    ``partitions`` parts (default: the session's shuffle parallelism)."""
     keys = _keys(by)
     rows = (df.where(F.col("FinalResult").isNotNull() & F.col("DateSampled").isNotNull())
             .select(*keys, days_since_epoch(F.col("DateSampled")).alias("x"), F.col("FinalResult").alias("y")))
@@ -75,8 +81,7 @@ def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.MIN_MODEL_N) -> Dat
     # The grid multiplies these rows by the number of grid points after the
     # exchange; an explicit partition count keeps AQE from coalescing the
     # (small) shuffle into fewer tasks than the expanded work needs.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pts = pts.repartition(n, *keys)
+    pts = pts.repartition(_partitions(df, partitions), *keys)
     ws = Window.partitionBy(*keys)
     pts = pts.withColumns({"N": F.sum("c").over(ws), "xmin": F.min("x").over(ws),
                            "xmax": F.max("x").over(ws)})
@@ -133,14 +138,16 @@ def _loess_fit(sums: DataFrame) -> DataFrame:
 
 def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
                points: int = S.LINE_POINTS, min_n: int = S.MIN_MODEL_N, band: bool = False,
-               level: float = S.CONF_LEVEL) -> DataFrame:
+               level: float = S.CONF_LEVEL, partitions: int | None = None) -> DataFrame:
     """LOESS (degree 2, tricube, span 0.8) per series on an even grid over
     the series' date range: keys, i, x, yhat (and se, lo, hi, df with
     ``band``).  All parsed results are used, detection-limit values
     included.  A grid point with fewer than three distinct dates of positive
-    weight has no fit (NULL)."""
+    weight has no fit (NULL).  ``partitions`` sets the parallelism of the
+    grid stage (default: the session's shuffle parallelism; a small
+    selection can use fewer)."""
     keys = _keys(by)
-    pts = date_points(df, keys, min_n)
+    pts = date_points(df, keys, min_n, partitions)
     if not band:
         fit = _loess_fit(_loess_sums(pts, keys, span, points))
         return fit.select(*keys, "i", F.col("g").alias("x"), "yhat")
@@ -151,8 +158,8 @@ def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
     pts = pts.checkpoint(eager=True)
     # A checkpoint forgets the series partitioning: restore it on the date
     # points (small) so the exploded grid is not shuffled.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fit = _loess_fit(_loess_sums(pts.repartition(n, *keys), keys, span, points)).checkpoint(eager=True)
+    fit = _loess_fit(_loess_sums(pts.repartition(_partitions(df, partitions), *keys), keys, span,
+                                 points)).checkpoint(eager=True)
     return _loess_band(pts, fit, keys, points, level)
 
 
