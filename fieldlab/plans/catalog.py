@@ -8,6 +8,7 @@ selecting is the operator being shown (retrieval, option lists, gaps).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,22 @@ from fieldlab.operators.keys import trim_keys
 from fieldlab.operators.select import select_results
 from fieldlab.operators import trend
 from fieldlab.plans import oracle as O
+from fieldlab import schema as S
+from fieldlab.functions import cleaning as CF
+from fieldlab.functions.cleaning import to_sample_date
+from fieldlab.operators import coverage as CV
+from fieldlab.operators import directory as D
+from fieldlab.operators import frames as FM
+from fieldlab.operators import freshness as FR
+from fieldlab.operators import lines as L
+from fieldlab.operators.clean import factor_code
+from fieldlab.operators.keys import align_columns, dates_as_text
+from fieldlab.operators.select import RAW_COLUMNS, filter_dates, has_rows, with_station
+from fieldlab.schema import MAX_PARAM_OPTIONS
+from fieldlab.session import checkpoint_dir
+from fieldlab.sources import sinks
+from fieldlab.sources import tables as TB
+from fieldlab.streaming.ingest import stream_ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,7 +116,6 @@ def q_select_results(spark, sf_dir):
 # Retrieval variants (Q1, Q3-Q5, Q8, Q9)
 # ---------------------------------------------------------------------------
 
-from fieldlab.operators.select import RAW_COLUMNS, filter_dates, has_rows, with_station  # noqa: E402
 
 _RAW_SELECT = "SELECT * FROM raw"
 
@@ -158,7 +174,6 @@ def q_filter_dates(spark, sf_dir):
 # Directory and option lists
 # ---------------------------------------------------------------------------
 
-from fieldlab.operators import directory as D  # noqa: E402
 
 _DIR_SQL = ("dir AS (SELECT DISTINCT r.SamplingPoint, s.Description FROM "
             "(SELECT DISTINCT SamplingPoint FROM r_t) r LEFT JOIN s_t s ON r.SamplingPoint = s.StationID)")
@@ -284,8 +299,6 @@ def q_search_params(spark, sf_dir):
 # Coverage (A1-A5b)
 # ---------------------------------------------------------------------------
 
-from fieldlab.operators import coverage as CV  # noqa: E402
-from fieldlab.schema import MAX_PARAM_OPTIONS  # noqa: E402
 
 _WITH_SEL_CLEAN = O.with_clean(where=O.selection_where())
 
@@ -387,14 +400,13 @@ def q_missing_message_no_data(spark, sf_dir):
 # Freshness
 # ---------------------------------------------------------------------------
 
-from fieldlab.operators import freshness as FR  # noqa: E402
-from fieldlab.functions.cleaning import to_sample_date  # noqa: E402
 
 AS_OF = "2001-11-10 06:00:00"
 STORE_CUT = "1999-06-30"
 
 
-def results_store(spark, sf_dir):
+def typed_store(spark, sf_dir):
+    """The stored results with typed sample dates."""
     res, _ = store_tables(spark, sf_dir)
     return res.withColumn("DateSampled", to_sample_date(F.col("DateSampled")))
 
@@ -407,20 +419,20 @@ _AGE_SQL = (f"(epoch_us(TIMESTAMP '{AS_OF}') - date_diff('day', DATE '1970-01-01
 
 @register("f1_date_coverage", _WITH_STORE + "\nSELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date FROM store")
 def q_date_coverage(spark, sf_dir):
-    return FR.date_coverage(results_store(spark, sf_dir))
+    return FR.date_coverage(typed_store(spark, sf_dir))
 
 
 @register("f2_staleness", _WITH_STORE + f"""
 SELECT max(DateSampled) AS max_date, {_AGE_SQL} AS age_days, round({_AGE_SQL}, 1) AS age_days_1 FROM store""")
 def q_staleness(spark, sf_dir):
-    return FR.staleness(results_store(spark, sf_dir), AS_OF)
+    return FR.staleness(typed_store(spark, sf_dir), AS_OF)
 
 
 @register("f3_is_fresh", _WITH_STORE + f"""
 SELECT max(DateSampled) AS max_date, {_AGE_SQL} AS age_days, round({_AGE_SQL}, 1) AS age_days_1,
   coalesce({_AGE_SQL} < 10, false) AS fresh FROM store""")
 def q_is_fresh(spark, sf_dir):
-    return FR.is_fresh(results_store(spark, sf_dir), AS_OF)
+    return FR.is_fresh(typed_store(spark, sf_dir), AS_OF)
 
 
 @register("f5_new_row_count", _WITH_STORE + f""",
@@ -428,7 +440,7 @@ old AS (SELECT * FROM store WHERE DateSampled <= DATE '{STORE_CUT}')
 SELECT count(*) AS n_new, count(*) > 0 AS has_new FROM store
 WHERE DateSampled > (SELECT max(DateSampled) FROM old)""")
 def q_new_row_count(spark, sf_dir):
-    full = results_store(spark, sf_dir)
+    full = typed_store(spark, sf_dir)
     # The store as it stood at the cut date; the source is the whole table.
     old = full.where(F.col("DateSampled") <= F.lit(STORE_CUT).cast("date"))
     return FR.new_row_count(full, old)
@@ -439,7 +451,7 @@ SELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date,
   concat_ws(' ', 'Using cached database. Data available between', strftime(min(DateSampled), '%Y-%m-%d'),
             'and', strftime(max(DateSampled), '%Y-%m-%d')) AS message FROM store""")
 def q_coverage_cached(spark, sf_dir):
-    return FR.coverage_message(results_store(spark, sf_dir), "cached")
+    return FR.coverage_message(typed_store(spark, sf_dir), "cached")
 
 
 @register("f6_coverage_message_reloaded", _WITH_STORE + """
@@ -448,15 +460,13 @@ SELECT min(DateSampled) AS min_date, max(DateSampled) AS max_date,
             strftime(min(DateSampled), '%m-%d-%Y'), ' and ', strftime(max(DateSampled), '%m-%d-%Y')) AS message
 FROM store""")
 def q_coverage_reloaded(spark, sf_dir):
-    return FR.coverage_message(results_store(spark, sf_dir), "reloaded")
+    return FR.coverage_message(typed_store(spark, sf_dir), "reloaded")
 
 
 # ---------------------------------------------------------------------------
 # Trend lines (L1-L3)
 # ---------------------------------------------------------------------------
 
-from fieldlab.operators import lines as L  # noqa: E402
-
 
 def _round_cols(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
@@ -481,8 +491,6 @@ def q_loess_line(spark, sf_dir):
 # Statistics extras
 # ---------------------------------------------------------------------------
 
-from fieldlab import schema as S  # noqa: E402
-
 
 @register("a6b_min_group", O.with_clean() + f""",
 big AS (SELECT SamplingPoint, WebParameter FROM clean WHERE DL = 'Measured value'
@@ -550,7 +558,6 @@ def q_series_count(spark, sf_dir):
 # Plot frames and display
 # ---------------------------------------------------------------------------
 
-from fieldlab.operators import frames as FM  # noqa: E402
 
 _NUMTXT = "coalesce(regexp_replace(CAST(FinalResult AS VARCHAR), '\\.0$', ''), 'NA')"
 _ISO = "coalesce(strftime(DateSampled, '%Y-%m-%d'), 'NA')"
@@ -711,9 +718,6 @@ def q_points_frame(spark, sf_dir):
 # over the whole results table, and key maintenance (K3-K5)
 # ---------------------------------------------------------------------------
 
-from fieldlab.functions import cleaning as CF  # noqa: E402
-from fieldlab.operators.clean import factor_code  # noqa: E402
-from fieldlab.operators.keys import align_columns, dates_as_text  # noqa: E402
 
 _WITH_FX = "WITH " + O.FIXTURE_CTE
 _STRIP_SQL = "regexp_replace(WebResult, '[^0-9.<>=]', '', 'g')"
@@ -879,11 +883,7 @@ SELECT SamplingPoint, DateSampled, WebParameter, WebResult, Qualifier, RelativeD
 def q_align_columns(spark, sf_dir):
     # A server-side extract names the key StationID; align it to the store's name.
     server = _raw_results(spark, sf_dir).withColumnRenamed("SamplingPoint", "StationID")
-    return align_columns(server, S.SERVER_RENAMES).select(*fixtures_cols())
-
-
-def fixtures_cols():
-    return ["SamplingPoint", "DateSampled", "WebParameter", "WebResult", "Qualifier", "RelativeDepthSample"]
+    return align_columns(server, S.SERVER_RENAMES).select(*S.RESULTS_SCHEMA.fieldNames())
 
 
 @register("k5_date_text", O.with_clean() + """
@@ -903,7 +903,6 @@ def q_loess_band(spark, sf_dir):
 # Sources (S1, S2, S4, S5)
 # ---------------------------------------------------------------------------
 
-from fieldlab.sources import tables as TB  # noqa: E402
 
 WATERMARK = "1999-06-30"
 
@@ -984,11 +983,6 @@ def q_loess_line_hot(spark, sf_dir):
 # Streaming ingest (X1-X3): events arrive as files, one micro-batch each
 # ---------------------------------------------------------------------------
 
-import uuid  # noqa: E402
-
-from fieldlab.session import checkpoint_dir  # noqa: E402
-from fieldlab.sources import sinks  # noqa: E402
-from fieldlab.streaming.ingest import stream_ingest  # noqa: E402
 
 _STORE_KEYS = ["SamplingPoint", "DateSampled", "WebParameter", "WebResult", "Qualifier",
                "RelativeDepthSample", "sample_year"]
