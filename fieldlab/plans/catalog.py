@@ -1047,3 +1047,12 @@ def q_linear_line_by_site(spark, sf_dir):
 @register("l3_loess_line_by_site", O.loess_line_sql(keys="SamplingPoint", where=f"r.WebParameter = '{_ONE_PARAM}'"))
 def q_loess_line_by_site(spark, sf_dir):
     return _round_cols(L.loess_line(_one_param_clean(spark, sf_dir), by="SamplingPoint"), ["x", "yhat"])
+
+
+@register("a14_value_range_no_pad", O.with_clean() + """
+SELECT min(FinalResult) AS min_value, max(FinalResult) AS max_value,
+  min(FinalResult) - (max(FinalResult) - min(FinalResult)) * 0.0 AS lo,
+  max(FinalResult) + (max(FinalResult) - min(FinalResult)) * 0.0 AS hi FROM clean""")
+def q_value_range_no_pad(spark, sf_dir):
+    # The older tabs draw the plain range, without padding.
+    return FM.value_range(clean_all(spark, sf_dir), pad=0.0)
