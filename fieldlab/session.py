@@ -54,3 +54,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="fieldlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def scale_settings(input_bytes: int, total_cores: int, split_bytes: int = 512 << 20,
+                   shuffle_bytes_per_task: int = 256 << 20, shuffle_fraction: float = 0.25) -> dict:
+    """Starting settings for a cluster run over ``input_bytes`` of results.
+
+    Scan splits of ``split_bytes``; initial shuffle parallelism sized so
+    each task gets about ``shuffle_bytes_per_task`` of shuffled data,
+    assuming the queries shuffle ``shuffle_fraction`` of the input (they
+    project few columns and pre-aggregate); AQE then merges small partitions
+    and splits skewed ones.  Never below two tasks per core."""
+    shuffle = max(2 * total_cores, int(input_bytes * shuffle_fraction // shuffle_bytes_per_task) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_bytes_per_task),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * shuffle_bytes_per_task),
+    }
