@@ -67,8 +67,11 @@ def slope_p_value(r2, n) -> Column:
     c2 = 1.0 - r2c
     odd = (nu % 2) == 1
     full_terms = F.when(odd, (nu - 3) / 2).otherwise(nu / 2 - 1).cast("long")
-    cut = F.when(c2 <= 0.0, F.lit(0)).when(r2c <= 0.0, full_terms).otherwise(
-        F.ceil(F.lit(TAIL_EXP) / -F.log(c2)))
+    # -ln(c2) underflows to 0 for r2 below ~1e-16 (c2 rounds to 1): then the
+    # full count is used, and no division by zero happens.
+    neg_log = -F.log(c2)
+    cut = F.when(c2 <= 0.0, F.lit(0)).when(neg_log <= 1e-12, full_terms).otherwise(
+        F.ceil(F.lit(TAIL_EXP) / neg_log))
     nterms = F.greatest(F.least(full_terms, cut), F.lit(0)).cast("long")
     sums = _series_sum(c2, nterms, odd)
     a_even = s * (1.0 + sums)

@@ -55,7 +55,9 @@ def linear_line(df: DataFrame, by=SERIES_KEY, points: int = S.LINE_POINTS, band:
         g = with_t_quantile(g, "_df", "_tq", level)
         rss = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
         s = F.sqrt(rss / F.col("_df"))
-        se = s * F.sqrt(1.0 / F.col("n_fit") + (F.col("x") - F.col("xbar")) ** 2 / F.col("sxx"))
+        # No band without a slope (constant dates) or residual freedom.
+        se = F.when((F.col("sxx") > 0) & (F.col("_df") > 0),
+                    s * F.sqrt(1.0 / F.col("n_fit") + (F.col("x") - F.col("xbar")) ** 2 / F.col("sxx")))
         g = g.withColumns({"lo": F.col("yhat") - F.col("_tq") * se,
                            "hi": F.col("yhat") + F.col("_tq") * se})
     else:

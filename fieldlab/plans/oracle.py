@@ -138,7 +138,8 @@ def p_value_sql(r2: str, n: str) -> str:
     s = f"sqrt({r2c})"
     odd = f"({nu} % 2 = 1)"
     full = f"(CASE WHEN {odd} THEN ({nu} - 3) // 2 ELSE {nu} // 2 - 1 END)"
-    cut = f"(CASE WHEN {c2} <= 0 THEN 0 WHEN {r2c} <= 0 THEN {full} ELSE ceil({tdist.TAIL_EXP} / -ln({c2})) END)"
+    cut = (f"(CASE WHEN {c2} <= 0 THEN 0 WHEN -ln({c2}) <= 1e-12 THEN {full} "
+           f"ELSE ceil({tdist.TAIL_EXP} / -ln({c2})) END)")
     k = f"greatest(least({full}, {cut}), 0)::BIGINT"
     even_sum = (f"coalesce(list_sum(list_transform(range(1, {k} + 1), "
                 f"lambda j: pow({c2}, j) * exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()))), 0.0)")
@@ -211,8 +212,8 @@ g1 AS (SELECT *, xmin + i * (xmax - xmin) / {float(points - 1)!r} AS x FROM g0),
 g2 AS (SELECT *, ybar + b1 * (x - xbar) AS yhat, n_fit - 2 AS df FROM g1),
 g3 AS (SELECT g2.*, CASE WHEN df > {tdist.QUANTILE_TABLE_MAX_DF} THEN {cornish_fisher_sql('df')}
          ELSE qtab.qtq END AS tq FROM g2 LEFT JOIN qtab ON g2.df = qtab.qdf),
-g4 AS (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / df)
-         * sqrt(1.0 / n_fit + pow(x - xbar, 2) / sxx) AS se FROM g3)"""
+g4 AS (SELECT *, CASE WHEN sxx > 0 AND df > 0 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / df)
+         * sqrt(1.0 / n_fit + pow(x - xbar, 2) / sxx) END AS se FROM g3)"""
     if band:
         sel = "round(yhat - tq * se, 6) AS lo, round(yhat + tq * se, 6) AS hi"
     else:

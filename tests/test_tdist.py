@@ -81,3 +81,8 @@ def test_cornish_fisher_tail(spark):
     assert out[200] == pytest.approx(tdist.t_quantile(0.95, 200), abs=1e-12)
     assert out[201] == pytest.approx(tdist.t_quantile(0.95, 201), abs=1e-9)
     assert out[5000] == pytest.approx(tdist.t_quantile(0.95, 5000), abs=1e-9)
+
+
+def test_tiny_r2_no_division_by_zero(spark):
+    got = _p_spark(spark, [(1e-18, 100), (1e-300, 101), (5e-17, 1000)])
+    assert all(abs(p - 1.0) < 1e-6 for p in got)

@@ -178,3 +178,12 @@ def test_min_group_property(spark, rows, n):
         counts[s] = counts.get(s, 0) + 1
     assert len(out) == sum(c for c in counts.values() if c >= n)
     assert all(counts[r["SamplingPoint"]] >= n for r in out)
+
+
+def test_linear_band_degenerate_series(spark):
+    rows = [("C", "P", 5, float(v), "Measured value") for v in range(10)]     # constant date
+    rows += [("T", "P", d, float(d), "Measured value") for d in range(2)]     # two points
+    out = L.linear_line(_clean_frame(spark, rows), band=True, min_n=2).collect()
+    assert {r["SiteParam"] for r in out} == {"C - P", "T - P"}
+    assert all(r["lo"] is None and r["hi"] is None for r in out)
+    assert all(r["yhat"] is None for r in out if r["SiteParam"] == "C - P")
