@@ -78,3 +78,14 @@ def test_missing_plus_observed_is_requested(spark, pairs):
     requested = {(s, p) for s in sites for p in params}
     assert missing | (observed & requested) == requested
     assert not (missing & observed)
+
+
+def test_selection_values_with_quotes(spark):
+    from fieldlab.operators.select import select_results
+    res = spark.createDataFrame([("O'Hara Lake", "2020-01-01", "pH", "7", None, None),
+                                 ("Other", "2020-01-01", "pH", "8", None, None)],
+                                "SamplingPoint string, DateSampled string, WebParameter string, "
+                                "WebResult string, Qualifier string, RelativeDepthSample string")
+    st = spark.createDataFrame([("O'Hara Lake", "North 'arm'")], "StationID string, Description string")
+    out = select_results(res, st, ["O'Hara Lake", "x' OR '1'='1"], ["pH"]).collect()
+    assert [(r["SamplingPoint"], r["Description"]) for r in out] == [("O'Hara Lake", "North 'arm'")]
