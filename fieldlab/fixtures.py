@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import hashlib
 import os
+import threading
 
 from fieldlab.operators.keys import trim_keys
 from fieldlab.session import checkpoint_dir
@@ -86,6 +87,7 @@ def results_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Bump when the adapter changes, so materialized stores are rebuilt.
 ADAPTER_VERSION = "1"
 _STORES: dict = {}
+_LOCK = threading.Lock()
 
 
 def results_store(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
@@ -103,12 +105,13 @@ def results_store(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFr
         ident = f"{os.path.realpath(src)}|{st.st_size}|{st.st_mtime_ns}"
     key = hashlib.sha1(f"{ident}|{hot}|{ADAPTER_VERSION}".encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/store-{key}/results"
-    if (spark.sparkContext.applicationId, path) not in _STORES:
-        if not table_exists(spark, path):
-            raw = results_hot(spark, sf_dir) if hot else results(spark, sf_dir)
-            n = max(spark.sparkContext.defaultParallelism, 1)
-            trim_keys(raw, "SamplingPoint").repartition(n).write.mode("overwrite").parquet(path)
-        _STORES[(spark.sparkContext.applicationId, path)] = True
+    with _LOCK:
+        if (spark.sparkContext.applicationId, path) not in _STORES:
+            if not table_exists(spark, path):
+                raw = results_hot(spark, sf_dir) if hot else results(spark, sf_dir)
+                n = max(spark.sparkContext.defaultParallelism, 1)
+                trim_keys(raw, "SamplingPoint").repartition(n).write.mode("overwrite").parquet(path)
+            _STORES[(spark.sparkContext.applicationId, path)] = True
     return read_parquet(spark, path)
 
 
