@@ -90,29 +90,56 @@ def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.MIN_MODEL_N,
     return pts.where(F.col("N") >= min_n)
 
 
-def _loess_sums(pts: DataFrame, keys, span: float, points: int) -> DataFrame:
-    """Explode the grid onto the date points and reduce to the weighted
-    moment sums of each (series, grid point)."""
-    g = pts.select(*keys, "x", "c", "sy", "syy", "N", "xmin", "xmax",
-                   F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    g = g.withColumn("g", _grid_x(points))
-    g = g.select(*keys, "i", "g", "x", "c", "sy", "syy", "N",
-                 F.abs(F.col("x") - F.col("g")).alias("dist"))
-    wk = Window.partitionBy(*keys, "i")
-    wo = wk.orderBy("dist")
+def _loess_bandwidth(pts: DataFrame, keys, span: float, points: int) -> DataFrame:
+    """Bandwidth h of every (series, grid point): the distance from the
+    grid point to its q-th nearest row, q = floor(span * N).
+
+    The q nearest rows of any point form a run of consecutive dates.  For
+    each date a, b(a) is the first date at which the count from a on
+    reaches q (one running window over the series' dates); then
+    h(g) = min over a of max(g - x_a, x_b(a) - g), a hash aggregation over
+    grid points x runs.  No sort of the grid rows is needed."""
+    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
+    if span > 1.0:
+        g = pts.select(*keys, "xmin", "xmax").distinct().select(*keys, "xmin", "xmax", grid)
+        g = g.withColumn("g", _grid_x(points))
+        return g.select(*keys, "i", "g", (F.greatest(F.col("g") - F.col("xmin"), F.col("xmax") - F.col("g"))
+                                          * span).alias("h"))
+    by_x = Window.partitionBy(*keys).orderBy("x")
+    cum = pts.select(*keys, "x", "c", "N", "xmin", "xmax", F.sum("c").over(by_x).alias("cum_c"))
     q = F.floor(F.col("N") * span)
-    g = g.withColumn("cum", F.sum("c").over(wo))
-    if span <= 1.0:
-        h = F.min(F.when(F.col("cum") >= q, F.col("dist"))).over(wk)
-    else:
-        h = F.max("dist").over(wk) * span
-    g = g.withColumn("h", h)
-    r = F.col("dist") / F.col("h")
+    # Run starts ("probes", count before the date) and run ends ("targets",
+    # count up to the date minus q), ordered by that count from the top: the
+    # last target seen before a probe is the first date where the run from
+    # the probe holds q rows.
+    probes = cum.select(*keys, (F.col("cum_c") - F.col("c")).alias("v"), F.lit(0).alias("kind"),
+                        F.col("x").alias("xa"), F.lit(None).cast("double").alias("xe"), "xmin", "xmax")
+    targets = cum.select(*keys, (F.col("cum_c") - q).alias("v"), F.lit(1).alias("kind"),
+                         F.lit(None).cast("double").alias("xa"), F.col("x").alias("xe"), "xmin", "xmax")
+    down = (Window.partitionBy(*keys).orderBy(F.col("v").desc(), F.col("kind").desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = (probes.unionByName(targets)
+            .withColumn("xb", F.last("xe", ignorenulls=True).over(down))
+            .where((F.col("kind") == 0) & F.col("xb").isNotNull())
+            .select(*keys, "xa", "xb", "xmin", "xmax"))
+    g = runs.select(*keys, "xa", "xb", "xmin", "xmax", grid).withColumn("g", _grid_x(points))
+    reach = F.greatest(F.col("g") - F.col("xa"), F.col("xb") - F.col("g"))
+    return g.groupBy(*keys, "i", "g").agg(F.min(reach).alias("h"))
+
+
+def _loess_sums(pts: DataFrame, keys, span: float, points: int) -> DataFrame:
+    """Weighted moment sums of each (series, grid point): the bandwidths
+    joined back to the series' date points (both sides partitioned by the
+    series, so the join and the sums need no shuffle)."""
+    bw = _loess_bandwidth(pts, keys, span, points)
+    g = bw.join(pts.select(*keys, "x", "c", "sy", "N"), keys, "inner")
+    dist = F.abs(F.col("x") - F.col("g"))
+    r = dist / F.col("h")
     t = 1.0 - r * r * r
     w = F.when(F.col("h") > 0, F.when(r < 1.0, t * t * t).otherwise(0.0)) \
-        .otherwise(F.when(F.col("dist") == 0, 1.0).otherwise(0.0))
+        .otherwise(F.when(dist == 0, 1.0).otherwise(0.0))
     u = F.when(F.col("h") > 0, (F.col("x") - F.col("g")) / F.col("h")).otherwise(0.0)
-    g = g.select(*keys, "i", "g", "c", "sy", "syy", "N", "h", w.alias("w"), u.alias("u"))
+    g = g.select(*keys, "i", "g", "c", "sy", "N", "h", w.alias("w"), u.alias("u"))
     g = g.withColumns({"wc": F.col("w") * F.col("c"), "wy": F.col("w") * F.col("sy"),
                        "ww": F.col("w") * F.col("w") * F.col("c"),
                        "u2": F.col("u") * F.col("u")})
@@ -149,19 +176,18 @@ def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
     grid stage (default: the session's shuffle parallelism; a small
     selection can use fewer)."""
     keys = _keys(by)
-    pts = date_points(df, keys, min_n, partitions)
+    spark = df.sparkSession
+    # The date points feed the bandwidth search twice and the sums once:
+    # they are cut from their lineage (reliable checkpoint in the shared
+    # folder) so the source is scanned once, then re-partitioned by series
+    # (a checkpoint forgets partitioning) so the grid stages shuffle nothing.
+    checkpoint_dir(spark)
+    n = _partitions(df, partitions)
+    pts = date_points(df, keys, min_n, partitions).checkpoint(eager=True).repartition(n, *keys)
     if not band:
         fit = _loess_fit(_loess_sums(pts, keys, span, points))
         return fit.select(*keys, "i", F.col("g").alias("x"), "yhat")
-    # The band reads the date points twice and the grid fits twice: both
-    # are cut from their lineage (reliable checkpoint in the shared
-    # checkpoint folder) so the source is scanned and the grid fitted once.
-    checkpoint_dir(df.sparkSession)
-    pts = pts.checkpoint(eager=True)
-    # A checkpoint forgets the series partitioning: restore it on the date
-    # points (small) so the exploded grid is not shuffled.
-    fit = _loess_fit(_loess_sums(pts.repartition(_partitions(df, partitions), *keys), keys, span,
-                                 points)).checkpoint(eager=True)
+    fit = _loess_fit(_loess_sums(pts, keys, span, points)).checkpoint(eager=True)
     return _loess_band(pts, fit, keys, points, level)
 
 
