@@ -70,21 +70,28 @@ def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame
     or missing."""
     rpath = sinks.results_path(store)
     have_store = sinks.table_exists(spark, rpath)
+    tag = f"inc-{_tag(as_of)}"
     age = wm = None
     if have_store:
         st = staleness(newest_partition(spark.read.parquet(rpath)), as_of).first()
-        age, wm = st["age_days"], st["max_date"]
+        age = st["age_days"]
         if age is not None and age < ttl_days:
             msg = coverage_message(spark.read.parquet(rpath), "cached").first()["message"]
             return RefreshReport("cached", 0, age, msg)
+        # The watermark ignores this load's own folder: a retried load then
+        # recomputes the same increment and overwrites it, never losing rows.
+        own = spark.read.parquet(rpath)
+        wm = (newest_partition(own, exclude_batches=(tag,))
+              .agg(F.max("DateSampled").alias("wm")).first()["wm"])
     try:
         results, stations = source()
         if have_store:
             new = read_since(results, wm, lookback_days)
             new = sinks.prepare_results(new)
             if lookback_days > 0 or dedup:
-                new = unseen_rows(spark.read.parquet(rpath), new, wm, lookback_days, dedup)
-            n = sinks.write_results(new, store, f"inc-{_tag(as_of)}")
+                stored = spark.read.parquet(rpath).where(F.col("ingest_batch") != tag)
+                new = unseen_rows(stored, new, wm, lookback_days, dedup)
+            n = sinks.write_results(new, store, tag)
             action = "appended" if n > 0 else "no_new_data"
         else:
             n = sinks.write_results(sinks.prepare_results(results), store, "full")

@@ -77,14 +77,21 @@ def read_since(df: DataFrame, watermark, lookback_days: int = 0, col: str = "Dat
     return df.where(cond)
 
 
-def newest_partition(df: DataFrame, col: str = "sample_year") -> DataFrame:
+def newest_partition(df: DataFrame, col: str = "sample_year", exclude_batches=()) -> DataFrame:
     """Restrict a year-partitioned store to its newest year, found from the
-    file listing (no scan), so "newest date" reads one partition."""
+    file listing (no scan), so "newest date" reads one partition.  Files of
+    the ``ingest_batch`` folders in ``exclude_batches`` are ignored (and
+    filtered out)."""
     years = set()
     for f in df.inputFiles():
+        b = re.search(r"ingest_batch=([^/]+)", f)
+        if b and b.group(1) in exclude_batches:
+            continue
         m = re.search(rf"{col}=(\d+)", f)
         if m:
             years.add(int(m.group(1)))
+    if exclude_batches and "ingest_batch" in df.columns:
+        df = df.where(~F.col("ingest_batch").isin(list(exclude_batches)))
     return df.where(F.col(col) == max(years)) if years else df
 
 

@@ -126,3 +126,16 @@ def test_store_write_splits_hot_series(spark, tmpdir_path):
     hot = sum(r["count"] for r in per_file)
     assert hot > total / 4
     assert len(per_file) > 3 and max(r["count"] for r in per_file) < hot / 2
+
+
+def test_refresh_retry_is_idempotent(spark, tmpdir_path):
+    store = os.path.join(tmpdir_path, "store")
+    all_n = fixtures.event_results(spark, SF001).count()
+    refresh(spark, lambda: _source(spark, "2024-01-15"), store, "2024-01-20 00:00:00")
+    r = refresh(spark, lambda: _source(spark, "2024-12-31"), store, "2024-03-01 00:00:00")
+    assert r.action == "appended"
+    # The same load runs again (as after a failure late in the first run):
+    # it must rebuild the same increment, not an empty one.
+    again = refresh(spark, lambda: _source(spark, "2024-12-31"), store, "2024-03-01 00:00:00", ttl_days=0)
+    assert (again.action, again.rows_loaded) == ("appended", r.rows_loaded)
+    assert spark.read.parquet(sinks.results_path(store)).count() == all_n
