@@ -23,6 +23,7 @@ Optional de-duplication, two ways:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +100,11 @@ def stream_ingest(spark: SparkSession, landing: str, store: str, checkpoint: str
     rows = prepared(results_stream(spark, landing, schema, fmt, max_files_per_trigger), dedup_days)
     if dedup not in (None, "store"):
         raise ValueError("dedup must be None or 'store'")
-    tag = lambda epoch_id: f"stream-{query_name}-{epoch_id:08d}"
+    # Output folders are keyed by the checkpoint (one per stream) and the
+    # epoch: a replay from the same checkpoint overwrites its own folder;
+    # streams with other checkpoints never touch it.
+    stream_key = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    tag = lambda epoch_id: f"stream-{stream_key}-{epoch_id:08d}"
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         # The micro-batch (bounded by the trigger) is read several times.

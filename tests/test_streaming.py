@@ -77,3 +77,16 @@ def test_stream_store_dedup_keeps_late_rows(spark, tmpdir_path):
     q.awaitTermination()
     stored = spark.read.parquet(sinks.results_path(store))
     assert _rows(stored) == _rows(sinks.prepare_results(ev))
+
+
+def test_two_streams_into_one_store(spark, tmpdir_path):
+    store = os.path.join(tmpdir_path, "store")
+    ev = fixtures.event_results(spark, SF001)
+    a = ev.where(F.col("DateSampled") <= "2024-01-15")
+    b = ev.where(F.col("DateSampled") > "2024-01-15")
+    for name, part in (("a", a), ("b", b)):
+        landing = os.path.join(tmpdir_path, f"landing_{name}")
+        os.makedirs(landing)
+        _land(part, landing, "f")
+        stream_ingest(spark, landing + "/*", store, os.path.join(tmpdir_path, f"ckpt_{name}")).awaitTermination()
+    assert spark.read.parquet(sinks.results_path(store)).count() == ev.count()
