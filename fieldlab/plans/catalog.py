@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlab import fixtures
 from fieldlab.fixtures import PARAMS, SITES
@@ -1056,3 +1057,50 @@ SELECT min(FinalResult) AS min_value, max(FinalResult) AS max_value,
 def q_value_range_no_pad(spark, sf_dir):
     # The older tabs draw the plain range, without padding.
     return FM.value_range(clean_all(spark, sf_dir), pad=0.0)
+
+
+# ---------------------------------------------------------------------------
+# Sinks as round trips (K1, K2, K6): write, read back, compare
+# ---------------------------------------------------------------------------
+
+
+_DISPLAY_SCHEMA = T.StructType([
+    T.StructField("Site", T.StringType()), T.StructField("Parameter", T.StringType()),
+    T.StructField("Date", T.StringType()), T.StructField("Result", T.DoubleType()),
+    T.StructField("Detection Limit", T.StringType()), T.StructField("Qualifiers", T.StringType()),
+    T.StructField("Relative Depth", T.StringType())])
+
+
+def _scratch(spark, what: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+@register("k6_export_csv", O.with_clean() + "\n" + _DISPLAY_SQL)
+def q_export_csv(spark, sf_dir):
+    # The whole display table written as CSV part files, read back as typed.
+    path = _scratch(spark, "csv")
+    sinks.export_csv(FM.display_table(clean_all(spark, sf_dir)), path)
+    return spark.read.schema(_DISPLAY_SCHEMA).option("header", True).csv(path)
+
+
+@register("k2_store_append", "WITH " + O.FIXTURE_CTE + """
+SELECT SamplingPoint, try_cast(DateSampled AS DATE) AS DateSampled, WebParameter, WebResult, Qualifier,
+  RelativeDepthSample, CAST(year(try_cast(DateSampled AS DATE)) AS INTEGER) AS sample_year FROM r_t""")
+def q_store_append(spark, sf_dir):
+    # A full load up to a cut date, then an increment appended above it.
+    store = _scratch(spark, "store")
+    rows = sinks.prepare_results(fixtures.results(spark, sf_dir))
+    cut = F.lit(STORE_CUT).cast("date")
+    sinks.write_results(rows.where(F.col("DateSampled") <= cut), store, "full")
+    sinks.write_results(rows.where(F.col("DateSampled") > cut), store, "inc-1")
+    return spark.read.parquet(sinks.results_path(store)).drop("ingest_batch")
+
+
+@register("k1_overwrite_stations", "WITH " + O.FIXTURE_CTE + "\nSELECT StationID, Description FROM s_t")
+def q_overwrite_stations(spark, sf_dir):
+    # Written twice: the second write replaces the first.
+    path = _scratch(spark, "stations")
+    st = sinks.prepare_stations(fixtures.stations(spark, sf_dir))
+    sinks.overwrite(st, path)
+    sinks.overwrite(st, path)
+    return spark.read.parquet(path)
