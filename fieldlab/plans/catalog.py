@@ -37,6 +37,7 @@ from fieldlab.schema import MAX_PARAM_OPTIONS
 from fieldlab.session import checkpoint_dir
 from fieldlab.sources import sinks
 from fieldlab.sources import tables as TB
+from fieldlab.sources.refresh import refresh
 from fieldlab.streaming.ingest import stream_ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1104,3 +1105,21 @@ def q_overwrite_stations(spark, sf_dir):
     sinks.overwrite(st, path)
     sinks.overwrite(st, path)
     return spark.read.parquet(path)
+
+
+@register("f4_refresh_cycle", "WITH " + O.FIXTURE_CTE + """
+SELECT SamplingPoint, try_cast(DateSampled AS DATE) AS DateSampled, WebParameter, WebResult, Qualifier,
+  RelativeDepthSample, CAST(year(try_cast(DateSampled AS DATE)) AS INTEGER) AS sample_year FROM r_t""")
+def q_refresh_cycle(spark, sf_dir):
+    # No store: full load of what the source had at the cut date.  Later the
+    # store is stale: rows after the stored maximum are appended.  The store
+    # is then read back (S3).
+    store = _scratch(spark, "refresh")
+    raw = fixtures.results(spark, sf_dir).withColumnRenamed("SamplingPoint", "StationID")
+    stations = fixtures.stations(spark, sf_dir)
+    early = raw.where(F.col("DateSampled") <= STORE_CUT)
+    first = refresh(spark, lambda: (early, stations), store, f"{STORE_CUT} 12:00:00")
+    second = refresh(spark, lambda: (raw, stations), store, "2002-01-01 00:00:00")
+    if (first.action, second.action) != ("full_load", "appended"):
+        raise RuntimeError(f"unexpected refresh actions: {first.action}, {second.action}")
+    return TB.load_store(spark, store).drop("ingest_batch")
