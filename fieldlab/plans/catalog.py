@@ -996,7 +996,7 @@ _EVENT_SELECT = "SamplingPoint, DateSampled, WebParameter, WebResult, Qualifier,
                 "CAST(year(DateSampled) AS INTEGER) AS sample_year"
 
 
-def _stream_run(spark, sf_dir, repeat_share: bool, dedup):
+def _stream_run(spark, sf_dir, repeat_share: bool, dedup, table: str = "results"):
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     landing, store, ckpt = f"{base}/landing", f"{base}/store", f"{base}/checkpoint"
     ev = fixtures.event_results(spark, sf_dir)
@@ -1010,6 +1010,8 @@ def _stream_run(spark, sf_dir, repeat_share: bool, dedup):
     q = stream_ingest(spark, landing + "/*", store, ckpt, dedup=dedup, max_files_per_trigger=1,
                       stations=lambda: fixtures.stations(spark, sf_dir))
     q.awaitTermination()
+    if table == "stations":
+        return spark.read.parquet(sinks.stations_path(store))
     return spark.read.parquet(sinks.results_path(store)).select(*_STORE_KEYS)
 
 
@@ -1123,3 +1125,20 @@ def q_refresh_cycle(spark, sf_dir):
     if (first.action, second.action) != ("full_load", "appended"):
         raise RuntimeError(f"unexpected refresh actions: {first.action}, {second.action}")
     return TB.load_store(spark, store).drop("ingest_batch")
+
+
+@register("x3_stream_stations", "WITH " + O.FIXTURE_CTE + "\nSELECT StationID, Description FROM s_t")
+def q_stream_stations(spark, sf_dir):
+    # The station table the stream refreshed after its micro-batches.
+    return _stream_run(spark, sf_dir, repeat_share=False, dedup=None, table="stations")
+
+
+@register("s8_read_with_fallback", "WITH " + O.FIXTURE_CTE + "\nSELECT StationID, Description FROM s_t")
+def q_read_with_fallback(spark, sf_dir):
+    # The primary source is unreadable (no such table): the fallback is used.
+    missing = _scratch(spark, "missing-source")
+    df, which = TB.read_with_fallback(lambda: spark.read.parquet(missing),
+                                      lambda: sinks.prepare_stations(fixtures.stations(spark, sf_dir)))
+    if which != "fallback":
+        raise RuntimeError("the primary source was expected to fail")
+    return df
