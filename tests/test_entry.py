@@ -10,6 +10,9 @@ from conftest import SF001
 
 TABLES = ["lineitem", "supplier", "events"]
 ALL = sorted(E.oracle_sql())
+# No all-pairs joins and no Python evaluation in any registered plan.
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas"]
 
 
 def test_entry_schema(spark):
@@ -40,6 +43,9 @@ def duck():
 def test_matches_duckdb(spark, duck, name):
     con = duck
     sdf = E.queries()[name](spark, SF001)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    for node in FORBIDDEN:
+        assert node not in plan, f"{name}: {node} in plan"
     cur = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(sdf.columns) == sorted(dcols)
