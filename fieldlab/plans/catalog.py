@@ -30,7 +30,8 @@ from fieldlab.operators import directory as D
 from fieldlab.operators import frames as FM
 from fieldlab.operators import freshness as FR
 from fieldlab.operators import lines as L
-from fieldlab.operators.clean import factor_code
+from fieldlab.operators.clean import drop_unparsed, factor_code
+from fieldlab.operators.joins import values_frame
 from fieldlab.operators.keys import align_columns, dates_as_text
 from fieldlab.operators.select import RAW_COLUMNS, filter_dates, has_rows, with_station
 from fieldlab.schema import MAX_PARAM_OPTIONS
@@ -278,7 +279,6 @@ SELECT (SELECT count(*) FROM (SELECT v FROM a EXCEPT SELECT v FROM b))
 def q_same_set_selection(spark, sf_dir):
     d = directory_of(spark, sf_dir)
     a = d.where(F.col("Description").isin("Reach 3", "Reach 17"))
-    from fieldlab.operators.joins import values_frame
     return D.same_set(a, values_frame(spark, "SamplingPoint", _SEL_SITES), "SamplingPoint")
 
 
@@ -375,7 +375,6 @@ def q_missing_params(spark, sf_dir):
 
 
 def _msg_sql(where: str) -> str:
-    from fieldlab import schema as S
     return (O.with_clean(where=where) + ",\n" + _req_sql() + """,
 miss AS (SELECT * FROM req WHERE NOT EXISTS (SELECT 1 FROM clean c
   WHERE c.SamplingPoint = req.Site AND c.WebParameter = req.Parameter))""" + f"""
@@ -844,7 +843,6 @@ def q_legend_class(spark, sf_dir):
 @register("c14_drop_unparsed", O.with_clean("v1") + """
 SELECT DL, count(*) AS n FROM clean WHERE FinalResult IS NOT NULL GROUP BY DL""")
 def q_drop_unparsed(spark, sf_dir):
-    from fieldlab.operators.clean import drop_unparsed
     return drop_unparsed(clean_all(spark, sf_dir, "v1")).groupBy("DL").agg(F.count(F.lit(1)).alias("n"))
 
 
