@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from fieldlab import schema as S
 from fieldlab.functions.cleaning import days_since_epoch, fixed_decimals, na_text
 from fieldlab.functions.tdist import slope_p_value
+from fieldlab.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast
+from fieldlab.session import checkpoint_dir
 
 SERIES = ["SamplingPoint", "WebParameter"]
 
@@ -24,15 +26,26 @@ def model_rows(df: DataFrame, measured_only: bool = True) -> DataFrame:
     return df.where(F.col("DL") == S.DL_MEASURED) if measured_only else df
 
 
+def small_side(agg: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """A per-series aggregate prepared for joining back to the rows: cut
+    from its lineage (reliable checkpoint, so the source is not scanned
+    again) and broadcast when its row count is within the bound; otherwise
+    it is joined by a shuffle join with AQE skew splitting.  Deciding before
+    planning the join spares the rows side a shuffle whenever the aggregate
+    is small."""
+    checkpoint_dir(agg.sparkSession)
+    return bounded_broadcast(agg.checkpoint(eager=True), max_rows)
+
+
 def min_group(df: DataFrame, keys=SERIES, n: int = S.MIN_MODEL_N) -> DataFrame:
     """Keep the rows of groups with at least ``n`` rows.
 
-    Counted by an aggregation and joined back with a semi join instead of a
-    per-key window, so a hot group is never gathered into one task (the
-    count is partial-aggregated; AQE splits a skewed semi-join partition)."""
+    Counted by an aggregation (partial per map task, so a hot group costs
+    one row per task) and joined back with a semi join instead of a per-key
+    window, so a hot group is never gathered into one task."""
     keys = list(keys)
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).drop("_n")
-    return df.join(big, keys, "left_semi")
+    return df.join(small_side(big), keys, "left_semi")
 
 
 def _moments(df: DataFrame, keys, y: str = "FinalResult", x: str = "DateSampled") -> DataFrame:
@@ -118,17 +131,14 @@ def loess_label(counts: DataFrame, site: str = "SamplingPoint", param: str = "We
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, keys=SERIES) -> DataFrame:
-    """Left-join per-series statistics onto the rows.
-
-    ``stats`` is an aggregation result (one row per series) that ends in a
-    shuffle, so AQE measures its real size and turns the join into a
-    broadcast join when it is small, or keeps a sort-merge join (with skew
-    splitting of hot series) when it is not.  No eager count is needed."""
+    """Left-join per-series statistics onto the rows (the statistics are
+    checkpointed and broadcast when their size check passes, see
+    ``small_side``)."""
     keys = list(keys)
     st = stats
     if "Site" in st.columns and "SamplingPoint" not in st.columns:
         st = st.withColumnsRenamed({"Site": "SamplingPoint", "Parameter": "WebParameter"})
-    return df.join(st, keys, "left")
+    return df.join(small_side(st), keys, "left")
 
 
 def series_count(df: DataFrame) -> DataFrame:
