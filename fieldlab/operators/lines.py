@@ -6,11 +6,14 @@ closed-form expressions.
 
 LOESS (L3/L4): local quadratic fits with tricube weights, span 0.8, evaluated
 directly at each grid point.  Rows are first reduced to one row per
-(series, date) with partial aggregation; the reduced rows are hash-
-partitioned by series once, and the grid is exploded after that exchange,
-so the per-(series, grid point) windows and sums need no further shuffle.
-The work per series is grid points x distinct dates, bounded by the
-calendar rather than by the number of rows.
+(series, date) with partial aggregation, checkpointed once and
+hash-partitioned by series.  The bandwidth of every grid point comes from
+runs of consecutive dates (a running window over the dates, then a hash
+minimum over grid points x runs); the weighted moment sums join the
+bandwidths back to the dates on the series key, co-partitioned, so the
+grid-expanded rows are never sorted or shuffled.  The work per series is
+grid points x distinct dates, bounded by the calendar rather than by the
+number of rows.
 """
 
 from __future__ import annotations
