@@ -236,9 +236,12 @@ def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float)
         F.sum(F.col("syy") - 2.0 * F.col("yd") * F.col("sy") + F.col("c") * F.col("yd") * F.col("yd")).alias("rss"),
         F.sum(F.col("c") * F.col("ld")).alias("nu1"),
         F.sum(F.col("c") * F.col("kd")).alias("nu2"),
+        F.sum(F.when(F.col("yd").isNull() | F.col("ld").isNull() | F.col("kd").isNull(), 1)
+              .otherwise(0)).alias("n_unfit"),
         F.first("N").alias("N"))
     per = per.withColumn("delta1", F.col("N") - 2.0 * F.col("nu1") + F.col("nu2"))
-    per = per.withColumn("s", F.when(F.col("delta1") > 0,
+    # A date without an interpolated fit would drop out of RSS: no band then.
+    per = per.withColumn("s", F.when((F.col("delta1") > 0) & (F.col("n_unfit") == 0),
                                      F.sqrt(F.greatest(F.col("rss"), F.lit(0.0)) / F.col("delta1"))))
     per = with_t_quantile_real(per, "delta1", "tq", level)
     out = f.join(per.select(*keys, "s", "tq", F.col("delta1").alias("df")), keys, "left")

@@ -299,9 +299,10 @@ pj AS (SELECT pk.*, seg.g, seg.g_n, seg.yhat, seg.yhat_n, seg.l00, seg.l00_n, se
 pi AS (SELECT *, {lin.format(a='yhat', b='yhat_n')} AS yd, {lin.format(a='l00', b='l00_n')} AS ld,
     {lin.format(a='kn2', b='kn2_n')} AS kd FROM pj),
 per AS (SELECT {keys}, sum(syy - 2.0 * yd * sy + c * yd * yd) AS rss, sum(c * ld) AS nu1,
-    sum(c * kd) AS nu2, first(N) AS N FROM pi GROUP BY {keys}),
+    sum(c * kd) AS nu2, sum(CASE WHEN yd IS NULL OR ld IS NULL OR kd IS NULL THEN 1 ELSE 0 END) AS n_unfit,
+    first(N) AS N FROM pi GROUP BY {keys}),
 per2 AS (SELECT *, N - 2.0 * nu1 + nu2 AS delta1 FROM per),
-per3 AS (SELECT per2.*, CASE WHEN delta1 > 0 THEN sqrt(greatest(rss, 0.0) / delta1) END AS s,
+per3 AS (SELECT per2.*, CASE WHEN delta1 > 0 AND n_unfit = 0 THEN sqrt(greatest(rss, 0.0) / delta1) END AS s,
     {t_real_sql('delta1')} AS tq
   FROM per2 LEFT JOIN qtab qlo ON qlo.qdf = CAST(floor(delta1) AS BIGINT)
             LEFT JOIN qtab qhi ON qhi.qdf = CAST(ceil(delta1) AS BIGINT)),

@@ -187,3 +187,13 @@ def test_linear_band_degenerate_series(spark):
     assert {r["SiteParam"] for r in out} == {"C - P", "T - P"}
     assert all(r["lo"] is None and r["hi"] is None for r in out)
     assert all(r["yhat"] is None for r in out if r["SiteParam"] == "C - P")
+
+
+def test_loess_band_partly_degenerate_series(spark):
+    # Rows piled on few dates: some grid points have no local fit, so the
+    # band of the series is withheld rather than computed from part of RSS.
+    rows = [("A", "P", d, float(d % 5 + k), "Measured value") for d in (0, 1, 200) for k in range(4)]
+    rows += [("A", "P", 400, 1.0, "Measured value")]
+    out = L.loess_line(_clean_frame(spark, rows), band=True).collect()
+    assert any(r["yhat"] is None for r in out)
+    assert all(r["lo"] is None and r["hi"] is None for r in out)
