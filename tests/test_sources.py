@@ -139,3 +139,17 @@ def test_refresh_retry_is_idempotent(spark, tmpdir_path):
     again = refresh(spark, lambda: _source(spark, "2024-12-31"), store, "2024-03-01 00:00:00", ttl_days=0)
     assert (again.action, again.rows_loaded) == ("appended", r.rows_loaded)
     assert spark.read.parquet(sinks.results_path(store)).count() == all_n
+
+
+def test_refresh_dedup_drops_repeats(spark, tmpdir_path):
+    store = os.path.join(tmpdir_path, "store")
+    src = fixtures.event_results(spark, SF001).dropDuplicates().withColumnRenamed("SamplingPoint", "StationID")
+    early = src.where(F.col("DateSampled") <= "2024-01-15")
+    late = src.where(F.col("DateSampled") > "2024-01-15")
+    refresh(spark, lambda: (early, fixtures.stations(spark, SF001)), store, "2024-01-20 00:00:00")
+    # The source now repeats part of the new rows twice.
+    doubled = early.unionByName(late).unionByName(late.limit(30))
+    r = refresh(spark, lambda: (doubled, fixtures.stations(spark, SF001)), store, "2024-02-20 00:00:00",
+                dedup=True)
+    assert (r.action, r.rows_loaded) == ("appended", late.count())
+    assert spark.read.parquet(sinks.results_path(store)).count() == src.count()
