@@ -5,7 +5,6 @@ import math
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from fieldlab.functions import cleaning as C
 from fieldlab.operators.clean import clean
