@@ -203,7 +203,9 @@ def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float)
     linearly between the two neighbouring grid points (vertex
     interpolation), giving per series RSS, nu1 = tr(L), nu2 = tr(L'L) and
     delta1 = N - 2 nu1 + nu2.  s^2 = RSS / delta1; the band is
-    yhat +/- t(level, delta1) * s * ||l(g)||.  Work per series is grid
+    yhat +/- t(level, delta1) * s * ||l(g)||.  The grid fits of a series
+    travel as one array of ``points`` entries (a fixed bound, not data
+    driven) joined to the dates on the series key.  Work per series is grid
     points + distinct dates; no pairs of dates are formed."""
     S0, S1, S2, S3, S4 = (F.col(f"S{k}") for k in range(5))
     V0, V1, V2, V3, V4 = (F.col(f"V{k}") for k in range(5))
@@ -218,20 +220,21 @@ def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float)
     kn2 = (A0 * A0 * V0 + A1 * A1 * V2 + A2 * A2 * V4
            + 2.0 * A0 * A1 * V1 + 2.0 * A0 * A2 * V2 + 2.0 * A1 * A2 * V3)
     f = f.select(*keys, "i", "g", "yhat", F.col("a0").alias("l00"), kn2.alias("kn2"))
-    wn = Window.partitionBy(*keys).orderBy("i")
-    seg = f.select(*keys, "i", "g", "yhat", "l00", "kn2",
-                   F.lead("yhat").over(wn).alias("yhat_n"), F.lead("l00").over(wn).alias("l00_n"),
-                   F.lead("kn2").over(wn).alias("kn2_n"), F.lead("g").over(wn).alias("g_n")) \
-        .where(F.col("i") < points - 1)
+    # The grid of a series as one array of its (fixed number of) points, so
+    # each date reads its two neighbouring grid points by position.
+    grid = f.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("i", "g", "yhat", "l00", "kn2"))).alias("grid"))
     step = (F.col("xmax") - F.col("xmin")) / float(points - 1)
     k = F.when(step > 0, F.least(F.floor((F.col("x") - F.col("xmin")) / step),
                                  F.lit(points - 2))).otherwise(F.lit(0)).cast("int")
-    p = pts.select(*keys, "x", "c", "sy", "syy", "N", k.alias("i"))
-    j = p.join(seg, [*keys, "i"], "inner")
-    t = F.when(F.col("g_n") > F.col("g"), (F.col("x") - F.col("g")) / (F.col("g_n") - F.col("g"))) \
+    j = pts.select(*keys, "x", "c", "sy", "syy", "N", k.alias("k")).join(grid, keys, "inner")
+    lo_p = F.try_element_at(F.col("grid"), F.col("k") + 1)
+    hi_p = F.try_element_at(F.col("grid"), F.col("k") + 2)
+    j = j.select(*keys, "x", "c", "sy", "syy", "N", lo_p.alias("p0"), hi_p.alias("p1"))
+    t = F.when(F.col("p1.g") > F.col("p0.g"), (F.col("x") - F.col("p0.g")) / (F.col("p1.g") - F.col("p0.g"))) \
         .otherwise(F.lit(0.0))
-    lin = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * t
-    j = j.withColumns({"yd": lin("yhat", "yhat_n"), "ld": lin("l00", "l00_n"), "kd": lin("kn2", "kn2_n")})
+    lin = lambda f_: F.col(f"p0.{f_}") + (F.col(f"p1.{f_}") - F.col(f"p0.{f_}")) * t
+    j = j.withColumns({"yd": lin("yhat"), "ld": lin("l00"), "kd": lin("kn2")})
     per = j.groupBy(*keys).agg(
         F.sum(F.col("syy") - 2.0 * F.col("yd") * F.col("sy") + F.col("c") * F.col("yd") * F.col("yd")).alias("rss"),
         F.sum(F.col("c") * F.col("ld")).alias("nu1"),
@@ -244,9 +247,11 @@ def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float)
     per = per.withColumn("s", F.when((F.col("delta1") > 0) & (F.col("n_unfit") == 0),
                                      F.sqrt(F.greatest(F.col("rss"), F.lit(0.0)) / F.col("delta1"))))
     per = with_t_quantile_real(per, "delta1", "tq", level)
-    out = f.join(per.select(*keys, "s", "tq", F.col("delta1").alias("df")), keys, "left")
-    se = F.col("s") * F.sqrt(F.greatest(F.col("kn2"), F.lit(0.0)))
-    out = out.withColumn("se", se)
-    return out.select(*keys, "i", F.col("g").alias("x"), "yhat", "se",
+    out = grid.join(per.select(*keys, "s", "tq", F.col("delta1").alias("df")), keys, "left")
+    out = out.select(*keys, "s", "tq", "df", F.explode("grid").alias("p"))
+    se = F.col("s") * F.sqrt(F.greatest(F.col("p.kn2"), F.lit(0.0)))
+    out = out.select(*keys, F.col("p.i").alias("i"), F.col("p.g").alias("x"), F.col("p.yhat").alias("yhat"),
+                     se.alias("se"), "tq", "df")
+    return out.select(*keys, "i", "x", "yhat", "se",
                       (F.col("yhat") - F.col("tq") * F.col("se")).alias("lo"),
                       (F.col("yhat") + F.col("tq") * F.col("se")).alias("hi"), "df")
