@@ -1140,3 +1140,25 @@ def q_read_with_fallback(spark, sf_dir):
     if which != "fallback":
         raise RuntimeError("the primary source was expected to fail")
     return df
+
+
+_ONE_SITE = "ST00002"
+
+
+def _one_site_clean(spark, sf_dir):
+    res, st = store_tables(spark, sf_dir)
+    return clean(select_results(res, st, _ONE_SITE, None))
+
+
+@register("l1_linear_line_by_param_all_points", O.linear_line_sql(
+    band=True, keys="WebParameter", min_n=3, measured_only=False, where=f"r.SamplingPoint = '{_ONE_SITE}'"))
+def q_linear_line_by_param(spark, sf_dir):
+    # One site, its parameters each with a line over all points.
+    out = L.linear_line(_one_site_clean(spark, sf_dir), by="WebParameter", band=True,
+                        min_n=3, measured_only=False)
+    return _round_cols(out, ["x", "yhat", "lo", "hi"])
+
+
+@register("l3_loess_line_by_param", O.loess_line_sql(keys="WebParameter", where=f"r.SamplingPoint = '{_ONE_SITE}'"))
+def q_loess_line_by_param(spark, sf_dir):
+    return _round_cols(L.loess_line(_one_site_clean(spark, sf_dir), by="WebParameter"), ["x", "yhat"])
