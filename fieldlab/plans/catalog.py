@@ -1162,3 +1162,15 @@ def q_linear_line_by_param(spark, sf_dir):
 @register("l3_loess_line_by_param", O.loess_line_sql(keys="WebParameter", where=f"r.SamplingPoint = '{_ONE_SITE}'"))
 def q_loess_line_by_param(spark, sf_dir):
     return _round_cols(L.loess_line(_one_site_clean(spark, sf_dir), by="WebParameter"), ["x", "yhat"])
+
+
+@register("l4_loess_band_hot", O.loess_band_sql(hot=True))
+def q_loess_band_hot(spark, sf_dir):
+    return _round_cols(L.loess_line(clean_hot(spark, sf_dir), band=True),
+                       ["x", "yhat", "se", "lo", "hi", "df"])
+
+
+@register("a13_point_id_hot", O.with_clean(hot=True) + f"""
+SELECT {_CLEAN_COLS}, row_number() OVER (ORDER BY {_ORDER_SQL}) AS point_id FROM clean""")
+def q_point_id_hot(spark, sf_dir):
+    return FM.point_id(clean_hot(spark, sf_dir))

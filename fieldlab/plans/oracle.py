@@ -271,7 +271,7 @@ def t_real_sql(v: str, level: float = 0.95) -> str:
             f"ELSE qlo.qtq + (qhi.qtq - qlo.qtq) * ({frac}) END")
 
 
-def loess_band_sql(keys: str = "SiteParam", points: int = S.LINE_POINTS) -> str:
+def loess_band_sql(keys: str = "SiteParam", points: int = S.LINE_POINTS, hot: bool = False) -> str:
     a0 = "(S2 * S4 - S3 * S3) / det"
     a1 = "(-(S1 * S4 - S3 * S2)) / det"
     a2 = "(S1 * S3 - S2 * S2) / det"
@@ -279,7 +279,7 @@ def loess_band_sql(keys: str = "SiteParam", points: int = S.LINE_POINTS) -> str:
            " + 2.0 * a1 * a2 * V3)")
     step = f"((xmax - xmin) / {float(points - 1)!r})"
     lin = "({a} + ({b} - {a}) * t)"
-    return (with_clean() + ",\n" + loess_cte(keys=keys) + ",\n" + quantile_values_sql() + f""",
+    return (with_clean(hot=hot) + ",\n" + loess_cte(keys=keys) + ",\n" + quantile_values_sql() + f""",
 fa AS (SELECT {keys}, i, g, yhat, V0, V1, V2, V3, V4,
     CASE WHEN yhat IS NOT NULL THEN {a0} END AS a0,
     CASE WHEN yhat IS NOT NULL THEN {a1} END AS a1,
