@@ -50,3 +50,13 @@ def test_loess_grid_not_shuffled(spark):
     p = _plan(L.loess_line(catalog.clean_all(spark, SF001)))
     above_generate = p.split("Generate")[0]
     assert "Exchange" not in above_generate
+
+
+def test_incremental_read_pushed_to_scan(spark, tmpdir_path):
+    from fieldlab.sources.tables import read_since
+    store = os.path.join(tmpdir_path, "store")
+    sinks.write_results(sinks.prepare_results(fixtures.results(spark, SF001)), store, "full")
+    df = read_since(spark.read.parquet(sinks.results_path(store)), "1998-06-30")
+    p = _plan(df)
+    assert "GreaterThan(DateSampled,1998-06-30)" in p
+    assert df.where(F.col("DateSampled") <= F.lit("1998-06-30").cast("date")).count() == 0
