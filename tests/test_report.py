@@ -21,3 +21,13 @@ def test_selection_report(spark):
     loess = selection_report(res, st, sites, params, trend_kind="loess", with_points=False)
     assert loess.status.first()["status"].startswith("LOESS is exploratory")
     assert loess.line.where("yhat IS NOT NULL").count() > 0
+
+
+def test_empty_selection(spark):
+    res, st = catalog.store_tables(spark, SF01)
+    rep = selection_report(res, st, [], ["Param AF"], with_points=False)
+    assert rep.clean.count() == 0
+    assert rep.message.first()["message"] == "No data available for selected sites and parameters."
+    assert rep.stats.count() == 0
+    assert rep.status.first()["status"].startswith("No groups have 8 or more")
+    assert rep.line.count() == 0
