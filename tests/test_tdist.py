@@ -85,3 +85,12 @@ def test_cornish_fisher_tail(spark):
 def test_tiny_r2_no_division_by_zero(spark):
     got = _p_spark(spark, [(1e-18, 100), (1e-300, 101), (5e-17, 1000)])
     assert all(abs(p - 1.0) < 1e-6 for p in got)
+
+
+def test_real_df_quantile(spark):
+    df = spark.createDataFrame([(0.5,), (1.5,), (10.0,), (350.5,)], "v double")
+    out = {r["v"]: r["tq"] for r in tdist.with_t_quantile_real(df, "v").collect()}
+    assert out[0.5] is None
+    assert tdist.t_quantile(0.95, 2) < out[1.5] < tdist.t_quantile(0.95, 1)
+    assert out[10.0] == pytest.approx(CRIT_05[10], abs=1e-9)
+    assert out[350.5] == pytest.approx(1.9668, abs=1e-3)
