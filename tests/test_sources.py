@@ -153,3 +153,13 @@ def test_refresh_dedup_drops_repeats(spark, tmpdir_path):
                 dedup=True)
     assert (r.action, r.rows_loaded) == ("appended", late.count())
     assert spark.read.parquet(sinks.results_path(store)).count() == src.count()
+
+
+def test_export_csv_single_file(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "one")
+    sinks.export_csv(fixtures.results(spark, SF001).limit(50), path, single_file=True)
+    parts = [n for n in os.listdir(path) if n.startswith("part-")]
+    assert len(parts) == 1
+    with open(os.path.join(path, parts[0])) as f:
+        lines = f.read().splitlines()
+    assert lines[0].startswith("SamplingPoint,") and len(lines) == 51
