@@ -60,3 +60,15 @@ def test_incremental_read_pushed_to_scan(spark, tmpdir_path):
     p = _plan(df)
     assert "GreaterThan(DateSampled,1998-06-30)" in p
     assert df.where(F.col("DateSampled") <= F.lit("1998-06-30").cast("date")).count() == 0
+
+
+def test_freshness_reads_newest_partition_only(spark, tmpdir_path):
+    from fieldlab.sources.tables import newest_partition
+    store = os.path.join(tmpdir_path, "store")
+    sinks.write_results(sinks.prepare_results(fixtures.results(spark, SF001)), store, "full")
+    df = spark.read.parquet(sinks.results_path(store))
+    newest = newest_partition(df)
+    top = df.agg(F.max("sample_year")).first()[0]
+    p = _plan(newest.agg(F.max("DateSampled")))
+    assert f"PartitionFilters: [isnotnull(sample_year" in p and f"(sample_year#" in p and f"= {top})" in p
+    assert newest.agg(F.max("DateSampled")).first()[0] == df.agg(F.max("DateSampled")).first()[0]
