@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldlab.llm import (op1_quality, op2_secrets, op3_substring, op4_simhash, op5_bpe, op6_toxicity, op7_licenses,
                           op8_packing, op9_language, op10_exact)
 from fieldlab.llm.common import table
+from fieldlab.llm.sql import SQL  # noqa: F401
 
 
 def op1(spark, sf_dir):
@@ -59,4 +60,3 @@ def op10(spark, sf_dir):
 
 QUERIES = {"op1_quality_rules": op1, "op2_secret_scan": op2, "op3_suffix_dedup": op3, "op4_simhash": op4, "op5_byte_bpe": op5,
            "op6_toxicity": op6, "op7_license_scan": op7, "op8_packing": op8, "op9_language": op9, "op10_exact_dedup": op10}
-SQL: dict[str, str] = {}
