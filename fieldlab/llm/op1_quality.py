@@ -115,12 +115,15 @@ def thresholds(sketch: DataFrame, spread: float, least: int) -> DataFrame:
     one = one.select("level", "lang", "source", "total", F.struct(
         "figure", (F.col("q1") - F.greatest(wide, slack(1))).alias("low"), (F.col("q3") + F.greatest(wide, slack(0))).alias("high")).alias("limit"))
     limits = one.groupBy("level", "lang", "source").agg(F.first("total").alias("total"), F.sort_array(F.collect_list("limit")).alias("limits"))
-    own = limits.where("level = 0").select("lang", "source", "total", "limits")
-    by_lang = limits.where("level = 1").select(F.col("lang").alias("l"), F.col("total").alias("t1"), F.col("limits").alias("m1"))
-    overall = limits.where("level = 2").select(F.col("limits").alias("m2"), F.lit(1).alias("one"))
-    return (own.join(by_lang, F.col("lang").eqNullSafe(F.col("l"))).withColumn("one", F.lit(1)).join(overall, "one")
-            .select("lang", "source", F.when(F.col("total") >= least, F.col("limits")).when(F.col("t1") >= least, F.col("m1"))
-                    .otherwise(F.col("m2")).alias("limits")))
+    # Every group looks up its own, its language's and the overall limits.
+    key = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("l"), source.alias("s"))
+    none = F.lit(None).cast("string")
+    keys = limits.where("level = 0").select("lang", "source", F.explode(F.array(
+        key(0, F.col("lang"), F.col("source")), key(1, F.col("lang"), none), key(2, none, none))).alias("k"))
+    found = limits.select(F.col("level").alias("f_level"), F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "total", "limits")
+    return (keys.join(found, (F.col("k.level") == F.col("f_level")) & F.col("k.l").eqNullSafe(F.col("f_lang")) & F.col("k.s").eqNullSafe(F.col("f_source")))
+            .where((F.col("f_level") == 2) | (F.col("total") >= least))
+            .groupBy("lang", "source").agg(F.min_by("limits", "f_level").alias("limits")))
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
