@@ -5,7 +5,8 @@ its k-grams.  Equal windows have equal anchors at equal offsets, and the
 windows of one anchor form one segment of the text, so whatever repeats
 repeats among the segments of equal anchors.  Spark groups the anchors by hash:
 
-* a segment that occurs twice as a whole (128-bit digest) is repeated wholly;
+* a segment that occurs twice as a whole (64-bit digest, among those with the
+  same 64-bit anchor hash) is repeated wholly;
 * an anchor with a single segment has nothing that repeats;
 * what remains, different segments around one anchor, goes to a suffix sort.
 
@@ -95,8 +96,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     at = np.arange(n - gram + 1)
     h = mixed(PrefixHash(data)(at, gram))
     # The leftmost of the smallest 33 leading bits; equal windows agree on it.
-    order = ((h >> np.uint64(31)).astype(np.int64) << 30) | 0
-    low = _leftmost(order, length - gram + 1)
+    low = _leftmost((h >> np.uint64(31)).astype(np.int64) << 30, length - gram + 1)
     first = np.flatnonzero(np.diff(low, prepend=-1))
     last = np.append(first[1:], len(low)) - 1
     return h[low[first]].view(np.int64), low[first], first, last
@@ -104,14 +104,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
 
 def _leftmost(order: np.ndarray, w: int) -> np.ndarray:
     """Position of the leftmost smallest value of every w neighbours."""
-    key = ((order >> 30) << 30)
     at = np.arange(len(order), dtype=np.int64)
     # 33 bits of order and 30 bits of position in one number; longer texts go
     # by parts whose windows overlap.
     out, part = np.empty(len(order) - w + 1, np.int64), (1 << 30) - 1
     for lo in range(0, len(out), part - w):
         hi = min(len(order), lo + part)
-        out[lo:hi - w + 1] = lo + (sliding_min(key[lo:hi] | at[:hi - lo], w) & ((1 << 30) - 1))
+        out[lo:hi - w + 1] = lo + (sliding_min(order[lo:hi] | at[:hi - lo], w) & ((1 << 30) - 1))
         if hi == len(order):
             break
     return out
@@ -231,7 +230,10 @@ def repeated_windows(segments: list[bytes], before: np.ndarray, length: int = LE
             yield o, some[by[twice]]
 
 
-ANCHOR = "d1 long, d2 long, h long, s1 long, s2 long, p int, first int, last int"
+# A text's digest, the anchor's hash, the segment's digest, and its place:
+# first window << 32 | (last - first window) << 16 | (anchor - first window).
+ANCHOR = "d1 long, d2 long, h long, s long, place long"
+PLACE = {"first": "place >> 32", "last": "(place >> 32) + ((place >> 16) & 65535)", "p": "(place >> 32) + (place & 65535)"}
 
 
 def _signed(x: int) -> int:
@@ -241,7 +243,6 @@ def _signed(x: int) -> int:
 def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     schema = T._parse_datatype_string(ANCHOR)
     arrow = to_arrow_schema(schema)
-    mask = (1 << 64) - 1
 
     def run(batches):
         for b in batches:
@@ -252,10 +253,10 @@ def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 if found is None:
                     continue
                 h, p, first, last = found
-                digests = [xxhash.xxh3_128_intdigest(raw[f:e + length], seed=q - f) for q, f, e in zip(p.tolist(), first.tolist(), last.tolist())]
+                segment = [xxhash.xxh3_64_intdigest(raw[f:e + length], seed=q - f) for q, f, e in zip(p.tolist(), first.tolist(), last.tolist())]
                 n = len(h)
-                for col, v in zip(cols, (np.full(n, d1), np.full(n, d2), h, np.array([x & mask for x in digests], np.uint64).view(np.int64),
-                                         np.array([x >> 64 for x in digests], np.uint64).view(np.int64), p, first, last)):
+                for col, v in zip(cols, (np.full(n, d1), np.full(n, d2), h, np.array(segment, np.uint64).view(np.int64),
+                                         first << 32 | (last - first) << 16 | (p - first))):
                     col.append(v)
                 rows += n
                 if rows > 50_000:
@@ -362,10 +363,11 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     texts = docs.select(docs[doc_id].alias("doc_id"), raw.alias("raw")).select("doc_id", "raw", half(0).alias("d1"), half(1).alias("d2"))
     found = cut_lineage(_anchors(texts, length, gram))
     # Segments by digest, then by anchor; the counts combine on the map side.
-    kinds = found.groupBy("h", "s1", "s2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("d1", "d2", "p", "first", "last")])
+    kinds = found.groupBy("h", "s").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("d1", "d2", "place")])
     kinds = cut_lineage(kinds.join(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "h").where("n > 1 or kinds > 1"))
-    whole = (found.join(kinds.where("n > 1").select("h", "s1", "s2"), ["h", "s1", "s2"], "left_semi").select("d1", "d2", "first", "last"))
-    wanted = kinds.where("kinds > 1").select("d1", "d2", "h", "p", "first", "last", (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"))
+    place = {c: F.expr(f"cast({e} as int)").alias(c) for c, e in PLACE.items()}
+    whole = found.join(kinds.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("d1", "d2", place["first"], place["last"])
+    wanted = kinds.where("kinds > 1").select("d1", "d2", "h", place["p"], place["first"], place["last"], (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"))
     segments = _segments(texts, wanted, length)
     parts = whole.unionByName(_covered_by_sort(segments.where("not hot"), length, gram))
     if not kinds.where(F.col("kinds") > hot).isEmpty():
