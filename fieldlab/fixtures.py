@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def _site_code(key):
-    return F.concat(F.lit("ST"), F.lpad(key.cast("string"), 5, "0"))
+    """At least five digits; longer keys keep all of theirs."""
+    return F.format_string("ST%05d", key.cast("long"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ def results_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Bump when the adapter changes, so materialized stores are rebuilt.
-ADAPTER_VERSION = "1"
+ADAPTER_VERSION = "2"
 _STORES: dict = {}
 _LOCK = threading.Lock()
 
@@ -133,7 +134,7 @@ def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_rows(ev: DataFrame) -> DataFrame:
     return ev.select(
-        F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("SamplingPoint"),
+        F.format_string("U%05d", F.col("user_id").cast("long")).alias("SamplingPoint"),
         F.date_format("ts", "yyyy-MM-dd").alias("DateSampled"),
         F.col("event_type").alias("WebParameter"),
         F.col("value").cast("string").alias("WebResult"),

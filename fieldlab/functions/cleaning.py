@@ -33,7 +33,9 @@ def to_sample_date(col) -> Column:
     """Text or timestamp -> date.  Accepts ``yyyy-MM-dd`` (with an optional
     time part) and ``yyyy/MM/dd``; anything else is NULL."""
     c = _c(col)
-    return F.coalesce(c.try_cast("date"),
+    # The cast alone would also take a year, or a year and a month.
+    full = c.cast("string").rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ].*)?$")
+    return F.coalesce(F.when(full, c.try_cast("date")),
                       F.to_date(F.try_to_timestamp(c.cast("string"), F.lit("yyyy/MM/dd"))))
 
 

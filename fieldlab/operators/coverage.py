@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +24,24 @@ def requested_pairs(spark: SparkSession, sites, params) -> DataFrame:
     schema = T.StructType([T.StructField("s_pos", T.IntegerType()), T.StructField("Site", T.StringType())])
     sdf = spark.createDataFrame([(i + 1, s) for i, s in enumerate(sites)], schema)
     plist = F.array(*[F.struct(F.lit(j + 1).alias("p_pos"), F.lit(p).alias("Parameter"))
-                      for j, p in enumerate(params)])
+                      for j, p in enumerate(params)]).cast("array<struct<p_pos: int, Parameter: string>>")
     return (sdf.select("s_pos", "Site", F.explode(plist).alias("_p"))
             .select("Site", F.col("_p.Parameter").alias("Parameter"), "s_pos", F.col("_p.p_pos").alias("p_pos")))
 
 
+def offered_pairs(options: DataFrame, sites, col: str = "WebParameter") -> DataFrame:
+    """Every (Site, Parameter) of the selected sites and a frame of distinct
+    options, with positions (options sorted).  The selection is exploded onto
+    the options, which never leave the cluster and are not cut.  Only the
+    distinct options are numbered in one window, not the data."""
+    numbered = options.select(F.col(col).alias("Parameter"),
+                              F.row_number().over(W.orderBy(col)).cast("int").alias("p_pos"))
+    slist = F.array(*[F.struct(F.lit(i + 1).alias("s_pos"), F.lit(s).alias("Site"))
+                      for i, s in enumerate(sites)]).cast("array<struct<s_pos: int, Site: string>>")
+    return (numbered.select("Parameter", "p_pos", F.explode(slist).alias("_s"))
+            .select(F.col("_s.Site").alias("Site"), "Parameter", F.col("_s.s_pos").alias("s_pos"), "p_pos"))
+
+
 def observed_pairs(df: DataFrame) -> DataFrame:
     """Distinct (Site, Parameter) that have rows."""
     return df.select(F.col("SamplingPoint").alias("Site"),

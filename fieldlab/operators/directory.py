@@ -81,21 +81,22 @@ def same_set(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     fa = a.select(F.col(col).alias("_a")).distinct().withColumn("_in_a", F.lit(True))
     fb = b.select(F.col(col).alias("_b")).distinct().withColumn("_in_b", F.lit(True))
     j = fa.join(fb, fa["_a"].eqNullSafe(fb["_b"]), "full_outer")
-    return j.agg((F.sum(F.when(F.col("_in_a").isNull() | F.col("_in_b").isNull(), 1)
-                        .otherwise(0)) == 0).alias("same"))
+    differing = F.sum(F.when(F.col("_in_a").isNull() | F.col("_in_b").isNull(), 1).otherwise(0))
+    return j.agg((F.coalesce(differing, F.lit(0)) == 0).alias("same"))      # two empty sets are equal
 
 
-def search_options(df: DataFrame, col: str, text: str, limit: int) -> DataFrame:
-    """Options containing ``text`` (case-insensitive), sorted, capped at
-    ``limit`` (the option list's own cap)."""
-    return (df.select(col).where(F.col(col).isNotNull()
-                                 & F.lower(F.col(col)).contains(text.lower()))
-            .distinct().orderBy(col).limit(limit))
+def search_options(df: DataFrame, col: str, text: str, limit: int | None = None) -> DataFrame:
+    """Options containing ``text`` (case-insensitive), sorted; cut only when
+    the caller asks for the first ``limit`` of them."""
+    found = (df.select(col).where(F.col(col).isNotNull()
+                                  & F.lower(F.col(col)).contains(text.lower()))
+             .distinct().orderBy(col))
+    return found if limit is None else found.limit(limit)
 
 
-def search_sites(directory: DataFrame, text: str, limit: int = S.MAX_SITE_OPTIONS) -> DataFrame:
+def search_sites(directory: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     return search_options(directory, "SamplingPoint", text, limit)
 
 
-def search_params(results: DataFrame, text: str, limit: int = S.MAX_PARAM_OPTIONS) -> DataFrame:
+def search_params(results: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     return search_options(results, "WebParameter", text, limit)

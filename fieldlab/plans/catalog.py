@@ -34,7 +34,6 @@ from fieldlab.operators.clean import drop_unparsed, factor_code
 from fieldlab.operators.joins import values_frame
 from fieldlab.operators.keys import align_columns, dates_as_text
 from fieldlab.operators.select import RAW_COLUMNS, filter_dates, has_rows, with_station
-from fieldlab.schema import MAX_PARAM_OPTIONS
 from fieldlab.session import checkpoint_dir
 from fieldlab.sources import sinks
 from fieldlab.sources import tables as TB
@@ -333,12 +332,9 @@ def _offered_params_sql() -> str:
           + "ss(s_pos, Site) AS (VALUES " + ", ".join(f"({i + 1}, '{v}')" for i, v in enumerate(SITES)) + "),\n"
           + _offered_params_sql() + "\nSELECT Site, Parameter, s_pos, p_pos FROM ss, pp")
 def q_requested_pairs(spark, sf_dir):
-    # The selected sites with every parameter offered for them (the option
-    # list is capped at 1,000 entries, so collecting it is bounded).
+    # The selected sites with every parameter offered for them.
     res, _ = store_tables(spark, sf_dir)
-    offered = D.available_params(res, SITES).limit(MAX_PARAM_OPTIONS)
-    params = [r["WebParameter"] for r in offered.collect()]
-    return CV.requested_pairs(spark, SITES, params)
+    return CV.offered_pairs(D.available_params(res, SITES), SITES)
 
 
 @register("a3_observed_pairs", O.with_clean()
@@ -986,7 +982,7 @@ def q_loess_line_hot(spark, sf_dir):
 
 _STORE_KEYS = ["SamplingPoint", "DateSampled", "WebParameter", "WebResult", "Qualifier",
                "RelativeDepthSample", "sample_year"]
-_EVENTS_SQL = """ev AS (SELECT concat('U', lpad(CAST(user_id AS VARCHAR), 5, '0')) AS SamplingPoint,
+_EVENTS_SQL = """ev AS (SELECT printf('U%05d', CAST(user_id AS BIGINT)) AS SamplingPoint,
     try_cast(strftime(ts, '%Y-%m-%d') AS DATE) AS DateSampled, event_type AS WebParameter,
     CAST(value AS VARCHAR) AS WebResult, CAST(NULL AS VARCHAR) AS Qualifier,
     CAST(NULL AS VARCHAR) AS RelativeDepthSample FROM events)"""

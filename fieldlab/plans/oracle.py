@@ -15,8 +15,8 @@ from fieldlab.functions import tdist
 FIXTURE_CTE = """
 results AS (SELECT
   CASE WHEN l_linenumber % 2 = 0
-       THEN concat(' ST', lpad(cast(l_suppkey as varchar),5,'0'), ' ')
-       ELSE concat('ST',  lpad(cast(l_suppkey as varchar),5,'0')) END           AS SamplingPoint,
+       THEN concat(' ', printf('ST%05d', cast(l_suppkey as bigint)), ' ')
+       ELSE printf('ST%05d', cast(l_suppkey as bigint)) END           AS SamplingPoint,
   strftime(l_shipdate,'%Y-%m-%d')                                           AS DateSampled,
   concat('Param ', l_returnflag, l_linestatus)                              AS WebParameter,
   CASE WHEN l_orderkey % 23 = 0 THEN NULL
@@ -30,7 +30,7 @@ results AS (SELECT
   CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN ' Epilimnion ' WHEN 4 THEN 'THERMOCLINE'
        WHEN 5 THEN 'Mid-Depth' WHEN 6 THEN 'hypolimnion' ELSE 'benthic' END AS RelativeDepthSample
   FROM lineitem),
-stations AS (SELECT concat('ST', lpad(cast(s_suppkey as varchar),5,'0'), ' ')   AS StationID,
+stations AS (SELECT concat(printf('ST%05d', cast(s_suppkey as bigint)), ' ')   AS StationID,
                     concat('Reach ', cast(s_nationkey as varchar))              AS Description
   FROM supplier WHERE s_suppkey % 10 <> 3),
 r_t AS (SELECT trim(SamplingPoint) AS SamplingPoint, DateSampled, WebParameter, WebResult,

@@ -15,7 +15,6 @@ min/max statistics make site and parameter filters skip row groups.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -119,17 +118,8 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a readable Parquet table is present at ``path``.  Local
-    paths are checked on the file system first (no Spark probe, no logged
-    stack trace for a missing folder); other file systems are probed by
-    resolving the table."""
-    local = path[len("file:"):] if path.startswith("file:") else (None if "://" in path else path)
-    if local is not None:
-        local = "/" + local.lstrip("/") if path.startswith("file:") else local
-        if not os.path.isdir(local):
-            return False
-        if not any(not n.startswith(("_", ".")) for n in os.listdir(local)):
-            return False
+    """Whether a readable Parquet table is present at ``path``, asked of the
+    file system that Spark itself reads the path from."""
     try:
         spark.read.parquet(path).schema  # noqa: B018 - resolves the listing and footers
         return True

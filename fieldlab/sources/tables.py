@@ -33,7 +33,9 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want, F.monotonically_increasing_id())
 
 
-def read_parquet(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Plain scan, so that filters and projections reach it; ``spread`` (used
+    by the test fixtures only) deals a single split over the cores."""
     df = spark.read.parquet(path)
     return balanced(df) if spread else df
 
