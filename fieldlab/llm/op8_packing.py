@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -52,7 +53,7 @@ class Ids:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = ["" if any(s in t for s in self.special) else t for t in texts]
