@@ -142,7 +142,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, d
     return [r.text or "" for r in rows], np.array([r.toxic for r in rows], float), there
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 4000, steps: int = 40, lift: float = 5.0,
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000, steps: int = 40, lift: float = 5.0,
         doc_id: str = "doc_id", text: str = "text") -> Field:
     """Train on at most about ``max_toxic`` + ``max_clean`` labelled documents,
     on the driver; both bounds are parameters."""
