@@ -1,9 +1,11 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
 Texts are normalised by deleting white space.  Sampled splitters
-range-partition the normalised texts, Spark's external sort places equal texts
-next to each other, and the sorted aggregation compares neighbours in full,
-byte by byte, keeping of each run the longest original, then the smallest id.
+range-partition them by their first bytes, then their digest (so that the
+splitters stay short, and texts that begin alike are still split), Spark's
+external sort places equal texts next to each other, and the window over them
+compares neighbours in full, byte by byte, keeping of each run the longest
+original, then the smallest id.
 
 A text that a large part of the rows share would put one run into one task.
 Digests are counted first (with map-side combination); the texts of the most
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from fieldlab.llm.common import JAVA_WS, cut_lineage, text_of
 
 
+HEAD = 32                # leading characters of a text in the sort key
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(text, JAVA_WS, "")
 
@@ -60,10 +65,11 @@ def _runs(docs, hot_share, salts, doc_id, text, carried) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")).otherwise(F.lit(0)).alias("salt")
     names = [c for c in texts.columns if c != "at"]
     salted = texts.select("*", sha).join(F.broadcast(hot), "sha", "left").select("sha", salt, *names)
-    # Range partitioning by (norm, salt) already brings equal keys together:
-    # the window sorts its partitions and adds no shuffle of its own.
-    run = W.partitionBy("norm", "salt").orderBy(F.desc("chars"), F.col("doc_id").asc_nulls_last())
-    return salted.repartitionByRange("norm", "salt").withColumn("first", F.row_number().over(run) == 1)
+    # Range partitioning by the leading keys already brings equal texts
+    # together: the window sorts its partitions and adds no shuffle of its own.
+    ranged = salted.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange("head", "sha", "salt")
+    run = W.partitionBy("head", "sha", "salt", "norm").orderBy(F.desc("chars"), F.col("doc_id").asc_nulls_last())
+    return ranged.withColumn("first", F.row_number().over(run) == 1).drop("head")
 
 
 def _resolved(runs: DataFrame) -> DataFrame:
