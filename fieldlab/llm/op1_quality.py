@@ -70,6 +70,16 @@ def with_counts(rows: DataFrame, text: str) -> DataFrame:
     return d.select(*counts, covered.alias("n_repeat_words"))
 
 
+def settled(counted: DataFrame) -> DataFrame:
+    """The same rows, with the counts behind an explode of one element.  A
+    filter on them is not pushed below it; pushed into ``with_counts``, the
+    filter would hold the nested expressions many times over, also inside
+    their own lambdas."""
+    counts = [*COUNTS, "n_lines", "n_neighbours"]
+    rest = [c for c in counted.columns if c not in counts]
+    return counted.select(*rest, F.explode(F.array(F.struct(*counts))).alias("c")).select(*rest, "c.*")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -154,4 +164,4 @@ def keep_good(docs: DataFrame, spread: float = 6.0, least: int = 30, text: str =
     # The thresholds' pass reads no carried columns; the second pass computes
     # the counts again rather than write the texts to a checkpoint.
     limits = cut_lineage(thresholds(sketches(with_counts(rows.drop("row"), "text")), spread, least))
-    return judged(with_counts(rows, "text"), limits).where("kept").select("row.*")
+    return judged(settled(with_counts(rows, "text")), limits).where("kept").select("row.*")
