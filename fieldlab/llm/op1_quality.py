@@ -101,7 +101,9 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, spread: float, least: int) -> DataFrame:
-    """(lang, source, limits): limits is a map figure -> (low, high)."""
+    """(lang, source, limits): limits is an array of (figure, low, high),
+    sorted by figure."""
+    sketch = cut_lineage(sketch)         # small, and read by every level below
     levels = [["lang", "source"], ["lang"], []]
     merged = None
     for i, by in enumerate(levels):

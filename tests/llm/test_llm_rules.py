@@ -173,3 +173,10 @@ def test_exact_hot_group(spark):
 
 def test_cases_have_what_they_should():
     assert None in texts() and "" in texts() and max(len(t or "") for t in texts()) > 100_000
+
+
+def test_filter_stays_above_the_counts(spark):
+    """Pushed below them, it would evaluate their nested expressions many times."""
+    plan = op1_quality.keep_good(frame(spark))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("split(" in line for line in filters)
