@@ -73,8 +73,11 @@ def _runs(docs, hot_share, salts, doc_id, text, carried) -> DataFrame:
 
 
 def _resolved(runs: DataFrame) -> DataFrame:
-    """Group sizes and winners over the salts of a text."""
+    """Group sizes and winners over the salts of a text.  The rows are joined
+    by (digest, salt), so that a hot text stays spread over its salts."""
     best = F.min(F.when(F.col("first"), F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "salt")))
-    groups = (runs.groupBy("sha").agg(F.count("*").alias("group_size"), best.alias("best"))
-              .select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.salt").alias("keep_salt")))
-    return runs.join(groups, "sha").withColumn("kept", F.col("first") & (F.col("salt") == F.col("keep_salt")))
+    salted = runs.groupBy("sha", "salt").agg(F.count("*").alias("n"), best.alias("best"))
+    groups = salted.groupBy("sha").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
+    winners = (salted.select("sha", "salt").join(groups, "sha")
+               .select("sha", "salt", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.salt").alias("keep_salt")))
+    return runs.join(winners, ["sha", "salt"]).withColumn("kept", F.col("first") & (F.col("salt") == F.col("keep_salt")))
