@@ -120,16 +120,19 @@ def fit(docs: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, max_g
 
 def _top(counts: DataFrame, by: list[str], key: str, most: int) -> DataFrame:
     """The ``most`` largest counts of each group, found by the count of the
-    ``most``-th one, so that only counts (not words) are ranked."""
+    ``most``-th one, so that only counts (not words) are ranked.
+
+    The thresholds are broadcast: at most one row per sampled document and
+    n-gram length (``sample_docs`` x ``longest``), usually one per language."""
     per = counts.groupBy(*by, "n").agg(F.count("*").alias("keys"))
     run = W.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
     cut = (per.select(*by, "n", F.coalesce(F.sum("keys").over(run), F.lit(0)).alias("before"))
            .where(F.col("before") < most).groupBy(*by).agg(F.min("n").alias("least")))
     # Ties at the border may exceed the bound; only counts above the border then stay.
-    full = (per.join(cut, by).where("n >= least").groupBy(*by)
+    full = (per.join(F.broadcast(cut), by).where("n >= least").groupBy(*by)
             .agg(F.sum("keys").alias("kept"), F.first("least").alias("least"))
             .select(*by, F.when((F.col("kept") > 2 * most), F.col("least") + 1).otherwise(F.col("least")).alias("least")))
-    return counts.join(full, by).where("n >= least").select(*by, key, "n")
+    return counts.join(F.broadcast(full), by).where("n >= least").select(*by, key, "n")
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
