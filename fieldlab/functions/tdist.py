@@ -1,115 +1,80 @@
 """Student-t tail probabilities and quantiles from built-in expressions.
 
-The slope p-value of a simple regression with n points is the two-sided
-t-test with nu = n - 2 degrees of freedom.  With r2 the coefficient of
-determination, sin(theta) = sqrt(r2) and cos^2(theta) = 1 - r2, and the
-finite series of Abramowitz & Stegun 26.7.3/26.7.4 gives A = P(|T| <= t):
-
-  even nu: A = s * (1 + sum_{k=1}^{nu/2-1} prod_{j<=k} c2 (2j-1)/(2j))
-  odd nu : A = 2/pi * (asin s + s sqrt(c2) (1 + sum_{k=1}^{(nu-3)/2} prod_{j<=k} c2 (2j)/(2j+1)))
-           (nu = 1: A = 2/pi * asin s)
-
-The terms shrink like c2^k, so the sum stops once c2^k < e^-40.  For very
-large nu (more than ``SERIES_LIMIT`` terms would be needed) Wallace's (1959)
-normal transformation is used; its error is far below the 4 decimals shown.
-All of it runs per group on the aggregated statistics, never per row.
+The two-sided tail of Student's t with nu degrees of freedom is the
+regularized incomplete beta function
+
+  P(|T| > t) = I_x(nu/2, 1/2),   x = nu / (nu + t^2),
+
+and for the slope of a simple regression x = 1 - r2.  Below the usual
+crossing point of x the tail comes from the continued fraction of I_x (DLMF
+8.17.22), so tiny p-values keep their relative accuracy; above it (p over
+0.08) from the power series of 1 - I_x.  Both have a fixed number of terms
+that suffices for every nu, because one parameter is always 1/2.  Quantiles
+invert the same function by Newton's method in log t.  All of it runs per
+group on the aggregated statistics, never per row.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SERIES_LIMIT = 50000
-# Number of terms after which c2^k < e^-TAIL_EXP.
-TAIL_EXP = 40.0
-# Degrees of freedom covered by the quantile table; above it the four-term
-# Cornish-Fisher expansion around the normal quantile is within 1e-9.
-QUANTILE_TABLE_MAX_DF = 200
-
-
-def _erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0 (Chebyshev fit, relative
-    error below 1.2e-7; Press et al., Numerical Recipes, erfcc)."""
-    t = 1.0 / (1.0 + 0.5 * x)
-    poly = (-1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (
-        -0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (
-            -0.82215223 + t * 0.17087277)))))))))
-    return t * F.exp(-x * x + poly)
-
-
-def _series_sum(c2: Column, nterms: Column, odd: Column) -> Column:
-    """sum_{k=1}^{K} prod_{j<=k} c2 * a_j with a_j = (2j-1)/(2j) (even nu)
-    or 2j/(2j+1) (odd nu), evaluated as a running product."""
-    def step(acc, k):
-        kd = k.cast("double")
-        ratio = F.when(odd, (2.0 * kd) / (2.0 * kd + 1.0)).otherwise((2.0 * kd - 1.0) / (2.0 * kd))
-        term = acc["t"] * c2 * ratio
+
+FRACTION_TERMS = 60
+SERIES_TERMS = 60
+NEWTON_STEPS = 5
+# Arguments below this are shifted up before the asymptotic gamma ratio.
+SHIFT = 20
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a): asymptotic expansion at a + SHIFT, brought
+    back by the recurrence of the gamma function."""
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(SHIFT - 1)), F.lit(1.0),
+                       lambda acc, j: acc * (a + j) / (a + j + 0.5))
+    z = a + float(SHIFT)
+    z2 = z * z
+    tail = (-1 / 8 + (1 / 192 + (-1 / 640 + (17 / 14336 - 31 / 18432 / z2) / z2) / z2) / z2) / z
+    return down * F.sqrt(z) * F.exp(tail)
+
+
+def _weight(a: Column, y: Column, log_x: Column, ratio: Column) -> Column:
+    """x^a (1 - x)^(1/2) / B(a, 1/2)."""
+    return F.exp(a * log_x) * F.sqrt(y) * ratio / math.sqrt(math.pi)
+
+
+def _tail(a: Column, x: Column, y: Column, w: Column) -> Column:
+    """I_x(a, 1/2) with y = 1 - x and the weight ``w`` of the point."""
+    def back(v, m):
+        even = (m + 1) * (-0.5 - m) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
+        odd = -(a + m) * (a + m + 0.5) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1.0 + odd / (1.0 + even / v)
+
+    def forward(acc, k):
+        term = acc["t"] * (a - 0.5 + k) / (k + 0.5) * y
         return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
 
-    zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
-    return F.when(nterms >= 1,
-                  F.aggregate(F.sequence(F.lit(1), nterms.cast("int")), zero, step,
-                              lambda acc: acc["s"])).otherwise(F.lit(0.0))
+    down = F.sequence(F.lit(FRACTION_TERMS), F.lit(0), F.lit(-1))
+    small = w / (a * F.aggregate(down, F.lit(1.0), back))
+    one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), one, forward, lambda acc: acc["s"])
+    return F.when(x < (a + 1.0) / (a + 2.5), small).otherwise(1.0 - 2.0 * w * series)
 
 
 def slope_p_value(r2, n) -> Column:
-    """Two-sided p-value of the regression slope from r2 and the row count."""
+    """Two-sided p-value of the regression slope from r2 and the row count
+    (NULL without residual degrees of freedom or r2)."""
     r2 = F.col(r2) if isinstance(r2, str) else r2
     n = F.col(n) if isinstance(n, str) else n
-    nu = (n - 2).cast("long")
-    r2c = F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0))
-    s = F.sqrt(r2c)
-    c2 = 1.0 - r2c
-    odd = (nu % 2) == 1
-    full_terms = F.when(odd, (nu - 3) / 2).otherwise(nu / 2 - 1).cast("long")
-    # -ln(c2) underflows to 0 for r2 below ~1e-16 (c2 rounds to 1): then the
-    # full count is used, and no division by zero happens.
-    neg_log = -F.log(c2)
-    cut = F.when(c2 <= 0.0, F.lit(0)).when(neg_log <= 1e-12, full_terms).otherwise(
-        F.ceil(F.lit(TAIL_EXP) / neg_log))
-    nterms = F.greatest(F.least(full_terms, cut), F.lit(0)).cast("long")
-    sums = _series_sum(c2, nterms, odd)
-    a_even = s * (1.0 + sums)
-    a_odd = F.when(nu == 1, 2.0 / math.pi * F.asin(s)).otherwise(
-        2.0 / math.pi * (F.asin(s) + s * F.sqrt(c2) * (1.0 + sums)))
-    p_series = 1.0 - F.when(odd, a_odd).otherwise(a_even)
-    nud = nu.cast("double")
-    z = (8.0 * nud + 1.0) / (8.0 * nud + 3.0) * F.sqrt(-nud * F.log(c2))
-    p_normal = F.when(c2 <= 0.0, F.lit(0.0)).otherwise(_erfc(z / math.sqrt(2.0)))
-    p = F.when(nterms > SERIES_LIMIT, p_normal).otherwise(p_series)
+    nu = (n - 2).cast("double")
+    y = F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0))
+    a = nu / 2.0
+    w = _weight(a, y, F.log1p(-y), _gamma_ratio(a))
+    p = F.when(y >= 1.0, F.lit(0.0)).otherwise(_tail(a, 1.0 - y, y, w))
     return F.when((nu >= 1) & r2.isNotNull() & ~F.isnan(r2), F.greatest(p, F.lit(0.0)))
 
 
-# ----------------------------------------------------------------------------
-# Quantiles (driver-side table of bounded size, built once by bisection)
-# ----------------------------------------------------------------------------
-
-def t_two_sided_cdf(t: float, nu: int) -> float:
-    """P(|T| <= t) for nu degrees of freedom (same series as above)."""
-    if t <= 0:
-        return 0.0
-    r2 = t * t / (nu + t * t)
-    s, c2 = math.sqrt(r2), 1.0 - r2
-    if nu % 2 == 0:
-        term, total = 1.0, 0.0
-        for k in range(1, nu // 2):
-            term *= c2 * (2 * k - 1) / (2 * k)
-            total += term
-        return s * (1.0 + total)
-    if nu == 1:
-        return 2.0 / math.pi * math.asin(s)
-    term, total = 1.0, 0.0
-    for k in range(1, (nu - 3) // 2 + 1):
-        term *= c2 * (2 * k) / (2 * k + 1)
-        total += term
-    return 2.0 / math.pi * (math.asin(s) + s * math.sqrt(c2) * (1.0 + total))
-
-
 def normal_quantile(p: float) -> float:
     """Standard normal quantile by bisection on erfc (driver-side, scalar)."""
     lo, hi = -40.0, 40.0
@@ -122,73 +87,29 @@ def normal_quantile(p: float) -> float:
     return (lo + hi) / 2
 
 
-def t_quantile(level: float, nu: int) -> float:
-    """Two-sided ``level`` quantile of Student t (e.g. 0.95 -> qt(0.975, nu))."""
-    lo, hi = 0.0, 1.0
-    while t_two_sided_cdf(hi, nu) < level:
-        hi *= 2.0
-    for _ in range(64):
-        mid = (lo + hi) / 2
-        if t_two_sided_cdf(mid, nu) < level:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
-
-
-@functools.lru_cache(maxsize=8)
-def quantile_rows(level: float = 0.95, max_df: int = QUANTILE_TABLE_MAX_DF) -> tuple[tuple[int, float], ...]:
-    return tuple((nu, t_quantile(level, nu)) for nu in range(1, max_df + 1))
-
+def t_quantile(nu, level: float = 0.95) -> Column:
+    """Two-sided ``level`` quantile for any real nu > 0, else NULL (0.95:
+    the value that |T| exceeds with probability 0.05).
 
-def quantile_table(spark: SparkSession, level: float = 0.95,
-                   max_df: int = QUANTILE_TABLE_MAX_DF) -> DataFrame:
-    """(df, tq) for df = 1..max_df: a fixed-size table, safe to broadcast."""
-    schema = T.StructType([T.StructField("df", T.LongType()), T.StructField("tq", T.DoubleType())])
-    return spark.createDataFrame(list(quantile_rows(level, max_df)), schema)
+    ln P(|T| > e^s) is concave and falls in s, so Newton's method converges
+    from any start; the first Cornish-Fisher term is close for every nu."""
+    v = (F.col(nu) if isinstance(nu, str) else nu).cast("double")
+    a = v / 2.0
 
+    def step(acc, _):
+        t2 = F.exp(2.0 * acc["s"])
+        y = t2 / (v + t2)
+        w = _weight(a, y, -F.log1p(t2 / v), acc["r"])
+        p = _tail(a, v / (v + t2), y, w)
+        s = acc["s"] + (F.log(p) - math.log(1.0 - level)) * p / (2.0 * w)
+        return F.struct(s.alias("s"), acc["r"].alias("r"))
 
-def cornish_fisher(nu: Column, level: float = 0.95) -> Column:
-    """t quantile for large nu from the normal quantile (A&S 26.7.5)."""
     z = normal_quantile(0.5 + level / 2.0)
-    v = nu.cast("double")
-    g1 = (z ** 3 + z) / 4.0
-    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
-    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384.0
-    g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160.0
-    return F.lit(z) + g1 / v + g2 / (v * v) + g3 / (v * v * v) + g4 / (v * v * v * v)
+    start = F.struct(F.log(z + (z ** 3 + z) / (4.0 * v)).alias("s"), _gamma_ratio(a).alias("r"))
+    return F.when(v > 0, F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step,
+                                     lambda acc: F.exp(acc["s"])))
 
 
 def with_t_quantile(df: DataFrame, df_col: str, out: str = "tq", level: float = 0.95) -> DataFrame:
-    """Attach the two-sided t quantile for the degrees of freedom in
-    ``df_col``: table lookup (broadcast, fixed 200 rows) up to the table's
-    end, Cornish-Fisher beyond."""
-    spark = df.sparkSession
-    table = F.broadcast(quantile_table(spark, level).withColumnRenamed("df", "_qdf")
-                        .withColumnRenamed("tq", "_qtq"))
-    joined = df.join(table, df[df_col] == table["_qdf"], "left")
-    return (joined.withColumn(out, F.when(F.col(df_col) > QUANTILE_TABLE_MAX_DF,
-                                          cornish_fisher(F.col(df_col), level))
-                              .otherwise(F.col("_qtq")))
-            .drop("_qdf", "_qtq"))
-
-
-def with_t_quantile_real(df: DataFrame, df_col: str, out: str = "tq", level: float = 0.95) -> DataFrame:
-    """As ``with_t_quantile`` for non-integer degrees of freedom: linear
-    interpolation in 1/df between the neighbouring table entries (df >= 1),
-    Cornish-Fisher above the table."""
-    spark = df.sparkSession
-    tab = quantile_table(spark, level)
-    lo_t = F.broadcast(tab.select(F.col("df").alias("_lo_df"), F.col("tq").alias("_lo_tq")))
-    hi_t = F.broadcast(tab.select(F.col("df").alias("_hi_df"), F.col("tq").alias("_hi_tq")))
-    v = F.col(df_col).cast("double")
-    d = (df.withColumn("_lo", F.floor(v).cast("long")).withColumn("_hi", F.ceil(v).cast("long"))
-         .join(lo_t, F.col("_lo") == F.col("_lo_df"), "left")
-         .join(hi_t, F.col("_hi") == F.col("_hi_df"), "left"))
-    frac = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.0)).otherwise(
-        (1.0 / F.col("_lo") - 1.0 / v) / (1.0 / F.col("_lo") - 1.0 / F.col("_hi")))
-    interp = F.col("_lo_tq") + (F.col("_hi_tq") - F.col("_lo_tq")) * frac
-    res = (F.when(v.isNull() | (v < 1.0), F.lit(None).cast("double"))
-           .when(v > QUANTILE_TABLE_MAX_DF, cornish_fisher(v, level))
-           .otherwise(interp))
-    return d.withColumn(out, res).drop("_lo", "_hi", "_lo_df", "_lo_tq", "_hi_df", "_hi_tq")
+    """Attach the two-sided t quantile for the degrees of freedom in ``df_col``."""
+    return df.withColumn(out, t_quantile(df_col, level))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldlab import schema as S
 from fieldlab.functions.cleaning import days_since_epoch
-from fieldlab.functions.tdist import with_t_quantile, with_t_quantile_real
+from fieldlab.functions.tdist import with_t_quantile
 from fieldlab.operators.trend import series_moments
 from fieldlab.session import checkpoint_dir
 
@@ -49,13 +49,15 @@ def linear_line(df: DataFrame, by=SERIES_KEY, points: int = S.LINE_POINTS, band:
     keys = _keys(by)
     m = series_moments(df, keys, min_n, measured_only)
     m = m.withColumn("b1", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")))
-    g = m.select(*keys, "n_fit", "xbar", "ybar", "sxx", "syy", "sxy", "b1", "xmin", "xmax",
+    extra = []
+    if band:                     # once per series, before the grid multiplies the rows
+        m = with_t_quantile(m.withColumn("_df", (F.col("n_fit") - 2).cast("long")), "_df", "_tq", level)
+        extra = ["_df", "_tq"]
+    g = m.select(*keys, "n_fit", "xbar", "ybar", "sxx", "syy", "sxy", "b1", "xmin", "xmax", *extra,
                  F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     g = g.withColumn("x", _grid_x(points))
     g = g.withColumn("yhat", F.col("ybar") + F.col("b1") * (F.col("x") - F.col("xbar")))
     if band:
-        g = g.withColumn("_df", (F.col("n_fit") - 2).cast("long"))
-        g = with_t_quantile(g, "_df", "_tq", level)
         rss = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
         s = F.sqrt(rss / F.col("_df"))
         # No band without a slope (constant dates) or residual freedom.
@@ -72,7 +74,7 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.MIN_MODEL_N,
+def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.LOESS_MIN_N,
                 partitions: int | None = None) -> DataFrame:
     """Per (series, date): count, sum and sum of squares of the results,
     with the series' N, first and last date; series below ``min_n`` rows
@@ -169,7 +171,7 @@ def _loess_fit(sums: DataFrame) -> DataFrame:
 
 
 def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
-               points: int = S.LINE_POINTS, min_n: int = S.MIN_MODEL_N, band: bool = False,
+               points: int = S.LINE_POINTS, min_n: int = S.LOESS_MIN_N, band: bool = False,
                level: float = S.CONF_LEVEL, partitions: int | None = None) -> DataFrame:
     """LOESS (degree 2, tricube, span 0.8) per series on an even grid over
     the series' date range: keys, i, x, yhat (and se, lo, hi, df with
@@ -246,7 +248,7 @@ def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float)
     # A date without an interpolated fit would drop out of RSS: no band then.
     per = per.withColumn("s", F.when((F.col("delta1") > 0) & (F.col("n_unfit") == 0),
                                      F.sqrt(F.greatest(F.col("rss"), F.lit(0.0)) / F.col("delta1"))))
-    per = with_t_quantile_real(per, "delta1", "tq", level)
+    per = with_t_quantile(per, "delta1", "tq", level)
     out = grid.join(per.select(*keys, "s", "tq", F.col("delta1").alias("df")), keys, "left")
     out = out.select(*keys, "s", "tq", "df", F.explode("grid").alias("p"))
     se = F.col("s") * F.sqrt(F.greatest(F.col("p.kn2"), F.lit(0.0)))

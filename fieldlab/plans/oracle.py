@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from fieldlab import schema as S
 from fieldlab.fixtures import PARAMS, SITES
-from fieldlab.functions import tdist
 
 # Adapter (FIXTURES.md section 3), DuckDB dialect.
 FIXTURE_CTE = """
@@ -122,14 +121,6 @@ def selection_where() -> str:
 # Statistics
 # ---------------------------------------------------------------------------
 
-def erfc_sql(x: str) -> str:
-    t = f"(1.0 / (1.0 + 0.5 * ({x})))"
-    poly = (f"(-1.26551223 + {t} * (1.00002368 + {t} * (0.37409196 + {t} * (0.09678418 + {t} * ("
-            f"-0.18628806 + {t} * (0.27886807 + {t} * (-1.13520398 + {t} * (1.48851587 + {t} * ("
-            f"-0.82215223 + {t} * 0.17087277)))))))))")
-    return f"({t} * exp(-({x}) * ({x}) + {poly}))"
-
-
 def p_value_sql(r2: str, n: str) -> str:
     """Slope p-value from r2 and the fitted-row count (closed-form products)."""
     nu = f"(({n}) - 2)"
@@ -139,7 +130,7 @@ def p_value_sql(r2: str, n: str) -> str:
     odd = f"({nu} % 2 = 1)"
     full = f"(CASE WHEN {odd} THEN ({nu} - 3) // 2 ELSE {nu} // 2 - 1 END)"
     cut = (f"(CASE WHEN {c2} <= 0 THEN 0 WHEN -ln({c2}) <= 1e-12 THEN {full} "
-           f"ELSE ceil({tdist.TAIL_EXP} / -ln({c2})) END)")
+           f"ELSE ceil(40.0 / -ln({c2})) END)")
     k = f"greatest(least({full}, {cut}), 0)::BIGINT"
     even_sum = (f"coalesce(list_sum(list_transform(range(1, {k} + 1), "
                 f"lambda j: pow({c2}, j) * exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()))), 0.0)")
@@ -149,10 +140,7 @@ def p_value_sql(r2: str, n: str) -> str:
     a_odd = (f"(CASE WHEN {nu} = 1 THEN 2.0 / pi() * asin({s}) "
              f"ELSE 2.0 / pi() * (asin({s}) + {s} * sqrt({c2}) * (1.0 + {odd_sum})) END)")
     series = f"(1.0 - CASE WHEN {odd} THEN {a_odd} ELSE {a_even} END)"
-    z = f"((8.0 * {nu} + 1.0) / (8.0 * {nu} + 3.0) * sqrt(-{nu} * ln({c2})))"
-    normal = f"(CASE WHEN {c2} <= 0 THEN 0.0 ELSE {erfc_sql(z + ' / sqrt(2.0)')} END)"
-    p = f"(CASE WHEN {k} > {tdist.SERIES_LIMIT} THEN {normal} ELSE {series} END)"
-    return f"(CASE WHEN {nu} >= 1 AND {r2} IS NOT NULL AND NOT isnan({r2}) THEN greatest({p}, 0.0) END)"
+    return f"(CASE WHEN {nu} >= 1 AND {r2} IS NOT NULL AND NOT isnan({r2}) THEN greatest({series}, 0.0) END)"
 
 
 XDAYS = "CAST(date_diff('day', DATE '1970-01-01', DateSampled) AS DOUBLE)"
@@ -182,20 +170,29 @@ def stats_cte(src: str = "clean", name: str = "stats") -> str:
     {p_value_sql('R_squared', 'n_fit')} AS p_value FROM {name}_r)""")
 
 
-def quantile_values_sql(level: float = 0.95) -> str:
-    rows = ", ".join(f"({nu}, {tq!r})" for nu, tq in tdist.quantile_rows(level))
-    return f"qtab(qdf, qtq) AS (VALUES {rows})"
+def quantile_cte(src: str, level: float = 0.95) -> str:
+    """CTE ``qtab(qdf, qtq)``: t quantiles of the distinct ``df`` of ``src``,
+    by bisection.  From two degrees of freedom on, P(|T| <= t) is summed as a
+    power series in y = t^2 / (df + t^2); below, P(|T| > t) as one in 1 - y."""
+    inner = ("2.0 * c * exp(0.5 * ln({y}) + df / 2.0 * ln(1.0 - {y})) * list_sum(list_transform(range(0, 400), "
+             "lambda j: exp(lgamma(df / 2.0 + 0.5 + j) - lgamma(df / 2.0 + 0.5) + lgamma(1.5) - lgamma(j + 1.5) "
+             "+ j * ln({y}))))").format(y="mid")
+    outer = ("c * list_sum(list_transform(range(0, 60), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0) "
+             "+ (j + df / 2.0) * mid) / sqrt(pi()) / (df / 2.0 + j)))")
+    return f"""qd AS (SELECT DISTINCT CAST(df AS DOUBLE) AS df FROM {src} WHERE df > 0),
+qc AS (SELECT df, exp(lgamma(df / 2.0 + 0.5) - lgamma(df / 2.0)) / sqrt(pi()) AS c FROM qd),
+qbis AS (SELECT df, c, 0 AS k, CASE WHEN df >= 2 THEN 0.0::DOUBLE ELSE -800.0::DOUBLE END AS lo,
+    CASE WHEN df >= 2 THEN 18.6 / (df + 18.6) ELSE ln(0.2) END AS hi FROM qc
+  UNION ALL
+  SELECT df, c, k + 1, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END
+  FROM (SELECT *, CASE WHEN df >= 2 THEN {inner} < {level!r} ELSE {outer} < {1 - level!r} END AS low
+        FROM (SELECT *, (lo + hi) / 2.0 AS mid FROM qbis WHERE k < 62))),
+qtab AS (SELECT df AS qdf, CASE WHEN df >= 2 THEN sqrt(df * lo / (1.0 - lo))
+    ELSE sqrt(df * (1.0 - exp(lo)) / exp(lo)) END AS qtq FROM qbis WHERE k = 62)"""
 
 
-def cornish_fisher_sql(nu: str, level: float = 0.95) -> str:
-    z = tdist.normal_quantile(0.5 + level / 2.0)
-    g1 = (z ** 3 + z) / 4.0
-    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
-    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384.0
-    g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160.0
-    v = f"CAST({nu} AS DOUBLE)"
-    return (f"({z!r} + {g1!r} / {v} + {g2!r} / ({v} * {v}) + {g3!r} / ({v} * {v} * {v})"
-            f" + {g4!r} / ({v} * {v} * {v} * {v}))")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # ---------------------------------------------------------------------------
@@ -205,25 +202,24 @@ def cornish_fisher_sql(nu: str, level: float = 0.95) -> str:
 def linear_line_sql(band: bool, points: int = S.LINE_POINTS, keys: str = "SiteParam",
                     min_n: int = S.MIN_MODEL_N, measured_only: bool = True, where: str = "") -> str:
     head = (with_clean(where=where) + ",\n" + moments_cte(keys=(keys,), min_n=min_n, measured_only=measured_only)
-            + ",\n" + quantile_values_sql())
+            + ",\n" + quantile_cte("(SELECT n_fit - 2 AS df FROM mom)"))
     grid = f"""g0 AS (SELECT {keys}, n_fit, xbar, ybar, sxx, syy, sxy,
     CASE WHEN sxx > 0 THEN sxy / sxx END AS b1, xmin, xmax, unnest(range(0, {points})) AS i FROM mom),
 g1 AS (SELECT *, xmin + i * (xmax - xmin) / {float(points - 1)!r} AS x FROM g0),
 g2 AS (SELECT *, ybar + b1 * (x - xbar) AS yhat, n_fit - 2 AS df FROM g1),
-g3 AS (SELECT g2.*, CASE WHEN df > {tdist.QUANTILE_TABLE_MAX_DF} THEN {cornish_fisher_sql('df')}
-         ELSE qtab.qtq END AS tq FROM g2 LEFT JOIN qtab ON g2.df = qtab.qdf),
+g3 AS (SELECT g2.*, qtab.qtq AS tq FROM g2 LEFT JOIN qtab ON g2.df = qtab.qdf),
 g4 AS (SELECT *, CASE WHEN sxx > 0 AND df > 0 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / df)
          * sqrt(1.0 / n_fit + pow(x - xbar, 2) / sxx) END AS se FROM g3)"""
     if band:
         sel = "round(yhat - tq * se, 6) AS lo, round(yhat + tq * se, 6) AS hi"
     else:
         sel = "CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi"
-    return (head + ",\n" + grid + f"""
+    return recursive(head + ",\n" + grid + f"""
 SELECT {keys}, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(yhat, 6) AS yhat, {sel} FROM g4""")
 
 
 def loess_cte(src: str = "clean", keys: str = "SiteParam", span: float = S.LOESS_SPAN,
-              points: int = S.LINE_POINTS, min_n: int = S.MIN_MODEL_N) -> str:
+              points: int = S.LINE_POINTS, min_n: int = S.LOESS_MIN_N) -> str:
     """LOESS sums and fit per (series, grid point) -> CTE ``lfit``."""
     upow = ["1.0", "u", "(u * u)", "(u * u) * u", "(u * u) * (u * u)"]
     sums = ",\n    ".join(
@@ -262,15 +258,6 @@ def loess_line_sql(keys: str = "SiteParam", hot: bool = False, where: str = "")
 SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat FROM lfit""")
 
 
-def t_real_sql(v: str, level: float = 0.95) -> str:
-    """t quantile at real degrees of freedom ``v`` (needs qtab as qlo/qhi joins)."""
-    frac = (f"CASE WHEN qhi.qdf = qlo.qdf THEN 0.0 ELSE (1.0 / qlo.qdf - 1.0 / {v}) "
-            f"/ (1.0 / qlo.qdf - 1.0 / qhi.qdf) END")
-    return (f"CASE WHEN {v} IS NULL OR {v} < 1.0 THEN NULL "
-            f"WHEN {v} > {tdist.QUANTILE_TABLE_MAX_DF} THEN {cornish_fisher_sql(v, level)} "
-            f"ELSE qlo.qtq + (qhi.qtq - qlo.qtq) * ({frac}) END")
-
-
 def loess_band_sql(keys: str = "SiteParam", points: int = S.LINE_POINTS, hot: bool = False) -> str:
     a0 = "(S2 * S4 - S3 * S3) / det"
     a1 = "(-(S1 * S4 - S3 * S2)) / det"
@@ -279,7 +266,7 @@ def loess_band_sql(keys: str = "SiteParam", points: int = S.LINE_POINTS, hot: bo
            " + 2.0 * a1 * a2 * V3)")
     step = f"((xmax - xmin) / {float(points - 1)!r})"
     lin = "({a} + ({b} - {a}) * t)"
-    return (with_clean(hot=hot) + ",\n" + loess_cte(keys=keys) + ",\n" + quantile_values_sql() + f""",
+    return recursive(with_clean(hot=hot) + ",\n" + loess_cte(keys=keys) + f""",
 fa AS (SELECT {keys}, i, g, yhat, V0, V1, V2, V3, V4,
     CASE WHEN yhat IS NOT NULL THEN {a0} END AS a0,
     CASE WHEN yhat IS NOT NULL THEN {a1} END AS a1,
@@ -292,7 +279,7 @@ seg AS (SELECT * FROM (SELECT {keys}, i, g, yhat, l00, kn2,
     lead(g) OVER (PARTITION BY {keys} ORDER BY i) AS g_n FROM fk) WHERE i < {points - 1}),
 pk AS (SELECT {keys}, x, c, sy, syy, N,
     CAST(CASE WHEN {step} > 0 THEN least(floor((x - xmin) / {step}), {points - 2}) ELSE 0 END AS INTEGER) AS i
-  FROM lp1 WHERE N >= {S.MIN_MODEL_N}),
+  FROM lp1 WHERE N >= {S.LOESS_MIN_N}),
 pj AS (SELECT pk.*, seg.g, seg.g_n, seg.yhat, seg.yhat_n, seg.l00, seg.l00_n, seg.kn2, seg.kn2_n,
     CASE WHEN seg.g_n > seg.g THEN (pk.x - seg.g) / (seg.g_n - seg.g) ELSE 0.0 END AS t
   FROM pk JOIN seg ON pk.{keys} = seg.{keys} AND pk.i = seg.i),
@@ -302,10 +289,9 @@ per AS (SELECT {keys}, sum(syy - 2.0 * yd * sy + c * yd * yd) AS rss, sum(c * ld
     sum(c * kd) AS nu2, sum(CASE WHEN yd IS NULL OR ld IS NULL OR kd IS NULL THEN 1 ELSE 0 END) AS n_unfit,
     first(N) AS N FROM pi GROUP BY {keys}),
 per2 AS (SELECT *, N - 2.0 * nu1 + nu2 AS delta1 FROM per),
+{quantile_cte("(SELECT delta1 AS df FROM per2)")},
 per3 AS (SELECT per2.*, CASE WHEN delta1 > 0 AND n_unfit = 0 THEN sqrt(greatest(rss, 0.0) / delta1) END AS s,
-    {t_real_sql('delta1')} AS tq
-  FROM per2 LEFT JOIN qtab qlo ON qlo.qdf = CAST(floor(delta1) AS BIGINT)
-            LEFT JOIN qtab qhi ON qhi.qdf = CAST(ceil(delta1) AS BIGINT)),
+    qtab.qtq AS tq FROM per2 LEFT JOIN qtab ON qtab.qdf = per2.delta1),
 band AS (SELECT fk.{keys}, fk.i, fk.g, fk.yhat, per3.s * sqrt(greatest(fk.kn2, 0.0)) AS se, per3.tq,
     per3.delta1 AS df FROM fk LEFT JOIN per3 ON fk.{keys} = per3.{keys})
 SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat, round(se, 6) AS se,

@@ -43,6 +43,9 @@ RESULT_KEEP_PATTERN = "[^0-9.<>=]"
 # interval in days, the padding of the value range, LOESS span, grid points
 # of a fitted line and its confidence level.
 MIN_MODEL_N = 8
+# Fewest rows for which a local quadratic at the span below has three rows of
+# positive weight (floor(0.8 * 5) = 4 nearest rows, the outermost of weight 0).
+LOESS_MIN_N = 5
 REFRESH_TTL_DAYS = 10
 RANGE_PAD = 0.15
 LOESS_SPAN = 0.8

@@ -60,26 +60,48 @@ def test_edges(spark):
     assert got[3] is None  # no residual degrees of freedom
 
 
-def test_large_nu_normal_branch(spark):
+def test_large_nu(spark):
+    # At this size the t distribution differs from the normal by under 1e-6.
     nu = 4_000_000
     t = 1.959963984540054
     p = _p_spark(spark, [(t * t / (nu + t * t), nu + 2)])[0]
-    assert abs(p - 0.05) < 1e-5
+    assert abs(p - 0.05) < 1e-6
+    # Just above sizes where a finite series gets long: no jump.
+    ps = _p_spark(spark, [(9.0 / (n - 2 + 9.0), n) for n in (99_999, 100_000, 100_001, 100_002)])
+    assert max(ps) - min(ps) < 1e-8
+    assert ps == sorted(ps, reverse=True)
 
 
-def test_quantiles():
-    rows = dict(tdist.quantile_rows())
-    for nu, t in CRIT_05.items():
-        assert rows[nu] == pytest.approx(t, abs=1e-9)
-    assert len(rows) == tdist.QUANTILE_TABLE_MAX_DF
+def test_small_p_values_keep_relative_accuracy(spark):
+    # Even nu: the exact tail sum of the finite series, in rational numbers.
+    from fractions import Fraction as Fr
+
+    def tail(num, den, nu):
+        # P(|T| > t) = 1 - s * sum_k c_k (1 - s^2)^k with s^2 = r2 a square.
+        s = Fr(num, den)
+        c2, term, total = 1 - s * s, Fr(1), Fr(1)
+        for k in range(1, nu // 2):
+            term *= c2 * Fr(2 * k - 1, 2 * k)
+            total += term
+        return float(1 - s * total)
+
+    cases = [(7, 10, 200), (7, 10, 120), (1, 2, 200), (9, 10, 400), (1, 20, 50)]
+    got = _p_spark(spark, [((a / b) ** 2, nu + 2) for a, b, nu in cases])
+    for (a, b, nu), p in zip(cases, got):
+        assert p == pytest.approx(tail(a, b, nu), rel=1e-9)
 
 
-def test_cornish_fisher_tail(spark):
-    df = spark.createDataFrame([(200,), (201,), (5000,)], "df long")
-    out = {r["df"]: r["tq"] for r in tdist.with_t_quantile(df, "df").collect()}
-    assert out[200] == pytest.approx(tdist.t_quantile(0.95, 200), abs=1e-12)
-    assert out[201] == pytest.approx(tdist.t_quantile(0.95, 201), abs=1e-9)
-    assert out[5000] == pytest.approx(tdist.t_quantile(0.95, 5000), abs=1e-9)
+def _quantiles(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    return {r["v"]: r["tq"] for r in tdist.with_t_quantile(df, "v").collect()}
+
+
+def test_quantiles(spark):
+    got = _quantiles(spark, CRIT_05)
+    for nu, t in CRIT_05.items():
+        assert got[nu] == pytest.approx(t, abs=1e-11)
+    big = _quantiles(spark, [1e7])[1e7]
+    assert big == pytest.approx(tdist.normal_quantile(0.975), abs=1e-6)
 
 
 def test_tiny_r2_no_division_by_zero(spark):
@@ -88,9 +110,10 @@ def test_tiny_r2_no_division_by_zero(spark):
 
 
 def test_real_df_quantile(spark):
-    df = spark.createDataFrame([(0.5,), (1.5,), (10.0,), (350.5,)], "v double")
-    out = {r["v"]: r["tq"] for r in tdist.with_t_quantile_real(df, "v").collect()}
-    assert out[0.5] is None
-    assert tdist.t_quantile(0.95, 2) < out[1.5] < tdist.t_quantile(0.95, 1)
-    assert out[10.0] == pytest.approx(CRIT_05[10], abs=1e-9)
-    assert out[350.5] == pytest.approx(1.9668, abs=1e-3)
+    got = _quantiles(spark, [0.0, -1.0, 0.9, 1.0, 1.5, 2.5, 3.5, 7.25, 350.5])
+    assert got[0.0] is None and got[-1.0] is None
+    assert got[1.0] == pytest.approx(math.tan(math.pi * 0.475), rel=1e-12)
+    for nu, want in ((0.9, 16.58), (1.5, 6.017), (2.5, 3.575), (3.5, 2.940)):
+        assert got[nu] == pytest.approx(want, abs=1e-3)
+    for nu in (1.5, 2.5, 3.5, 7.25, 350.5):
+        assert _p_numeric(got[nu], nu) == pytest.approx(0.05, abs=1e-5)
