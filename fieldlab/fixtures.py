@@ -19,6 +19,7 @@ import hashlib
 import os
 import threading
 
+from fieldlab import schema as S
 from fieldlab.operators.keys import trim_keys
 from fieldlab.session import checkpoint_dir
 from fieldlab.sources.sinks import table_exists
@@ -125,6 +126,30 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("Reach "), F.col("s_nationkey").cast("string")).alias("Description")))
 
 
+def all_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A station row for every supplier."""
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(_site_code(F.col("s_suppkey")), F.lit(" ")).alias("StationID"),
+        F.concat(F.lit("Reach "), F.col("s_nationkey").cast("string")).alias("Description"))
+
+
+def station_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 56 text columns of a station-metadata export, from ``supplier``:
+    names with commas and quotes, codes with leading zeros, coordinates."""
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    filled = {
+        "Org_Identifier": F.lit("0042"),
+        "Location_Identifier": _site_code(k),
+        "Location_Name": F.concat(F.lit('Reach "'), nation.cast("string"), F.lit('", bank '), k.cast("string")),
+        "Location_CountyCode": F.format_string("%03d", nation.cast("long")),
+        "Location_Latitude": (40 + k / 64).cast("string"),
+        "Location_Longitude": F.when(nation % 2 == 0, (-70 - k / 64).cast("string")).otherwise(F.lit("n/a")),
+    }
+    empty = F.lit(None).cast("string")
+    return table(spark, sf_dir, "supplier").select(
+        *[filled.get(c, empty).alias(c) for c in S.STATION_CSV_COLUMNS])
+
+
 def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as results: site = user, parameter = event type,
     date = event time, result = value (as text)."""

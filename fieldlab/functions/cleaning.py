@@ -136,9 +136,25 @@ def fixed_decimals(col, digits: int) -> Column:
 
 
 def number_text(col) -> Column:
-    """A double as R prints it for small decimal values: no trailing '.0';
-    NULL is 'NA'."""
-    return F.coalesce(F.regexp_replace(_c(col).cast("string"), r"\.0$", ""), F.lit("NA"))
+    """A double as R pastes it: up to 15 significant digits, in fixed form
+    unless the scientific form is shorter; NULL is 'NA'."""
+    c = _c(col).cast("double")
+    sci = F.format_string("%.14e", F.abs(c))
+    digits = F.rtrim(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), F.lit("0"))
+    e = F.substring_index(sci, "e", -1).try_cast("int")
+    n = F.length(digits)
+    places = F.greatest(n - 1 - e, F.lit(0))
+    fixed_width = F.greatest(e, F.lit(0)) + 1 + F.when(places > 0, places + 1).otherwise(0)
+    sci_width = n + F.when(n > 1, 1).otherwise(0) + F.when(F.abs(e) >= 100, 5).otherwise(4)
+    fixed = (F.when(e >= n - 1, F.concat(digits, F.repeat(F.lit("0"), e - n + 1)))
+             .when(e >= 0, F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+             .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)))
+    mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 14))).otherwise(digits)
+    power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs(e)))
+    text = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")),
+                    F.when(fixed_width <= sci_width, fixed).otherwise(F.concat(mantissa, power)))
+    return (F.when(c.isNull(), F.lit("NA")).when(F.isnan(c), F.lit("NaN")).when(c == 0, F.lit("0"))
+            .when(e.isNull(), F.when(c < 0, F.lit("-Inf")).otherwise(F.lit("Inf"))).otherwise(text))
 
 
 def na_text(col) -> Column:

@@ -111,6 +111,9 @@ def point_label(df: DataFrame, profile: str = "current") -> DataFrame:
     elif profile == "v3_site":
         parts = ["Site: ", site, "<br>Date: ", iso, "<br>Result: ", res, "<br>Qualifier: ", q,
                  "<br>Depth: ", z]
+    elif profile == "v3_param":
+        parts = ["Parameter: ", param, "<br>Date: ", iso, "<br>Result: ", res, "<br>Qualifier: ", q,
+                 "<br>Depth: ", z]
     elif profile in ("v2", "v1"):
         d = iso if profile == "v2" else F.coalesce(date_text(F.col("DateSampled"), "MM-dd-yyyy"), F.lit("NA"))
         parts = ["Date: ", d, " <br>Result: ", res, " <br>Qualifiers: ", q, " <br>Relative Depth: ", z]

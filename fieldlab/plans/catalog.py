@@ -556,7 +556,14 @@ def q_series_count(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-_NUMTXT = "coalesce(regexp_replace(CAST(FinalResult AS VARCHAR), '\\.0$', ''), 'NA')"
+def _num_sql(x: str) -> str:
+    """Number text: the shorter of the general and the scientific form."""
+    general = f"printf('%.15g', {x})"
+    sci = f"regexp_replace(printf('%.14e', {x}), '\\.?0+e', 'e')"
+    return f"coalesce(CASE WHEN length({general}) <= length({sci}) THEN {general} ELSE {sci} END, 'NA')"
+
+
+_NUMTXT = _num_sql("FinalResult")
 _ISO = "coalesce(strftime(DateSampled, '%Y-%m-%d'), 'NA')"
 _ORDER_SQL = ", ".join(f"{c} NULLS FIRST" for c in FM.CLEAN_ORDER)
 
@@ -652,6 +659,9 @@ def _label_sql(profile: str) -> str:
     elif profile == "v3_site":
         parts = ["'Site: '", site, "'<br>Date: '", _ISO, "'<br>Result: '", _NUMTXT, "'<br>Qualifier: '",
                  q, "'<br>Depth: '", z]
+    elif profile == "v3_param":
+        parts = ["'Parameter: '", param, "'<br>Date: '", _ISO, "'<br>Result: '", _NUMTXT, "'<br>Qualifier: '",
+                 q, "'<br>Depth: '", z]
     else:
         d = _ISO if profile == "v2" else "coalesce(strftime(DateSampled, '%m-%d-%Y'), 'NA')"
         parts = ["'Date: '", d, "' <br>Result: '", _NUMTXT, "' <br>Qualifiers: '", q,
@@ -659,7 +669,7 @@ def _label_sql(profile: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-for _prof, _clean_prof in (("current", "current"), ("v3_site", "current"), ("v2", "v2"), ("v1", "v1")):
+for _prof, _clean_prof in (("current", "current"), ("v3_site", "current"), ("v3_param", "current"), ("v2", "v2"), ("v1", "v1")):
     def _mk_label(profile, cprof):
         def q(spark, sf_dir):
             return FM.point_label(clean_all(spark, sf_dir, cprof), profile)
@@ -982,6 +992,8 @@ def q_loess_line_hot(spark, sf_dir):
 
 _STORE_KEYS = ["SamplingPoint", "DateSampled", "WebParameter", "WebResult", "Qualifier",
                "RelativeDepthSample", "sample_year"]
+_ALL_STATIONS_SQL = """SELECT printf('ST%05d', CAST(s_suppkey AS BIGINT)) AS StationID,
+  concat('Reach ', CAST(s_nationkey AS VARCHAR)) AS Description FROM supplier"""
 _EVENTS_SQL = """ev AS (SELECT printf('U%05d', CAST(user_id AS BIGINT)) AS SamplingPoint,
     try_cast(strftime(ts, '%Y-%m-%d') AS DATE) AS DateSampled, event_type AS WebParameter,
     CAST(value AS VARCHAR) AS WebResult, CAST(NULL AS VARCHAR) AS Qualifier,
@@ -990,7 +1002,7 @@ _EVENT_SELECT = "SamplingPoint, DateSampled, WebParameter, WebResult, Qualifier,
                 "CAST(year(DateSampled) AS INTEGER) AS sample_year"
 
 
-def _stream_run(spark, sf_dir, repeat_share: bool, dedup, table: str = "results"):
+def _stream_run(spark, sf_dir, repeat_share: bool, dedup, table: str = "results", dedup_days=None):
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     landing, store, ckpt = f"{base}/landing", f"{base}/store", f"{base}/checkpoint"
     ev = fixtures.event_results(spark, sf_dir)
@@ -1001,8 +1013,8 @@ def _stream_run(spark, sf_dir, repeat_share: bool, dedup, table: str = "results"
         chunks.append(ev)          # everything delivered a second time
     for k, c in enumerate(chunks):
         c.write.mode("overwrite").parquet(f"{landing}/part{k}")
-    q = stream_ingest(spark, landing + "/*", store, ckpt, dedup=dedup, max_files_per_trigger=1,
-                      stations=lambda: fixtures.stations(spark, sf_dir))
+    q = stream_ingest(spark, landing + "/*", store, ckpt, dedup=dedup, dedup_days=dedup_days, max_files_per_trigger=1,
+                      stations=lambda: fixtures.all_stations(spark, sf_dir))
     q.awaitTermination()
     if table == "stations":
         return spark.read.parquet(sinks.stations_path(store))
@@ -1021,30 +1033,29 @@ def q_stream_dedup(spark, sf_dir):
     return _stream_run(spark, sf_dir, repeat_share=True, dedup="store")
 
 
-# ---------------------------------------------------------------------------
-# Older line rules: one parameter, grouped by site, all points, no minimum
-# beyond a fit (linear), LOESS by site
-# ---------------------------------------------------------------------------
-
-_ONE_PARAM = "Param NO"
+@register("x2_stream_dedup_watermark", "WITH " + _EVENTS_SQL + f"\nSELECT DISTINCT {_EVENT_SELECT} FROM ev")
+def q_stream_dedup_watermark(spark, sf_dir):
+    # The same rows arrive twice, within the bound of the watermark.
+    return _stream_run(spark, sf_dir, repeat_share=True, dedup=None, dedup_days=3650)
 
 
-def _one_param_clean(spark, sf_dir):
-    res, st = store_tables(spark, sf_dir)
-    return clean(select_results(res, st, None, _ONE_PARAM))
+# ---------------------------------------------------------------------------
+# Older line rules: grouped by site or by parameter, all points, no minimum
+# beyond a fit (linear)
+# ---------------------------------------------------------------------------
 
 
 @register("l1_linear_line_by_site_all_points", O.linear_line_sql(
-    band=True, keys="SamplingPoint", min_n=3, measured_only=False, where=f"r.WebParameter = '{_ONE_PARAM}'"))
+    band=True, keys="SamplingPoint", min_n=3, measured_only=False))
 def q_linear_line_by_site(spark, sf_dir):
-    out = L.linear_line(_one_param_clean(spark, sf_dir), by="SamplingPoint", band=True,
+    out = L.linear_line(clean_all(spark, sf_dir), by="SamplingPoint", band=True,
                         min_n=3, measured_only=False)
     return _round_cols(out, ["x", "yhat", "lo", "hi"])
 
 
-@register("l3_loess_line_by_site", O.loess_line_sql(keys="SamplingPoint", where=f"r.WebParameter = '{_ONE_PARAM}'"))
+@register("l3_loess_line_by_site", O.loess_line_sql(keys="SamplingPoint"))
 def q_loess_line_by_site(spark, sf_dir):
-    return _round_cols(L.loess_line(_one_param_clean(spark, sf_dir), by="SamplingPoint"), ["x", "yhat"])
+    return _round_cols(L.loess_line(clean_all(spark, sf_dir), by="SamplingPoint"), ["x", "yhat"])
 
 
 @register("a14_value_range_no_pad", O.with_clean() + """
@@ -1093,11 +1104,11 @@ def q_store_append(spark, sf_dir):
     return spark.read.parquet(sinks.results_path(store)).drop("ingest_batch")
 
 
-@register("k1_overwrite_stations", "WITH " + O.FIXTURE_CTE + "\nSELECT StationID, Description FROM s_t")
+@register("k1_overwrite_stations", _ALL_STATIONS_SQL)
 def q_overwrite_stations(spark, sf_dir):
     # Written twice: the second write replaces the first.
     path = _scratch(spark, "stations")
-    st = sinks.prepare_stations(fixtures.stations(spark, sf_dir))
+    st = sinks.prepare_stations(fixtures.all_stations(spark, sf_dir))
     sinks.overwrite(st, path)
     sinks.overwrite(st, path)
     return spark.read.parquet(path)
@@ -1121,43 +1132,34 @@ def q_refresh_cycle(spark, sf_dir):
     return TB.load_store(spark, store).drop("ingest_batch")
 
 
-@register("x3_stream_stations", "WITH " + O.FIXTURE_CTE + "\nSELECT StationID, Description FROM s_t")
+@register("x3_stream_stations", _ALL_STATIONS_SQL)
 def q_stream_stations(spark, sf_dir):
     # The station table the stream refreshed after its micro-batches.
     return _stream_run(spark, sf_dir, repeat_share=False, dedup=None, table="stations")
 
 
-@register("s8_read_with_fallback", "WITH " + O.FIXTURE_CTE + "\nSELECT StationID, Description FROM s_t")
+@register("s8_read_with_fallback", _ALL_STATIONS_SQL)
 def q_read_with_fallback(spark, sf_dir):
     # The primary source is unreadable (no such table): the fallback is used.
     missing = _scratch(spark, "missing-source")
     df, which = TB.read_with_fallback(lambda: spark.read.parquet(missing),
-                                      lambda: sinks.prepare_stations(fixtures.stations(spark, sf_dir)))
+                                      lambda: sinks.prepare_stations(fixtures.all_stations(spark, sf_dir)))
     if which != "fallback":
         raise RuntimeError("the primary source was expected to fail")
     return df
 
 
-_ONE_SITE = "ST00002"
-
-
-def _one_site_clean(spark, sf_dir):
-    res, st = store_tables(spark, sf_dir)
-    return clean(select_results(res, st, _ONE_SITE, None))
-
-
 @register("l1_linear_line_by_param_all_points", O.linear_line_sql(
-    band=True, keys="WebParameter", min_n=3, measured_only=False, where=f"r.SamplingPoint = '{_ONE_SITE}'"))
+    band=True, keys="WebParameter", min_n=3, measured_only=False))
 def q_linear_line_by_param(spark, sf_dir):
-    # One site, its parameters each with a line over all points.
-    out = L.linear_line(_one_site_clean(spark, sf_dir), by="WebParameter", band=True,
+    out = L.linear_line(clean_all(spark, sf_dir), by="WebParameter", band=True,
                         min_n=3, measured_only=False)
     return _round_cols(out, ["x", "yhat", "lo", "hi"])
 
 
-@register("l3_loess_line_by_param", O.loess_line_sql(keys="WebParameter", where=f"r.SamplingPoint = '{_ONE_SITE}'"))
+@register("l3_loess_line_by_param", O.loess_line_sql(keys="WebParameter"))
 def q_loess_line_by_param(spark, sf_dir):
-    return _round_cols(L.loess_line(_one_site_clean(spark, sf_dir), by="WebParameter"), ["x", "yhat"])
+    return _round_cols(L.loess_line(clean_all(spark, sf_dir), by="WebParameter"), ["x", "yhat"])
 
 
 @register("l4_loess_band_hot", O.loess_band_sql(hot=True))
@@ -1170,3 +1172,98 @@ def q_loess_band_hot(spark, sf_dir):
 SELECT {_CLEAN_COLS}, row_number() OVER (ORDER BY {_ORDER_SQL}) AS point_id FROM clean""")
 def q_point_id_hot(spark, sf_dir):
     return FM.point_id(clean_hot(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Further readers and sinks: legacy extract, station CSV, append
+# ---------------------------------------------------------------------------
+
+
+@register("s4_read_legacy", "WITH " + O.FIXTURE_CTE + "\nSELECT * FROM r_t")
+def q_read_legacy_source(spark, sf_dir):
+    # An extract under the first version's column names.
+    path = _scratch(spark, "legacy")
+    res, _ = store_tables(spark, sf_dir)
+    res.withColumnsRenamed({v: k for k, v in S.LEGACY_RENAMES.items()}).write.parquet(path)
+    return TB.read_legacy(spark, path)
+
+
+@register("s6_read_station_csv", """SELECT '0042' AS Org_Identifier,
+  printf('ST%05d', CAST(s_suppkey AS BIGINT)) AS Location_Identifier,
+  concat('Reach "', CAST(s_nationkey AS VARCHAR), '", bank ', CAST(s_suppkey AS VARCHAR)) AS Location_Name,
+  printf('%03d', CAST(s_nationkey AS BIGINT)) AS Location_CountyCode,
+  40 + CAST(s_suppkey AS DOUBLE) / 64 AS Location_Latitude,
+  CASE WHEN s_nationkey % 2 = 0 THEN -70 - CAST(s_suppkey AS DOUBLE) / 64 END AS Location_Longitude,
+  CAST(NULL AS VARCHAR) AS AlternateLocation_IdentifierContextC FROM supplier""")
+def q_read_station_csv(spark, sf_dir):
+    path = _scratch(spark, "station-csv")
+    sinks.export_csv(fixtures.station_metadata(spark, sf_dir), path)
+    return TB.read_station_csv(spark, path).select(
+        "Org_Identifier", "Location_Identifier", "Location_Name", "Location_CountyCode", "Location_Latitude",
+        "Location_Longitude", "AlternateLocation_IdentifierContextC")
+
+
+@register("k2_append", "WITH " + O.FIXTURE_CTE + """
+SELECT SamplingPoint, DateSampled, WebParameter, WebResult,
+  CASE WHEN DateSampled <= '""" + STORE_CUT + """' THEN Qualifier END AS Qualifier, RelativeDepthSample FROM r_t""")
+def q_append(spark, sf_dir):
+    # The later rows come without the qualifier and in another column order.
+    path = _scratch(spark, "append")
+    res, _ = store_tables(spark, sf_dir)
+    res.where(F.col("DateSampled") <= STORE_CUT).write.parquet(path)
+    sinks.append(res.where(~(F.col("DateSampled") <= STORE_CUT)).drop("Qualifier").select(
+        "WebResult", "DateSampled", "SamplingPoint", "WebParameter", "RelativeDepthSample"), path)
+    return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# Number text over many magnitudes; colour choices without facets
+# ---------------------------------------------------------------------------
+
+_SCALES = [1e-7, 1e-5, 1e-4, 1e-3, 0.1, 1.0, 1000.0, 1e5, 1e9]
+
+
+@register("t3_number_text", O.with_clean() + f""",
+sc AS (SELECT FinalResult * f AS v FROM clean, (SELECT unnest({_SCALES!r}) AS f))
+SELECT {_num_sql('v')} AS txt, count(*) AS n FROM sc GROUP BY ALL""")
+def q_number_text(spark, sf_dir):
+    scale = F.explode(F.array(*[F.lit(f) for f in _SCALES]))
+    df = clean_all(spark, sf_dir).select("FinalResult", scale.alias("f"))
+    return df.groupBy(CF.number_text(F.col("FinalResult") * F.col("f")).alias("txt")).agg(F.count("*").alias("n"))
+
+
+for _by, _col in (("site", "SamplingPoint"), ("parameter", "WebParameter"), ("qualifier", "Qualifiers")):
+    def _mk_colour(by):
+        def q(spark, sf_dir):
+            return FM.facet_columns(clean_all(spark, sf_dir), None, by)
+        return q
+    register(f"a11_colour_by_{_by}", O.with_clean()
+             + f"\nSELECT {_CLEAN_COLS}, CAST(NULL AS VARCHAR) AS facet, {_col} AS colour FROM clean")(_mk_colour(_by))
+
+
+# ---------------------------------------------------------------------------
+# The display action's outputs on the date-filtered frame
+# ---------------------------------------------------------------------------
+
+_DATED = ",\ndated AS (SELECT * FROM clean WHERE DateSampled BETWEEN DATE '{}' AND DATE '{}')".format(_DATE_LO, _DATE_HI)
+
+
+def _dated(spark, sf_dir):
+    return filter_dates(clean_all(spark, sf_dir), _DATE_LO, _DATE_HI)
+
+
+@register("a7_stats_table_dated", O.with_clean() + _DATED + ",\n" + O.stats_cte("dated") + """
+SELECT Site, Parameter, N, round(R_squared, 4) AS R_squared, round(p_value, 4) AS p_value FROM stats""")
+def q_stats_table_dated(spark, sf_dir):
+    return trend.stats_table(trend.linear_stats(_dated(spark, sf_dir)))
+
+
+@register("l3_loess_line_dated", O.with_clean() + _DATED + ",\n" + O.loess_cte("dated") + """
+SELECT SiteParam, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat FROM lfit""")
+def q_loess_line_dated(spark, sf_dir):
+    return _round_cols(L.loess_line(_dated(spark, sf_dir)), ["x", "yhat"])
+
+
+@register("t1_display_table_dated", O.with_clean() + _DATED + "\n" + _DISPLAY_SQL.replace("FROM clean", "FROM dated"))
+def q_display_table_dated(spark, sf_dir):
+    return FM.display_table(_dated(spark, sf_dir))

@@ -40,9 +40,10 @@ def unseen_rows(stored: DataFrame, new: DataFrame, wm, lookback_days: int,
     keys = [c for c in DEDUP_KEYS if c in new.columns]
     if dedup:
         new = new.dropDuplicates(keys)
-    lo = F.date_sub(F.lit(str(wm)).cast("date"), lookback_days)
-    old = (stored.where((F.col("sample_year") >= F.year(lo)) & (F.col("DateSampled") >= lo))
-           .select(*keys).dropDuplicates(keys).alias("o"))
+    if wm is not None:           # a store without any date is compared whole
+        lo = F.date_sub(F.lit(str(wm)).cast("date"), lookback_days)
+        stored = stored.where((F.col("sample_year") >= F.year(lo)) & (F.col("DateSampled") >= lo))
+    old = stored.select(*keys).dropDuplicates(keys).alias("o")
     cond = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     return new.alias("n").join(old, cond, "left_anti")
 
@@ -53,6 +54,7 @@ class RefreshReport:
     rows_loaded: int
     age_days: float | None
     message: str | None
+    error: str | None = None   # why the source could not be read ('fallback')
 
 
 def _tag(as_of) -> str:
@@ -67,7 +69,9 @@ def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame
 
     ``source()`` returns (results, stations) frames of the source system
     (JDBC, extract files, ...); it is only called when the store is stale
-    or missing."""
+    or missing.  A source that cannot be called or read (one row of each
+    frame is tried) leaves the store as it is; an error while writing is
+    raised, and a retry with the same ``as_of`` replaces what was written."""
     rpath = sinks.results_path(store)
     have_store = sinks.table_exists(spark, rpath)
     tag = f"inc-{_tag(as_of)}"
@@ -85,22 +89,23 @@ def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame
               .agg(F.max("DateSampled").alias("wm")).first()["wm"])
     try:
         results, stations = source()
-        if have_store:
-            new = read_since(results, wm, lookback_days)
-            new = sinks.prepare_results(new)
-            if lookback_days > 0 or dedup:
-                stored = spark.read.parquet(rpath).where(F.col("ingest_batch") != tag)
-                new = unseen_rows(stored, new, wm, lookback_days, dedup)
-            n = sinks.write_results(new, store, tag)
-            action = "appended" if n > 0 else "no_new_data"
-        else:
-            n = sinks.write_results(sinks.prepare_results(results), store, "full")
-            action = "full_load"
-        sinks.overwrite(sinks.prepare_stations(stations), sinks.stations_path(store))
-    except Exception:
+        for frame in (results, stations):
+            frame.limit(1).collect()
+    except Exception as e:  # noqa: BLE001 - any source failure means: use the store
         if not have_store:
             raise
         msg = coverage_message(spark.read.parquet(rpath), "cached").first()["message"]
-        return RefreshReport("fallback", 0, age, msg)
+        return RefreshReport("fallback", 0, age, msg, f"{type(e).__name__}: {e}")
+    if have_store:
+        new = sinks.prepare_results(read_since(results, wm, lookback_days))
+        if lookback_days > 0 or dedup:
+            stored = spark.read.parquet(rpath).where(F.col("ingest_batch") != tag)
+            new = unseen_rows(stored, new, wm, lookback_days, dedup)
+        n = sinks.write_results(new, store, tag)
+        action = "appended" if n > 0 else "no_new_data"
+    else:
+        n = sinks.write_results(sinks.prepare_results(results), store, "full")
+        action = "full_load"
+    sinks.overwrite(sinks.prepare_stations(stations), sinks.stations_path(store))
     msg = coverage_message(spark.read.parquet(rpath), "reloaded").first()["message"]
     return RefreshReport(action, int(n), age, msg)

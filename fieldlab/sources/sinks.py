@@ -111,10 +111,10 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header, every row.  Written in parallel as part files;
+    """CSV with a header, every row, quotes doubled.  Written in parallel as part files;
     ``single_file`` gathers a small display table into one file."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+    out.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

@@ -72,15 +72,18 @@ def drop_stored(batch: DataFrame, store: str, own_tag: str | None = None) -> Dat
     rpath = sinks.results_path(store)
     if not sinks.table_exists(spark, rpath):
         return batch
-    b = batch.agg(F.min("DateSampled").alias("lo"), F.max("DateSampled").alias("hi")).first()
+    # Distinct years: bounded by the calendar.  The year filter stands as its
+    # own conjunct, so the store's other year folders are pruned.
+    b = batch.agg(F.min("DateSampled").alias("lo"), F.max("DateSampled").alias("hi"),
+                  F.collect_set("sample_year").alias("years")).first()
     stored = spark.read.parquet(rpath)
     if own_tag is not None:
         stored = stored.where(F.col("ingest_batch") != own_tag)
     in_range = F.col("DateSampled").isNull()
     if b["lo"] is not None:
-        in_range = in_range | (F.col("sample_year").between(b["lo"].year, b["hi"].year)
-                               & F.col("DateSampled").between(F.lit(b["lo"]), F.lit(b["hi"])))
-    old = stored.where(in_range).select(*keys).dropDuplicates(keys).alias("o")
+        in_range = in_range | F.col("DateSampled").between(F.lit(b["lo"]), F.lit(b["hi"]))
+    in_years = F.col("sample_year").isNull() | F.col("sample_year").isin(list(b["years"]))
+    old = stored.where(in_years).where(in_range).select(*keys).dropDuplicates(keys).alias("o")
     cond = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     return batch.alias("n").join(old, cond, "left_anti")
 

@@ -56,3 +56,65 @@ def test_cluster_without_shared_folder_is_an_error():
     session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(session)
+
+
+def test_number_text_forms(spark):
+    from fieldlab.functions.cleaning import number_text
+    cases = [(0.0005, "5e-04"), (0.00051, "0.00051"), (0.001, "0.001"), (100000.0, "1e+05"), (123456.0, "123456"),
+             (12345678.0, "12345678"), (0.1, "0.1"), (12.3, "12.3"), (-0.25, "-0.25"), (1e-15, "1e-15"),
+             (1e100, "1e+100"), (1234567.891, "1234567.891"), (0.0, "0"), (45.0, "45"), (1 / 3, "0.333333333333333"),
+             (float("nan"), "NaN"), (float("-inf"), "-Inf"), (None, "NA")]
+    got = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "i int, v double").select(
+        "i", number_text("v").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == [t for _, t in cases]
+
+
+def _rows(spark, days):
+    return spark.createDataFrame([("S1", d, "P", "1", None, None) for d in days],
+                                 "StationID string, DateSampled string, WebParameter string, WebResult string, "
+                                 "Qualifier string, RelativeDepthSample string")
+
+
+def test_refresh_reports_read_errors_and_raises_write_errors(spark, tmp_path, monkeypatch):
+    import pytest
+    from fieldlab.sources import refresh as R
+    store, later = str(tmp_path / "store"), "2021-01-01 00:00:00"
+    st = spark.createDataFrame([("S1", "x")], "StationID string, Description string")
+    R.refresh(spark, lambda: (_rows(spark, ["2020-01-01"]), st), store, "2020-01-02 00:00:00")
+
+    def broken():
+        raise OSError("no route")
+    rep = R.refresh(spark, broken, store, later)
+    assert rep.action == "fallback" and "no route" in rep.error
+    unreadable = _rows(spark, ["2020-02-01"]).selectExpr("* except (WebResult)", "raise_error('bad page') AS WebResult")
+    rep = R.refresh(spark, lambda: (unreadable, st), store, later)
+    assert rep.action == "fallback" and "bad page" in rep.error
+    def full(*a, **k):
+        raise RuntimeError("disk full")
+    monkeypatch.setattr(R.sinks, "overwrite", full)
+    with pytest.raises(RuntimeError, match="disk full"):
+        R.refresh(spark, lambda: (_rows(spark, ["2020-02-01"]), st), store, later)
+
+
+def test_stream_dedup_reads_only_the_batch_years(spark, tmp_path):
+    from fieldlab.sources import sinks
+    from fieldlab.streaming.ingest import drop_stored
+    store = str(tmp_path / "store")
+    sinks.write_results(sinks.prepare_results(_rows(spark, ["2019-05-01", "2020-05-01", "2021-05-01", None])), store, "full")
+    batch = sinks.prepare_results(_rows(spark, ["2020-05-01", "2020-06-01", None]))
+    out = drop_stored(batch, store)
+    assert [str(r["DateSampled"]) for r in out.collect()] == ["2020-06-01"]
+    plan = out._jdf.queryExecution().toString()
+    part = plan[plan.index("PartitionFilters"):]
+    assert "sample_year" in part[:200]
+
+
+def test_loess_draws_small_series(spark):
+    from fieldlab.operators import lines as L
+    rows = [(f"S{n} - P", f"2020-01-{d + 1:02d}", float(d * d)) for n in (4, 5, 7) for d in range(n)]
+    df = spark.createDataFrame(rows, "SiteParam string, d string, FinalResult double").selectExpr(
+        "SiteParam", "cast(d as date) AS DateSampled", "FinalResult")
+    out = L.loess_line(df, points=5)
+    fits = {r["SiteParam"]: r["n"] for r in out.groupBy("SiteParam").agg({"yhat": "count"}).withColumnRenamed(
+        "count(yhat)", "n").collect()}
+    assert set(fits) == {"S5 - P", "S7 - P"} and all(n > 0 for n in fits.values())
