@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +29,15 @@ from fieldlab.llm.common import held_out, map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000          # words per worker whose scores are kept
+BLOCK = 10_000           # words of a text held at a time
+
+
+def words_of(text: str) -> Iterator[list[str]]:
+    """All lower-case words in blocks, so that a very long text needs little
+    memory beside itself."""
+    found = (m.group() for m in WORD.finditer(text.lower()))
+    while block := list(islice(found, BLOCK)):
+        yield block
 
 
 def ngrams(word: str, n: int) -> list[str]:
@@ -87,7 +98,9 @@ def fit(docs: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, max_g
         def work(texts):
             out = []
             for t in texts:
-                c = Counter(WORD.findall(t.lower()))
+                c = Counter()
+                for block in words_of(t):
+                    c.update(block)
                 out.append([(w, n) for w, n in c.items()])
             return [out]
         return work
@@ -159,12 +172,13 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         def work(texts):
             preds, scores = [], []
             for t in texts:
-                ws = WORD.findall(t.lower())
-                if not ws or not m.langs:
+                total = None
+                for ws in words_of(t) if m.langs else ():
+                    total = look(ws) if total is None else total + look(ws)
+                if total is None:
                     preds.append("und")
                     scores.append(0.0)
                     continue
-                total = look(ws)
                 best = int(np.argmax(total))
                 preds.append(m.langs[best])
                 scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
