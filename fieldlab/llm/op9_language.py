@@ -81,18 +81,22 @@ class Model:
 
 def fit(docs: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, max_grams: int = 20_000,
         longest: int = 5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from about ``sample_docs`` of the rows with a language whose id is
-    not held out (a hash of the id picks them; all of them if there are fewer).
-
-    Bounds, all parameters: the rows learned from, and per language the
-    ``max_words`` most frequent words and per length the ``max_grams`` most
+    """Learn from about ``sample_docs`` rows of each language, of those with a
+    language whose id is not held out.  A hash of the id picks them against the
+    language's own share: a language with fewer rows is learned from all of
+    them, however rare it is in the table, and every language from one id at
+    least.
+
+    Bounds, all parameters: the rows learned from per language, and per language
+    the ``max_words`` most frequent words and per length the ``max_grams`` most
     frequent n-grams.  Spark counts the words; the driver gets the model only.
     """
-    rows = docs.where(docs[lang].isNotNull() & docs[doc_id].isNotNull() & ~held_out(docs[doc_id]))
-    there = rows.count()
-    if there > sample_docs:
-        rows = rows.where(F.pmod(F.xxhash64(rows[doc_id].cast("string"), F.lit("language")), F.lit(1 << 30))
-                          < int(sample_docs / there * (1 << 30)))
+    lot = F.pmod(F.xxhash64(docs[doc_id].cast("string"), F.lit("language")), F.lit(1 << 53)) / float(1 << 53)
+    rows = docs.where(docs[lang].isNotNull() & docs[doc_id].isNotNull() & ~held_out(docs[doc_id])).select(
+        docs[lang].alias("lang"), docs[text].alias("text"), lot.alias("lot"))
+    # One row per language: a grouped count with map-side combination.
+    share = rows.groupBy("lang").agg(F.greatest(sample_docs / F.count("*"), F.min("lot")).alias("share"))
+    rows = rows.join(F.broadcast(share), "lang").where("lot <= share")
 
     def counted():
         def work(texts):
@@ -105,7 +109,7 @@ def fit(docs: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, max_g
             return [out]
         return work
 
-    words = (map_texts(rows.select(rows[lang].alias("lang"), rows[text].alias("text")), counted,
+    words = (map_texts(rows.select("lang", "text"), counted,
                        "words array<struct<word: string, n: int>>")
              .select("lang", F.explode("words").alias("w"))
              .groupBy("lang", "w.word").agg(F.sum("w.n").alias("n")))
@@ -135,8 +139,7 @@ def _top(counts: DataFrame, by: list[str], key: str, most: int) -> DataFrame:
     """The ``most`` largest counts of each group, found by the count of the
     ``most``-th one, so that only counts (not words) are ranked.
 
-    The thresholds are broadcast: at most one row per sampled document and
-    n-gram length (``sample_docs`` x ``longest``), usually one per language."""
+    The thresholds are broadcast: one row per language and n-gram length."""
     per = counts.groupBy(*by, "n").agg(F.count("*").alias("keys"))
     run = W.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
     cut = (per.select(*by, "n", F.coalesce(F.sum("keys").over(run), F.lit(0)).alias("before"))

@@ -1,6 +1,7 @@
 """Language, toxicity and license scan: brute force and held-out accuracy."""
 
 import itertools
+import math
 import re
 import zlib
 
@@ -53,6 +54,21 @@ def test_language_sample_is_bounded(spark):
     assert sum(tested) / len(tested) > 0.9
 
 
+def test_language_rare_and_hot(spark):
+    """Each language has its own share: one at 0.01 % of the rows is learned
+    from all of them, a hot one from ``sample_docs``; a language whose rows
+    have one id is learned too."""
+    some = [i for i in range(60_000) if not held_out(i)]
+    rare, one_id, hot = some[:3], some[3], some[4:30_004]
+    data = ([(i, "zorp quxly vint", "xx") for i in rare] + [(one_id, "mbolo ntaku", "yy")] * 400
+            + [(i, f"the word number w{'abcdefghij'[i % 10]}", "en") for i in hot])
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    model = O9.fit(docs, sample_docs=100)
+    assert model.langs == ["en", "xx", "yy"]
+    assert model.predict("quxly vint")[0] == "xx" and model.predict("mbolo")[0] == "yy" and model.predict("the word")[0] == "en"
+    assert math.exp(model.words["zorp"][1]) > 0.15          # all three rows, not one
+
+
 def test_marginals_against_all_taggings():
     rng = np.random.default_rng(3)
     moves, first = rng.normal(size=(2, 2)), 0.4
