@@ -2,10 +2,14 @@
 
 The fixed patterns give the base spans.  Two first-order character Markov
 models, one of random strings and one of ordinary identifiers, then score
-every other long token: a token whose mean log-likelihood ratio per character
-reaches the threshold becomes a ``markov`` span.  Both models are trained on
-labelled samples drawn from the corpus by Spark: values that a fixed pattern
-has marked are random strings, words free of any such value are identifiers.
+every other token of 8 and more characters, and the parts of tokens around
+base spans: one whose mean log-likelihood ratio per character reaches the
+threshold becomes a ``markov`` span.  The mean of few characters varies more,
+so the threshold rises below 20 characters, by the square root of the length.
+Both models are trained on labelled samples drawn from the corpus by Spark:
+values that a fixed pattern has marked are random strings, words free of any
+such value are identifiers.  A token without a letter is a number or a rule
+line, which neither model learns, and is not scored.
 
 Defined results: null text counts as empty; a text without a secret has zero
 counts, the digest of the empty string and no spans; spans are code points,
@@ -37,7 +41,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET)
 START = SIZE                                 # state before the first character
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")      # candidates for the models
+LEAST, FULL = 8, 20                          # shortest candidate; length from which the threshold holds as given
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)     # candidates for the models, as long as they go
 WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9_.-]{8,}(?![A-Za-z0-9+/_.=-])")
 
 
@@ -114,17 +119,16 @@ def fit(docs: DataFrame, text: str = "text") -> Markov:
 
 
 def find(text: str, model: Markov, threshold: float = 1.0) -> list[tuple[int, int, int]]:
-    """All spans of one text: the base ones, and tokens outside them whose
-    score reaches the threshold and that mix digits with letters or cases."""
+    """All spans of one text: the base ones, and the tokens and parts of
+    tokens outside them whose score reaches the threshold of their length."""
     spans = base_spans(text)
-    more = []
-    for m in TOKEN.finditer(text):
-        s, e, v = m.start(), m.end(), m[0]
-        if any(s < y and x < e for x, y, _ in spans):
-            continue
-        mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
-        if mixed and model.score(v) >= threshold:
-            more.append((s, e, 3))
+    more, at = [], 0
+    for x, y, _ in [*spans, (len(text), len(text), 0)]:
+        for m in TOKEN.finditer(text, at, x) if x > at else ():
+            v = m[0]
+            if any(map(str.isalpha, v)) and model.score(v) >= threshold * max(1.0, math.sqrt(FULL / len(v))):
+                more.append((m.start(), m.end(), 3))
+        at = max(at, y)
     return sorted(spans + more)
 
 

@@ -125,6 +125,23 @@ def test_secret_models(spark):
     assert op2_secrets.scan(empty(spark), op2_secrets.fit(empty(spark))).count() == 0
 
 
+def test_secret_tokens_of_any_kind(spark):
+    """Letters only, 16 to 19 characters, and the rest of a token around a base
+    span are scored; words, numbers and rule lines are not secrets."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = op2_secrets.fit(docs)
+    letters, short, head, tail = "qZxKvJwPmGhTrBnYcLdF", "Zq9x7Kp0Vw3TjR8m", "Xw9QzK7vRj2PgTbN", "ZkVq8XwJ3GpR"
+    hexes, key = "0123456789abcdef" * 2, "AKIA" + "QZ7XW4KJ9PVB"
+    for token in (letters, short, short + "w", letters.swapcase()):
+        assert op2_secrets.find(f"see {token} here", model) == [(4, 4 + len(token), 3)]
+    assert op2_secrets.find(f"a {head}{hexes}-{tail} b", model) == [(2, 18, 3), (18, 50, 2), (50, 63, 3)]
+    assert op2_secrets.find(f"{head}/{key}_{tail}", model) == [(0, 17, 3), (17, 33, 1), (33, 46, 3)]
+    for plain in ("internationalisation and otherwise", "-" * 40 + " 12345678901234567890", "my_password=hunter2hunter2"):
+        assert [k for *_, k in op2_secrets.find(plain, model) if k == 3] == []
+    planted = spark.createDataFrame([(f"a {head}{hexes}-{tail} b {letters}. {short}",)], "text string")
+    assert op2_secrets.redact(planted, model).first().text == "a " + "[SECRET]" * 3 + " b [SECRET]. [SECRET]"
+
+
 def test_secret_redaction(spark):
     docs = frame(spark)
     model = op2_secrets.fit(docs)
