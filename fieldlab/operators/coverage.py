@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlab import schema as S
+from fieldlab.operators.frames import point_id
 
 
 def date_bounds(df: DataFrame, col: str = "DateSampled") -> DataFrame:
@@ -32,10 +32,10 @@ def requested_pairs(spark: SparkSession, sites, params) -> DataFrame:
 def offered_pairs(options: DataFrame, sites, col: str = "WebParameter") -> DataFrame:
     """Every (Site, Parameter) of the selected sites and a frame of distinct
     options, with positions (options sorted).  The selection is exploded onto
-    the options, which never leave the cluster and are not cut.  Only the
-    distinct options are numbered in one window, not the data."""
-    numbered = options.select(F.col(col).alias("Parameter"),
-                              F.row_number().over(W.orderBy(col)).cast("int").alias("p_pos"))
+    the options, which never leave the cluster and are not cut.  The options
+    are numbered as ``point_id`` does: sorted by range, no window over them."""
+    numbered = (point_id(options.select(F.col(col).alias("Parameter")), ["Parameter"], "p_pos")
+                .withColumn("p_pos", F.col("p_pos").cast("int")))
     slist = F.array(*[F.struct(F.lit(i + 1).alias("s_pos"), F.lit(s).alias("Site"))
                       for i, s in enumerate(sites)]).cast("array<struct<s_pos: int, Site: string>>")
     return (numbered.select("Parameter", "p_pos", F.explode(slist).alias("_s"))

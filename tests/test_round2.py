@@ -26,6 +26,20 @@ def test_offered_pairs_are_not_cut(spark):
     assert {(r.Site, r.s_pos) for r in got.select("Site", "s_pos").distinct().collect()} == {("b", 1), ("a", 2)}
 
 
+def test_offered_pairs_are_numbered_in_many_tasks(spark):
+    options = spark.range(1500).select(F.format_string("P%05d", F.col("id") * 7 % 1500).alias("WebParameter"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = CV.offered_pairs(options, ["a"]).select("Parameter", "p_pos", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len({r.task for r in got}) > 1
+    assert [r.Parameter for r in sorted(got, key=lambda r: r.p_pos)] == [f"P{i:05d}" for i in range(1500)]
+    assert sorted(r.p_pos for r in got) == list(range(1, 1501))
+
+
 def test_empty_selections(spark):
     assert CV.requested_pairs(spark, ["a"], []).count() == 0
     none = spark.createDataFrame([], "x string")
