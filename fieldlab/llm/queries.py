@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fieldlab.llm import (op1_quality, op2_secrets, op3_substring, op4_simhash, op5_bpe, op6_toxicity, op7_licenses,
-                          op8_packing, op9_language, op10_exact)
+                          op8_packing, op9_language, op10_exact, op11_runs, op12_sentencepiece, op13_spelling)
 from fieldlab.llm.common import table
 from fieldlab.llm.sql import SQL  # noqa: F401
 
@@ -58,5 +58,26 @@ def op10(spark, sf_dir):
     return op10_exact.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11(spark, sf_dir):
+    found = op11_runs.detect(op11_runs.with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        milli.cast("long").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12(spark, sf_dir):
+    model = op12_sentencepiece.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return op12_sentencepiece.round_trip(table(spark, sf_dir, "documents"), model)
+
+
+def op13(spark, sf_dir):
+    words = op13_spelling.with_slips(op13_spelling.runs(table(spark, sf_dir, "documents")))
+    return op13_spelling.variants(op13_spelling.counts(words))
+
+
 QUERIES = {"op1_quality_rules": op1, "op2_secret_scan": op2, "op3_suffix_dedup": op3, "op4_simhash": op4, "op5_byte_bpe": op5,
-           "op6_toxicity": op6, "op7_license_scan": op7, "op8_packing": op8, "op9_language": op9, "op10_exact_dedup": op10}
+           "op6_toxicity": op6, "op7_license_scan": op7, "op8_packing": op8, "op9_language": op9, "op10_exact_dedup": op10,
+           "op11_period_runs": op11, "op12_sentencepiece": op12, "op13_spelling": op13}
