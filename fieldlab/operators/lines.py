@@ -14,20 +14,30 @@ bandwidths back to the dates on the series key, co-partitioned, so the
 grid-expanded rows are never sorted or shuffled.  The work per series is
 grid points x distinct dates, bounded by the calendar rather than by the
 number of rows.
+
+``loess_surface`` is the interpolated form of the same regression: fitted only
+at the vertices of each series' k-d tree, blended by cubics, with the exact
+degrees of freedom delta1^2 / delta2.  A series' dates (bounded by the
+calendar) go to one Arrow group; its work is vertices x dates.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlab import schema as S
+from fieldlab.functions import loess
 from fieldlab.functions.cleaning import days_since_epoch
 from fieldlab.functions.tdist import with_t_quantile
 from fieldlab.operators.trend import series_moments
 from fieldlab.session import checkpoint_dir
 
 SERIES_KEY = ["SiteParam"]
+_LINE = pa.list_(pa.struct([("i", pa.int32()), ("x", pa.float64()), ("yhat", pa.float64()), ("norm", pa.float64())]))
 
 
 def _keys(by):
@@ -257,3 +267,52 @@ def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float)
     return out.select(*keys, "i", "x", "yhat", "se",
                       (F.col("yhat") - F.col("tq") * F.col("se")).alias("lo"),
                       (F.col("yhat") + F.col("tq") * F.col("se")).alias("hi"), "df")
+
+
+def loess_surface(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN, points: int = S.LINE_POINTS,
+                  min_n: int = S.LOESS_MIN_N, band: bool = False, level: float = S.CONF_LEVEL,
+                  cell: float = loess.CELL, margin: float = loess.MARGIN, partitions: int | None = None) -> DataFrame:
+    """LOESS interpolated from k-d tree vertices (see ``functions.loess``), on
+    an even grid over the series' date range: keys, i, x, yhat (and se, lo, hi
+    and df = delta1^2 / delta2 with ``band``).  Rows need a result and a date;
+    a series has a line from ``min_n`` rows on.  Points between vertices
+    without a fit (fewer than three dates of positive weight) are NULL, and a
+    series with such a vertex has no band.
+
+    Rows are reduced to one per series and date with partial aggregation, then
+    dealt by series once."""
+    keys = _keys(by)
+    rows = (df.where(F.col("FinalResult").isNotNull() & F.col("DateSampled").isNotNull())
+            .select(*keys, days_since_epoch(F.col("DateSampled")).cast("double").alias("x"), F.col("FinalResult").alias("y")))
+    pts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy"),
+                                       F.sum(F.col("y") * F.col("y")).alias("syy"))
+    pts = pts.repartition(_partitions(df, partitions), *keys)
+    item = "array<struct<i:int,x:double,yhat:double,norm:double>>"
+    schema = T.StructType([pts.schema[k] for k in keys] + T._parse_datatype_string(
+        f"line {item}, s double, df double").fields)
+
+    def fit(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("x").to_numpy(), kind="stable")
+        x, c, sy, syy = (t.column(k).to_numpy()[order] for k in ("x", "c", "sy", "syy"))
+        names = [*keys, "line", "s", "df"]
+        if c.sum() < min_n:
+            return t.select(keys).slice(0, 0).append_column("line", pa.array([], _LINE)).append_column(
+                "s", pa.array([], pa.float64())).append_column("df", pa.array([], pa.float64()))
+        out = loess.surface(x, c, sy, syy, points, span, band, cell, margin)
+        none = lambda v: None if v is None or np.isnan(v) else float(v)
+        norm = out.get("norm", np.full(points, np.nan))
+        line = [{"i": i, "x": float(a), "yhat": none(b), "norm": none(n)} for i, (a, b, n) in enumerate(zip(out["x"], out["yhat"], norm))]
+        d1, d2 = out.get("delta1", np.nan), out.get("delta2", np.nan)
+        df_ = d1 * d1 / d2 if band and d1 > 0 and d2 > 0 else None
+        one = [t.column(k).slice(0, 1).combine_chunks() for k in keys]
+        return pa.Table.from_arrays(one + [pa.array([line], _LINE), pa.array([none(out.get("s"))], pa.float64()),
+                                           pa.array([none(df_)], pa.float64())], names=names)
+
+    per = pts.groupBy(*keys).applyInArrow(fit, schema)
+    if not band:
+        return per.select(*keys, F.explode("line").alias("p")).select(*keys, "p.i", "p.x", "p.yhat")
+    per = with_t_quantile(per, "df", "tq", level)
+    out = per.select(*keys, "s", "df", "tq", F.explode("line").alias("p"))
+    se = F.col("s") * F.col("p.norm")
+    return out.select(*keys, "p.i", "p.x", "p.yhat", se.alias("se"), (F.col("p.yhat") - F.col("tq") * se).alias("lo"),
+                      (F.col("p.yhat") + F.col("tq") * se).alias("hi"), "df")

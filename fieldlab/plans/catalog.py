@@ -1267,3 +1267,35 @@ def q_loess_line_dated(spark, sf_dir):
 @register("t1_display_table_dated", O.with_clean() + _DATED + "\n" + _DISPLAY_SQL.replace("FROM clean", "FROM dated"))
 def q_display_table_dated(spark, sf_dir):
     return FM.display_table(_dated(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Interpolated LOESS
+# ---------------------------------------------------------------------------
+
+_BAND_COLUMNS = ["x", "yhat", "se", "lo", "hi", "df"]
+
+
+@register("l3_loess_surface", O.loess_surface_sql())
+def q_loess_surface(spark, sf_dir):
+    return _round_cols(L.loess_surface(clean_all(spark, sf_dir)), ["x", "yhat"])
+
+
+@register("l3_loess_surface_hot", O.loess_surface_sql(hot=True))
+def q_loess_surface_hot(spark, sf_dir):
+    return _round_cols(L.loess_surface(clean_hot(spark, sf_dir)), ["x", "yhat"])
+
+
+@register("l3_loess_surface_by_param", O.loess_surface_sql(keys="WebParameter"))
+def q_loess_surface_by_param(spark, sf_dir):
+    return _round_cols(L.loess_surface(clean_all(spark, sf_dir), by="WebParameter"), ["x", "yhat"])
+
+
+@register("l4_loess_surface_band", O.loess_surface_band_sql())
+def q_loess_surface_band(spark, sf_dir):
+    return _round_cols(L.loess_surface(clean_all(spark, sf_dir), band=True), _BAND_COLUMNS)
+
+
+@register("l4_loess_surface_band_hot", O.loess_surface_band_sql(hot=True))
+def q_loess_surface_band_hot(spark, sf_dir):
+    return _round_cols(L.loess_surface(clean_hot(spark, sf_dir), band=True), _BAND_COLUMNS)

@@ -296,3 +296,101 @@ band AS (SELECT fk.{keys}, fk.i, fk.g, fk.yhat, per3.s * sqrt(greatest(fk.kn2, 0
     per3.delta1 AS df FROM fk LEFT JOIN per3 ON fk.{keys} = per3.{keys})
 SELECT {keys}, CAST(i AS INTEGER) AS i, round(g, 6) AS x, round(yhat, 6) AS yhat, round(se, 6) AS se,
   round(yhat - tq * se, 6) AS lo, round(yhat + tq * se, 6) AS hi, round(df, 6) AS df FROM band""")
+
+
+def loess_surface_cte(src: str = "clean", keys: str = "SiteParam", span: float = S.LOESS_SPAN, cell: float = 0.2,
+                      margin: float = 0.005, points: int = S.LINE_POINTS, min_n: int = S.LOESS_MIN_N) -> str:
+    """Interpolated LOESS: cells by recursion over (first rank, last rank), the
+    vertices, each vertex's regression as one row per (vertex, date), and the
+    blended line -> CTEs ``sop`` (regression coefficients), ``sfit`` (value and
+    slope of every vertex) and ``sline``."""
+    k = keys
+    det = "(S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S3 * S2) + S2 * (S1 * S3 - S2 * S2))"
+    sums = ", ".join(f"sum(w * c * pow(u, {p})) AS S{p}" for p in range(5))
+    blend = """CASE k WHEN 0 THEN pow(1 - t, 2) * (1 + 2 * t) WHEN 1 THEN t * t * (3 - 2 * t)
+      WHEN 2 THEN t * pow(1 - t, 2) * width ELSE -t * t * (1 - t) * width END"""
+    return f"""sp0 AS (SELECT {k}, {XDAYS} AS x, count(*) AS c, sum(FinalResult) AS sy, sum(FinalResult * FinalResult) AS syy
+  FROM {src} WHERE FinalResult IS NOT NULL AND DateSampled IS NOT NULL GROUP BY {k}, x),
+sp1 AS (SELECT *, CAST(sum(c) OVER (PARTITION BY {k}) AS BIGINT) AS N, min(x) OVER (PARTITION BY {k}) AS xmin,
+    max(x) OVER (PARTITION BY {k}) AS xmax FROM sp0),
+sp AS (SELECT *, CAST(sum(c) OVER (PARTITION BY {k} ORDER BY x) AS BIGINT) AS upto, lead(x) OVER (PARTITION BY {k} ORDER BY x) AS nx
+  FROM sp1 WHERE N >= {min_n}),
+sbox AS (SELECT DISTINCT {k}, N, xmin, xmax, xmin - mu AS lo, xmax + mu AS hi
+  FROM (SELECT *, {margin!r} * greatest(xmax - xmin, greatest(abs(xmin), abs(xmax)) * 1e-3 + 1e-30) AS mu FROM sp)),
+scell AS (SELECT {k}, N, 1::BIGINT AS l, N AS r, lo AS a, hi AS b FROM sbox
+  UNION ALL
+  SELECT {k}, N, CASE WHEN side = 0 THEN l ELSE g.cut + 1 END, CASE WHEN side = 0 THEN g.cut ELSE r END,
+    CASE WHEN side = 0 THEN a ELSE g.t END, CASE WHEN side = 0 THEN g.t ELSE b END
+  FROM (SELECT q.{k}, q.N, q.l, q.r, q.a, q.b,
+        arg_min({{'cut': sp.upto, 't': (sp.x + sp.nx) / 2.0}}, 2 * abs(sp.upto - (q.l + q.r) // 2) - CASE WHEN sp.upto > (q.l + q.r) // 2 THEN 1 ELSE 0 END) AS g
+      FROM scell q JOIN sp ON sp.{k} = q.{k} AND sp.upto >= q.l AND sp.upto < q.r
+      WHERE q.r - q.l + 1 > floor(q.N * {span!r} * {cell!r}) GROUP BY ALL) cut, (VALUES (0), (1)) s(side)),
+sver AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY v) AS vi FROM
+  (SELECT DISTINCT {k}, N, v FROM (SELECT {k}, N, a AS v FROM scell UNION ALL SELECT {k}, N, b FROM scell))),
+sint AS (SELECT * FROM (SELECT {k}, vi, v AS a, lead(v) OVER (PARTITION BY {k} ORDER BY vi) AS b FROM sver) WHERE b IS NOT NULL),
+sd0 AS (SELECT sver.{k}, sver.N, vi, v, x, c, sy, abs(x - v) AS dist,
+    CAST(sum(c) OVER (PARTITION BY sver.{k}, vi ORDER BY abs(x - v)) AS BIGINT) AS held FROM sver JOIN sp USING ({k})),
+sd1 AS (SELECT *, min(CASE WHEN held >= least(N, floor(N * {span!r} + 1e-5)) THEN dist END) OVER (PARTITION BY {k}, vi) AS h FROM sd0),
+sd2 AS (SELECT *, CASE WHEN dist < h THEN pow(1.0 - pow(dist / h, 3), 3) ELSE 0.0 END AS w,
+    CASE WHEN h > 0 THEN (x - v) / h ELSE x - v END AS u FROM sd1),
+ssum AS (SELECT *, {det} AS det, n_pos >= 3 AND abs({det}) > 1e-12 * pow(S0, 3) AS fit FROM
+  (SELECT {k}, vi, v, any_value(h) AS h, {sums}, sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) AS n_pos FROM sd2 GROUP BY ALL)),
+sop AS (SELECT d.{k}, d.vi, d.x, d.c, d.sy, s.fit, CASE WHEN s.fit THEN
+      d.w * ((S2 * S4 - S3 * S3) + (S3 * S2 - S1 * S4) * d.u + (S1 * S3 - S2 * S2) * d.u * d.u) / s.det END AS lv,
+    CASE WHEN s.fit THEN
+      d.w * ((S3 * S2 - S1 * S4) + (S0 * S4 - S2 * S2) * d.u + (S1 * S2 - S0 * S3) * d.u * d.u) / s.det / d.h END AS ls
+  FROM sd2 d JOIN ssum s ON d.{k} = s.{k} AND d.vi = s.vi),
+sfit AS (SELECT {k}, vi, sum(lv * sy) AS val, sum(ls * sy) AS slope FROM sop GROUP BY ALL),
+sgrid AS (SELECT {k}, i, xmin + i * (xmax - xmin) / {float(points - 1)!r} AS g FROM
+  (SELECT {k}, xmin, xmax, unnest(range(0, {points})) AS i FROM sbox)),
+sat AS (SELECT *, (pos - a) / (b - a) AS t, b - a AS width FROM
+  (SELECT {k}, 0 AS kind, i AS id, g AS pos FROM sgrid UNION ALL SELECT {k}, 1, x, x FROM sp) p JOIN sint USING ({k}) WHERE pos > a AND pos <= b),
+sbl AS (SELECT {k}, kind, id, pos, vi + k % 2 AS vi, k // 2 AS slope, {blend} AS e FROM sat, (VALUES (0), (1), (2), (3)) z(k)),
+sev AS (SELECT b.{k}, kind, id, any_value(pos) AS pos, CASE WHEN bool_and(val IS NOT NULL OR e = 0) THEN
+    sum(CASE WHEN e = 0 THEN 0 WHEN b.slope = 1 THEN e * f.slope ELSE e * val END) END AS y
+  FROM sbl b JOIN sfit f ON b.{k} = f.{k} AND b.vi = f.vi GROUP BY b.{k}, kind, id)"""
+
+
+def loess_surface_sql(keys: str = "SiteParam", hot: bool = False) -> str:
+    return recursive(with_clean(hot=hot) + ",\n" + loess_surface_cte(keys=keys) + f"""
+SELECT {keys}, CAST(id AS INTEGER) AS i, round(pos, 6) AS x, round(y, 6) AS yhat FROM sev WHERE kind = 0""")
+
+
+def loess_surface_band_sql(keys: str = "SiteParam", hot: bool = False) -> str:
+    """The band from the traces of L = E V, with the small matrices as tables
+    of (row, column, value) and their products as joins."""
+    k = keys
+
+    def product(a: str, b: str) -> str:
+        return (f"(SELECT l.{k}, l.i, r.j, sum(l.m * r.m) AS m FROM {a} l JOIN {b} r ON l.{k} = r.{k} AND l.j = r.i GROUP BY ALL)")
+
+    def trace(t: str) -> str:
+        return f"(SELECT {k}, sum(m) AS m FROM {t} WHERE i = j GROUP BY ALL)"
+
+    return recursive(with_clean(hot=hot) + ",\n" + loess_surface_cte(keys=keys) + f""",
+vop AS (SELECT {k}, vi * 2 AS i, x, c, lv AS m FROM sop UNION ALL SELECT {k}, vi * 2 + 1, x, c, ls FROM sop),
+eop AS (SELECT {k}, id AS x, vi * 2 + slope AS i, e AS m FROM sbl WHERE kind = 1),
+ma AS MATERIALIZED (SELECT p.{k}, p.i, q.i AS j, sum(p.m * q.m * sp.c) AS m FROM eop p JOIN eop q ON p.{k} = q.{k} AND p.x = q.x
+  JOIN sp ON sp.{k} = p.{k} AND sp.x = p.x GROUP BY ALL),
+mb AS MATERIALIZED (SELECT p.{k}, p.i, q.i AS j, sum(p.m * q.m * p.c) AS m FROM vop p JOIN vop q ON p.{k} = q.{k} AND p.x = q.x GROUP BY ALL),
+mc AS MATERIALIZED (SELECT p.{k}, p.i, q.i AS j, sum(p.m * q.m * p.c) AS m FROM vop p JOIN eop q ON p.{k} = q.{k} AND p.x = q.x GROUP BY ALL),
+mab AS MATERIALIZED {product('ma', 'mb')}, mac AS MATERIALIZED {product('ma', 'mc')},
+whole AS (SELECT {k}, bool_and(fit) AS fit FROM sop GROUP BY ALL),
+scale AS (SELECT whole.{k}, N - 2 * tc.m + tab.m AS delta1,
+    N - 4 * tc.m + 2 * tcc.m + 4 * tab.m + tabab.m - 4 * tacb.m AS delta2, rss FROM whole
+  JOIN (SELECT DISTINCT {k}, N FROM sbox) n USING ({k})
+  JOIN {trace('mc')} tc USING ({k}) JOIN {trace('mab')} tab USING ({k})
+  JOIN {trace(product('mc', 'mc'))} tcc USING ({k}) JOIN {trace(product('mab', 'mab'))} tabab USING ({k})
+  JOIN {trace(product('mac', 'mb'))} tacb USING ({k})
+  JOIN (SELECT sp.{k}, sum(syy - 2 * y * sy + c * y * y) AS rss FROM sp JOIN sev ON sev.kind = 1 AND sp.{k} = sev.{k} AND sp.x = sev.id
+        GROUP BY ALL) r USING ({k}) WHERE whole.fit),
+freedom AS (SELECT {k}, CASE WHEN delta1 > 0 THEN sqrt(greatest(rss, 0.0) / delta1) END AS s,
+    CASE WHEN delta1 > 0 AND delta2 > 0 THEN delta1 * delta1 / delta2 END AS df FROM scale),
+{quantile_cte("freedom")},
+norms AS (SELECT p.{k}, p.id, sqrt(greatest(sum(p.e * b.m * q.e), 0.0)) AS norm FROM sbl p
+  JOIN mb b ON b.{k} = p.{k} AND b.i = p.vi * 2 + p.slope
+  JOIN sbl q ON q.{k} = p.{k} AND q.kind = 0 AND q.id = p.id AND b.j = q.vi * 2 + q.slope WHERE p.kind = 0 GROUP BY ALL)
+SELECT sev.{k}, CAST(sev.id AS INTEGER) AS i, round(pos, 6) AS x, round(y, 6) AS yhat, round(s * norm, 6) AS se,
+  round(y - qtq * s * norm, 6) AS lo, round(y + qtq * s * norm, 6) AS hi, round(df, 6) AS df
+FROM sev LEFT JOIN freedom ON sev.{k} = freedom.{k} LEFT JOIN norms ON norms.{k} = sev.{k} AND norms.id = sev.id
+  LEFT JOIN qtab ON qtab.qdf = freedom.df WHERE sev.kind = 0""")

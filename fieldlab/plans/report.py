@@ -49,7 +49,7 @@ def selection_report(results: DataFrame, stations: DataFrame, sites, params, sta
         line = lines.linear_line(df, band=band)
         status = trend.stats_status(stats, "linear")
     else:
-        line = lines.loess_line(df, band=band)
+        line = lines.loess_surface(df, band=band)
         status = trend.stats_status(stats, "loess")
     return SelectionReport(
         clean=df, message=message, bounds=bounds, table=frames.display_table(df),
