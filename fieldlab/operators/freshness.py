@@ -22,9 +22,10 @@ def _epoch_micros(as_of) -> Column:
     return F.lit((delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds).cast("long")
 
 
-def date_coverage(df: DataFrame, col: str = "DateSampled") -> DataFrame:
-    """Min and max sample date of the table."""
-    return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"))
+def date_coverage(df: DataFrame, col: str = "DateSampled", last: str | None = None) -> DataFrame:
+    """Min and max sample date of the table; of a table of date ranges (the
+    store's zones) with the columns of their first and last dates."""
+    return df.agg(F.min(col).alias("min_date"), F.max(last or col).alias("max_date"))
 
 
 def staleness(df: DataFrame, as_of, col: str = "DateSampled") -> DataFrame:
@@ -63,10 +64,10 @@ def new_row_count(source: DataFrame, store: DataFrame, col: str = "DateSampled")
     return n.withColumn("has_new", F.col("n_new") > 0)
 
 
-def coverage_message(df: DataFrame, kind: str = "cached", col: str = "DateSampled") -> DataFrame:
+def coverage_message(df: DataFrame, kind: str = "cached", col: str = "DateSampled", last: str | None = None) -> DataFrame:
     """The coverage text: 'cached' prints ISO dates, 'reloaded' prints
     month-day-year dates (with the original's spacing)."""
-    cov = date_coverage(df, col)
+    cov = date_coverage(df, col, last)
     if kind == "cached":
         msg = F.concat_ws(" ", F.lit(S.MSG_CACHED), F.date_format("min_date", "yyyy-MM-dd"),
                           F.lit("and"), F.date_format("max_date", "yyyy-MM-dd"))

@@ -57,7 +57,13 @@ def linear_line(df: DataFrame, by=SERIES_KEY, points: int = S.LINE_POINTS, band:
     at least 8 rows); the older tabs used all points: ``measured_only=False,
     min_n=2``."""
     keys = _keys(by)
-    m = series_moments(df, keys, min_n, measured_only)
+    return line_from_moments(series_moments(df, keys, min_n, measured_only), keys, points, band, level)
+
+
+def line_from_moments(m: DataFrame, by=SERIES_KEY, points: int = S.LINE_POINTS, band: bool = False,
+                      level: float = S.CONF_LEVEL) -> DataFrame:
+    """``linear_line`` from regression sums per series."""
+    keys = _keys(by)
     m = m.withColumn("b1", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")))
     extra = []
     if band:                     # once per series, before the grid multiplies the rows

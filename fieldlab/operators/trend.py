@@ -82,8 +82,17 @@ def linear_stats(df: DataFrame, min_n: int = S.MIN_MODEL_N, measured_only: bool
                  keys=SERIES) -> DataFrame:
     """Site, Parameter, N, R_squared, p_value per series with >= ``min_n``
     measured rows (x = days since 1970-01-01, y = result)."""
+    return stats_from_moments(series_moments(df, keys, min_n, measured_only), keys=keys)
+
+
+def stats_from_moments(m: DataFrame, min_n: int = 0, keys=SERIES) -> DataFrame:
+    """``linear_stats`` from regression sums per series, such as those kept
+    with the store (``sources.store.moments``)."""
     keys = list(keys)
-    m = series_moments(df, keys, min_n, measured_only).withColumn("R_squared", _r2_expr())
+    if "_r2" not in m.columns:
+        m = m.where(F.col("N") >= min_n).withColumn(
+            "_r2", F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("syy"))))
+    m = m.withColumn("R_squared", _r2_expr())
     out = m.select(*keys, F.col("N"), F.col("R_squared"),
                    slope_p_value(F.col("R_squared"), F.col("n_fit")).alias("p_value"))
     if keys == SERIES:

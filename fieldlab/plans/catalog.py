@@ -36,6 +36,7 @@ from fieldlab.operators.keys import align_columns, dates_as_text
 from fieldlab.operators.select import RAW_COLUMNS, filter_dates, has_rows, with_station
 from fieldlab.session import checkpoint_dir
 from fieldlab.sources import sinks
+from fieldlab.sources import store as store_loads
 from fieldlab.sources import tables as TB
 from fieldlab.sources.refresh import refresh
 from fieldlab.streaming.ingest import stream_ingest
@@ -1002,7 +1003,7 @@ _EVENT_SELECT = "SamplingPoint, DateSampled, WebParameter, WebResult, Qualifier,
                 "CAST(year(DateSampled) AS INTEGER) AS sample_year"
 
 
-def _stream_run(spark, sf_dir, repeat_share: bool, dedup, table: str = "results", dedup_days=None):
+def _stream_run(spark, sf_dir, repeat_share: bool, dedup, table: str = "results", dedup_days=None, merge: bool = False):
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     landing, store, ckpt = f"{base}/landing", f"{base}/store", f"{base}/checkpoint"
     ev = fixtures.event_results(spark, sf_dir)
@@ -1018,7 +1019,9 @@ def _stream_run(spark, sf_dir, repeat_share: bool, dedup, table: str = "results"
     q.awaitTermination()
     if table == "stations":
         return spark.read.parquet(sinks.stations_path(store))
-    return spark.read.parquet(sinks.results_path(store)).select(*_STORE_KEYS)
+    if merge:
+        store_loads.merge_loads(spark, store, "all")
+    return TB.load_store(spark, store).select(*_STORE_KEYS)
 
 
 @register("x1_stream_ingest", "WITH " + _EVENTS_SQL + f"\nSELECT {_EVENT_SELECT} FROM ev")
@@ -1027,16 +1030,39 @@ def q_stream_ingest(spark, sf_dir):
     return _stream_run(spark, sf_dir, repeat_share=False, dedup=None)
 
 
+@register("x1_stream_merged", SQL["x1_stream_ingest"])
+def q_stream_merged(spark, sf_dir):
+    # The micro-batches' folders merged into one load that replaces them.
+    return _stream_run(spark, sf_dir, repeat_share=False, dedup=None, merge=True)
+
+
 @register("x2_stream_dedup", "WITH " + _EVENTS_SQL + f"\nSELECT DISTINCT {_EVENT_SELECT} FROM ev")
 def q_stream_dedup(spark, sf_dir):
     # The same rows arrive twice; exact de-duplication against the store.
     return _stream_run(spark, sf_dir, repeat_share=True, dedup="store")
 
 
-@register("x2_stream_dedup_watermark", "WITH " + _EVENTS_SQL + f"\nSELECT DISTINCT {_EVENT_SELECT} FROM ev")
+@register("x2_stream_dedup_watermark", "WITH " + _EVENTS_SQL + f"""
+SELECT DISTINCT {_EVENT_SELECT} FROM ev WHERE DateSampled > DATE '2024-01-02'""")
 def q_stream_dedup_watermark(spark, sf_dir):
-    # The same rows arrive twice, within the bound of the watermark.
-    return _stream_run(spark, sf_dir, repeat_share=True, dedup=None, dedup_days=3650)
+    # Four scheduled runs of one stream.  The last brings everything again:
+    # rows within 15 days of the newest date are known repeats, older repeats
+    # and the first two days (which come for the first time) are too late.
+    base = _scratch(spark, "stream")
+    store = f"{base}/store"
+    ev = fixtures.event_results(spark, sf_dir)
+    day = F.col("DateSampled")
+    chunks = [ev.where(day.between("2024-01-03", "2024-01-10")), ev.where(day.between("2024-01-11", "2024-01-20")),
+              ev.where(day > "2024-01-20"), ev]
+    dropped = 0
+    for k, c in enumerate(chunks):
+        c.write.parquet(f"{base}/landing/part{k}")
+        q = stream_ingest(spark, f"{base}/landing/*", store, f"{base}/checkpoint", dedup_days=15)
+        q.awaitTermination()
+        dropped += sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
+    if not dropped:
+        raise RuntimeError("the watermark dropped no late row")
+    return TB.load_store(spark, store).select(*_STORE_KEYS)
 
 
 # ---------------------------------------------------------------------------
@@ -1121,6 +1147,10 @@ def q_refresh_cycle(spark, sf_dir):
     # No store: full load of what the source had at the cut date.  Later the
     # store is stale: rows after the stored maximum are appended.  The store
     # is then read back (S3).
+    return TB.load_store(spark, _refreshed(spark, sf_dir)).drop("ingest_batch")
+
+
+def _refreshed(spark, sf_dir) -> str:
     store = _scratch(spark, "refresh")
     raw = fixtures.results(spark, sf_dir).withColumnRenamed("SamplingPoint", "StationID")
     stations = fixtures.stations(spark, sf_dir)
@@ -1129,7 +1159,7 @@ def q_refresh_cycle(spark, sf_dir):
     second = refresh(spark, lambda: (raw, stations), store, "2002-01-01 00:00:00")
     if (first.action, second.action) != ("full_load", "appended"):
         raise RuntimeError(f"unexpected refresh actions: {first.action}, {second.action}")
-    return TB.load_store(spark, store).drop("ingest_batch")
+    return store
 
 
 @register("x3_stream_stations", _ALL_STATIONS_SQL)
@@ -1299,3 +1329,37 @@ def q_loess_surface_band(spark, sf_dir):
 @register("l4_loess_surface_band_hot", O.loess_surface_band_sql(hot=True))
 def q_loess_surface_band_hot(spark, sf_dir):
     return _round_cols(L.loess_surface(clean_hot(spark, sf_dir), band=True), _BAND_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# Answers from what the store keeps beside its loads (after a full load and
+# an increment): no results are read
+# ---------------------------------------------------------------------------
+
+
+@register("a7_stats_table_moments", SQL["a7_stats_table"])
+def q_stats_table_moments(spark, sf_dir):
+    kept = store_loads.moments(spark, _refreshed(spark, sf_dir))
+    return trend.stats_table(trend.stats_from_moments(kept, min_n=S.MIN_MODEL_N))
+
+
+@register("l2_linear_band_moments", SQL["l2_linear_band"])
+def q_linear_band_moments(spark, sf_dir):
+    kept = store_loads.moments(spark, _refreshed(spark, sf_dir)).withColumn("SiteParam", CF.series_key())
+    line = L.line_from_moments(kept.where(F.col("N") >= S.MIN_MODEL_N), band=True)
+    return _round_cols(line, ["x", "yhat", "lo", "hi"])
+
+
+@register("f1_date_coverage_zones", SQL["f1_date_coverage"])
+def q_date_coverage_zones(spark, sf_dir):
+    return FR.date_coverage(store_loads.zones(spark, _refreshed(spark, sf_dir)), "min_date", "max_date")
+
+
+@register("f3_is_fresh_zones", SQL["f3_is_fresh"])
+def q_is_fresh_zones(spark, sf_dir):
+    return FR.is_fresh(store_loads.zones(spark, _refreshed(spark, sf_dir)), AS_OF, col="max_date")
+
+
+@register("f6_coverage_message_zones", SQL["f6_coverage_message_reloaded"])
+def q_coverage_zones(spark, sf_dir):
+    return FR.coverage_message(store_loads.zones(spark, _refreshed(spark, sf_dir)), "reloaded", "min_date", "max_date")

@@ -4,7 +4,8 @@ Decision, as in the studied application: when the newest stored sample is
 younger than ``ttl_days`` the store is used as it is; otherwise rows newer
 than the stored maximum date are read from the source and appended (or,
 without a store, everything is loaded), and the stations table is
-replaced.  Keys are trimmed and dates typed at ingest, so later site and
+replaced.  Dates come from the store's zones (a row per load and year), not
+from the results.  Keys are trimmed and dates typed at ingest, so later site and
 date filters reach the Parquet scan.
 
 Deliberate differences: stations are replaced on every refresh (not only
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from fieldlab import schema as S
 from fieldlab.operators.freshness import coverage_message, staleness
 from fieldlab.sources import sinks
-from fieldlab.sources.tables import newest_partition, read_since
+from fieldlab.sources import store as ST
+from fieldlab.sources.tables import read_since
 
 DEDUP_KEYS = ["SamplingPoint", "WebParameter", "DateSampled", "WebResult", "Qualifier",
               "RelativeDepthSample"]
@@ -62,6 +64,11 @@ def _tag(as_of) -> str:
     return ts.strftime("%Y%m%dT%H%M%S")
 
 
+def _coverage(spark: SparkSession, store: str, kind: str) -> str | None:
+    """The coverage text, from the store's zones."""
+    return coverage_message(ST.zones(spark, store), kind, "min_date", "max_date").first()["message"]
+
+
 def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame]], store: str,
             as_of, ttl_days: float = S.REFRESH_TTL_DAYS, lookback_days: int = 0,
             dedup: bool = False) -> RefreshReport:
@@ -77,16 +84,13 @@ def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame
     tag = f"inc-{_tag(as_of)}"
     age = wm = None
     if have_store:
-        st = staleness(newest_partition(spark.read.parquet(rpath)), as_of).first()
-        age = st["age_days"]
+        age = staleness(ST.zones(spark, store), as_of, "max_date").first()["age_days"]
         if age is not None and age < ttl_days:
-            msg = coverage_message(spark.read.parquet(rpath), "cached").first()["message"]
-            return RefreshReport("cached", 0, age, msg)
+            return RefreshReport("cached", 0, age, _coverage(spark, store, "cached"))
         # The watermark ignores this load's own folder: a retried load then
         # recomputes the same increment and overwrites it, never losing rows.
-        own = spark.read.parquet(rpath)
-        wm = (newest_partition(own, exclude_batches=(tag,))
-              .agg(F.max("DateSampled").alias("wm")).first()["wm"])
+        others = [t for t in ST.loads(spark, store) if t != tag]
+        wm = ST.zones(spark, store, exclude=(tag,)).agg(F.max("max_date").alias("wm")).first()["wm"] if others else None
     try:
         results, stations = source()
         for frame in (results, stations):
@@ -94,12 +98,11 @@ def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame
     except Exception as e:  # noqa: BLE001 - any source failure means: use the store
         if not have_store:
             raise
-        msg = coverage_message(spark.read.parquet(rpath), "cached").first()["message"]
-        return RefreshReport("fallback", 0, age, msg, f"{type(e).__name__}: {e}")
+        return RefreshReport("fallback", 0, age, _coverage(spark, store, "cached"), f"{type(e).__name__}: {e}")
     if have_store:
         new = sinks.prepare_results(read_since(results, wm, lookback_days))
         if lookback_days > 0 or dedup:
-            stored = spark.read.parquet(rpath).where(F.col("ingest_batch") != tag)
+            stored = ST.read_results(spark, store).where(F.col("ingest_batch") != tag)
             new = unseen_rows(stored, new, wm, lookback_days, dedup)
         n = sinks.write_results(new, store, tag)
         action = "appended" if n > 0 else "no_new_data"
@@ -107,5 +110,4 @@ def refresh(spark: SparkSession, source: Callable[[], tuple[DataFrame, DataFrame
         n = sinks.write_results(sinks.prepare_results(results), store, "full")
         action = "full_load"
     sinks.overwrite(sinks.prepare_stations(stations), sinks.stations_path(store))
-    msg = coverage_message(spark.read.parquet(rpath), "reloaded").first()["message"]
-    return RefreshReport(action, int(n), age, msg)
+    return RefreshReport(action, int(n), age, _coverage(spark, store, "reloaded"))

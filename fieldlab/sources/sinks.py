@@ -4,6 +4,7 @@ Store layout::
 
     <store>/results/ingest_batch=<tag>/sample_year=<yyyy>/part-*.parquet
     <store>/stations/part-*.parquet
+    <store>/zones, moments, merges: see sources.store
 
 Every load (full load, increment, streaming micro-batch) writes its own
 ``ingest_batch`` folder with overwrite semantics, so a retried load or a
@@ -15,6 +16,7 @@ min/max statistics make site and parameter filters skip row groups.
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -23,10 +25,13 @@ from pyspark.sql import types as T
 
 from fieldlab.functions.cleaning import to_sample_date
 from fieldlab.operators.keys import align_columns, trim_keys
+from fieldlab.sources import files
 from fieldlab import schema as S
 
 RESULTS = "results"
 STATIONS = "stations"
+ZONES = "zones"
+MOMENTS = "moments"
 
 
 def results_path(store: str) -> str:
@@ -70,12 +75,19 @@ def _clustered(df: DataFrame, partitions: int | None) -> DataFrame:
     return out.sortWithinPartitions(*keys)
 
 
+def forget(spark: SparkSession, store: str, tag: str) -> None:
+    """Remove what the store keeps about a load (see ``sources.store``)."""
+    for what in (ZONES, MOMENTS):
+        files.remove(spark, f"{store.rstrip('/')}/{what}/ingest_batch={tag}")
+
+
 def write_results(df: DataFrame, store: str, tag: str, partitions: int | None = None) -> int:
     """Write prepared results as load ``tag`` (replacing that load's files
     if it was written before); returns the number of rows written, counted
     during the write itself (no second pass).  The count sits above the
     range exchange, so the boundary-sampling job does not add to it."""
     out = f"{results_path(store)}/ingest_batch={tag}"
+    forget(df.sparkSession, store, tag)
     obs = Observation(f"write-{tag}")
     clustered = _clustered(df.drop("ingest_batch"), partitions)
     clustered.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite") \
@@ -84,11 +96,17 @@ def write_results(df: DataFrame, store: str, tag: str, partitions: int | None =
 
 
 def overwrite(df: DataFrame, path: str, partition_by=None) -> None:
-    """Replace a table."""
-    w = df.write.mode("overwrite")
+    """Replace a table: the new one is written beside the old one, then takes
+    its place, so a failed write leaves the old table (and the new one may
+    read from it)."""
+    spark = df.sparkSession
+    files.recover(spark, path)
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    w = df.write
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-    w.parquet(path)
+    w.parquet(beside)
+    files.replace(spark, beside, path)
 
 
 def align_to(df: DataFrame, target_schema: T.StructType) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fieldlab import schema as S
 from fieldlab.operators.keys import align_columns
+from fieldlab.sources.files import recover
 
 
 def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -98,7 +99,12 @@ def newest_partition(df: DataFrame, col: str = "sample_year", exclude_batches=()
 
 
 def load_store(spark: SparkSession, store: str, table: str = "results") -> DataFrame:
-    """Read a table of the local store (Parquet folder ``store/table``)."""
+    """Read a table of the local store (Parquet folder ``store/table``); of the
+    results, the loads that count (see ``sources.store``)."""
+    if table == "results":
+        from fieldlab.sources.store import read_results
+        return read_results(spark, store)
+    recover(spark, f"{store.rstrip('/')}/{table}")
     return read_parquet(spark, f"{store.rstrip('/')}/{table}")
 
 

@@ -19,6 +19,9 @@ Optional de-duplication, two ways:
   watermark of N days bounds the state and ``dropDuplicatesWithinWatermark``
   drops repeats arriving within that delay.  Spark discards rows older than
   the watermark, so use it only when lateness is bounded by N days.
+
+Every micro-batch adds a folder; ``sources.store.merge_loads`` merges them
+while the stream goes on.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import types as T
 
 from fieldlab import schema as S
 from fieldlab.sources import sinks
+from fieldlab.sources import store as ST
 
 DEDUP_KEYS = ["SamplingPoint", "WebParameter", "DateSampled", "WebResult", "Qualifier",
               "RelativeDepthSample"]
@@ -76,7 +80,7 @@ def drop_stored(batch: DataFrame, store: str, own_tag: str | None = None) -> Dat
     # own conjunct, so the store's other year folders are pruned.
     b = batch.agg(F.min("DateSampled").alias("lo"), F.max("DateSampled").alias("hi"),
                   F.collect_set("sample_year").alias("years")).first()
-    stored = spark.read.parquet(rpath)
+    stored = ST.read_results(spark, store)
     if own_tag is not None:
         stored = stored.where(F.col("ingest_batch") != own_tag)
     in_range = F.col("DateSampled").isNull()
