@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from fieldlab import schema as S
 from fieldlab.functions import cleaning as C
-from fieldlab.operators.frames import point_id
+from fieldlab.operators.order import number_options
 from fieldlab.operators.joins import bounded_broadcast
 from fieldlab.operators.keys import align_columns
 
@@ -108,6 +108,6 @@ def factor_code(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     window, whatever the column's cardinality) and joined back; the level
     table is broadcast when its size check passes."""
     out = out or f"{col}_code"
-    levels = point_id(df.select(col).where(F.col(col).isNotNull()).distinct(), order=[col], out=out)
+    levels = number_options(df.select(col).where(F.col(col).isNotNull()).distinct(), order=[col], out=out)
     levels = levels.withColumn(out, F.col(out).cast("int"))
     return df.join(bounded_broadcast(levels), col, "left")

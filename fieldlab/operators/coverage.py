@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlab import schema as S
-from fieldlab.operators.frames import point_id
+from fieldlab.operators.order import number_options
 
 
 def date_bounds(df: DataFrame, col: str = "DateSampled") -> DataFrame:
@@ -33,8 +33,8 @@ def offered_pairs(options: DataFrame, sites, col: str = "WebParameter") -> DataF
     """Every (Site, Parameter) of the selected sites and a frame of distinct
     options, with positions (options sorted).  The selection is exploded onto
     the options, which never leave the cluster and are not cut.  The options
-    are numbered as ``point_id`` does: sorted by range, no window over them."""
-    numbered = (point_id(options.select(F.col(col).alias("Parameter")), ["Parameter"], "p_pos")
+    are numbered by ``number_options``: sorted by range, no window over them."""
+    numbered = (number_options(options.select(F.col(col).alias("Parameter")), ["Parameter"], "p_pos")
                 .withColumn("p_pos", F.col("p_pos").cast("int")))
     slist = F.array(*[F.struct(F.lit(i + 1).alias("s_pos"), F.lit(s).alias("Site"))
                       for i, s in enumerate(sites)]).cast("array<struct<s_pos: int, Site: string>>")

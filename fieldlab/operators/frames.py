@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlab import schema as S
 from fieldlab.functions.cleaning import date_text, na_text, number_text
-from fieldlab.session import checkpoint_dir
+from fieldlab.operators.order import OrderIndex, number_rows
 
 CLEAN_ORDER = ["SamplingPoint", "WebParameter", "DateSampled", "FinalResult", "Qualifiers",
                "RelativeDepthComments", "DL", "Description"]
@@ -52,27 +52,10 @@ def has_depth(df: DataFrame, profile: str = "current") -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(cond), F.lit(False)).alias("use_size"))
 
 
-def point_id(df: DataFrame, order=CLEAN_ORDER, out: str = "point_id") -> DataFrame:
-    """Consecutive 1..N row id in a total order, without a global window.
-
-    The frame is range-partitioned and sorted, tagged with
-    ``monotonically_increasing_id`` (partition index in the high bits) and
-    checkpointed to the shared checkpoint folder so both passes see the same
-    rows; per-partition counts (one row per partition) give the offsets."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    order = [c for c in order if c in df.columns]
-    tagged = (df.orderBy(*[F.col(c).asc_nulls_first() for c in order])
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    pid = F.shiftright(F.col("_mid"), 33)
-    counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return (tagged.join(F.broadcast(offsets), pid == F.col("_pid"), "inner")
-            .withColumn(out, F.col("_off") + local + 1)
-            .drop("_mid", "_pid", "_off"))
+def point_id(df: DataFrame, order=CLEAN_ORDER, out: str = "point_id", index: OrderIndex | None = None) -> DataFrame:
+    """Consecutive 1..N row id in a total order: each range of the order index
+    is numbered on its own (see ``operators.order``); nothing is stored."""
+    return number_rows(df, [c for c in order if c in df.columns], out, index)
 
 
 def value_range(df: DataFrame, pad: float = S.RANGE_PAD, col: str = "FinalResult") -> DataFrame:
@@ -94,7 +77,8 @@ def display_table(df: DataFrame) -> DataFrame:
 
 def page(df: DataFrame, n: int, size: int = S.PAGE_SIZE, order=None) -> DataFrame:
     """Page ``n`` (0-based) of ``size`` rows in a total order (all columns
-    by default): a top-k sort, not a full one."""
+    by default): a top-k sort, not a full one, for pages near the start;
+    ``order.page_at`` reads any page from an order index."""
     order = list(order or df.columns)
     return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).offset(n * size).limit(size)
 
@@ -155,8 +139,8 @@ def points_frame(df: DataFrame, facet: str | None = None, profile: str = "curren
     if facet is None:
         facet = default_facet(df).first()["facet"]
     use_size = has_depth(df, profile).first()["use_size"]
-    out = facet_columns(df, facet).withColumn("group", F.col("SiteParam"))
+    out = facet_columns(point_id(df), facet).withColumn("group", F.col("SiteParam"))
     out = shape_code(out, profile)
     out = size_code(out, profile) if use_size else out.withColumn("size", F.lit(2.5))
     out = point_label(out, profile)
-    return point_id(out)
+    return out.select(*[c for c in out.columns if c != "point_id"], "point_id")

@@ -30,6 +30,7 @@ from fieldlab.operators import directory as D
 from fieldlab.operators import frames as FM
 from fieldlab.operators import freshness as FR
 from fieldlab.operators import lines as L
+from fieldlab.operators import order as OR
 from fieldlab.operators.clean import drop_unparsed, factor_code
 from fieldlab.operators.joins import values_frame
 from fieldlab.operators.keys import align_columns, dates_as_text
@@ -650,6 +651,23 @@ def q_page_v1(spark, sf_dir):
     return FM.page(FM.display_table(clean_all(spark, sf_dir, "v1")), 0, S.PAGE_SIZE_V1)
 
 
+@register("t2_page_last", O.with_clean() + ",\ndisp AS (" + _DISPLAY_SQL + f""")
+SELECT * FROM disp ORDER BY ALL NULLS FIRST OFFSET (SELECT (count(*) - 1) // {S.PAGE_SIZE} * {S.PAGE_SIZE} FROM disp)""")
+def q_page_last(spark, sf_dir):
+    # The last page by the order index: only the last range is ordered.
+    disp = FM.display_table(clean_all(spark, sf_dir))
+    index = OR.build_index(disp, rows_per_range=2_000)
+    return OR.page_at(disp, index, index.pages(S.PAGE_SIZE) - 1, S.PAGE_SIZE)
+
+
+@register("t2_page_middle_hot", O.with_clean(hot=True) + ",\ndisp AS (" + _DISPLAY_SQL + f""")
+SELECT * FROM disp ORDER BY ALL NULLS FIRST LIMIT {S.PAGE_SIZE} OFFSET (SELECT count(*) // {2 * S.PAGE_SIZE} * {S.PAGE_SIZE} FROM disp)""")
+def q_page_middle_hot(spark, sf_dir):
+    disp = FM.display_table(clean_hot(spark, sf_dir))
+    index = OR.build_index(disp, rows_per_range=2_000)
+    return OR.page_at(disp, index, index.rows // (2 * S.PAGE_SIZE), S.PAGE_SIZE)
+
+
 def _label_sql(profile: str) -> str:
     nn = "coalesce({}, 'NA')"
     site, param = nn.format("SamplingPoint"), nn.format("WebParameter")
