@@ -34,7 +34,7 @@ def test_language_equals_plain_form_and_backs_off(spark):
     want = [(r[0], held_out(r[0]), *model.predict(r[1] or "")) for r in rows()]
     key = lambda x: (x[0], x[1], x[2], round(x[3], 6))
     assert multiset(map(key, map(tuple, got))) == multiset(map(key, want))
-    m = O9.Model(["de", "en"], {"the": {"en": 9}, "der": {"de": 9}}, {"^": {"de": 1, "en": 1}, "sch": {"de": 5}, "th": {"en": 3}}, 3)
+    m = O9.Model.of(["de", "en"], {"the": {"en": 9}, "der": {"de": 9}}, {"^": {"de": 1, "en": 1}, "sch": {"de": 5}, "th": {"en": 3}}, 3)
     assert m.predict("schuh")[0] == "de" and m.predict("ath")[0] == "en" and m.predict("the schuh the")[0] == "en"
     assert m.predict("")[0] == m.predict("123 !")[0] == "und"
 
@@ -47,11 +47,57 @@ def test_language_without_rows(spark):
 
 def test_language_sample_is_bounded(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
-    model = O9.fit(docs, sample_docs=100, max_words=300, max_grams=200)
-    got = {r.doc_id: r.lang_pred for r in O9.identify(docs, model).collect()}
-    assert len(model.words) <= 4 * 700
+    small, usual = O9.fit(docs, sample_docs=10), O9.fit(docs)
+    assert 2 * small.nbytes() < usual.nbytes() < 60 << 20
+    got = {r.doc_id: r.lang_pred for r in O9.identify(docs, small).collect()}
     tested = [got[r.doc_id] == r.lang for r in docs.collect() if held_out(r.doc_id) and r.lang]
     assert sum(tested) / len(tested) > 0.9
+    assert len(O9.fit(docs, max_langs=2).langs) == 2
+
+
+def test_language_with_rare_words_only_stays(spark):
+    """A language whose words all occur once is learned like any other, and so
+    is one whose rows hold no word."""
+    some = [i for i in range(400) if not held_out(i)]
+    rare = ["".join("abcdefgh"[(k // 8 ** p) % 8] for p in range(4)) for k in range(33_000)]
+    data = [(i, " ".join(["the", "and", "of"] * 30), "a") for i in some[:30]]
+    data += [(i, " ".join(rare[1_100 * k:1_100 * (k + 1)]), "b") for k, i in enumerate(some[30:60])]
+    data += [(some[60], "12 ²½", "c")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = O9.fit(docs)
+    assert model.langs == ["a", "b", "c"]
+    got = {r.doc_id: r.lang_pred for r in O9.identify(docs, model).collect()}
+    assert all(got[i] == x for i, _, x in data[:60]) and got[some[60]] == "und"
+
+
+def test_language_letters_only(spark):
+    texts = ["²½①Ⅷ 12 _ !", "½a½", None, "", "İ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = O9.Model.of(["x", "y"], {"a": {"y": 3}}, {}, 0)
+    got = {r.doc_id: r.lang_pred for r in O9.identify(docs, m).collect()}
+    assert got == {0: "und", 1: "y", 2: "und", 3: "und", 4: "x"}
+
+
+def test_language_hashes_are_those_of_spark(spark):
+    keys = ["", "a", "^é$", "ß" * 40, "語"]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").selectExpr("xxhash64(k) h").collect()
+    assert [r.h for r in got] == O9.hashes(keys).tolist()
+
+
+def test_language_ties_go_to_the_smaller_name(spark):
+    m = O9.Model.of(["x", "y", "z"], {"a": {"z": 2, "y": 2}}, {}, 0)
+    docs = spark.createDataFrame([(1, "a a"), (2, "unknown")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in O9.identify(docs, m).collect()} == {1: "y", 2: "x"}
+
+
+def test_language_long_text_in_blocks(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = O9.fit(docs)
+    text = " ".join(r.text or "" for r in docs.where("lang is not null").limit(300).collect())
+    assert len(text) > 3 * O9.CHUNK
+    got = O9.identify(spark.createDataFrame([(1, text), (2, "the")], "doc_id long, text string"), model).collect()
+    want = model.predict(text)
+    assert [(r.lang_pred, round(r.score, 6)) for r in got if r.doc_id == 1] == [(want[0], round(want[1], 6))]
 
 
 def test_language_rare_and_hot(spark):
@@ -66,7 +112,7 @@ def test_language_rare_and_hot(spark):
     model = O9.fit(docs, sample_docs=100)
     assert model.langs == ["en", "xx", "yy"]
     assert model.predict("quxly vint")[0] == "xx" and model.predict("mbolo")[0] == "yy" and model.predict("the word")[0] == "en"
-    assert math.exp(model.words["zorp"][1]) > 0.15          # all three rows, not one
+    assert math.exp(model.scores(["zorp"])[0][1]) > 0.15          # all three rows, not one
 
 
 def test_marginals_against_all_taggings():
