@@ -30,6 +30,26 @@ def test_every_vocabulary_entry_is_one_token():
     assert CODEC.tokens == [t for t, _ in sorted(RANKS.items(), key=lambda x: x[1])]
 
 
+def test_ids_of_long_white_space():
+    """Runs that the ranked form's pattern engine cannot take go the other way."""
+    assert IDS.ranked is not None
+    for text in ("a" + " " * 1_500_000 + "b", "\n\t" * 600_000, "é" * 100_000):
+        want = TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert IDS([text])[0] == np.array(want, "<u4").tobytes()
+
+
+def test_tokenizers_without_a_ranked_form():
+    import json
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        assert O8.ranked(json.dumps(json.loads(JSON) | change), P.PATTERN) is None
+    spec = json.loads(JSON)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    assert O8.ranked(json.dumps(spec), P.PATTERN) is None and O8.ranked(JSON, r"\S+|\s+") is None
+    slow = O8.Ids(JSON, P.PATTERN)
+    slow.ranked = None
+    assert slow(texts()[1:]) == IDS(texts()[1:])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(blacklist_categories=["Cs"]), st.sampled_from(" \n\t'santer")), max_size=60))
 def test_any_text(text):
