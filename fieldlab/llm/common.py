@@ -6,6 +6,8 @@ import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def may_hold(keys: DataFrame, column: str, most_bits: int = 1 << 29) -> Callable[[Column], Column]:
+    """A test whether a long column may hold one of the ``keys`` (true for all
+    of them, false for most others), to leave rows out of a shuffle.  One bit
+    per hash of a key, about 16 bits a key and never more than ``most_bits``
+    (64 MB): with very many keys it lets more rows through, never fewer."""
+    spark = keys.sparkSession
+    importable(spark)
+    bits = 1 << 10
+    while bits < min(16 * keys.count(), most_bits):
+        bits *= 2
+    place = F.pmod(F.col(column), F.lit(bits))
+    words = (keys.select(F.shiftright(place, 5).alias("w"), (place % 32).cast("int").alias("b"))
+             .select("w", F.expr("shiftleft(1L, b)").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow())
+    table = np.zeros(bits // 32, np.int64)
+    table[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def holds(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy() % bits
+        return pd.Series((shared.value[at >> 5] >> (at & 31)) & 1 == 1)
+
+    return holds
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's text has remainder 2 modulo 4 (a null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

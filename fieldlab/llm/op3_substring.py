@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldlab.llm.common import cut_lineage, text_of
+from fieldlab.llm.common import cut_lineage, may_hold, text_of
 
 LENGTH = 400
 GRAM = 32
@@ -272,7 +272,9 @@ SEGMENT = "d1 long, d2 long, h long, p int, first int, alone boolean, hot boolea
 
 
 def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments, read from their texts."""
+    """The bytes of the wanted segments, read from their texts; texts without
+    any are left out before the shuffle.  Copies of a text may give theirs more
+    than once."""
     per = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("h", "p", "first", "last", "alone", "hot")).alias("a"))
     schema = T._parse_datatype_string(SEGMENT)
     arrow = to_arrow_schema(schema)
@@ -290,8 +292,8 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[lo:lo + 5000]), arrow)], schema=arrow)
 
     # A merge join keeps the copies of a text together.
-    return (texts.join(per.hint("merge"), ["d1", "d2"]).select("d1", "d2", "raw", "a").mapInArrow(run, schema)
-            .dropDuplicates(["d1", "d2", "p"]))
+    some = texts.where(may_hold(wanted.select("d1").distinct(), "d1")("d1"))
+    return some.join(per.hint("merge"), ["d1", "d2"]).select("d1", "d2", "raw", "a").mapInArrow(run, schema)
 
 
 def _covered_by_sort(segments: DataFrame, length: int, gram: int, batch_bytes: int = 2 << 20) -> DataFrame:
@@ -316,9 +318,12 @@ def _covered_by_sort(segments: DataFrame, length: int, gram: int, batch_bytes: i
         return out
 
     def run(batches):
-        rows, size, last = [], 0, None
+        rows, size, last, before = [], 0, None, None
         for b in batches:
             for d1, d2, h, p, first, alone, _, seg in zip(*(b.column(i).to_pylist() for i in range(8))):
+                if (h, d1, d2, p) == before:
+                    continue
+                before = (h, d1, d2, p)
                 if size > batch_bytes and h != last:
                     if out := solve(rows):
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
@@ -328,7 +333,7 @@ def _covered_by_sort(segments: DataFrame, length: int, gram: int, batch_bytes: i
         if rows and (out := solve(rows)):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return segments.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+    return segments.repartition("h").sortWithinPartitions("h", "d1", "d2", "p").mapInArrow(run, schema)
 
 
 def _covered_by_count(segments: DataFrame, length: int) -> DataFrame:
@@ -371,10 +376,13 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     segments = _segments(texts, wanted, length)
     parts = whole.unionByName(_covered_by_sort(segments.where("not hot"), length, gram))
     if not kinds.where(F.col("kinds") > hot).isEmpty():
-        parts = parts.unionByName(_covered_by_count(segments.where("hot"), length))
+        parts = parts.unionByName(_covered_by_count(segments.where("hot").dropDuplicates(["d1", "d2", "p"]), length))
     # One number per run, so that the set of a text's runs drops its copies' ones.
-    runs = parts.groupBy("d1", "d2").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 31) + F.col("last")).alias("runs"))
-    return texts.join(runs, ["d1", "d2"], "left").select("doc_id", "raw", "runs")
+    runs = cut_lineage(parts.groupBy("d1", "d2").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 31) + F.col("last")).alias("runs")))
+    # Texts that have no runs stay where they are.
+    some = may_hold(runs.select("d1"), "d1")
+    clean = texts.where(~some("d1")).select("doc_id", "raw", F.lit(None).cast("array<bigint>").alias("runs"))
+    return clean.unionByName(texts.where(some("d1")).join(runs, ["d1", "d2"], "left").select("doc_id", "raw", "runs"))
 
 
 def spans(runs: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
