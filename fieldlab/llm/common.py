@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +55,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def may_hold(keys: DataFrame, column: str, most_bits: int = 1 << 29) -> Callable[[Column], Column]:
-    """A test whether a long column may hold one of the ``keys`` (true for all
-    of them, false for most others), to leave rows out of a shuffle.  One bit
+def may_hold(keys: DataFrame, column: str, most_bits: int = 1 << 29) -> Callable[[pa.Array], np.ndarray]:
+    """A test whether numbers may be among the ``keys`` of a long column (true
+    for all of them, false for most others), to leave rows out of a shuffle.  One bit
     per hash of a key, about 16 bits a key and never more than ``most_bits``
     (64 MB): with very many keys it lets more rows through, never fewer."""
     spark = keys.sparkSession
@@ -73,12 +72,20 @@ def may_hold(keys: DataFrame, column: str, most_bits: int = 1 << 29) -> Callable
     table[words.column("w").to_numpy()] = words.column("m").to_numpy()
     shared = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def holds(keys: pd.Series) -> pd.Series:
-        at = keys.to_numpy() % bits
-        return pd.Series((shared.value[at >> 5] >> (at & 31)) & 1 == 1)
+    def found(keys: pa.Array) -> np.ndarray:
+        at = keys.to_numpy(zero_copy_only=False) % bits
+        return (shared.value[at >> 5] >> (at & 31)) & 1 == 1
 
-    return holds
+    return found
+
+
+def holding(found: Callable[[pa.Array], np.ndarray], column: str) -> Column:
+    """The test as a condition on a column."""
+    @F.arrow_udf("boolean")
+    def holds(keys: pa.Array) -> pa.Array:
+        return pa.array(found(keys))
+
+    return holds(column)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldlab.llm.common import cut_lineage, may_hold, text_of
+from fieldlab.llm.common import cut_lineage, holding, may_hold, text_of
 
 LENGTH = 400
 GRAM = 32
@@ -292,7 +292,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[lo:lo + 5000]), arrow)], schema=arrow)
 
     # A merge join keeps the copies of a text together.
-    some = texts.where(may_hold(wanted.select("d1").distinct(), "d1")("d1"))
+    some = texts.where(holding(may_hold(wanted.select("d1").distinct(), "d1"), "d1"))
     return some.join(per.hint("merge"), ["d1", "d2"]).select("d1", "d2", "raw", "a").mapInArrow(run, schema)
 
 
@@ -359,9 +359,9 @@ def _covered_by_count(segments: DataFrame, length: int) -> DataFrame:
     return windows.where("alone").join(twice, ["o", "w1", "w2"], "left_semi").select("d1", "d2", "first", F.col("first").alias("last"))
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, the text's bytes ``raw``, and ``runs``: sorted
-    (start, end) of the repeated windows' bytes, null if there are none."""
+def _found(docs: DataFrame, length: int, gram: int, hot: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, raw, d1, d2), and per digest with any the runs of
+    repeated windows, as first << 31 | last."""
     raw = text_of(docs, text).cast("binary")
     sha = F.sha2(F.col("raw"), 256)
     half = lambda i: F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("long")  # noqa: E731  two times 60 bits
@@ -379,10 +379,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         parts = parts.unionByName(_covered_by_count(segments.where("hot").dropDuplicates(["d1", "d2", "p"]), length))
     # One number per run, so that the set of a text's runs drops its copies' ones.
     runs = cut_lineage(parts.groupBy("d1", "d2").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 31) + F.col("last")).alias("runs")))
-    # Texts that have no runs stay where they are.
-    some = may_hold(runs.select("d1"), "d1")
-    clean = texts.where(~some("d1")).select("doc_id", "raw", F.lit(None).cast("array<bigint>").alias("runs"))
-    return clean.unionByName(texts.where(some("d1")).join(runs, ["d1", "d2"], "left").select("doc_id", "raw", "runs"))
+    return texts, runs
 
 
 def spans(runs: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -400,22 +397,35 @@ def spans(runs: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and
     ``spans`` (start, end of the removed bytes)."""
-    rows = covered(docs, length, gram, hot, doc_id, text)
-    schema = T.StructType([rows.schema["doc_id"]] + T._parse_datatype_string(
+    texts, runs = _found(docs, length, gram, hot, doc_id, text)
+    schema = T.StructType([texts.schema["doc_id"]] + T._parse_datatype_string(
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>").fields)
     arrow = to_arrow_schema(schema)
 
-    def run(batches):
+    some = may_hold(runs.select("d1"), "d1")
+
+    def kept(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        out = []
+        for raw, own in zip(b.column(1).to_pylist(), found):
+            gone, at, rest = spans(own or [], length), 0, hashlib.sha256()
+            for s, e in gone:
+                rest.update(raw[at:s])
+                at = e
+            rest.update(raw[at:])
+            out.append((len(raw), sum(e - s for s, e in gone), len(gone), rest.hexdigest(), gone))
+        return pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type)] + [pa.array(c, type=f.type) for c, f in zip(zip(*out), list(arrow)[1:])], schema=arrow)
+
+    def whole(batches):
+        for b in batches:
+            b = b.filter(pa.array(~some(b.column(2))))
+            if b.num_rows:
+                yield kept(b, [None] * b.num_rows)
+
+    def cut(batches):
         for b in batches:
-            out = []
-            for raw, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                gone, at, kept = spans(runs or [], length), 0, hashlib.sha256()
-                for s, e in gone:
-                    kept.update(raw[at:s])
-                    at = e
-                kept.update(raw[at:])
-                out.append((len(raw), sum(e - s for s, e in gone), len(gone), kept.hexdigest(), gone))
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type)] + [pa.array(c, type=f.type) for c, f in zip(zip(*out), list(arrow)[1:])], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
+            if b.num_rows:
+                yield kept(b, b.column(2).to_pylist())
+
+    # Texts that have no runs are not shuffled.
+    rest = texts.where(holding(some, "d1")).join(runs, ["d1", "d2"], "left").select("doc_id", "raw", "runs")
+    return texts.select("doc_id", "raw", "d1").mapInArrow(whole, schema).unionByName(rest.mapInArrow(cut, schema))

@@ -169,11 +169,11 @@ def test_long_chain_of_components(spark):
 def test_may_hold_lets_all_keys_through(spark):
     from pyspark.sql import functions as F
 
-    from fieldlab.llm.common import may_hold
+    from fieldlab.llm.common import holding, may_hold
     keys = spark.range(-3_000, 3_000).select(F.xxhash64("id").alias("k"))
     other = spark.range(10_000, 50_000).select(F.xxhash64("id").alias("k"))
-    some = may_hold(keys, "k")
-    assert keys.where(some("k")).count() == 6_000 and other.where(some("k")).count() < 8_000
-    full = may_hold(keys, "k", most_bits=1 << 10)          # a full table lets everything through
-    assert keys.where(full("k")).count() == 6_000 and other.where(full("k")).count() > 30_000
-    assert other.where(may_hold(keys.where("false"), "k")("k")).count() == 0
+    some = holding(may_hold(keys, "k"), "k")
+    assert keys.where(some).count() == 6_000 and other.where(some).count() < 8_000
+    full = holding(may_hold(keys, "k", most_bits=1 << 10), "k")          # a full table lets everything through
+    assert keys.where(full).count() == 6_000 and other.where(full).count() > 30_000
+    assert other.where(holding(may_hold(keys.where("false"), "k"), "k")).count() == 0
