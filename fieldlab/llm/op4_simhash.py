@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import cut_lineage, map_texts, text_of
+from fieldlab.llm.common import cut_lineage, map_texts, text_of, text_of
 
 SEED = 42
 
@@ -177,10 +177,14 @@ def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str =
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component (the smallest id, null ids last), with all
     columns as they were."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    small = map_texts(rows.withColumn("at", F.monotonically_increasing_id()),
-                      lambda: lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)],
-                      "fp long", keep=["row", "doc_id", "at"])
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        found = [fingerprint(t, shingle) for t in texts.to_pylist()]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
+
+    # Only the text goes to Python; the rows stay in the JVM.
+    small = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("doc_id"),
+                        prints(text_of(docs, text)).alias("fp"), F.monotonically_increasing_id().alias("at"))
     kept = cut_lineage(small)       # the row numbers and the rows stay together from here on
     groups = kept.select("fp", "doc_id", "at")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
