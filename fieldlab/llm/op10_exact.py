@@ -3,14 +3,16 @@
 Texts are normalised by deleting white space.  Sampled splitters
 range-partition them by their first bytes, then their digest (so that the
 splitters stay short, and texts that begin alike are still split), Spark's
-external sort places equal texts next to each other, and the window over them
-compares neighbours in full, byte by byte, keeping of each run the longest
-original, then the smallest id.
+external sort places equal texts next to each other, and neighbours are
+compared in full: where a text differs from the one before, a new run begins.
+Of each run the longest original stays, then the smallest id.  The digest only
+places the rows; texts of one digest that differ are different runs.
 
 A text that a large part of the rows share would put one run into one task.
-Digests are counted first (with map-side combination); the texts of the most
-frequent digests, of which there are at most ``1 / hot_share``, carry a salt
-in the sort key, and the partial winners of their salts are then combined.
+Digests are counted first (with map-side combination); the texts of digests
+with over ``hot_share`` of the rows or ``salt_bytes`` of text carry salts in
+the sort key, as many as keep a salt's rows below both, and the partial runs
+of a text, one row of each, are then combined by their full text.
 
 Defined results: null counts as empty, and empty or white-space texts are
 equal to each other; a null id is larger than any other; of rows that repeat
@@ -25,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlab.llm.common import JAVA_WS, cut_lineage, text_of
+from fieldlab.operators.joins import bounded_broadcast
 
 
 HEAD = 32                # leading characters of a text in the sort key
@@ -34,50 +37,63 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, JAVA_WS, "")
 
 
-def dedup(docs: DataFrame, hot_share: float = 1e-3, salts: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
+def dedup(docs: DataFrame, hot_share: float = 1e-3, salt_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
-    runs = cut_lineage(_runs(docs, hot_share, salts, doc_id, text, []).drop("norm"))
+    runs = cut_lineage(_runs(docs, hot_share, salt_bytes, doc_id, text, []))
     return _resolved(runs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame, hot_share: float = 1e-3, salts: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, hot_share: float = 1e-3, salt_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The kept rows, with all columns as they were."""
-    runs = _runs(docs, hot_share, salts, doc_id, text, [F.struct(*[docs[c] for c in docs.columns]).alias("row")])
+    runs = _runs(docs, hot_share, salt_bytes, doc_id, text, [F.struct(*[docs[c] for c in docs.columns]).alias("row")])
     # A run's first row is its only candidate; just the salted runs of hot
     # texts have several, of which the combined winner stays.
-    first = cut_lineage(runs.where("first").drop("norm"))
-    return _resolved(first).where("kept").select("row.*")
+    return _resolved(cut_lineage(runs.where("first"))).where("kept").select("row.*")
 
 
-def _runs(docs, hot_share, salts, doc_id, text, carried) -> DataFrame:
-    """Content-sorted rows; ``first`` marks the winner of each run of equal
-    (text, salt)."""
+def _runs(docs, hot_share, salt_bytes, doc_id, text, carried) -> DataFrame:
+    """Content-sorted rows without their texts: head, sha, salt, ``run`` (number
+    of the run among those of this head, digest and salt), ``first`` (the run's winner),
+    and for the winners of salted runs the text, ``shared``."""
     body = text_of(docs, text)
     norm = normalised(body)
-    sha = F.unhex(F.sha2(F.col("norm"), 256)).alias("sha")
     total = docs.count()
-    # Digests are small and counted with map-side combination.  At most
-    # 1 / hot_share of them are hot, so this broadcast is bounded.
-    hot = (docs.select(norm.alias("norm")).select(sha).groupBy("sha").agg(F.count("*").alias("n"))
-           .where(F.col("n") > max(1.0, hot_share * total)).select("sha", F.lit(True).alias("hot")))
+    # Digests are small and counted with map-side combination.
+    most = max(1.0, hot_share * total)
+    n, size = F.count("*"), F.sum(F.octet_length("norm"))
+    salts = F.greatest(F.ceil(n / most), F.ceil(size / salt_bytes)).cast("int")
+    hot = (docs.select(norm.alias("norm")).select("norm", digest(F.col("norm")).alias("sha")).groupBy("sha")
+           .agg(salts.alias("salts")).where("salts > 1"))
     texts = docs.select(docs[doc_id].alias("doc_id"), F.length(body).cast("long").alias("chars"), norm.alias("norm"),
                         F.monotonically_increasing_id().alias("at"), *carried)
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")).otherwise(F.lit(0)).alias("salt")
+    salt = F.coalesce(F.pmod(F.xxhash64("at"), F.col("salts")).cast("int"), F.lit(-1)).alias("salt")
     names = [c for c in texts.columns if c != "at"]
-    salted = texts.select("*", sha).join(F.broadcast(hot), "sha", "left").select("sha", salt, *names)
+    salted = (texts.select("*", digest(F.col("norm")).alias("sha")).join(bounded_broadcast(cut_lineage(hot)), "sha", "left")
+              .select("sha", salt, *names))
     # Range partitioning by the leading keys already brings equal texts
     # together: the window sorts its partitions and adds no shuffle of its own.
     ranged = salted.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange("head", "sha", "salt")
-    run = W.partitionBy("head", "sha", "salt", "norm").orderBy(F.desc("chars"), F.col("doc_id").asc_nulls_last())
-    return ranged.withColumn("first", F.row_number().over(run) == 1).drop("head")
+    order = W.partitionBy("head", "sha", "salt").orderBy("norm", F.desc("chars"), F.col("doc_id").asc_nulls_last())
+    ranged = ranged.withColumn("first", F.coalesce(F.lag("norm").over(order) != F.col("norm"), F.lit(True)))
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranged = ranged.withColumn("run", F.sum(F.col("first").cast("int")).over(upto))
+    return ranged.withColumn("shared", F.when(F.col("first") & (F.col("salt") >= 0), F.col("norm"))).drop("norm")
 
 
 def _resolved(runs: DataFrame) -> DataFrame:
     """Group sizes and winners over the salts of a text.  The rows are joined
-    by (digest, salt), so that a hot text stays spread over its salts."""
-    best = F.min(F.when(F.col("first"), F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "salt")))
-    salted = runs.groupBy("sha", "salt").agg(F.count("*").alias("n"), best.alias("best"))
-    groups = salted.groupBy("sha").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
-    winners = (salted.select("sha", "salt").join(groups, "sha")
-               .select("sha", "salt", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.salt").alias("keep_salt")))
-    return runs.join(winners, ["sha", "salt"]).withColumn("kept", F.col("first") & (F.col("salt") == F.col("keep_salt")))
+    by (head, digest, salt, run), so that a hot text stays spread over its salts."""
+    key = ["head", "sha", "salt", "run"]
+    best = F.min(F.when(F.col("first"), F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "head", "salt", "run")))
+    parts = runs.groupBy(*key).agg(F.count("*").alias("n"), best.alias("best"), F.max("shared").alias("shared"))
+    # An unsalted run is a group by itself; partial runs meet by their text.
+    text = F.coalesce("shared", F.concat("run", F.lit(" "), "head"))
+    groups = parts.groupBy("sha", text.alias("same")).agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
+    winners = (parts.select(*key, text.alias("same")).join(groups, ["sha", "same"])
+               .select(*key, "group_size", F.col("best.doc_id").alias("keep_id"), F.struct("best.head", "best.salt", "best.run").alias("winner")))
+    here = F.struct("head", "salt", "run") == F.col("winner")
+    return runs.join(winners, key).withColumn("kept", F.col("first") & here)

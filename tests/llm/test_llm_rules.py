@@ -171,10 +171,10 @@ def exact(docs):
 
 @pytest.mark.parametrize("hot_share", [1e-3, 0.0])
 def test_exact_cases(spark, hot_share):
-    got = op10_exact.dedup(frame(spark), hot_share=hot_share, salts=3).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    got = op10_exact.dedup(frame(spark), hot_share=hot_share, salt_bytes=2_000).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert multiset(map(tuple, got)) == multiset(exact([r[:2] for r in rows()]))
     assert op10_exact.dedup(empty(spark)).count() == 0
-    kept = op10_exact.keep_one(frame(spark), hot_share=hot_share, salts=3)
+    kept = op10_exact.keep_one(frame(spark), hot_share=hot_share, salt_bytes=2_000)
     assert kept.columns == frame(spark).columns
     assert multiset((r.doc_id, len(r.text or "")) for r in kept.collect()) == multiset(
         (g[0], -b[0]) for g, b in ((x, min((-len(r[1] or ""), r[0] is None) for r in rows() if r[0] == x[0] and hashlib.sha256(
@@ -184,7 +184,7 @@ def test_exact_cases(spark, hot_share):
 def test_exact_hot_group(spark):
     """A text that most rows share, split over salts."""
     docs = spark.range(600).selectExpr("id as doc_id", "case when id % 3 = 0 then 'copy of a  text' else concat('text ', id) end as text")
-    got = op10_exact.dedup(docs, hot_share=0.01, salts=8).collect()
+    got = op10_exact.dedup(docs, hot_share=0.01).collect()
     assert [r.doc_id for r in got if r.kept and r.group_size > 1] == [0] and max(r.group_size for r in got) == 200
 
 
@@ -197,3 +197,23 @@ def test_filter_stays_above_the_counts(spark):
     plan = op1_quality.keep_good(frame(spark))._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
     assert filters and not any("split(" in line for line in filters)
+
+
+def test_exact_dedup_with_colliding_digests(spark, monkeypatch):
+    """The texts decide, not the digest: with one digest for all, salted or not."""
+    from pyspark.sql import functions as F
+    want = exact([(r[0], r[1]) for r in rows()])
+    monkeypatch.setattr(op10_exact, "digest", lambda norm: F.when(norm.isNotNull(), F.unhex(F.lit("00" * 32))))
+    for share, size in ((1.0, 1 << 40), (0.05, 1 << 40), (1.0, 5_000)):
+        got = op10_exact.dedup(frame(spark), hot_share=share, salt_bytes=size).collect()
+        assert multiset(tuple(r)[:4] for r in got) == multiset(tuple(w)[:4] for w in want)
+        assert op10_exact.keep_one(frame(spark), hot_share=share, salt_bytes=size).count() == sum(w[3] for w in want)
+
+
+def test_salts_follow_the_group(spark):
+    """A text with half of the rows is dealt over as many salts as it needs."""
+    docs = spark.createDataFrame([(i, "same text" if i % 2 else f"text {i}") for i in range(4_000)], "doc_id long, text string").repartition(8)
+    for share, size, least in ((0.01, 1 << 40, 45), (1.0, 1_000, 15)):
+        runs = op10_exact._runs(docs, share, size, "doc_id", "text", [])
+        sizes = [r["count"] for r in runs.where("salt >= 0").groupBy("salt").count().collect()]
+        assert len(sizes) >= least and sum(sizes) == 2_000 and max(sizes) < 2.5 * 2_000 / least
