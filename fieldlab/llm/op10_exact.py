@@ -50,9 +50,11 @@ def dedup(docs: DataFrame, hot_share: float = 1e-3, salt_bytes: int = 64 << 20,
 def keep_one(docs: DataFrame, hot_share: float = 1e-3, salt_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The kept rows, with all columns as they were."""
     runs = _runs(docs, hot_share, salt_bytes, doc_id, text, [F.struct(*[docs[c] for c in docs.columns]).alias("row")])
-    # A run's first row is its only candidate; just the salted runs of hot
-    # texts have several, of which the combined winner stays.
-    return _resolved(cut_lineage(runs.where("first"))).where("kept").select("row.*")
+    # The first row of an unsalted run stays; only the salted runs of a hot
+    # text have several candidates, of which the combined winner stays.
+    first = cut_lineage(runs.where("first"))
+    hot = _resolved(first.where("salt >= 0")).where("kept")
+    return first.where("salt < 0").select("row.*").unionByName(hot.select("row.*"))
 
 
 def _runs(docs, hot_share, salt_bytes, doc_id, text, carried) -> DataFrame:
