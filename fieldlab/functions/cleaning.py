@@ -6,7 +6,7 @@ functions, so the whole cleaning pipeline stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlab import schema as S
@@ -39,6 +39,29 @@ def to_sample_date(col) -> Column:
                       F.to_date(F.try_to_timestamp(c.cast("string"), F.lit("yyyy/MM/dd"))))
 
 
+# Fixed forms that text dates are tried in, in this order.
+DATE_FORMS = ("-", "/")
+
+
+def _in_form(c: Column, mark: str) -> Column:
+    """Date of a text that begins with year, month and day around ``mark``."""
+    part = lambda i: F.regexp_extract(c, rf"^\s*(\d{{1,4}}){mark}(\d{{1,2}}){mark}(\d{{1,2}})", i)
+    return F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(part(1), 4, "0"), part(2), part(3)), F.lit("yyyy-M-d")))
+
+
+def column_dates(df: DataFrame, col: str, position: str) -> DataFrame:
+    """A text date column read in one form throughout: the form of its first
+    non-missing value by ``position`` (load order).  Values of the other form
+    become NULL; without any value all are NULL; a first value of neither form
+    is an error.  The first value is one grouped minimum."""
+    first = df.where(F.col(col).isNotNull()).agg(F.min_by(F.col(col).cast("string"), position).alias("v"))
+    forms = first.select(F.col("v").isNotNull().alias("any"), *[_in_form(F.col("v"), m).isNotNull().alias(m) for m in DATE_FORMS]).first()
+    mark = next((m for m in DATE_FORMS if forms[m]), None)
+    if mark is None and forms["any"]:
+        raise ValueError(f"the first value of {col} is not a date")
+    return df.withColumn(col, _in_form(F.col(col).cast("string"), mark) if mark else F.lit(None).cast("date"))
+
+
 def strip_result(col) -> Column:
     """Keep only digits, '.', '<', '>' and '='.  Signs, exponents and units go."""
     return F.regexp_replace(_c(col).cast("string"), S.RESULT_KEEP_PATTERN, "")

@@ -101,13 +101,13 @@ def drop_unparsed(df: DataFrame, col: str = "FinalResult") -> DataFrame:
 _drop_unparsed = drop_unparsed
 
 
-def factor_code(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+def factor_code(df: DataFrame, col: str, out: str | None = None, locale: str | None = None) -> DataFrame:
     """Attach the 1-based code of ``col`` among its sorted distinct values
-    (NULL is no level).  The distinct values are numbered in sorted order by
+    (NULL is no level), in binary order or that of ``locale``.  The distinct values are numbered in sorted order by
     a range-partitioned sort with per-partition offsets (no single-task
     window, whatever the column's cardinality) and joined back; the level
     table is broadcast when its size check passes."""
     out = out or f"{col}_code"
-    levels = number_options(df.select(col).where(F.col(col).isNotNull()).distinct(), order=[col], out=out)
+    levels = number_options(df.select(col).where(F.col(col).isNotNull()).distinct(), order=[col], out=out, locale=locale)
     levels = levels.withColumn(out, F.col(out).cast("int"))
     return df.join(bounded_broadcast(levels), col, "left")

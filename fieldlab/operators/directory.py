@@ -12,28 +12,31 @@ from pyspark.sql import functions as F
 
 from fieldlab import schema as S
 from fieldlab.operators.joins import bounded_broadcast, keep_values, values_frame
+from fieldlab.operators.order import in_locale
 
 
-def site_directory(results: DataFrame, stations: DataFrame) -> DataFrame:
+def site_directory(results: DataFrame, stations: DataFrame, locale: str | None = None) -> DataFrame:
     """Distinct (SamplingPoint, Description) of sites that have results,
     ordered by site.  Distinct first so the join sees one row per site;
-    distinct again because duplicate stations fan out."""
+    distinct again because duplicate stations fan out.  The order is binary, or
+    that of ``locale`` (see ``order.in_locale``)."""
     sites = results.select("SamplingPoint").distinct()
     st = bounded_broadcast(stations.select("StationID", "Description"))
     return (sites.join(st, sites["SamplingPoint"] == st["StationID"], "left")
             .select("SamplingPoint", "Description").distinct()
-            .orderBy(F.col("SamplingPoint").asc_nulls_last(), F.col("Description").asc_nulls_last()))
+            .orderBy(*[k.asc_nulls_last() for c in ("SamplingPoint", "Description") for k in in_locale(c, locale)]))
 
 
-def sorted_options(df: DataFrame, col: str) -> DataFrame:
-    """Distinct non-NULL values in binary order (an option list)."""
-    return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+def sorted_options(df: DataFrame, col: str, locale: str | None = None) -> DataFrame:
+    """Distinct non-NULL values (an option list) in binary order, or in that of
+    ``locale`` (see ``order.in_locale``)."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(*in_locale(col, locale))
 
 
-def available_params(results: DataFrame, sites) -> DataFrame:
+def available_params(results: DataFrame, sites, locale: str | None = None) -> DataFrame:
     """Sorted distinct parameters measured at the given site(s)."""
     sites = [sites] if isinstance(sites, str) else list(sites)
-    return sorted_options(keep_values(results, "SamplingPoint", sites), "WebParameter")
+    return sorted_options(keep_values(results, "SamplingPoint", sites), "WebParameter", locale)
 
 
 def valid_selection(spark: SparkSession, current, options: DataFrame, col: str) -> DataFrame:

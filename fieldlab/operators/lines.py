@@ -66,8 +66,12 @@ def line_from_moments(m: DataFrame, by=SERIES_KEY, points: int = S.LINE_POINTS,
     keys = _keys(by)
     m = m.withColumn("b1", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")))
     extra = []
-    if band:                     # once per series, before the grid multiplies the rows
-        m = with_t_quantile(m.withColumn("_df", (F.col("n_fit") - 2).cast("long")), "_df", "_tq", level)
+    if band:
+        # One quantile per distinct number of rows: the sums (a row per series)
+        # are cut from their lineage, so that both readers scan nothing again.
+        checkpoint_dir(m.sparkSession)
+        m = m.withColumn("_df", (F.col("n_fit") - 2).cast("long")).checkpoint(eager=True)
+        m = m.join(with_t_quantile(m.select("_df").distinct(), "_df", "_tq", level), "_df", "left")
         extra = ["_df", "_tq"]
     g = m.select(*keys, "n_fit", "xbar", "ybar", "sxx", "syy", "sxy", "b1", "xmin", "xmax", *extra,
                  F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))

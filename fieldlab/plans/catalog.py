@@ -31,6 +31,7 @@ from fieldlab.operators import frames as FM
 from fieldlab.operators import freshness as FR
 from fieldlab.operators import lines as L
 from fieldlab.operators import order as OR
+from fieldlab.operators import search as SE
 from fieldlab.operators.clean import drop_unparsed, factor_code
 from fieldlab.operators.joins import values_frame
 from fieldlab.operators.keys import align_columns, dates_as_text
@@ -285,14 +286,14 @@ def q_same_set_selection(spark, sf_dir):
 
 @register("d9_search_sites", _WITH_DIR + """
 SELECT DISTINCT SamplingPoint FROM dir WHERE SamplingPoint IS NOT NULL
-  AND contains(lower(SamplingPoint), 'st0001') ORDER BY SamplingPoint LIMIT 10000""")
+  AND contains(lower(SamplingPoint), 'st0001') ORDER BY SamplingPoint""")
 def q_search_sites(spark, sf_dir):
     return D.search_sites(directory_of(spark, sf_dir), "ST0001")
 
 
 @register("d9_search_params", "WITH " + O.FIXTURE_CTE + """
 SELECT DISTINCT WebParameter FROM r_t WHERE WebParameter IS NOT NULL
-  AND contains(lower(WebParameter), 'f') ORDER BY WebParameter LIMIT 1000""")
+  AND contains(lower(WebParameter), 'f') ORDER BY WebParameter""")
 def q_search_params(spark, sf_dir):
     res, _ = store_tables(spark, sf_dir)
     return D.search_params(res, "F")
@@ -1381,3 +1382,55 @@ def q_is_fresh_zones(spark, sf_dir):
 @register("f6_coverage_message_zones", SQL["f6_coverage_message_reloaded"])
 def q_coverage_zones(spark, sf_dir):
     return FR.coverage_message(store_loads.zones(spark, _refreshed(spark, sf_dir)), "reloaded", "min_date", "max_date")
+
+
+# ---------------------------------------------------------------------------
+# Search index, locale order and the column-wide date form
+# ---------------------------------------------------------------------------
+
+
+@register("d9_search_sites_index", SQL["d9_search_sites"])
+def q_search_sites_index(spark, sf_dir):
+    path = _scratch(spark, "search-sites")
+    SE.build_search_index(directory_of(spark, sf_dir), "SamplingPoint", path)
+    return SE.search(spark, path, "ST0001", "SamplingPoint")
+
+
+@register("d9_search_params_index", SQL["d9_search_params"])
+def q_search_params_index(spark, sf_dir):
+    res, _ = store_tables(spark, sf_dir)
+    path = _scratch(spark, "search-params")
+    SE.build_search_index(res, "WebParameter", path)
+    return SE.search(spark, path, "F", "WebParameter")
+
+
+def _mixed_case(df: DataFrame) -> DataFrame:
+    """Priority and status of the orders in three ways of writing."""
+    name = F.concat(F.initcap("o_orderpriority"), F.lit(" "), F.col("o_orderstatus"))
+    return df.select(F.explode(F.array(name, F.lower(name), F.upper(name))).alias("name"))
+
+
+# Letters compare before case, and lower case comes first.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@register("c12_factor_code_locale", f"""WITH o AS (SELECT concat(array_to_string(list_transform(string_split(lower(o_orderpriority), ' '),
+    lambda w: upper(w[1]) || w[2:]), ' '), ' ', o_orderstatus) AS n FROM orders),
+names AS (SELECT DISTINCT unnest([n, lower(n), upper(n)]) AS name FROM o)
+SELECT name, CAST(row_number() OVER (ORDER BY lower(name),
+  translate(name, '{_UPPER + _LOWER}', '{_LOWER + _UPPER}')) AS INTEGER) AS code FROM names""")
+def q_factor_code_locale(spark, sf_dir):
+    names = _mixed_case(fixtures.table(spark, sf_dir, "orders"))
+    return factor_code(names, "name", "code", locale="UNICODE").distinct()
+
+
+@register("c1_column_dates", """WITH t AS (SELECT l_orderkey * 8 + l_linenumber AS pos,
+  CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_partkey % 2 = 0 THEN strftime(l_shipdate, '%Y/%m/%d') ELSE strftime(l_shipdate, '%Y-%m-%d') END AS txt
+  FROM lineitem), f AS (SELECT arg_min(txt, pos) AS v FROM t WHERE txt IS NOT NULL)
+SELECT pos, CASE WHEN contains(v, '/') THEN CAST(try_strptime(txt, '%Y/%m/%d') AS DATE) ELSE try_cast(CASE WHEN contains(txt, '-') THEN txt END AS DATE) END AS d
+FROM t, f""")
+def q_column_dates(spark, sf_dir):
+    day = lambda form: F.date_format("l_shipdate", form)
+    text = (F.when(F.col("l_orderkey") % 5 == 0, None).when(F.col("l_partkey") % 2 == 0, day("yyyy/MM/dd")).otherwise(day("yyyy-MM-dd")))
+    rows = fixtures.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), text.alias("d"))
+    return CF.column_dates(rows, "d", "pos")

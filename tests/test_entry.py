@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from fieldlab.plans import catalog
 from conftest import SF001
 
-TABLES = ["lineitem", "supplier", "events"]
+TABLES = ["lineitem", "supplier", "events", "orders"]
 # The corpus queries read other tables and have their own tests.
 ALL = sorted(catalog.SQL)
 # No all-pairs joins and no Python evaluation in any registered plan but the interpolated LOESS.
