@@ -28,6 +28,16 @@ def test_every_sql_twin_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+def test_missing_libraries_leave_out_the_corpus_queries(monkeypatch):
+    import sys
+    if "fieldlab.llm.queries" in sys.modules or "op1_quality_rules" in E.queries():
+        for name in [m for m in sys.modules if m.startswith("fieldlab.llm") or m == "corpus_pipeline"]:
+            monkeypatch.delitem(sys.modules, name)
+        monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+        with pytest.warns(UserWarning, match="left out"):
+            assert set(E.queries()) == set(catalog.QUERIES) and set(E.oracle_sql()) == set(catalog.SQL)
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 9)
