@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,18 +69,57 @@ def bigrams(token: str) -> list[tuple[int, int]]:
     return list(zip([START, *codes], codes))
 
 
+# Shares of the written forms that ordinary words take in identifiers, beside
+# the corpus's own: upper case, a capital first letter, joined by a separator or
+# by a capital; and of the characters' own frequency in a transition, since
+# names have letter pairs that the corpus does not.
+UPPER_SHARE, CAPITAL_SHARE, JOINED_SHARE, OWN_SHARE = 0.1, 0.3, 0.2, 0.2
+THRESHOLD = 0.75         # mean log-likelihood ratio per character at which a token is a secret
+SEPARATORS = "_-/."
+
+
+def identifiers(words: np.ndarray) -> np.ndarray:
+    """Transition counts of identifiers, from those of the corpus's words
+    (a row per character and one for the start)."""
+    lower, upper = [CODE[c] for c in string.ascii_lowercase], [CODE[c] for c in string.ascii_uppercase]
+    marks = [CODE[c] for c in SEPARATORS]
+    letters, starts = words[np.ix_(lower, lower)], words[START, lower]
+    begins = starts / max(starts.sum(), 1.0)
+    ends = letters.sum(axis=0) / max(letters.sum(), 1.0) * starts.sum()      # about one end per word
+    out = words.astype(float)
+    out[np.ix_(upper, upper)] += UPPER_SHARE * letters
+    out[START, upper] += (UPPER_SHARE + CAPITAL_SHARE) * starts
+    capital = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1.0)
+    out[np.ix_(upper, lower)] += (CAPITAL_SHARE + JOINED_SHARE / 2) * starts[:, None] * capital
+    out[np.ix_(lower, upper)] += JOINED_SHARE / 2 * np.outer(ends, begins)
+    for m in marks:
+        share = JOINED_SHARE / 2 / len(marks)
+        out[lower, m] += share * ends
+        out[m, lower] += share * starts
+        out[m, upper] += share * (CAPITAL_SHARE + UPPER_SHARE) * starts
+        out[upper, m] += share * UPPER_SHARE * ends
+    digits = [CODE[c] for c in string.digits]
+    out[np.ix_(lower, digits)] += JOINED_SHARE / 20 * ends[:, None]
+    out[np.ix_(digits, lower)] += JOINED_SHARE / 20 * starts / 10
+    return out
+
+
 class Markov:
-    """Log-likelihood ratio table of the two models, add-one smoothed."""
+    """Log-likelihood ratio table of the two models: marked values, add-one
+    smoothed, and ordinary words in the forms of identifiers, mixed with the
+    characters' own frequencies."""
 
     def __init__(self, random: dict, ordinary: dict):
-        def logs(counts: dict, prior: float) -> list[list[float]]:
-            out = []
-            for a in range(SIZE + 1):
-                total = sum(counts.get((a, b), 0) for b in range(SIZE)) + prior * SIZE
-                out.append([math.log((counts.get((a, b), 0) + prior) / total) for b in range(SIZE)])
+        def table(counts: dict) -> np.ndarray:
+            out = np.zeros((SIZE + 1, SIZE))
+            for (a, b), n in counts.items():
+                out[a, b] = n
             return out
-        r, o = logs(random, 1.0), logs(ordinary, 0.5)
-        self.ratio = [[x - y for x, y in zip(p, q)] for p, q in zip(r, o)]
+        r, o = table(random) + 1.0, identifiers(table(ordinary))
+        own = o.sum(axis=0) + 0.5
+        given = (o + 0.5) / (o + 0.5).sum(axis=1, keepdims=True)
+        o = (1 - OWN_SHARE) * given + OWN_SHARE * own / own.sum()
+        self.ratio = (np.log(r / r.sum(axis=1, keepdims=True)) - np.log(o)).tolist()
 
     def score(self, token: str) -> float:
         """Mean log-likelihood ratio per character, random against ordinary."""
@@ -118,7 +159,7 @@ def fit(docs: DataFrame, text: str = "text") -> Markov:
     return Markov(model[1], model[0])
 
 
-def find(text: str, model: Markov, threshold: float = 1.0) -> list[tuple[int, int, int]]:
+def find(text: str, model: Markov, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """All spans of one text: the base ones, and the tokens and parts of
     tokens outside them whose score reaches the threshold of their length."""
     spans = base_spans(text)
@@ -136,7 +177,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def scan(docs: DataFrame, model: Markov, threshold: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Markov, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, counts of the base kinds, digest of the base spans,
     all spans as text, and the number of spans the models added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -160,7 +201,7 @@ def scan(docs: DataFrame, model: Markov, threshold: float = 1.0, doc_id: str = "
     return map_texts(rows, make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
-def redact(docs: DataFrame, model: Markov, threshold: float = 1.0, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Markov, threshold: float = THRESHOLD, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret replaced by ``mark``; all columns and
     rows stay (a null text stays null)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

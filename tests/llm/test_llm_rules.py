@@ -217,3 +217,20 @@ def test_salts_follow_the_group(spark):
         runs = op10_exact._runs(docs, share, size, "doc_id", "text", [])
         sizes = [r["count"] for r in runs.where("salt >= 0").groupBy("salt").count().collect()]
         assert len(sizes) >= least and sum(sizes) == 2_000 and max(sizes) < 2.5 * 2_000 / least
+
+
+def test_identifiers_and_names_stay(spark):
+    """Ordinary names are no secrets, random tokens are; both rates by length."""
+    import random
+    import string
+    model = op2_secrets.fit(spark.read.parquet(f"{SF01}/documents.parquet"))
+    marked = lambda t: any(k == 3 for *_, k in op2_secrets.find(f"see {t} here", model))
+    for name in ("Zimbabwe", "Tchaikovsky", "Dostoyevsky", "JavaScript", "ServiceFactory", "getUserByIdAndName", "GitHub-Actions",
+                 "/usr/local/lib/python3", "utf8mb4_unicode_ci", "Schwarzenegger", "HTTPSConnectionPool", "x86_64-linux-gnu",
+                 "AbstractSingletonProxyFactoryBean", "com.example.app.MainActivity", "Reykjavik", "XMLHttpRequest"):
+        assert not marked(name), name
+    rng = random.Random(4)
+    for n, least in ((8, 0.5), (12, 0.65), (16, 0.8), (20, 0.9), (32, 0.95)):
+        found = sum(marked("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))) for _ in range(300)) / 300
+        assert found >= least, (n, found)
+
