@@ -220,10 +220,11 @@ def test_salts_follow_the_group(spark):
 
 
 def test_identifiers_and_names_stay(spark):
-    """Ordinary names are no secrets, random tokens are; both rates by length."""
+    """Ordinary names are no secrets, random tokens are; both rates by length,
+    learned from 10,000 documents."""
     import random
     import string
-    model = op2_secrets.fit(spark.read.parquet(f"{SF01}/documents.parquet"))
+    model = op2_secrets.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8))
     marked = lambda t: any(k == 3 for *_, k in op2_secrets.find(f"see {t} here", model))
     for name in ("Zimbabwe", "Tchaikovsky", "Dostoyevsky", "JavaScript", "ServiceFactory", "getUserByIdAndName", "GitHub-Actions",
                  "/usr/local/lib/python3", "utf8mb4_unicode_ci", "Schwarzenegger", "HTTPSConnectionPool", "x86_64-linux-gnu",
