@@ -7,14 +7,23 @@ adding their counts, so one grouped count builds them (with map-side
 combination, whatever the size of a source).  From the quantiles of a sketch
 come the thresholds of its group, and the documents are joined with them.
 
-Thresholds: from the quartiles q1, q2, q3 of a figure, at most
-q3 + max(spread * (q3 - q1), slack), and for the mean word length also at
-least q1 minus the same.  A group with fewer than ``least`` documents uses the
-merged sketch of its language, one with a small language that of all.
+Sketches hold the documents that pass the base rules, so that plain junk does
+not move them.  A figure's upper threshold in a group is its median plus
+``spread`` times its upper tail, the distance from the median to the 0.9
+quantile; the mean word length has a lower threshold alike.  Both parts are
+shrunk: the median towards that of the language, and that towards the overall
+one, each parent weighing as much as ``prior`` documents; the tail is the
+median of the group's, its language's and the overall tail, so that a group
+with many faulty documents does not widen its own threshold.
+
+A document is outside a threshold when its figure is too far for its own
+length: a share of x in n must exceed the threshold by more than ``sure``
+standard deviations of a count, a mean by as many standard errors.  FLOOR
+keeps the threshold of a share from falling below one percent.
 
 Defined results: null text counts as empty; a null language or source is a
-group of its own; a text without words fails the base rules and takes no part
-in the sketches; repeated rows count as often as they occur; an empty table
+group of its own; a text without words fails the base rules; a group without
+a document that passes them has no thresholds; repeated rows count as often as they occur; an empty table
 gives no rows; clashing names do not matter, as only the named id, text,
 language and source columns are read.  Word windows are compared by 64-bit
 hashes within one text.
@@ -33,9 +42,11 @@ WINDOW = 8
 RELATIVE_ERROR = 0.01
 GAMMA = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
 SHIFT = 1e-4             # figures are shifted, so that zero has a bucket
-# Figure: (slack above, slack below or None for no lower threshold).
-FIGURES = {"word_length": (2.0, 2.0), "symbols": (0.05, None), "dup_lines": (0.2, None),
-           "repeats": (0.2, None), "neighbours": (0.1, None)}
+FLOOR = 0.01             # least threshold of a share
+# Figure: units that a document's size is counted in; a repeated window comes
+# with up to 16 words.  None: a mean, not a share.
+FIGURES = {"word_length": None, "symbols": 1, "dup_lines": 1, "repeats": 16, "neighbours": 1}
+QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -85,85 +96,94 @@ def base_failed() -> Column:
 
 
 def figures() -> Column:
-    """The figures as an array of (name, value), in the order of FIGURES."""
+    """The figures as an array of (name, value, size), in the order of FIGURES."""
     words, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
     value = {"word_length": F.try_divide(chars, words), "symbols": F.try_divide("n_symbols", chars),
              "dup_lines": F.try_divide("n_dup_lines", F.col("n_lines").cast("double")),
              "repeats": F.try_divide("n_repeat_words", words), "neighbours": F.try_divide("n_neighbours", words)}
-    return F.array(*[F.struct(F.lit(n).alias("figure"), value[n].alias("v")) for n in FIGURES])
+    size = {"word_length": words, "symbols": chars, "dup_lines": F.col("n_lines").cast("double"), "repeats": words, "neighbours": words}
+    return F.array(*[F.struct(F.lit(n).alias("figure"), value[n].alias("v"), (size[n] / (unit or 1)).alias("n")) for n, unit in FIGURES.items()])
 
 
 def sketches(counted: DataFrame) -> DataFrame:
     """DDSketches: (lang, source, figure, bucket, n).  Merging is adding n."""
     bucket = F.ceil(F.log(F.col("f.v") + SHIFT) / math.log(GAMMA)).cast("int")
-    return (counted.where("n_words > 0").select("lang", "source", F.explode(figures()).alias("f"))
+    return (counted.where(~base_failed()).select("lang", "source", F.explode(figures()).alias("f"))
             .groupBy("lang", "source", F.col("f.figure").alias("figure"), bucket.alias("bucket")).agg(F.count("*").alias("n")))
 
 
-def thresholds(sketch: DataFrame, spread: float, least: int) -> DataFrame:
-    """(lang, source, limits): limits is an array of (figure, low, high),
-    sorted by figure."""
-    sketch = cut_lineage(sketch)         # small, and read by every level below
-    levels = [["lang", "source"], ["lang"], []]
-    merged = None
-    for i, by in enumerate(levels):
-        part = sketch.groupBy(*by, "figure", "bucket").agg(F.sum("n").alias("n"))
-        part = part.select(F.lit(i).alias("level"), *[(F.col(c) if c in by else F.lit(None).cast("string")).alias(c) for c in levels[0]], "figure", "bucket", "n")
-        merged = part if merged is None else merged.unionByName(part)
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, figure, total, q10, q50, q90) of the merged sketches."""
     # The buckets of one sketch are one sorted array: their number is bounded
     # by the relative error, not by the documents.
-    one = merged.groupBy("level", "lang", "source", "figure").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("total"))
+    one = (sketch.groupBy(*by, "figure", "bucket").agg(F.sum("n").alias("n")).groupBy(*by, "figure")
+           .agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("total")))
 
     def quantile(q: float) -> str:
         # First bucket whose cumulated count exceeds q * (total - 1).
         return (f"aggregate(b, struct(0L as seen, cast(null as int) as at), (a, x) -> struct(a.seen + x.n as seen, "
                 f"case when a.at is null and a.seen + x.n > {q} * (total - 1) then x.bucket else a.at end as at), a -> a.at)")
     middle = 2 / (1 + GAMMA)          # within the relative error of every value of a bucket
-    one = one.select("level", "lang", "source", "figure", "total",
-                     *[F.greatest(F.pow(F.lit(GAMMA), F.expr(quantile(q))) * middle - SHIFT, F.lit(0.0)).alias(n) for n, q in (("q1", 0.25), ("q3", 0.75))])
-    slack = lambda i: F.create_map(*[F.lit(x) for n, s in FIGURES.items() for x in (n, float(s[i]) if s[i] is not None else math.inf)])[F.col("figure")]
-    wide = spread * (F.col("q3") - F.col("q1"))
-    one = one.select("level", "lang", "source", "total", F.struct(
-        "figure", (F.col("q1") - F.greatest(wide, slack(1))).alias("low"), (F.col("q3") + F.greatest(wide, slack(0))).alias("high")).alias("limit"))
-    limits = one.groupBy("level", "lang", "source").agg(F.first("total").alias("total"), F.sort_array(F.collect_list("limit")).alias("limits"))
-    # Every group looks up its own, its language's and the overall limits.
-    key = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("l"), source.alias("s"))
-    none = F.lit(None).cast("string")
-    keys = limits.where("level = 0").select("lang", "source", F.explode(F.array(
-        key(0, F.col("lang"), F.col("source")), key(1, F.col("lang"), none), key(2, none, none))).alias("k"))
-    found = limits.select(F.col("level").alias("f_level"), F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "total", "limits")
-    return (keys.join(found, (F.col("k.level") == F.col("f_level")) & F.col("k.l").eqNullSafe(F.col("f_lang")) & F.col("k.s").eqNullSafe(F.col("f_source")))
-            .where((F.col("f_level") == 2) | (F.col("total") >= least))
-            .groupBy("lang", "source").agg(F.min_by("limits", "f_level").alias("limits")))
-
-
-def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    return one.select(*by, "figure", "total", *[
+        F.greatest(F.pow(F.lit(GAMMA), F.expr(quantile(q))) * middle - SHIFT, F.lit(0.0)).alias(n) for n, q in QUANTILES.items()])
+
+
+def thresholds(sketch: DataFrame, spread: float, prior: float) -> DataFrame:
+    """(lang, source, limits): limits is an array of (figure, low, high),
+    sorted by figure."""
+    sketch = cut_lineage(sketch)         # small, and read by every level below
+    own, lang, every = (quantiles(sketch, by).alias(a) for a, by in (("g", ["lang", "source"]), ("l", ["lang"]), ("e", [])))
+    d = (own.join(lang, (F.col("g.figure") == F.col("l.figure")) & F.col("g.lang").eqNullSafe(F.col("l.lang")))
+         .join(every, F.col("g.figure") == F.col("e.figure")))
+
+    def shrunk(level: str, towards: Column) -> Column:
+        return (F.col(f"{level}.total") * F.col(f"{level}.q50") + prior * towards) / (F.col(f"{level}.total") + prior)
+
+    def tail(a: str, b: str) -> Column:
+        # The middle one of three distances.
+        return F.sort_array(F.array(*[F.col(f"{level}.{b}") - F.col(f"{level}.{a}") for level in "gle"]))[1]
+
+    d = d.select("g.lang", "g.source", "g.figure", shrunk("g", shrunk("l", F.col("e.q50"))).alias("center"),
+                 tail("q10", "q50").alias("below"), tail("q50", "q90").alias("above"))
+    return d.groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct(
+        "figure", (F.col("center") - spread * F.col("below")).alias("low"), (F.col("center") + spread * F.col("above")).alias("high")))).alias("limits"))
+
+
+def outside(f: Column, t: Column, sure: float) -> Column:
+    """Whether a document's figure is outside the limits of its group."""
+    noise = F.lit(sure) / (F.lit(2.0) * F.sqrt(f["n"]))      # of a mean whose values deviate by half of it
+    mean = (f["v"] * (1 - noise) > t["high"]) | (f["v"] * (1 + noise) < t["low"])
+    expected = f["n"] * F.greatest(t["high"], F.lit(FLOOR))
+    share = f["v"] * f["n"] > expected + F.lit(sure * sure / 2) + F.lit(sure) * F.sqrt(expected + F.lit(sure * sure / 4))
+    return F.when(f["figure"].isin([n for n, unit in FIGURES.items() if unit is None]), mean).otherwise(share)
+
+
+def judged(counted: DataFrame, limits: DataFrame, sure: float) -> DataFrame:
     """Joins documents and thresholds; adds base_failed, kept and ``failed``
     (names of the figures outside their thresholds)."""
     t = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "limits")
     # A left join, so a document without a threshold row keeps its base verdict.
     d = counted.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_lang", "t_source")
     d = d.withColumn("base_failed", base_failed()).withColumn("_f", F.sort_array(figures()))
-    outside = F.transform(F.filter(F.zip_with("_f", "limits", lambda f, t: F.when((f["v"] < t["low"]) | (f["v"] > t["high"]), f["figure"])),
-                                   lambda x: x.isNotNull()), lambda x: x)
-    d = d.withColumn("failed", F.coalesce(F.when(F.col("n_words") > 0, F.array_join(outside, ",")), F.lit("")))
+    # array_join leaves nulls out.
+    said = F.array_join(F.zip_with("_f", "limits", lambda f, t: F.when(outside(f, t, sure), f["figure"])), ",")
+    d = d.withColumn("failed", F.coalesce(F.when(F.col("n_words") > 0, said), F.lit("")))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("failed") == "")).drop("_f", "limits")
 
 
-def rules(docs: DataFrame, spread: float = 6.0, least: int = 30, doc_id: str = "doc_id", text: str = "text",
+def rules(docs: DataFrame, spread: float = 2.0, prior: float = 30.0, sure: float = 2.0, doc_id: str = "doc_id", text: str = "text",
           lang: str = "lang", source: str = "source") -> DataFrame:
     """Per document: doc_id, the counts, base_failed, kept, failed."""
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[lang].cast("string").alias("lang"), docs[source].cast("string").alias("source"), text_of(docs, text).alias("text"))
     counted = cut_lineage(with_counts(rows, "text"))     # a few numbers per document, read twice
-    return judged(counted, thresholds(sketches(counted), spread, least)).select("doc_id", *COUNTS, "base_failed", "kept", "failed")
+    return judged(counted, thresholds(sketches(counted), spread, prior), sure).select("doc_id", *COUNTS, "base_failed", "kept", "failed")
 
 
-def keep_good(docs: DataFrame, spread: float = 6.0, least: int = 30, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def keep_good(docs: DataFrame, spread: float = 2.0, prior: float = 30.0, sure: float = 2.0, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The kept documents, with all columns as they were."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[lang].cast("string").alias("lang"),
                        docs[source].cast("string").alias("source"), text_of(docs, text).alias("text"))
     # The thresholds' pass reads no carried columns; the second pass computes
     # the counts again rather than write the texts to a checkpoint.
-    limits = cut_lineage(thresholds(sketches(with_counts(rows.drop("row"), "text")), spread, least))
-    return judged(settled(with_counts(rows, "text")), limits).where("kept").select("row.*")
+    limits = cut_lineage(thresholds(sketches(with_counts(rows.drop("row"), "text")), spread, prior))
+    return judged(settled(with_counts(rows, "text")), limits, sure).where("kept").select("row.*")

@@ -5,22 +5,22 @@ from __future__ import annotations
 from fieldlab.llm import op1_quality as Q
 
 _G, _S = repr(Q.GAMMA), repr(Q.SHIFT)
-_VALUES = {"word_length": "word_chars::double / n_words", "symbols": "n_symbols::double / word_chars",
-           "dup_lines": "n_dup_lines::double / n_lines", "repeats": "n_repeat_words::double / n_words",
-           "neighbours": "n_neighbours::double / n_words"}
+_SIZES = {"word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"),
+          "repeats": ("n_repeat_words", "n_words"), "neighbours": ("n_neighbours", "n_words")}
 
 
 def _figures() -> str:
-    return " union all ".join(f"select r, lang, source, '{f}' as figure, {v} as v from counts where n_words > 0" for f, v in _VALUES.items())
+    return " union all ".join(f"select r, lang, source, base_failed, '{f}' as figure, {x}::double / {n} as v, {n}::double / {Q.FIGURES[f] or 1} as n "
+                              "from based where n_words > 0" for f, (x, n) in _SIZES.items())
 
 
-def _slack(i: int) -> str:
-    return "case figure " + " ".join(f"when '{f}' then {s[i]}" for f, s in Q.FIGURES.items() if s[i] is not None) + " end"
-
-
-def quality(spread: float = 6.0, least: int = 30) -> str:
+def quality(spread: float = 2.0, prior: float = 30.0, sure: float = 2.0) -> str:
     at = lambda q: f"min(bucket) filter (cum > {q} * (total - 1))"
     value = lambda q: f"greatest(pow({_G}, {at(q)}) * {2 / (1 + Q.GAMMA)!r} - {_S}, 0.0)"
+    tail = lambda x, y: f"list_sort([g.{y} - g.{x}, l.{y} - l.{x}, e.{y} - e.{x}])[2]"
+    shrunk = lambda t, to: f"(({t}.total::double * {t}.q50 + {prior}::double * {to}) / ({t}.total::double + {prior}::double))"
+    noise = f"({sure}::double / (2.0::double * sqrt(f.n)))"
+    expected = f"(f.n * greatest(high, {Q.FLOOR}::double))"
     return f"""
 with docs as materialized (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text from documents),
 split as materialized (select *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
@@ -33,23 +33,24 @@ counts as materialized (select s.r, doc_id, lang, source, len(w)::bigint as n_wo
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(l) as n_lines,
     (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(h.n, 0)::bigint as n_repeat_words,
     len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_neighbours from split s left join hit h on s.r = h.r),
+based as materialized (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts),
 figures as materialized ({_figures()}),
-sketch as (select lang, source, figure, ceil(ln(v + {_S}) / ln({_G}))::int as bucket, count(*) as n from figures group by all),
+sketch as (select lang, source, figure, ceil(ln(v + {_S}) / ln({_G}))::int as bucket, count(*) as n from figures where not base_failed group by all),
 merged as (select 0 as level, lang, source, figure, bucket, sum(n) as n from sketch group by all
     union all select 1, lang, null, figure, bucket, sum(n) from sketch group by all
     union all select 2, null, null, figure, bucket, sum(n) from sketch group by all),
 run as (select *, sum(n) over (partition by level, lang, source, figure order by bucket) as cum,
     sum(n) over (partition by level, lang, source, figure) as total from merged),
-quartiles as (select level, lang, source, figure, total, {value(0.25)} as q1, {value(0.75)} as q3 from run group by level, lang, source, figure, total),
-limits as (select level, lang, source, figure, total, q1 - greatest({spread} * (q3 - q1), {_slack(1)}) as low,
-    q3 + greatest({spread} * (q3 - q1), {_slack(0)}) as high, {_slack(1)} is not null as two from quartiles),
-chosen as (select f.r, f.figure, f.v, case when a.total >= {least} then a.low when b.total >= {least} then b.low else c.low end as low,
-    case when a.total >= {least} then a.high when b.total >= {least} then b.high else c.high end as high, c.two from figures f
-    join limits a on a.level = 0 and a.figure = f.figure and a.lang is not distinct from f.lang and a.source is not distinct from f.source
-    join limits b on b.level = 1 and b.figure = f.figure and b.lang is not distinct from f.lang
-    join limits c on c.level = 2 and c.figure = f.figure),
-failures as (select r, string_agg(figure, ',' order by figure) as failed from chosen where v > high or (two and v < low) group by r),
-based as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts)
+tails as (select level, lang, source, figure, total, {value(0.1)} as q10, {value(0.5)} as q50, {value(0.9)} as q90
+    from run group by level, lang, source, figure, total),
+limits as (select g.lang, g.source, g.figure, {shrunk("g", shrunk("l", "e.q50"))} as center,
+    center - {spread}::double * {tail("q10", "q50")} as low, center + {spread}::double * {tail("q50", "q90")} as high
+    from tails g join tails l on l.level = 1 and l.figure = g.figure and l.lang is not distinct from g.lang
+    join tails e on e.level = 2 and e.figure = g.figure where g.level = 0),
+failures as (select r, string_agg(f.figure, ',' order by f.figure) as failed from figures f join limits t
+    on t.figure = f.figure and t.lang is not distinct from f.lang and t.source is not distinct from f.source
+    where case when f.figure = 'word_length' then v * (1 - {noise}) > high or v * (1 + {noise}) < low
+    else v * f.n > {expected} + {sure * sure / 2}::double + {sure}::double * sqrt({expected} + {sure * sure / 4}::double) end group by r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     not base_failed and f.failed is null as kept, coalesce(f.failed, '') as failed
 from based b left join failures f on b.r = f.r"""

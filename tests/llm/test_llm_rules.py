@@ -1,7 +1,9 @@
 """Quality rules, secret scan, exact dedup against brute force."""
 
+import functools
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -23,7 +25,7 @@ def counts(t):
             len(lines), sum(x == y for x, y in zip(w, w[1:])))
 
 
-def verdicts(docs, spread=6.0, least=30):
+def verdicts(docs, spread=2.0, prior=30.0, sure=2.0):
     """Plain form of the rules: (doc_id, counts, base_failed, kept)."""
     g = math.log(op1_quality.GAMMA)
     names = list(op1_quality.FIGURES)
@@ -33,9 +35,10 @@ def verdicts(docs, spread=6.0, least=30):
         n, chars, symbols, dup, rep, lines, same = c = counts(text)
         v = dict(zip(names, (chars / n, symbols / chars, dup / lines, rep / n, same / n))) if n else None
         made.append((doc, lang, source, c, v))
-        for f in names if v else ():
-            for key in ((lang, source), (lang,), ()):
-                sketch[key, f][math.ceil(math.log(v[f] + op1_quality.SHIFT) / g)] += 1
+        if n >= 20 and 100 * rep <= 30 * n:
+            for f in names:
+                for key in ((lang, source), (lang,), ()):
+                    sketch[key, f][math.ceil(math.log(v[f] + op1_quality.SHIFT) / g)] += 1
 
     def q(c, share):
         seen, total = 0, sum(c.values())
@@ -44,16 +47,32 @@ def verdicts(docs, spread=6.0, least=30):
             if seen > share * (total - 1):
                 return max(op1_quality.GAMMA ** b * 2 / (1 + op1_quality.GAMMA) - op1_quality.SHIFT, 0.0)
 
+    @functools.cache
+    def limits(lang, source, f):
+        levels = [sketch.get((key, f)) for key in ((), (lang,), (lang, source))]
+        if None in levels:
+            return None
+        center = None
+        for c in levels:
+            n = sum(c.values())
+            center = q(c, 0.5) if center is None else (n * q(c, 0.5) + prior * center) / (n + prior)
+        middle = lambda a, b: sorted(q(c, b) - q(c, a) for c in levels)[1]
+        return center - spread * middle(0.1, 0.5), center + spread * middle(0.5, 0.9)
+
     out = []
     for doc, lang, source, c, v in made:
         base = c[0] < 20 or 100 * c[4] > 30 * c[0]
         good = True
+        size = dict(zip(names, (c[0], c[1], c[5], c[0] / 16, c[0])))
         for f in names if v else ():
-            key = next((k for k in ((lang, source), (lang,)) if sum(sketch[k, f].values()) >= least), ())
-            q1, q3 = q(sketch[key, f], 0.25), q(sketch[key, f], 0.75)
-            up, down = op1_quality.FIGURES[f]
-            wide = spread * (q3 - q1)
-            good &= v[f] <= q3 + max(wide, up) and (down is None or v[f] >= q1 - max(wide, down))
+            if (t := limits(lang, source, f)) is None:
+                continue
+            if f == "word_length":
+                noise = sure / (2 * math.sqrt(size[f]))
+                good &= not (v[f] * (1 - noise) > t[1] or v[f] * (1 + noise) < t[0])
+            else:
+                e = size[f] * max(t[1], op1_quality.FLOOR)
+                good &= v[f] * size[f] <= e + sure ** 2 / 2 + sure * math.sqrt(e + sure ** 2 / 4)
         out.append((doc, *c[:5], base, not base and good))
     return out
 
@@ -62,9 +81,9 @@ COLUMNS = ["doc_id", *op1_quality.COUNTS, "base_failed", "kept"]
 
 
 def test_quality_cases(spark):
-    for least in (1, 30):
-        got = op1_quality.rules(frame(spark), least=least).select(COLUMNS).collect()
-        assert multiset(map(tuple, got)) == multiset(verdicts([r[:4] for r in rows()], least=least))
+    for prior in (0.0, 30.0):
+        got = op1_quality.rules(frame(spark), prior=prior).select(COLUMNS).collect()
+        assert multiset(map(tuple, got)) == multiset(verdicts([r[:4] for r in rows()], prior=prior))
     assert op1_quality.rules(empty(spark)).count() == 0
 
 
@@ -78,6 +97,26 @@ def test_quality_tables(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.15
 
 
+def test_quality_thresholds_follow_the_source(spark):
+    rng = random.Random(5)
+
+    def text(symbols, size=1):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(size * rng.randint(3, 7))) for _ in range(200)]
+        return " ".join(w + "#" * (symbols // 200 + (i < symbols % 200)) for i, w in enumerate(words))
+
+    # Code carries symbols and prose does not; 20 % of the mixed source is junk.
+    code = [(i, text(rng.randint(60, 100)), "en", "code", "good") for i in range(80)]
+    prose = [(100 + i, text(rng.randint(0, 2)), "en", "prose", "good") for i in range(1200)]
+    mixed = [(2000 + i, text(80 if i % 5 == 0 else 0), "en", "mixed", "junk" if i % 5 == 0 else "good") for i in range(200)]
+    wide = [(3000 + i, text(0, 3), "en", "long words", "good") for i in range(80)]
+    odd = [(4000, text(80), "en", "prose", "junk"), (4001, text(400), "en", "code", "junk"),
+           (4002, text(0, 3), "en", "prose", "junk"), (4003, text(0), "en", "long words", "junk")]
+    docs = code + prose + mixed + wide + odd
+    got = op1_quality.rules(spark.createDataFrame([d[:4] for d in docs], "doc_id long, text string, lang string, source string")).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert all(kept[d[0]] == (d[4] == "good") for d in docs), [(d[0], d[3]) for d in docs if kept[d[0]] != (d[4] == "good")]
+
+
 def test_quality_filter_keeps_rows_as_they_are(spark):
     kept = op1_quality.keep_good(frame(spark)).collect()
     want = [r for r, v in zip(rows(), verdicts([r[:4] for r in rows()])) if v[-1]]
