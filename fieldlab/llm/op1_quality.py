@@ -13,8 +13,9 @@ not move them.  A figure's upper threshold in a group is its median plus
 quantile; the mean word length has a lower threshold alike.  Both parts are
 shrunk: the median towards that of the language, and that towards the overall
 one, each parent weighing as much as ``prior`` documents; the tail is the
-median of the group's, its language's and the overall tail, so that a group
-with many faulty documents does not widen its own threshold.
+middle one of the group's, its language's and the overall tail, so that a group
+with many faulty documents does not widen its own threshold, but at least the
+shorter one of the group's own two tails, as a group may vary more than others.
 
 A document is outside a threshold when its figure is too far for its own
 length: a share of x in n must exceed the threshold by more than ``sure``
@@ -139,12 +140,13 @@ def thresholds(sketch: DataFrame, spread: float, prior: float) -> DataFrame:
     def shrunk(level: str, towards: Column) -> Column:
         return (F.col(f"{level}.total") * F.col(f"{level}.q50") + prior * towards) / (F.col(f"{level}.total") + prior)
 
-    def tail(a: str, b: str) -> Column:
-        # The middle one of three distances.
-        return F.sort_array(F.array(*[F.col(f"{level}.{b}") - F.col(f"{level}.{a}") for level in "gle"]))[1]
+    distance = {level: (F.col(f"{level}.q50") - F.col(f"{level}.q10"), F.col(f"{level}.q90") - F.col(f"{level}.q50")) for level in "gle"}
+
+    def tail(side: int) -> Column:
+        return F.greatest(F.sort_array(F.array(*[distance[level][side] for level in "gle"]))[1], F.least(*distance["g"]))
 
     d = d.select("g.lang", "g.source", "g.figure", shrunk("g", shrunk("l", F.col("e.q50"))).alias("center"),
-                 tail("q10", "q50").alias("below"), tail("q50", "q90").alias("above"))
+                 tail(0).alias("below"), tail(1).alias("above"))
     return d.groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct(
         "figure", (F.col("center") - spread * F.col("below")).alias("low"), (F.col("center") + spread * F.col("above")).alias("high")))).alias("limits"))
 
@@ -171,7 +173,7 @@ def judged(counted: DataFrame, limits: DataFrame, sure: float) -> DataFrame:
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("failed") == "")).drop("_f", "limits")
 
 
-def rules(docs: DataFrame, spread: float = 2.0, prior: float = 30.0, sure: float = 2.0, doc_id: str = "doc_id", text: str = "text",
+def rules(docs: DataFrame, spread: float = 2.0, prior: float = 10.0, sure: float = 2.0, doc_id: str = "doc_id", text: str = "text",
           lang: str = "lang", source: str = "source") -> DataFrame:
     """Per document: doc_id, the counts, base_failed, kept, failed."""
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[lang].cast("string").alias("lang"), docs[source].cast("string").alias("source"), text_of(docs, text).alias("text"))
@@ -179,7 +181,7 @@ def rules(docs: DataFrame, spread: float = 2.0, prior: float = 30.0, sure: float
     return judged(counted, thresholds(sketches(counted), spread, prior), sure).select("doc_id", *COUNTS, "base_failed", "kept", "failed")
 
 
-def keep_good(docs: DataFrame, spread: float = 2.0, prior: float = 30.0, sure: float = 2.0, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def keep_good(docs: DataFrame, spread: float = 2.0, prior: float = 10.0, sure: float = 2.0, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The kept documents, with all columns as they were."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[lang].cast("string").alias("lang"),
                        docs[source].cast("string").alias("source"), text_of(docs, text).alias("text"))

@@ -14,10 +14,10 @@ def _figures() -> str:
                               "from based where n_words > 0" for f, (x, n) in _SIZES.items())
 
 
-def quality(spread: float = 2.0, prior: float = 30.0, sure: float = 2.0) -> str:
+def quality(spread: float = 2.0, prior: float = 10.0, sure: float = 2.0) -> str:
     at = lambda q: f"min(bucket) filter (cum > {q} * (total - 1))"
     value = lambda q: f"greatest(pow({_G}, {at(q)}) * {2 / (1 + Q.GAMMA)!r} - {_S}, 0.0)"
-    tail = lambda x, y: f"list_sort([g.{y} - g.{x}, l.{y} - l.{x}, e.{y} - e.{x}])[2]"
+    tail = lambda x, y: f"greatest(list_sort([g.{y} - g.{x}, l.{y} - l.{x}, e.{y} - e.{x}])[2], least(g.q50 - g.q10, g.q90 - g.q50))"
     shrunk = lambda t, to: f"(({t}.total::double * {t}.q50 + {prior}::double * {to}) / ({t}.total::double + {prior}::double))"
     noise = f"({sure}::double / (2.0::double * sqrt(f.n)))"
     expected = f"(f.n * greatest(high, {Q.FLOOR}::double))"

@@ -25,7 +25,7 @@ def counts(t):
             len(lines), sum(x == y for x, y in zip(w, w[1:])))
 
 
-def verdicts(docs, spread=2.0, prior=30.0, sure=2.0):
+def verdicts(docs, spread=2.0, prior=10.0, sure=2.0):
     """Plain form of the rules: (doc_id, counts, base_failed, kept)."""
     g = math.log(op1_quality.GAMMA)
     names = list(op1_quality.FIGURES)
@@ -56,8 +56,9 @@ def verdicts(docs, spread=2.0, prior=30.0, sure=2.0):
         for c in levels:
             n = sum(c.values())
             center = q(c, 0.5) if center is None else (n * q(c, 0.5) + prior * center) / (n + prior)
-        middle = lambda a, b: sorted(q(c, b) - q(c, a) for c in levels)[1]
-        return center - spread * middle(0.1, 0.5), center + spread * middle(0.5, 0.9)
+        own = min(q(c, 0.5) - q(c, 0.1), q(c, 0.9) - q(c, 0.5))
+        tail = lambda a, b: max(own, sorted(q(x, b) - q(x, a) for x in levels)[1])
+        return center - spread * tail(0.1, 0.5), center + spread * tail(0.5, 0.9)
 
     out = []
     for doc, lang, source, c, v in made:
@@ -81,7 +82,7 @@ COLUMNS = ["doc_id", *op1_quality.COUNTS, "base_failed", "kept"]
 
 
 def test_quality_cases(spark):
-    for prior in (0.0, 30.0):
+    for prior in (0.0, 10.0):
         got = op1_quality.rules(frame(spark), prior=prior).select(COLUMNS).collect()
         assert multiset(map(tuple, got)) == multiset(verdicts([r[:4] for r in rows()], prior=prior))
     assert op1_quality.rules(empty(spark)).count() == 0
