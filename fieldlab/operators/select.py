@@ -26,9 +26,11 @@ def with_station(results: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def select_results(results: DataFrame, stations: DataFrame, sites=None, params=None,
-                   columns=RAW_COLUMNS) -> DataFrame:
+                   columns=RAW_COLUMNS, dates=None) -> DataFrame:
     """Rows of the selected sites and parameters with their description.
 
+    ``dates``: (start, end) of typed sample dates, filtered on the scan.
+
     ``sites`` / ``params``: a string (one value), a list, or None (all).
     The filters sit on the results scan (pushed to Parquet); the station
     side is restricted to the selected sites before the size check, so the
@@ -42,6 +44,8 @@ def select_results(results: DataFrame, stations: DataFrame, sites=None, params=N
     if params is not None:
         params = [params] if isinstance(params, str) else list(params)
         df = keep_values(df, "WebParameter", params)
+    if dates is not None:
+        df = filter_dates(df, *dates)
     df = df.select(*columns)
     return with_station(df, st)
 
@@ -60,5 +64,9 @@ def _as_date(v):
 
 
 def filter_dates(df: DataFrame, start, end, col: str = "DateSampled") -> DataFrame:
-    """Inclusive date range; NULL dates drop out."""
-    return df.where(F.col(col).between(_as_date(start), _as_date(end)))
+    """Inclusive date range; NULL dates drop out.  Of the store's rows (a
+    ``sample_year`` beside the sample date) only the years' folders are read."""
+    lo, hi = _as_date(start), _as_date(end)
+    if col == "DateSampled" and "sample_year" in df.columns:
+        df = df.where(F.col("sample_year").between(F.year(lo), F.year(hi)))
+    return df.where(F.col(col).between(lo, hi))

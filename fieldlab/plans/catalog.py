@@ -1384,6 +1384,31 @@ def q_coverage_zones(spark, sf_dir):
     return FR.coverage_message(store_loads.zones(spark, _refreshed(spark, sf_dir)), "reloaded", "min_date", "max_date")
 
 
+@register("q9_filter_dates_store", SQL["q9_filter_dates"])
+def q_filter_dates_store(spark, sf_dir):
+    # The range is read from the refreshed store: only the folders of its years.
+    res = TB.load_store(spark, _refreshed(spark, sf_dir))
+    return clean(select_results(res, store_tables(spark, sf_dir)[1], dates=(_DATE_LO, _DATE_HI)))
+
+
+@register("q2_select_results_dated_store", O.with_clean(where=O.selection_where()) + f"""
+SELECT {_CLEAN_COLS} FROM clean WHERE DateSampled BETWEEN DATE '{_DATE_LO}' AND DATE '{_DATE_HI}'""")
+def q_select_dated_store(spark, sf_dir):
+    # Sites, parameters and dates together, all on the scan of the store.
+    res = TB.load_store(spark, _refreshed(spark, sf_dir))
+    return clean(select_results(res, store_tables(spark, sf_dir)[1], SITES, PARAMS, dates=(_DATE_LO, _DATE_HI)))
+
+
+@register("s2_read_since_store", "WITH " + O.FIXTURE_CTE + f"""
+SELECT trim(SamplingPoint) AS SamplingPoint, try_cast(DateSampled AS DATE) AS DateSampled, WebParameter, WebResult, Qualifier,
+  RelativeDepthSample, CAST(year(try_cast(DateSampled AS DATE)) AS INTEGER) AS sample_year FROM r_t
+WHERE try_cast(DateSampled AS DATE) > DATE '{WATERMARK}'""")
+def q_read_since_store(spark, sf_dir):
+    res = TB.load_store(spark, _refreshed(spark, sf_dir))
+    return TB.read_since(res, WATERMARK).select("SamplingPoint", "DateSampled", "WebParameter", "WebResult", "Qualifier",
+                                                "RelativeDepthSample", "sample_year")
+
+
 # ---------------------------------------------------------------------------
 # Search index, locale order and the column-wide date form
 # ---------------------------------------------------------------------------

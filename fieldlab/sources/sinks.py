@@ -128,11 +128,15 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+def export_csv(df: DataFrame, path: str, single_file: bool = False, most_rows: int = 1_000_000) -> None:
     """CSV with a header, every row, quotes doubled.  Written in parallel as part files;
-    ``single_file`` gathers a small display table into one file."""
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    ``single_file`` gathers a display table of at most ``most_rows`` rows into
+    one file, and a larger one is refused (nothing is written)."""
+    if single_file:
+        if df.limit(most_rows + 1).count() > most_rows:
+            raise ValueError(f"over {most_rows} rows: too many for a single CSV file, export part files instead")
+        df = df.coalesce(1)
+    df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

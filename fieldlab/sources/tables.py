@@ -69,13 +69,17 @@ def read_since(df: DataFrame, watermark, lookback_days: int = 0, col: str = "Dat
     """Rows strictly after the high-water mark (optionally re-reading
     ``lookback_days`` before it, to catch late rows; pair with a dedup).
     The bound is a literal, so it reaches the Parquet/JDBC scan.  A text
-    date column is compared as ISO text, like the source does."""
+    date column is compared as ISO text, like the source does.  Of the
+    store's rows (a ``sample_year`` beside the sample date) only the folders
+    from the bound's year on are read."""
     if watermark is None:
         return df
     is_text = isinstance(df.schema[col].dataType, T.StringType)
     bound = F.date_sub(F.lit(str(watermark)).cast("date"), lookback_days)
     if is_text:
         bound = F.date_format(bound, "yyyy-MM-dd")
+    elif col == "DateSampled" and "sample_year" in df.columns:
+        df = df.where(F.col("sample_year") >= F.year(bound))
     cond = F.col(col) >= bound if lookback_days > 0 else F.col(col) > bound
     return df.where(cond)
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from fieldlab import fixtures
 from fieldlab.operators import lines as L
 from fieldlab.operators import trend
+from fieldlab.operators.select import filter_dates
 from fieldlab.plans import catalog
 from fieldlab.sources import sinks
+from fieldlab.sources.tables import load_store, read_since
 from conftest import SF001
 
 
@@ -41,6 +43,23 @@ def test_store_scan_pushdown(spark, tmpdir_path):
     assert "ReadSchema: struct<SamplingPoint:string,DateSampled:date,WebResult:string>" in p
 
 
+def test_date_ranges_read_the_years_of_the_store_only(spark, tmpdir_path):
+    store = os.path.join(tmpdir_path, "store")
+    rows = sinks.prepare_results(fixtures.results(spark, SF001))
+    sinks.write_results(rows, store, "full")
+    df = load_store(spark, store)
+    for got, want in ((filter_dates(df, "1996-03-01", "1997-05-31"), rows.where("DateSampled between '1996-03-01' and '1997-05-31'")),
+                      (read_since(df, "1997-05-31"), rows.where("DateSampled > '1997-05-31'")),
+                      (read_since(df, "1997-01-03", lookback_days=7), rows.where("DateSampled >= '1996-12-27'"))):
+        p = _plan(got)
+        assert "PartitionFilters: [isnotnull(sample_year" in p and "sample_year#" in p.split("PartitionFilters")[1].split("PushedFilters")[0]
+        assert got.count() == want.count() > 0
+    # Frames without the store's year column, or with another date column, keep every row in the range.
+    other = df.withColumnRenamed("DateSampled", "d")
+    assert filter_dates(other, "1996-03-01", "1997-05-31", "d").count() == filter_dates(df, "1996-03-01", "1997-05-31").count()
+    assert filter_dates(df.drop("sample_year"), None, "1997-05-31").count() == 0
+
+
 def test_linear_stats_partial_aggregation(spark):
     p = _plan(trend.linear_stats(catalog.clean_all(spark, SF001)))
     assert "partial_regr_" in p or "partial_" in p

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldlab import fixtures
@@ -155,6 +156,15 @@ def test_refresh_dedup_drops_repeats(spark, tmpdir_path):
     assert spark.read.parquet(sinks.results_path(store)).count() == src.count()
 
 
+def test_export_csv_single_file_is_bounded(spark, tmpdir_path):
+    path, rows = os.path.join(tmpdir_path, "csv"), fixtures.results(spark, SF001).limit(50)
+    with pytest.raises(ValueError, match="over 49 rows"):
+        sinks.export_csv(rows, path, single_file=True, most_rows=49)
+    assert not os.path.exists(path)
+    sinks.export_csv(rows, path, single_file=True, most_rows=50)
+    assert spark.read.option("header", True).csv(path).count() == 50
+
+
 def test_export_csv_single_file(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "one")
     sinks.export_csv(fixtures.results(spark, SF001).limit(50), path, single_file=True)
