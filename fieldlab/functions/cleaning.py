@@ -158,26 +158,58 @@ def fixed_decimals(col, digits: int) -> Column:
     return F.coalesce(F.format_string(f"%.{digits}f", _c(col)), F.lit("NA"))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row.  Written out, an
+    expression is computed again at every mention inside conditions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number_text(col) -> Column:
     """A double as R pastes it: up to 15 significant digits, in fixed form
     unless the scientific form is shorter; NULL is 'NA'."""
+    def parts(sci):
+        digits = F.rtrim(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), F.lit("0"))
+        return F.struct(digits.alias("digits"), F.length(digits).alias("n"), F.substr(sci, F.lit(18)).try_cast("int").alias("e"))
+
+    def written(p):
+        digits, n, e = p["digits"], p["n"], p["e"]
+        places = F.greatest(n - 1 - e, F.lit(0))
+        fixed_width = F.greatest(e, F.lit(0)) + 1 + F.when(places > 0, places + 1).otherwise(0)
+        sci_width = n + F.when(n > 1, 1).otherwise(0) + F.when(F.abs(e) >= 100, 5).otherwise(4)
+        fixed = (F.when(e >= n - 1, F.concat(digits, F.repeat(F.lit("0"), e - n + 1)))
+                 .when(e >= 0, F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+                 .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)))
+        mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 14))).otherwise(digits)
+        power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), F.when(F.abs(e) < 100, 2).otherwise(3), F.lit("0")))
+        return F.when(fixed_width <= sci_width, fixed).otherwise(F.concat(mantissa, power))
+
+    def trimmed(t):
+        return F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))
+
+    # The shortest text of a double has its digits already when they are at
+    # most 15; only longer ones have to be rounded (``written``).
+    def plain(s):
+        return F.when(F.length(s) <= 16, trimmed(s))
+
+    def small(s):
+        m = F.substring_index(s, "E", 1)
+        return F.when(F.length(m) <= 16, F.concat(trimmed(m), F.lit("e-"), F.lpad(F.substring_index(s, "-", -1), 2, "0")))
+
+    def whole(s):
+        digits, e = F.rtrim(s, F.lit("0")), F.length(s) - 1
+        point = F.when(F.length(digits) > 1, F.lit(".")).otherwise(F.lit(""))
+        return (F.when(e < F.length(digits) + F.length(point) + 4, s)
+                .otherwise(F.concat(F.substring(digits, 1, 1), point, F.substring(digits, 2, 14), F.lit("e+"), F.lpad(e.cast("string"), 2, "0"))))
+
     c = _c(col).cast("double")
-    sci = F.format_string("%.14e", F.abs(c))
-    digits = F.rtrim(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), F.lit("0"))
-    e = F.substring_index(sci, "e", -1).try_cast("int")
-    n = F.length(digits)
-    places = F.greatest(n - 1 - e, F.lit(0))
-    fixed_width = F.greatest(e, F.lit(0)) + 1 + F.when(places > 0, places + 1).otherwise(0)
-    sci_width = n + F.when(n > 1, 1).otherwise(0) + F.when(F.abs(e) >= 100, 5).otherwise(4)
-    fixed = (F.when(e >= n - 1, F.concat(digits, F.repeat(F.lit("0"), e - n + 1)))
-             .when(e >= 0, F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
-             .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)))
-    mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 14))).otherwise(digits)
-    power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs(e)))
-    text = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")),
-                    F.when(fixed_width <= sci_width, fixed).otherwise(F.concat(mantissa, power)))
+    size = F.abs(c)
+    short = (F.when((size >= 1e-3) & ((size < 1e5) | ((size < 1e7) & (size != F.rint(size)))), once(size.cast("string"), plain))
+             .when((size >= 1e5) & (size < 1e15) & (size == F.rint(size)), once(size.cast("long").cast("string"), whole))
+             .when((size >= 1e-98) & (size < 1e-4), once(size.cast("string"), small)))
+    finite = F.coalesce(short, once(once(F.format_string("%.14e", size), parts), written))
     return (F.when(c.isNull(), F.lit("NA")).when(F.isnan(c), F.lit("NaN")).when(c == 0, F.lit("0"))
-            .when(e.isNull(), F.when(c < 0, F.lit("-Inf")).otherwise(F.lit("Inf"))).otherwise(text))
+            .when(size == float("inf"), F.when(c < 0, F.lit("-Inf")).otherwise(F.lit("Inf")))
+            .otherwise(F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), finite)))
 
 
 def na_text(col) -> Column:
