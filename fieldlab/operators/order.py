@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldlab.functions.cleaning import once
 from fieldlab.session import checkpoint_dir
 
 RANGE_ROWS = 50_000      # rows aimed at in a range
@@ -78,8 +79,9 @@ class OrderIndex:
             return F.lit(0)
         array, key = F.expr(f"array({', '.join(map(self.splitter, range(len(self.splitters))))})"), _key(self.order)
         steps = [1 << b for b in range(len(self.splitters).bit_length() - 1, -1, -1)]
-        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
-                           lambda low, s: F.when(F.get(array, low + s - 1) < key, low + s).otherwise(low))
+        # The key is computed once a row, not at every step.
+        return once(key, lambda k: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                                               lambda low, s: F.when(F.get(array, low + s - 1) < k, low + s).otherwise(low)))
 
 
 def build_index(df: DataFrame, order=None, rows_per_range: int = RANGE_ROWS, most: int = MOST_RANGES) -> OrderIndex:
