@@ -118,3 +118,74 @@ def surface(x: np.ndarray, rows: np.ndarray, sy: np.ndarray, syy: np.ndarray, po
     out["s"] = np.sqrt(rss / out["delta1"]) if out["delta1"] > 0 else np.nan
     out["norm"] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", eg, b, eg), 0.0))
     return out
+
+
+# Least determinant of a direct fit, as a share of the cubed weight sum, and
+# the cells (grid points x dates) worked on at once.
+DIRECT_SINGULAR = 1e-12
+MOST_CELLS = 4_000_000
+
+
+def _reach(x: np.ndarray, rows: np.ndarray, grid: np.ndarray, span: float) -> np.ndarray:
+    """Distance from each grid point to its q-th nearest row, q = floor(N *
+    span): the q nearest rows are those of a run of consecutive dates, so it is
+    the least, over runs that hold q rows, of the distance to the farther end."""
+    if span > 1.0:
+        return np.maximum(grid - x[0], x[-1] - grid) * span
+    upto = np.cumsum(rows)
+    last = np.searchsorted(upto, upto - rows + np.floor(upto[-1] * span), "left")
+    first = x[last < len(x)]
+    return np.maximum(grid[:, None] - first, x[last[last < len(x)]] - grid[:, None]).min(axis=1)
+
+
+def _direct_sums(x, rows, sy, grid, span, band):
+    """Per grid point: moments of the weights (S0-S4), of the weighted results
+    (T0-T2) and of the squared weights (V0-V4), and the dates that count."""
+    h = _reach(x, rows, grid, span)[:, None]
+    safe, off = np.where(h > 0, h, 1.0), x[None, :] - grid[:, None]
+    r = np.abs(off) / safe
+    w = np.where(h > 0, np.where(r < 1.0, (1.0 - r * r * r) ** 3, 0.0), off == 0)
+    u = np.where(h > 0, off / safe, 0.0)
+    u2 = u * u
+    powers = [np.ones_like(u), u, u2, u2 * u, u2 * u2]
+    moments = lambda a, k: [np.einsum("ij,ij->i", a, p) for p in powers[:k]]
+    return [np.array(moments(w * rows, 5)), np.array(moments(w * sy, 3)),
+            np.array(moments(w * w * rows, 5)) if band else np.empty((5, len(grid))), (w > 0).sum(axis=1)]
+
+
+def _det3(a, b, c, d, e, f, g, h, i):
+    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+
+def direct(x: np.ndarray, rows: np.ndarray, sy: np.ndarray, syy: np.ndarray, points: int, span: float,
+           band: bool = False) -> dict:
+    """Line of one series, fitted at each of ``points`` even points from the
+    first to the last date: ``x``, ``yhat``; with ``band`` also ``norm``
+    (squared length of the operator's row at each point), ``s`` (residual
+    scale) and ``df`` = delta1.  Input as for ``surface``; NaN stands for no fit."""
+    grid = x[0] + np.arange(points) * (x[-1] - x[0]) / (points - 1.0)
+    some = max(1, MOST_CELLS // len(x))
+    parts = [_direct_sums(x, rows, sy, grid[i:i + some], span, band) for i in range(0, points, some)]
+    s, t, v, dates = (np.concatenate(p, axis=-1) for p in zip(*parts))
+    det = _det3(s[0], s[1], s[2], s[1], s[2], s[3], s[2], s[3], s[4])
+    fit = (dates >= 3) & (np.abs(det) > DIRECT_SINGULAR * s[0] ** 3)
+    det = np.where(fit, det, np.nan)
+    yhat = _det3(t[0], s[1], s[2], t[1], s[2], s[3], t[2], s[3], s[4]) / det
+    out = {"x": grid, "yhat": yhat}
+    if not band:
+        return out
+    a0, a1, a2 = (s[2] * s[4] - s[3] * s[3]) / det, -(s[1] * s[4] - s[3] * s[2]) / det, (s[1] * s[3] - s[2] * s[2]) / det
+    norm2 = a0 * a0 * v[0] + a1 * a1 * v[2] + a2 * a2 * v[4] + 2.0 * a0 * a1 * v[1] + 2.0 * a0 * a2 * v[2] + 2.0 * a1 * a2 * v[3]
+    step = (x[-1] - x[0]) / (points - 1.0)
+    k = np.minimum(np.floor((x - x[0]) / step), points - 2).astype(int) if step > 0 else np.zeros(len(x), int)
+    width = grid[k + 1] - grid[k]
+    at = np.where(width > 0, (x - grid[k]) / np.where(width > 0, width, 1.0), 0.0)
+    yd, ld, kd = (f[k] + (f[k + 1] - f[k]) * at for f in (yhat, a0, norm2))
+    # A date beside a point without a fit does not count; the series has no scale then.
+    known = ~np.isnan(yd)
+    out |= {"norm": norm2, "s": np.nan, "df": np.nan}
+    if known.any():
+        out["df"] = rows.sum() - 2.0 * (rows * ld)[known].sum() + (rows * kd)[known].sum()
+    if known.all() and out["df"] > 0:
+        out["s"] = np.sqrt(max((syy - 2.0 * yd * sy + rows * yd * yd).sum(), 0.0) / out["df"])
+    return out

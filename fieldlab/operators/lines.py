@@ -5,15 +5,11 @@ grid is generated per series and the line and its confidence band are
 closed-form expressions.
 
 LOESS (L3/L4): local quadratic fits with tricube weights, span 0.8, evaluated
-directly at each grid point.  Rows are first reduced to one row per
-(series, date) with partial aggregation, checkpointed once and
-hash-partitioned by series.  The bandwidth of every grid point comes from
-runs of consecutive dates (a running window over the dates, then a hash
-minimum over grid points x runs); the weighted moment sums join the
-bandwidths back to the dates on the series key, co-partitioned, so the
-grid-expanded rows are never sorted or shuffled.  The work per series is
-grid points x distinct dates, bounded by the calendar rather than by the
-number of rows.
+directly at each grid point (``functions.loess.direct``).  Rows are first
+reduced to one row per (series, date) with partial aggregation, dealt by series
+and sorted; each task then streams its series through Arrow, so the grid points
+x distinct dates of a series (bounded by the calendar rather than by the number
+of rows) are arrays, never rows.
 
 ``loess_surface`` is the interpolated form of the same regression: fitted only
 at the vertices of each series' k-d tree, blended by cubics, with the exact
@@ -25,7 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,100 +91,58 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def date_points(df: DataFrame, by=SERIES_KEY, min_n: int = S.LOESS_MIN_N,
-                partitions: int | None = None) -> DataFrame:
-    """Per (series, date): count, sum and sum of squares of the results,
-    with the series' N, first and last date; series below ``min_n`` rows
-    dropped.  The output is hash-partitioned by the series keys into
-    ``partitions`` parts (default: the session's shuffle parallelism)."""
+def date_points(df: DataFrame, by=SERIES_KEY, partitions: int | None = None) -> DataFrame:
+    """Per (series, date): count, sum and sum of squares of the results.  The
+    output is hash-partitioned by the series keys into ``partitions`` parts
+    (default: the session's shuffle parallelism)."""
     keys = _keys(by)
     rows = (df.where(F.col("FinalResult").isNotNull() & F.col("DateSampled").isNotNull())
             .select(*keys, days_since_epoch(F.col("DateSampled")).alias("x"), F.col("FinalResult").alias("y")))
     pts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy"),
                                        F.sum(F.col("y") * F.col("y")).alias("syy"))
-    # The grid multiplies these rows by the number of grid points after the
-    # exchange; an explicit partition count keeps AQE from coalescing the
-    # (small) shuffle into fewer tasks than the expanded work needs.
-    pts = pts.repartition(_partitions(df, partitions), *keys)
-    ws = Window.partitionBy(*keys)
-    pts = pts.withColumns({"N": F.sum("c").over(ws), "xmin": F.min("x").over(ws),
-                           "xmax": F.max("x").over(ws)})
-    return pts.where(F.col("N") >= min_n)
-
-
-def _loess_bandwidth(pts: DataFrame, keys, span: float, points: int) -> DataFrame:
-    """Bandwidth h of every (series, grid point): the distance from the
-    grid point to its q-th nearest row, q = floor(span * N).
-
-    The q nearest rows of any point form a run of consecutive dates.  For
-    each date a, b(a) is the first date at which the count from a on
-    reaches q (one running window over the series' dates); then
-    h(g) = min over a of max(g - x_a, x_b(a) - g), a hash aggregation over
-    grid points x runs.  No sort of the grid rows is needed."""
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    if span > 1.0:
-        g = pts.select(*keys, "xmin", "xmax").distinct().select(*keys, "xmin", "xmax", grid)
-        g = g.withColumn("g", _grid_x(points))
-        return g.select(*keys, "i", "g", (F.greatest(F.col("g") - F.col("xmin"), F.col("xmax") - F.col("g"))
-                                          * span).alias("h"))
-    by_x = Window.partitionBy(*keys).orderBy("x")
-    cum = pts.select(*keys, "x", "c", "N", "xmin", "xmax", F.sum("c").over(by_x).alias("cum_c"))
-    q = F.floor(F.col("N") * span)
-    # Run starts ("probes", count before the date) and run ends ("targets",
-    # count up to the date minus q), ordered by that count from the top: the
-    # last target seen before a probe is the first date where the run from
-    # the probe holds q rows.
-    probes = cum.select(*keys, (F.col("cum_c") - F.col("c")).alias("v"), F.lit(0).alias("kind"),
-                        F.col("x").alias("xa"), F.lit(None).cast("double").alias("xe"), "xmin", "xmax")
-    targets = cum.select(*keys, (F.col("cum_c") - q).alias("v"), F.lit(1).alias("kind"),
-                         F.lit(None).cast("double").alias("xa"), F.col("x").alias("xe"), "xmin", "xmax")
-    down = (Window.partitionBy(*keys).orderBy(F.col("v").desc(), F.col("kind").desc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = (probes.unionByName(targets)
-            .withColumn("xb", F.last("xe", ignorenulls=True).over(down))
-            .where((F.col("kind") == 0) & F.col("xb").isNotNull())
-            .select(*keys, "xa", "xb", "xmin", "xmax"))
-    g = runs.select(*keys, "xa", "xb", "xmin", "xmax", grid).withColumn("g", _grid_x(points))
-    reach = F.greatest(F.col("g") - F.col("xa"), F.col("xb") - F.col("g"))
-    return g.groupBy(*keys, "i", "g").agg(F.min(reach).alias("h"))
-
-
-def _loess_sums(pts: DataFrame, keys, span: float, points: int) -> DataFrame:
-    """Weighted moment sums of each (series, grid point): the bandwidths
-    joined back to the series' date points (both sides partitioned by the
-    series, so the join and the sums need no shuffle)."""
-    bw = _loess_bandwidth(pts, keys, span, points)
-    g = bw.join(pts.select(*keys, "x", "c", "sy", "N"), keys, "inner")
-    dist = F.abs(F.col("x") - F.col("g"))
-    r = dist / F.col("h")
-    t = 1.0 - r * r * r
-    w = F.when(F.col("h") > 0, F.when(r < 1.0, t * t * t).otherwise(0.0)) \
-        .otherwise(F.when(dist == 0, 1.0).otherwise(0.0))
-    u = F.when(F.col("h") > 0, (F.col("x") - F.col("g")) / F.col("h")).otherwise(0.0)
-    g = g.select(*keys, "i", "g", "c", "sy", "N", "h", w.alias("w"), u.alias("u"))
-    g = g.withColumns({"wc": F.col("w") * F.col("c"), "wy": F.col("w") * F.col("sy"),
-                       "ww": F.col("w") * F.col("w") * F.col("c"),
-                       "u2": F.col("u") * F.col("u")})
-    upow = [F.lit(1.0), F.col("u"), F.col("u2"), F.col("u2") * F.col("u"), F.col("u2") * F.col("u2")]
-    aggs = [F.sum(F.col("wc") * upow[k]).alias(f"S{k}") for k in range(5)]
-    aggs += [F.sum(F.col("wy") * upow[k]).alias(f"T{k}") for k in range(3)]
-    aggs += [F.sum(F.col("ww") * upow[k]).alias(f"V{k}") for k in range(5)]
-    aggs += [F.sum(F.when(F.col("w") > 0, 1).otherwise(0)).alias("n_pos"),
-             F.first("h").alias("h"), F.first("N").alias("N")]
-    return g.groupBy(*keys, "i", "g").agg(*aggs)
-
-
-def _det3(a, b, c, d, e, f, g, h, i):
-    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-
-
-def _loess_fit(sums: DataFrame) -> DataFrame:
-    S0, S1, S2, S3, S4 = (F.col(f"S{k}") for k in range(5))
-    T0, T1, T2 = (F.col(f"T{k}") for k in range(3))
-    det = _det3(S0, S1, S2, S1, S2, S3, S2, S3, S4)
-    num = _det3(T0, S1, S2, T1, S2, S3, T2, S3, S4)
-    ok = (F.col("n_pos") >= 3) & (F.abs(det) > 1e-12 * F.pow(S0, 3))
-    return sums.withColumns({"_det": det, "yhat": F.when(ok, num / det)})
+    # The fits cost far more than reading these rows; an explicit partition
+    # count keeps AQE from coalescing the (small) shuffle into too few tasks.
+    return pts.repartition(_partitions(df, partitions), *keys)
+
+
+def _whole_series(batches, keys):
+    """Tables of whole series from sorted batches, and where each series
+    starts: the last series of a batch waits for the next one."""
+    held = []
+    for batch in batches:
+        t = pa.Table.from_batches([*held, batch])
+        codes = [pc.dictionary_encode(t.column(k).combine_chunks(), null_encoding="encode").indices.to_numpy() for k in keys]
+        starts = np.flatnonzero(np.any([np.diff(c, prepend=-1) != 0 for c in codes], axis=0))
+        if len(starts) > 1:
+            yield t.slice(0, int(starts[-1])), starts[:-1]
+        held = t.slice(int(starts[-1])).to_batches() if len(starts) else []
+    if held:
+        yield pa.Table.from_batches(held), np.array([0])
+
+
+def _line_type(pts: DataFrame, keys) -> T.StructType:
+    """One row per series: the keys, ``line`` (i, x, yhat, norm at each point),
+    ``s`` and ``df``."""
+    item = "array<struct<i:int,x:double,yhat:double,norm:double>>"
+    return T.StructType([pts.schema[k] for k in keys] + T._parse_datatype_string(f"line {item}, s double, df double").fields)
+
+
+def _line_table(t: pa.Table, keys, at, fits, points: int) -> pa.Table:
+    """The fits (x, yhat and, with a band, norm, s and df) of the series that
+    have their keys in the rows ``at`` of a table; NaN becomes NULL."""
+    none = np.full(points, np.nan)
+    number = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
+    columns = [number(np.concatenate([f.get(k, none) for f in fits] or [none[:0]])) for k in ("x", "yhat", "norm")]
+    i = pa.array(np.tile(np.arange(points, dtype=np.int32), len(fits)))
+    grid = pa.StructArray.from_arrays([i, *columns], fields=list(_LINE.value_type))
+    line = pa.ListArray.from_arrays(pa.array(np.arange(len(fits) + 1, dtype=np.int32) * points), grid)
+    of = t.select(keys).take(pa.array(at, pa.int64())).combine_chunks()
+    one = [number(np.array([f.get(k, np.nan) for f in fits], dtype=float)) for k in ("s", "df")]
+    return pa.Table.from_arrays([*(of.column(k) for k in keys), line, *one], names=[*keys, "line", "s", "df"])
+
+
+def _date_arrays(t: pa.Table) -> list[np.ndarray]:
+    return [t.column(k).to_numpy().astype(float) for k in ("x", "c", "sy", "syy")]
 
 
 def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
@@ -201,81 +156,32 @@ def loess_line(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN,
     grid stage (default: the session's shuffle parallelism; a small
     selection can use fewer)."""
     keys = _keys(by)
-    spark = df.sparkSession
-    # The date points feed the bandwidth search twice and the sums once:
-    # they are cut from their lineage (reliable checkpoint in the shared
-    # folder) so the source is scanned once, then re-partitioned by series
-    # (a checkpoint forgets partitioning) so the grid stages shuffle nothing.
-    checkpoint_dir(spark)
-    n = _partitions(df, partitions)
-    pts = date_points(df, keys, min_n, partitions).checkpoint(eager=True).repartition(n, *keys)
+    pts = date_points(df.dropna(subset=keys), keys, partitions).sortWithinPartitions(*keys, "x")
+
+    def run(batches):
+        # A task streams its sorted series, many in a batch: it holds a batch
+        # and the dates of one series.
+        for t, starts in _whole_series((b for b in batches if b.num_rows), keys):
+            x, c, sy, syy = _date_arrays(t)
+            kept, fits = [], []
+            for a, b in zip(starts, [*starts[1:], t.num_rows]):
+                if c[a:b].sum() >= min_n:
+                    kept.append(a)
+                    fits.append(loess.direct(x[a:b], c[a:b], sy[a:b], syy[a:b], points, span, band))
+            yield from _line_table(t, keys, kept, fits, points).to_batches()
+
+    per = pts.mapInArrow(run, _line_type(pts, keys))
     if not band:
-        fit = _loess_fit(_loess_sums(pts, keys, span, points))
-        return fit.select(*keys, "i", F.col("g").alias("x"), "yhat")
-    fit = _loess_fit(_loess_sums(pts, keys, span, points)).checkpoint(eager=True)
-    return _loess_band(pts, fit, keys, points, level)
-
-
-def _loess_band(pts: DataFrame, fit: DataFrame, keys, points: int, level: float) -> DataFrame:
-    """Confidence band of the LOESS line.
-
-    At each grid point: a = first column of M^-1, self-influence l00 =
-    (M^-1)_00 and squared kernel norm ||l(g)||^2 = a' V a (V: moments of
-    w^2).  At each data date the fit and both influences are interpolated
-    linearly between the two neighbouring grid points (vertex
-    interpolation), giving per series RSS, nu1 = tr(L), nu2 = tr(L'L) and
-    delta1 = N - 2 nu1 + nu2.  s^2 = RSS / delta1; the band is
-    yhat +/- t(level, delta1) * s * ||l(g)||.  The grid fits of a series
-    travel as one array of ``points`` entries (a fixed bound, not data
-    driven) joined to the dates on the series key.  Work per series is grid
-    points + distinct dates; no pairs of dates are formed."""
-    S0, S1, S2, S3, S4 = (F.col(f"S{k}") for k in range(5))
-    V0, V1, V2, V3, V4 = (F.col(f"V{k}") for k in range(5))
-    det = F.col("_det")
-    a0 = (S2 * S4 - S3 * S3) / det
-    a1 = -(S1 * S4 - S3 * S2) / det
-    a2 = (S1 * S3 - S2 * S2) / det
-    f = fit.withColumns({"a0": F.when(F.col("yhat").isNotNull(), a0),
-                         "a1": F.when(F.col("yhat").isNotNull(), a1),
-                         "a2": F.when(F.col("yhat").isNotNull(), a2)})
-    A0, A1, A2 = F.col("a0"), F.col("a1"), F.col("a2")
-    kn2 = (A0 * A0 * V0 + A1 * A1 * V2 + A2 * A2 * V4
-           + 2.0 * A0 * A1 * V1 + 2.0 * A0 * A2 * V2 + 2.0 * A1 * A2 * V3)
-    f = f.select(*keys, "i", "g", "yhat", F.col("a0").alias("l00"), kn2.alias("kn2"))
-    # The grid of a series as one array of its (fixed number of) points, so
-    # each date reads its two neighbouring grid points by position.
-    grid = f.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("i", "g", "yhat", "l00", "kn2"))).alias("grid"))
-    step = (F.col("xmax") - F.col("xmin")) / float(points - 1)
-    k = F.when(step > 0, F.least(F.floor((F.col("x") - F.col("xmin")) / step),
-                                 F.lit(points - 2))).otherwise(F.lit(0)).cast("int")
-    j = pts.select(*keys, "x", "c", "sy", "syy", "N", k.alias("k")).join(grid, keys, "inner")
-    lo_p = F.try_element_at(F.col("grid"), F.col("k") + 1)
-    hi_p = F.try_element_at(F.col("grid"), F.col("k") + 2)
-    j = j.select(*keys, "x", "c", "sy", "syy", "N", lo_p.alias("p0"), hi_p.alias("p1"))
-    t = F.when(F.col("p1.g") > F.col("p0.g"), (F.col("x") - F.col("p0.g")) / (F.col("p1.g") - F.col("p0.g"))) \
-        .otherwise(F.lit(0.0))
-    lin = lambda f_: F.col(f"p0.{f_}") + (F.col(f"p1.{f_}") - F.col(f"p0.{f_}")) * t
-    j = j.withColumns({"yd": lin("yhat"), "ld": lin("l00"), "kd": lin("kn2")})
-    per = j.groupBy(*keys).agg(
-        F.sum(F.col("syy") - 2.0 * F.col("yd") * F.col("sy") + F.col("c") * F.col("yd") * F.col("yd")).alias("rss"),
-        F.sum(F.col("c") * F.col("ld")).alias("nu1"),
-        F.sum(F.col("c") * F.col("kd")).alias("nu2"),
-        F.sum(F.when(F.col("yd").isNull() | F.col("ld").isNull() | F.col("kd").isNull(), 1)
-              .otherwise(0)).alias("n_unfit"),
-        F.first("N").alias("N"))
-    per = per.withColumn("delta1", F.col("N") - 2.0 * F.col("nu1") + F.col("nu2"))
-    # A date without an interpolated fit would drop out of RSS: no band then.
-    per = per.withColumn("s", F.when((F.col("delta1") > 0) & (F.col("n_unfit") == 0),
-                                     F.sqrt(F.greatest(F.col("rss"), F.lit(0.0)) / F.col("delta1"))))
-    per = with_t_quantile(per, "delta1", "tq", level)
-    out = grid.join(per.select(*keys, "s", "tq", F.col("delta1").alias("df")), keys, "left")
-    out = out.select(*keys, "s", "tq", "df", F.explode("grid").alias("p"))
-    se = F.col("s") * F.sqrt(F.greatest(F.col("p.kn2"), F.lit(0.0)))
-    out = out.select(*keys, F.col("p.i").alias("i"), F.col("p.g").alias("x"), F.col("p.yhat").alias("yhat"),
-                     se.alias("se"), "tq", "df")
-    return out.select(*keys, "i", "x", "yhat", "se",
-                      (F.col("yhat") - F.col("tq") * F.col("se")).alias("lo"),
+        return per.select(*keys, F.explode("line").alias("p")).select(*keys, "p.i", "p.x", "p.yhat")
+    norm = F.sqrt(F.greatest(F.col("p.norm"), F.lit(0.0)))
+    return _banded(per, keys, norm, level)
+
+
+def _banded(per: DataFrame, keys, norm: Column, level: float) -> DataFrame:
+    """yhat +/- t(level, df) * s * norm at each point of the lines."""
+    out = with_t_quantile(per, "df", "tq", level).select(*keys, "s", "df", "tq", F.explode("line").alias("p"))
+    out = out.select(*keys, "p.i", "p.x", "p.yhat", (F.col("s") * norm).alias("se"), "tq", "df")
+    return out.select(*keys, "i", "x", "yhat", "se", (F.col("yhat") - F.col("tq") * F.col("se")).alias("lo"),
                       (F.col("yhat") + F.col("tq") * F.col("se")).alias("hi"), "df")
 
 
@@ -292,37 +198,19 @@ def loess_surface(df: DataFrame, by=SERIES_KEY, span: float = S.LOESS_SPAN, poin
     Rows are reduced to one per series and date with partial aggregation, then
     dealt by series once."""
     keys = _keys(by)
-    rows = (df.where(F.col("FinalResult").isNotNull() & F.col("DateSampled").isNotNull())
-            .select(*keys, days_since_epoch(F.col("DateSampled")).cast("double").alias("x"), F.col("FinalResult").alias("y")))
-    pts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy"),
-                                       F.sum(F.col("y") * F.col("y")).alias("syy"))
-    pts = pts.repartition(_partitions(df, partitions), *keys)
-    item = "array<struct<i:int,x:double,yhat:double,norm:double>>"
-    schema = T.StructType([pts.schema[k] for k in keys] + T._parse_datatype_string(
-        f"line {item}, s double, df double").fields)
+    pts = date_points(df, keys, partitions)
 
     def fit(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("x").to_numpy(), kind="stable")
-        x, c, sy, syy = (t.column(k).to_numpy()[order] for k in ("x", "c", "sy", "syy"))
-        names = [*keys, "line", "s", "df"]
+        x, c, sy, syy = _date_arrays(t)
         if c.sum() < min_n:
-            return t.select(keys).slice(0, 0).append_column("line", pa.array([], _LINE)).append_column(
-                "s", pa.array([], pa.float64())).append_column("df", pa.array([], pa.float64()))
-        out = loess.surface(x, c, sy, syy, points, span, band, cell, margin)
-        none = lambda v: None if v is None or np.isnan(v) else float(v)
-        norm = out.get("norm", np.full(points, np.nan))
-        line = [{"i": i, "x": float(a), "yhat": none(b), "norm": none(n)} for i, (a, b, n) in enumerate(zip(out["x"], out["yhat"], norm))]
+            return _line_table(t, keys, [], [], points)
+        o = np.argsort(x, kind="stable")
+        out = loess.surface(x[o], c[o], sy[o], syy[o], points, span, band, cell, margin)
         d1, d2 = out.get("delta1", np.nan), out.get("delta2", np.nan)
-        df_ = d1 * d1 / d2 if band and d1 > 0 and d2 > 0 else None
-        one = [t.column(k).slice(0, 1).combine_chunks() for k in keys]
-        return pa.Table.from_arrays(one + [pa.array([line], _LINE), pa.array([none(out.get("s"))], pa.float64()),
-                                           pa.array([none(df_)], pa.float64())], names=names)
+        out["df"] = d1 * d1 / d2 if band and d1 > 0 and d2 > 0 else np.nan
+        return _line_table(t, keys, [0], [out], points)
 
-    per = pts.groupBy(*keys).applyInArrow(fit, schema)
+    per = pts.groupBy(*keys).applyInArrow(fit, _line_type(pts, keys))
     if not band:
         return per.select(*keys, F.explode("line").alias("p")).select(*keys, "p.i", "p.x", "p.yhat")
-    per = with_t_quantile(per, "df", "tq", level)
-    out = per.select(*keys, "s", "df", "tq", F.explode("line").alias("p"))
-    se = F.col("s") * F.col("p.norm")
-    return out.select(*keys, "p.i", "p.x", "p.yhat", se.alias("se"), (F.col("p.yhat") - F.col("tq") * se).alias("lo"),
-                      (F.col("p.yhat") + F.col("tq") * se).alias("hi"), "df")
+    return _banded(per, keys, F.col("p.norm"), level)
