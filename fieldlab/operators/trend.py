@@ -30,11 +30,14 @@ def small_side(agg: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """A per-series aggregate prepared for joining back to the rows: cut
     from its lineage (reliable checkpoint, so the source is not scanned
     again) and broadcast when its row count is within the bound; otherwise
-    it is joined by a shuffle join with AQE skew splitting.  Deciding before
+    it is the hash table of a shuffle join (it has one row per series, so the
+    rows need no sort) with AQE skew splitting.  Deciding before
     planning the join spares the rows side a shuffle whenever the aggregate
     is small."""
     checkpoint_dir(agg.sparkSession)
-    return bounded_broadcast(agg.checkpoint(eager=True), max_rows)
+    kept = agg.checkpoint(eager=True)
+    small = bounded_broadcast(kept, max_rows)
+    return kept.hint("shuffle_hash") if small is kept else small
 
 
 def min_group(df: DataFrame, keys=SERIES, n: int = S.MIN_MODEL_N) -> DataFrame:
