@@ -239,6 +239,15 @@ def test_filter_stays_above_the_counts(spark):
     assert filters and not any("split(" in line for line in filters)
 
 
+def test_filter_of_the_sketches_stays_above_the_counts(spark, monkeypatch):
+    """The same in the thresholds' pass, which reads the texts as well."""
+    plans, cut = [], op1_quality.cut_lineage
+    monkeypatch.setattr(op1_quality, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    op1_quality.keep_good(frame(spark))
+    filters = [line for plan in plans for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert any("n_repeat_words" in line for line in filters) and not any("split(" in line or "zip_with(" in line for line in filters)
+
+
 def test_exact_dedup_with_colliding_digests(spark, monkeypatch):
     """The texts decide, not the digest: with one digest for all, salted or not."""
     from pyspark.sql import functions as F
